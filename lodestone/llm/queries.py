@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import quality, secrets, urls
+from lodestone.llm import quality, secrets, simhash, urls
 from lodestone.llm.common import table
 
 
+def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, urls.RULES + urls.PATTERNS).select("page_id", "host", "path", "rule", "verdict")
@@ -21,5 +27,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op6_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op3_url_filter, op6_quality_rules, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
