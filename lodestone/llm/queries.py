@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import quality, secrets, simhash, urls
+from lodestone.llm import decontaminate, quality, secrets, simhash, urls
 from lodestone.llm.common import table
 
 
@@ -23,9 +23,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op3_url_filter, op6_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op3_url_filter, op6_quality_rules, op7_benchmark_decontamination, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
