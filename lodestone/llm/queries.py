@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, quality, secrets, simhash, urls
+from lodestone.llm import decontaminate, fst_tokens, quality, secrets, simhash, urls
 from lodestone.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """The place of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fst_tokens.with_token_counts(docs, vocabulary("byte_bpe_50k.json"))
+
+
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,5 +43,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_duplicates, op3_url_filter, op6_quality_rules, op7_benchmark_decontamination, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op6_quality_rules, op7_benchmark_decontamination, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
