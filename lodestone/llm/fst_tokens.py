@@ -240,6 +240,8 @@ def tokenizer(path: str) -> tuple[Pieces, list[str]]:
 
 def count_tokens(texts: list[str], path: str) -> np.ndarray:
     """Tokens of each text."""
+    if not texts:
+        return np.zeros(0, np.int64)
     pieces, special = tokenizer(path)
     total = np.zeros(len(texts), np.int64)
     parts, owner = [], []
