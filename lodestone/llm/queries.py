@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, fst_tokens, quality, secrets, simhash, urls
+from lodestone.llm import decontaminate, fst_tokens, line_dedup, quality, secrets, simhash, urls
 from lodestone.llm.common import table
 
 
@@ -39,9 +39,16 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the cleaned text, and the numbers of the deleted lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup_lines(docs)
+    return found.select("doc_id", "text", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op6_quality_rules, op7_benchmark_decontamination, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op6_quality_rules, op7_benchmark_decontamination, op8_line_dedup, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
