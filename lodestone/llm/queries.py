@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, fst_tokens, line_dedup, quality, secrets, simhash, urls
+from lodestone.llm import bpe, decontaminate, fst_tokens, line_dedup, quality, secrets, simhash, urls, warc
 from lodestone.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.RULES + urls.PATTERNS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -46,9 +51,36 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"))
 
 
+#: Pages to a WARC file.
+PAGES_A_FILE = 256
+
+
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records in which a second replica of the pages differs: one in 97 has a changed byte, one in 211 is lost."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    damaged = pages.where(F.coalesce(F.col("page_id") % 211 != 5, F.lit(True))).withColumn(
+        "html", F.when((F.col("page_id") % 97 == 13) & (F.octet_length("html") > 0), F.concat(F.lit("~"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    )
+    file = F.floor(F.col("page_id") / PAGES_A_FILE).cast("long")
+    found = warc.audit(warc.leaves(pages, file), warc.leaves(damaged, file))
+    return found.select("id", "file", "start", "end", "problem").withColumnRenamed("id", "page_id")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op6_quality_rules, op7_benchmark_decontamination, op8_line_dedup, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op4_bpe_round_trip, op6_quality_rules, op7_benchmark_decontamination, op8_line_dedup, op9_warc_fixity, op10_secret_scan)}
+
+_HEAD = len("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:sha256:" + "0" * 64 + ">\r\nWARC-Target-URI: \r\nContent-Type: text/html\r\nContent-Length: " + "\r\n\r\n" * 2)
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc_fixity": f"""
+        WITH sized AS (
+          SELECT page_id, page_id // {PAGES_A_FILE} AS file, {_HEAD} + strlen(coalesce(url, '')) + strlen(coalesce(html, '')) + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) AS size,
+                 CASE WHEN page_id % 211 = 5 THEN 'missing' WHEN page_id % 97 = 13 AND strlen(html) > 0 THEN 'changed' END AS problem
+          FROM pages
+        ), placed AS (SELECT *, CAST(sum(size) OVER (PARTITION BY file ORDER BY page_id) AS BIGINT) AS "end" FROM sized)
+        SELECT page_id, file, "end" - size AS start, "end", problem FROM placed WHERE problem IS NOT NULL
+    """,
+}
