@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, fst_tokens, line_dedup, quality, secrets, simhash, urls, warc
+from lodestone.llm import bpe, decontaminate, fst_tokens, line_dedup, ppm, quality, secrets, simhash, urls, warc
 from lodestone.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op4_bpe_round_trip, op6_quality_rules, op7_benchmark_decontamination, op8_line_dedup, op9_warc_fixity, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op4_bpe_round_trip, op5_ppm_scores, op6_quality_rules, op7_benchmark_decontamination, op8_line_dedup, op9_warc_fixity, op10_secret_scan)}
 
 _HEAD = len("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:sha256:" + "0" * 64 + ">\r\nWARC-Target-URI: \r\nContent-Type: text/html\r\nContent-Length: " + "\r\n\r\n" * 2)
 
