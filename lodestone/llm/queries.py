@@ -78,7 +78,41 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates
 
 _HEAD = len("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:sha256:" + "0" * 64 + ">\r\nWARC-Target-URI: \r\nContent-Type: text/html\r\nContent-Length: " + "\r\n\r\n" * 2)
 
+#: The white space between words.
+_SPACE = r"[\x20\x09-\x0D]+"
+_WORDS = f"list_filter(regexp_split_to_array(t, '{_SPACE}'), lambda w: w <> '')"
+_LINES = r"list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))"
+_HOST = "CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') ELSE '' END"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": f"""
+        WITH hosts AS (SELECT page_id, url, {_HOST} AS raw FROM pages),
+        parts AS (
+          SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3 + length(raw)), '^[^?#]*') ELSE '' END AS path
+          FROM hosts
+        ),
+        rules(h, p, v) AS (VALUES {', '.join(f"('{h}', '{p}', '{v}')" for v, h, p in (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")))}),
+        fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '^([^/]*\\.)?spam-farm\\.|^([^/]*[.-])?(casino|porn)[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM parts LEFT JOIN fits USING (page_id)
+    """,
+    "op6_quality_rules": f"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        counts AS (
+          SELECT doc_id, t, {_WORDS} AS w, len({_LINES}) AS n_lines, len({_LINES}) - len(list_distinct({_LINES})) AS n_dup_lines,
+                 length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars,
+                 length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) * 2 > length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS capitals
+          FROM docs
+        ),
+        windows AS (SELECT doc_id, i, list_slice(w, i, i + 7) AS ws FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM counts WHERE len(w) >= 8)),
+        often AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, ws) AS n FROM windows) WHERE n > 1),
+        covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM often) GROUP BY doc_id),
+        base AS (SELECT c.*, len(w) AS n_words, coalesce(v.n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(v.n, 0) > 30 * len(w) AS base_failed FROM counts c LEFT JOIN covered v USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR n_symbols * 10 > n_words * 3 OR n_dup_lines * 10 > n_lines * 3 OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR capitals) AS kept
+        FROM base
+    """,
     "op9_warc_fixity": f"""
         WITH sized AS (
           SELECT page_id, page_id // {PAGES_A_FILE} AS file, {_HEAD} + strlen(coalesce(url, '')) + strlen(coalesce(html, '')) + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) AS size,
