@@ -26,40 +26,42 @@ from pyspark.sql import types as T
 
 from lodestone.llm.fst_tokens import END, classes, piece_starts, stretches
 
-#: Pieces whose tokens a worker keeps, and how many new ones one query encodes.
-KEPT, AT_ONCE = 400_000, 40_000
+#: Pieces whose tokens a worker keeps (and as many that it kept before), and how many new ones one query encodes.
+KEPT, AT_ONCE = 300_000, 40_000
 
-#: A contraction of two equal tokens may overlap the next one: `first` says which places of the best pair are taken then.
+#: Rows of pieces without a pair stay behind as not live. A contraction of two equal tokens may overlap the next one: `mine` and
+#: `other` say whether a row's own place, or the one before, is taken then.
 ROUNDS = """
-WITH RECURSIVE enc(piece, step, pos, id) AS (
-  SELECT piece, 0, pos, id FROM start
+WITH RECURSIVE enc(piece, pos, id, live) AS (
+  SELECT piece, pos, id, true FROM start
   UNION ALL
-  SELECT piece, step + 1, pos, CASE WHEN merged = best AND (id <> next_id OR {mine}) THEN best ELSE id END
-  FROM (
-    SELECT p.*, m.merged, b.merged AS before, {found}
-    FROM (
-      SELECT piece, step, pos, id, lead(id) OVER w AS next_id, lag(id) OVER w AS last_id, lag(pos) OVER w AS last_pos{more}
-      FROM enc WINDOW w AS (PARTITION BY piece ORDER BY pos)
-    ) p
-    LEFT JOIN merges m ON p.id * 65536::BIGINT + p.next_id = m.pair
-    LEFT JOIN merges b ON p.last_id * 65536::BIGINT + p.id = b.pair
+  (
+    WITH pairs AS MATERIALIZED (
+      SELECT p.*, m.merged, b.merged AS before
+      FROM (
+        SELECT piece, pos, id, lead(id) OVER w AS next_id, lag(id) OVER w AS last_id, lag(pos) OVER w AS last_pos{more}
+        FROM {source} WINDOW w AS (PARTITION BY piece ORDER BY pos)
+      ) p
+      LEFT JOIN merges m ON p.id * 65536::BIGINT + p.next_id = m.pair
+      LEFT JOIN merges b ON p.last_id * 65536::BIGINT + p.id = b.pair
+    ), least AS (
+      SELECT piece, min(merged) AS best, min(merged * {most}::BIGINT + pos) % {most} AS first FROM pairs GROUP BY piece
+    )
+    SELECT piece, pos, CASE WHEN merged = best AND (id <> next_id OR {mine}) THEN best ELSE id END, best IS NOT NULL
+    FROM pairs JOIN least USING (piece)
+    WHERE NOT coalesce(before = best AND (id <> last_id OR {other}), false)
   )
-  WHERE best IS NOT NULL AND NOT coalesce(before = best AND (id <> last_id OR {other}), false)
 )
-SELECT piece, list(id ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY piece) AS last FROM enc)
-WHERE step = last
-GROUP BY piece
+SELECT piece, list(id ORDER BY pos) AS ids FROM enc WHERE NOT live GROUP BY piece
 """
 #: Pieces of fewer bytes take the leftmost place of a pair of equal tokens; longer ones every second place of a run of equal tokens.
 SHORT = 256
-ENCODE = ROUNDS.format(
-    found=f"min(m.merged * {SHORT} + pos) OVER (PARTITION BY piece) % {SHORT} AS first, min(m.merged) OVER (PARTITION BY piece) AS best",
-    mine="pos = first", other="last_pos = first", more="",
-)
+ENCODE = ROUNDS.format(most=SHORT, mine="pos = first", other="last_pos = first", more="", source="enc WHERE live")
 ENCODE_LONG = ROUNDS.format(
-    found="min(m.merged) OVER (PARTITION BY piece) AS best, (place - min(place) OVER (PARTITION BY piece, id, place - nth)) % 2 AS odd",
-    mine="odd = 0", other="odd = 1", more=", row_number() OVER w AS place, row_number() OVER (PARTITION BY piece, id ORDER BY pos) AS nth",
+    most=2**31, mine="odd = 0", other="odd = 1", more=", (row_number() OVER (PARTITION BY piece, id, run ORDER BY pos) - 1) % 2 AS odd",
+    source="""(
+          SELECT *, row_number() OVER (PARTITION BY piece ORDER BY pos) - row_number() OVER (PARTITION BY piece, id ORDER BY pos) AS run FROM enc WHERE live
+        )""",
 )
 
 DECODE = """
@@ -82,6 +84,7 @@ class Codec:
         self._create("merges", {"pair": merges[:, 0].astype(np.int64) * 65536 + merges[:, 1], "merged": merges[:, 2].astype(np.int32)})
         self._create("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "bytes": [t.hex() for t in ranks]})
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _create(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -96,10 +99,16 @@ class Codec:
             self.db.unregister(name)
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes the pieces that are new."""
+        """Encodes the pieces that are new. Of pieces that were not met for long, the worker forgets the tokens."""
         if len(self.known) > KEPT:
-            self.known.clear()
-        new = [(p, p.encode("utf-8", "replace")) for p in dict.fromkeys(pieces) if p not in self.known]
+            self.known, self.older = {}, self.known
+        new = []
+        for p in dict.fromkeys(pieces):
+            if p not in self.known:
+                if p in self.older:
+                    self.known[p] = self.older[p]
+                else:
+                    new.append((p, p.encode("utf-8", "replace")))
         self._learn([x for x in new if len(x[1]) < SHORT], ENCODE)
         self._learn([x for x in new if len(x[1]) >= SHORT], ENCODE_LONG)
 

@@ -114,24 +114,44 @@ def compose_scan(maps: np.ndarray) -> np.ndarray:
     return maps
 
 
+#: A state's place in the tables, and the tables of such places.
+ROW = N_CLASSES + 1
+NEXT_ROW = NEXT.astype(np.intp) * ROW
+#: Steps after which lanes are parted into those whose entry state no longer matters and the rest.
+SETTLE = 8
+
+
+def chunk_maps(columns: np.ndarray) -> np.ndarray:
+    """For each lane (a column) the state after it, by the state before it."""
+    lanes = columns.shape[1]
+    maps = np.tile(np.arange(N_STATES, dtype=np.intp) * ROW, (lanes, 1))
+    for c in columns[:SETTLE]:
+        maps = NEXT_ROW[maps + c[:, None]]
+    settled = (maps == maps[:, :1]).all(axis=1)
+    one, many = maps[settled, 0], maps[~settled]
+    for c in columns[SETTLE:]:
+        one = NEXT_ROW[one + c[settled]]
+        if len(many):
+            many = NEXT_ROW[many + c[~settled, None]]
+    maps[settled], maps[~settled] = one[:, None], many
+    return (maps // ROW).astype(np.uint8)
+
+
 def piece_starts(kinds: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     """Positions where a piece begins, in a sequence of classes that ends with END. Each END is a piece of its own."""
     n = len(kinds)
     lanes = -(-n // chunk)
     padded = np.full(lanes * chunk, END, np.uint8)
     padded[:n] = kinds
-    columns = np.ascontiguousarray(padded.reshape(lanes, chunk).T)
-    width = np.uint8(N_CLASSES + 1)
-    maps = np.tile(np.arange(N_STATES, dtype=np.uint8), (lanes, 1))
-    for c in columns:
-        maps = NEXT[maps * width + c[:, None]]
-    state = np.full(lanes, START, np.uint8)
-    state[1:] = compose_scan(maps)[:-1, START]
+    columns = np.ascontiguousarray(padded.reshape(lanes, chunk).T).astype(np.intp)
+    maps = chunk_maps(columns)
+    state = np.full(lanes, ROW * START, np.intp)
+    state[1:] = compose_scan(maps)[:-1, START].astype(np.intp) * ROW
     out = np.empty((chunk, lanes), bool)
     for i, c in enumerate(columns):
-        cell = state * width + c
+        cell = state + c
         out[i] = BEGINS[cell]
-        state = NEXT[cell]
+        state = NEXT_ROW[cell]
     # What a transition says holds for the character before it.
     return np.flatnonzero(out.T.reshape(-1)[1:n])
 
