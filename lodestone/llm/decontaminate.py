@@ -203,17 +203,31 @@ def blocks_of(benchmark: DataFrame, id_col: str, text: str, block_chars: int) ->
         yield [(r["id"], r["t"]) for r in items.where(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == b).collect()]
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
-    """(first row, normal texts) of stretches of about PIECE_CHARS characters."""
-    first, size, texts = 0, 0, []
-    for i, value in enumerate(batch.column(column)):
-        texts.append(normal(value.as_py()))
-        size += len(texts[-1])
-        if size >= PIECE_CHARS:
-            yield first, texts
-            first, size, texts = i + 1, 0, []
-    if texts:
-        yield first, texts
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_CHARS, overlap: int = 4 * SEGMENT) -> Iterator[list[tuple[int, int, str]]]:
+    """Lists of about `most` characters of (row, place in its normal text, normal text). Longer texts come in overlapping slices."""
+    size, out = 0, []
+    for row, value in enumerate(batch.column(column)):
+        text = normal(value.as_py())
+        for at in range(0, max(1, len(text) - overlap), most):
+            out.append((row, at, text[at : at + most + overlap]))
+            size += len(out[-1][2])
+            if size >= most:
+                yield out
+                size, out = 0, []
+    if out:
+        yield out
+
+
+def search_rows(batch: pa.RecordBatch, column: str, index: Index | None) -> list[tuple]:
+    """What search() finds, by row of the batch; of a text in slices, the stretch with the fewest edits."""
+    found: dict[tuple, tuple] = {}
+    for piece in pieces(batch, column) if index else ():
+        for n, item, segment, edits, start, end in search([t for _, _, t in piece], index):
+            row, at, _ = piece[n]
+            best = found.get((row, item, segment))
+            if best is None or (edits, at + end) < (best[3], best[5]):
+                found[row, item, segment] = (row, item, segment, edits, at + start, at + end)
+    return list(found.values())
 
 
 def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, rate: float = RATE) -> DataFrame:
@@ -231,11 +245,10 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 
         def run(batches, index=index):
             for batch in batches:
-                for first, texts in pieces(batch, "_text"):
-                    found = list(search(texts, index.value)) if index.value else []
-                    if found:
-                        ids = batch.column(0).take(pa.array([first + f[0] for f in found]))
-                        yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(types, 1))], names=schema.names)
+                found = search_rows(batch, "_text", index.value)
+                if found:
+                    ids = batch.column(0).take(pa.array([f[0] for f in found]))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(types, 1))], names=schema.names)
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -256,9 +269,7 @@ def clean_rows(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         def run(batches, index=index):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for first, texts in pieces(batch, text):
-                    for f in search(texts, index.value) if index.value else ():
-                        keep[first + f[0]] = False
+                keep[[f[0] for f in search_rows(batch, text, index.value)]] = False
                 yield batch.filter(pa.array(keep))
 
         df = df.mapInArrow(run, df.schema)

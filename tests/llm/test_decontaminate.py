@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from lodestone.llm import decontaminate as d
 from lodestone.llm import queries
@@ -71,6 +72,21 @@ def test_cut_covers():
         assert all(b[0] <= a[0] + len(a[1]) for a, b in zip(parts, parts[1:]))
 
 
+def test_slices_of_long_texts():
+    rng = random.Random(6)
+    item = prose(rng, 70)
+    index = d.build_index([(1, item)])
+    for shift in range(0, 400, 37):
+        text = d.normal("x" * (900 + shift) + " " + item + " " + "y" * 700)
+        batch = pa.RecordBatch.from_pydict({"t": [None, text, ""]})
+        got = {}
+        for piece in d.pieces(batch, "t", 500):
+            for n, i, a, e, s, t in d.search([p[2] for p in piece], index):
+                got[piece[n][0], i, a] = (e, piece[n][1] + s, piece[n][1] + t)
+        assert got == {(1, i, a): (e, s, t) for _, i, a, e, s, t in d.search([text], index)} and got
+        assert {f[:3]: f[3:] for f in d.search_rows(batch, "t", index)} == got
+
+
 def test_frames(spark):
     rng = random.Random(9)
     items = [(1, prose(rng, 60)), (2, None), (3, ""), (4, "tiny"), (None, prose(rng, 60))]
