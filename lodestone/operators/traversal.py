@@ -26,7 +26,8 @@ def adjacency(relationships: DataFrame) -> DataFrame:
 
 def distances(starts: DataFrame, relationships: DataFrame, depth: int) -> DataFrame:
     """(node, dist) for nodes within `depth` hops of the nearest start; starts has `node`."""
-    edges = adjacency(relationships).select("node", "other").distinct()
+    # Written once: every level reads it, whatever the relationships were made from.
+    edges = written(adjacency(relationships).select("node", "other").distinct(), "edges")
     seen = written(starts.select("node").distinct().withColumn("dist", F.lit(0)), "bfs")
     for level in range(1, depth + 1):
         frontier = seen.where(F.col("dist") == level - 1).select("node")
@@ -48,7 +49,7 @@ def bfs_subgraph(graph: Graph, starts: DataFrame | str, depth: int, relationship
         starts = graph.entities.where(F.col("id") == starts).select("id")
         if starts.isEmpty():
             raise GraphError("the start is no entity")
-    edges = passing(graph.relationships, relationship_type, min_confidence)
+    edges = written(passing(graph.relationships, relationship_type, min_confidence), "edges")
     reached = distances(starts.select(F.col("id").alias("node")), edges, depth)
     expanded = reached.where(F.col("dist") <= depth - 1).select("node")
     ends = [edges.join(expanded.select(F.col("node").alias(k)), k, "left_semi") for k in ("source_entity_id", "target_entity_id")]
@@ -65,7 +66,7 @@ def find_path(graph: Graph, source: str, target: str, max_hops: int = 64) -> Dat
     if known != {source, target}:
         raise GraphError("an end is no entity")
     spark = graph.entities.sparkSession
-    edges = adjacency(graph.relationships)
+    edges = written(adjacency(graph.relationships), "edges")
     seen = written(spark.createDataFrame([(source, [source])], "node string, path array<string>").withColumn("key", F.array().cast("array<struct<dir:int,ord:bigint>>")), "path")
     frontier = seen
     for _ in range(max_hops):
