@@ -97,6 +97,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '^([^/]*\\.)?spam-farm\\.|^([^/]*[.-])?(casino|porn)[.-]') THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts LEFT JOIN fits USING (page_id)
     """,
+    # Every pair of equal lines, not fingerprints: runs of 50 or more words that any earlier place has.
+    "op8_line_dedup": f"""
+        WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+        worded AS (SELECT doc_id, pos, trim(line, chr(32) || chr(9) || chr(13)) AS l, least(50, len(list_filter(regexp_split_to_array(line, '{_SPACE}'), lambda w: w <> ''))) AS n FROM split),
+        rows AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM worded WHERE n > 0),
+        pairs AS (SELECT a.doc_id, a.k, a.pos, a.n, b.doc_id AS other, a.k - b.k AS shift FROM rows a JOIN rows b ON a.l = b.l AND (b.doc_id, b.k) < (a.doc_id, a.k)),
+        islands AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY k) AS island FROM pairs),
+        runs AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, other, shift, island) AS size FROM islands),
+        gone AS (SELECT DISTINCT doc_id, pos FROM runs WHERE size >= 50),
+        cut AS (SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed_lines, count(*) AS n_removed FROM gone GROUP BY doc_id),
+        kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM split ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN n_removed IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines
+        FROM documents d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op6_quality_rules": f"""
         WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         counts AS (
