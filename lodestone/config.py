@@ -12,6 +12,7 @@ def _env(name: str, default=None, kind=str):
 
 @dataclass(frozen=True)
 class Settings:
+    # The defaults.
     llm_model: str = _env("LLM_MODEL", "openai/gpt-oss-120b")
     llm_api_key: str | None = _env("LLM_API_KEY")
     embedding_model: str = _env("EMBEDDING_MODEL", "sentence-transformers/all-MiniLM-L6-v2")

@@ -13,7 +13,15 @@ from lodestone.schemas import ENTITY_TYPES, RELATIONSHIP_TYPES
 
 #: White space as Unicode has it, and the four separators that Java leaves out.
 EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+FULL = r"(?U)[^\s\x1c-\x1f]"
+
+# The forms of blocks and of candidate names.
 FENCE = r"(?s)```[^\n]*\n(.*?)\n```"
+UNDERLINE_1 = r"^={3,}$"
+UNDERLINE_2 = r"^-{3,}$"
+HEADING = r"(?Us)^(#{1,6})\s+(.+)$"
+LIST_ITEM = r"(?U)^\s*(?:[-*+]|\d+[.)])\s+"
+QUOTE = r"(?U)^\s*>"
 CAPITALIZED = r"(?U)\b[A-Z][\p{L}\p{Nl}\p{No}]*(?:\s+[A-Z][\p{L}\p{Nl}\p{No}]*)*\b"
 
 
@@ -43,7 +51,7 @@ def paragraphs(text: Column) -> Column:
         body = F.regexp_replace(part, r"\A\n+|\n+\z", "")
         start = a["at"] + F.length(part) - F.length(F.regexp_replace(part, r"\A\n+", ""))
         found = F.struct(start.alias("start"), (start + F.length(body)).alias("end"), body.alias("text"))
-        return F.struct((a["at"] + F.length(part) + 2).alias("at"), F.when(part.rlike(r"(?U)[^\s\x1c-\x1f]"), F.concat(a["out"], F.array(found))).otherwise(a["out"]).alias("out"))
+        return F.struct((a["at"] + F.length(part) + 2).alias("at"), F.when(part.rlike(FULL), F.concat(a["out"], F.array(found))).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(F.split(text, "\n\n"), state, step, lambda a: a["out"])
 
@@ -56,13 +64,12 @@ def classify_segment(segment: Column) -> Column:
     """The block of a text without blank lines: underlined heading, marked heading, list, quote, paragraph, in this order."""
     lines = F.split(segment, "\n")
     first, second = F.get(lines, F.lit(0)), F.get(lines, F.lit(1))
-    marked = r"(?Us)^(#{1,6})\s+(.+)$"
     return (
-        F.when((F.size(lines) == 2) & second.rlike(r"^={3,}$"), _block("heading", first, F.lit(1)))
-        .when((F.size(lines) == 2) & second.rlike(r"^-{3,}$"), _block("heading", first, F.lit(2)))
-        .when((F.size(lines) == 1) & segment.rlike(marked), _block("heading", F.regexp_extract(segment, marked, 2), F.length(F.regexp_extract(segment, marked, 1))))
-        .when(F.forall(lines, lambda x: x.rlike(r"(?U)^\s*(?:[-*+]|\d+[.)])\s+")), _block("list", segment))
-        .when(F.forall(lines, lambda x: x.rlike(r"(?U)^\s*>")), _block("quote", segment))
+        F.when((F.size(lines) == 2) & second.rlike(UNDERLINE_1), _block("heading", first, F.lit(1)))
+        .when((F.size(lines) == 2) & second.rlike(UNDERLINE_2), _block("heading", first, F.lit(2)))
+        .when((F.size(lines) == 1) & segment.rlike(HEADING), _block("heading", F.regexp_extract(segment, HEADING, 2), F.length(F.regexp_extract(segment, HEADING, 1))))
+        .when(F.forall(lines, lambda x: x.rlike(LIST_ITEM)), _block("list", segment))
+        .when(F.forall(lines, lambda x: x.rlike(QUOTE)), _block("quote", segment))
         .otherwise(_block("paragraph", segment))
     )
 
@@ -71,7 +78,7 @@ def structure(text: Column) -> Column:
     """array<struct<block_type, text, level>>: fenced code, and the classified segments between."""
 
     def segments(region: Column) -> Column:
-        full = F.filter(F.split(region, "\n\n"), lambda s: s.rlike(r"(?U)[^\s\x1c-\x1f]"))
+        full = F.filter(F.split(region, "\n\n"), lambda s: s.rlike(FULL))
         return F.transform(full, lambda s: classify_segment(F.regexp_replace(s, r"\A\n+|\n+\z", "")))
 
     code = F.regexp_extract_all(text, F.lit(FENCE), F.lit(1))
