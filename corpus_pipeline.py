@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, line_dedup, quality, simhash
+from lodestone.llm import bpe, decontaminate, line_dedup, quality, shingles
 from lodestone.llm.common import materialize, table
 from lodestone.llm.queries import vocabulary
 
@@ -28,7 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more, or close fingerprints."""
+    return shingles.keep_one(docs).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,7 +205,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
 
 def with_component(prints: DataFrame, id_col: str, radius: int = RADIUS) -> DataFrame:
     least = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
-    edges = materialize(fingerprint_links(least.select("fp"), radius), "links")
+    return _named(prints, least, materialize(fingerprint_links(least.select("fp"), radius), "links"))
+
+
+def named(prints: DataFrame, id_col: str, edges: DataFrame) -> DataFrame:
+    """prints with component_id, for given edges (a, b) between fingerprints."""
+    return _named(prints, materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints"), edges)
+
+
+def _named(prints: DataFrame, least: DataFrame, edges: DataFrame) -> DataFrame:
     labels = connected_components(edges).withColumnRenamed("node", "fp")
     linked = materialize(labels.join(least, "fp"), "labels")
     named = linked.join(linked.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")
