@@ -5,10 +5,10 @@ shortest run of lines with at least `gram_words` words is a gram. Every stretch
 words holds the grams of a window; the window's least gram hash is a fingerprint. Two equal stretches of `min_words`
 words hold equal windows, so they share a fingerprint: none is missed.
 
-Fingerprints with equal hashes meet by a join with the first of them, in the order of id and line. From there the match
-is extended both ways while the lines agree, up to twice `min_words` words; a longer stretch has further fingerprints, and
-their matches overlap. A match with `min_words` words or more is a repeated run, and its lines in the later place are
-deleted. A deleted line always has an equal one earlier, so the first copy of everything stays.
+Each place of a fingerprint that occurs more than once sends on the least stretches of `min_words` words through it: those
+that begin at a line and those that end at one. Equal stretches meet by their hashes with the first of them, in the order of
+id and line; it does not matter with which earlier place a passage agrees. The later stretches' lines are deleted, and every line of a
+repeated run is in such a stretch within the run. A deleted line always has an equal one earlier, so the first copy of everything stays.
 
 Defined results: a null text stays null and has no lines; ids may repeat, rows are then ordered by a hash of their
 text; rows with equal id and text are one document, each gets the same result; null ids come first. Extra columns pass
@@ -42,56 +42,52 @@ def line_table(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
-    """The chosen grams: g, the key, pos, and the lines that begin up to 2 * min_words words before and from there.
+    """The chosen grams: g, the key, pos, near (line numbers around), and the stretches through pos as array<struct<h, first, last>>.
 
-    `at` counts the words before a line, so a frame over its values is a stretch of so many words.
+    `at` counts the words before a line and `upto` those to its end, so a frame over their values is a stretch of so many words.
     """
     # A line counts for at most min_words words: that decides no threshold, and bounds the frames after a long line.
     lines = lines.withColumn("n", F.least("n", F.lit(min_words)))
     doc = W.partitionBy(*KEY)
     order = doc.orderBy("pos")
     rows = lines.withColumn("at", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    by_words = doc.orderBy("at")
+    rows = rows.withColumn("upto", F.col("at") + F.col("n"))
+    by_words, by_ends = doc.orderBy("at"), doc.orderBy("upto")
     ahead = lambda words: by_words.rangeBetween(0, words)
-    line = F.struct("pos", "h", "n")
+    begun, ended = ahead(min_words - 1), by_ends.rangeBetween(1 - min_words, 0)
     rows = rows.withColumns({
         "gram": F.collect_list("h").over(ahead(gram_words - 1)),
         "gram_n": F.sum("n").over(ahead(gram_words - 1)),
         "left": F.sum("n").over(by_words.rangeBetween(0, W.unboundedFollowing)),
-        "after": F.collect_list(line).over(ahead(2 * min_words)),
-        "before": F.collect_list(line).over(by_words.rangeBetween(-2 * min_words, -1)),
+        "begun": F.struct(F.xxhash64(F.collect_list("h").over(begun)).alias("h"), F.col("pos").alias("first"), F.max("pos").over(begun).alias("last")),
+        "ended": F.struct(F.xxhash64(F.collect_list("h").over(ended)).alias("h"), F.min("pos").over(ended).alias("first"), F.col("pos").alias("last")),
     })
+    through = F.collect_list(F.when(F.col("left") >= min_words, F.col("begun"))).over(by_words.rangeBetween(1 - min_words, 0))
+    through = F.array_union(through, F.collect_list(F.when(F.col("upto") >= min_words, F.col("ended"))).over(by_ends.rangeBetween(0, min_words - 1)))
+    rows = rows.withColumns({"stretches": through, "near": F.collect_list("pos").over(by_words.rangeBetween(-2 * min_words, 2 * min_words))})
     rows = rows.withColumn("g", F.when(F.col("gram_n") >= gram_words, F.xxhash64("gram")))
     least = F.min(F.when(F.col("g").isNotNull(), F.struct("g", (-F.col("at")).alias("back")))).over(ahead(min_words - gram_words))
     rows = rows.withColumn("chosen", F.when(F.col("left") >= min_words, -least.getField("back")))
     wanted = F.collect_set("chosen").over(by_words.rangeBetween(-(min_words - gram_words), 0))
     rows = rows.withColumn("wanted", F.array_contains(wanted, F.col("at")))
-    return rows.where("wanted").select("g", *KEY, "pos", "before", "after")
+    return rows.where("wanted").select("g", *KEY, "pos", "near", "stretches")
 
 
-def _agreeing(mine: Column, other: Column) -> Column:
-    """How many leading lines agree."""
-    same = F.zip_with(mine, other, lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
-    first_other = F.array_position(same, False)
-    return F.when(first_other == 0, F.size(same)).otherwise(first_other - 1).cast("int")
-
-
-def repeated_runs(prints: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per later fingerprint in a repeated run: the key, and the run's lines as array<struct<pos, h, n>>."""
-    place = F.struct(*KEY, "pos", F.reverse("before").alias("before"), "after")
-    first = prints.groupBy("g").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1").select("g", "first")
-    pairs = prints.withColumn("mine", place).select("g", "mine").join(first, "g").where(F.col("mine") > F.col("first"))
-    pairs = pairs.withColumns({"back": _agreeing(F.col("mine.before"), F.col("first.before")), "on": _agreeing(F.col("mine.after"), F.col("first.after"))})
-    run = F.concat(F.slice("mine.before", F.lit(1), F.col("back")), F.slice("mine.after", F.lit(1), F.col("on")))
-    runs = pairs.select("mine.*", F.struct(*[F.col(f"first.{k}").alias(k) for k in KEY]).alias("source"), run.alias("run")).select(*KEY, "source", "run")
-    return runs.where(F.aggregate("run", F.lit(0), lambda a, x: a + x["n"]) >= min_words)
+def repeated_runs(prints: DataFrame) -> DataFrame:
+    """One row per later stretch: the key, and the stretch's line numbers as run."""
+    copied = prints.groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1").select("g")
+    rows = prints.join(copied, "g", "left_semi").select(*KEY, "near", F.inline("stretches"))
+    rows = rows.select("h", F.struct(*KEY, "first").alias("mine"), F.filter("near", lambda x: (x >= F.col("first")) & (x <= F.col("last"))).alias("run"))
+    # Neighbouring fingerprints send the same stretch: two places differ.
+    first = rows.groupBy("h").agg(F.min("mine").alias("source"), F.max("mine").alias("end")).where(F.col("source") < F.col("end")).select("h", "source")
+    return rows.join(first, "h").where(F.col("mine") > F.col("source")).select("mine.*", "run").drop("first")
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """The key and the line numbers to delete, for each document that has any."""
     prints = materialize(fingerprints(line_table(df, id_col, text), min_words, gram_words), "fingerprints")
-    gone = F.array_sort(F.array_distinct(F.flatten(F.collect_list("run.pos"))))
-    return repeated_runs(prints, min_words).groupBy(*KEY).agg(gone.alias("removed"))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.collect_set("run"))))
+    return repeated_runs(prints).groupBy(*KEY).agg(gone.alias("removed"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, removed: str = "removed_lines") -> DataFrame:
