@@ -89,7 +89,8 @@ def leaves(df: DataFrame, file: Column, id_col: str = "page_id", url: str = "url
     rows = df.select(file.alias("file"), F.col(id_col).alias("id"), F.sha2(text.cast("binary"), 256).alias("hash"), F.octet_length(text).cast("long").alias("size"))
     rows = rows.groupBy("file", "id", "hash", "size").agg(F.count("*").alias("copies"))
     large = rows.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > file_records).select("file", F.ceil(F.col("n") / file_records).cast("int").alias("parts"))
-    rows = rows.join(large, "file", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "hash"), F.col("parts")).cast("int"), F.lit(0)))
+    # A null file is split like any other.
+    rows = rows.alias("r").join(large.alias("l"), F.col("r.file").eqNullSafe(F.col("l.file")), "left").select("r.*", "parts").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "hash"), F.col("parts")).cast("int"), F.lit(0)))
     place = W.partitionBy(*FILE).orderBy("id", "hash")
     rows = rows.withColumn("node", (F.row_number().over(place) - 1).cast("long")).withColumn("end", F.sum(F.col("size") * F.col("copies")).over(place.rowsBetween(W.unboundedPreceding, 0)))
     return rows.select(*FILE, "node", "id", F.sha2(F.concat_ws(":", "hash", "copies"), 256).alias("hash"), (F.col("end") - F.col("size") * F.col("copies")).alias("start"), "end")

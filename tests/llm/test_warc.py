@@ -68,3 +68,9 @@ def test_query(spark, sf_dir):
     got = queries.op9_warc_fixity(spark, sf_dir)
     assert got.columns == ["page_id", "file", "start", "end", "problem"]
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_a_large_null_file_is_split(spark):
+    df = spark.createDataFrame([(None, f"http://a/{i}", "x") for i in range(40)] + [(1, "http://b", "y")], "page_id long, url string, html string")
+    rows = warc.leaves(df, F.floor(F.col("page_id") / 10).cast("long"), file_records=8).collect()
+    assert len(rows) == 41 and len({r.part for r in rows if r.file is None}) > 1 and {r.part for r in rows if r.file == 0} == {0}
