@@ -1,19 +1,24 @@
 """Byte-level BPE by recursive queries in DuckDB, one database per Spark task's worker.
 
-The tokenizer's pattern cuts a text into pieces. For pieces that the worker has not met, rows of (piece, position, token)
+The tokenizer's pattern cuts a text into pieces. For pieces that the worker has not met, rows of (piece, place, token)
 start with single bytes; each round of a recursive query joins neighbours with the merge table, finds each piece's
 minimum-rank pair and contracts it, leftmost first, until no pair is left. A round contracts all places of that pair
-that do not overlap: no contraction of it makes an earlier one possible, so the result is that of one at a time, and
-long runs of one character need few rounds. Decoding joins token ids with the vocabulary and concatenates their bytes in
-order of position.
+that do not overlap: no contraction of it makes an earlier one possible, so the result is that of one at a time. Decoding joins token ids with
+the vocabulary in order of place; the bytes of the ordered rows, one after the other, are the text.
+
+Long pieces are encoded in overlapping windows, as pieces of their own, so their rounds stay few. An encoding is right when each two neighbours
+are right together, so two windows that hold the same token at the same place join there without a difference. Where they
+hold none, the later window begins at a token of the earlier one instead, further back until both agree on it, at worst at the piece's beginning.
 
 The merge table follows from the ranks: two tokens merge when their concatenation is a token, and its id is the rank. A null text is empty; it has no
-tokens and decodes to nothing. Repeated rows are encoded one by one.
+tokens and decodes to nothing. Repeated rows are encoded one by one, an empty table gives an empty result, and extra columns of any
+name pass through, but for those that the result replaces.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from functools import lru_cache
 
@@ -26,49 +31,58 @@ from pyspark.sql import types as T
 
 from lodestone.llm.fst_tokens import END, classes, piece_starts, stretches
 
-#: Pieces whose tokens a worker keeps (and as many that it kept before), and how many new ones one query encodes.
-KEPT, AT_ONCE = 300_000, 40_000
-
-#: Rows of pieces without a pair stay behind as not live. A contraction of two equal tokens may overlap the next one: `mine` and
-#: `other` say whether a row's own place, or the one before, is taken then.
-ROUNDS = """
-WITH RECURSIVE enc(piece, pos, id, live) AS (
-  SELECT piece, pos, id, true FROM start
+#: Pieces whose tokens a worker keeps (and as many that it kept before), bytes of new ones that one query encodes, and tokens that one decodes.
+KEPT, AT_ONCE, TOKENS = 500_000, 400_000, 500_000
+#: Bytes of a window of a long piece, and from one to the next.
+WINDOW, STEP = 96, 64
+#: Characters that are encoded at a time.
+TEXT_CHARS = 3_000_000
+
+#: Rows of pieces without a pair stay behind as not live. `least` has a piece's best rank above 32 bits and its first place below; of
+#: two equal tokens, whose pairs may overlap, a round contracts the first place alone.
+ENCODE = """
+WITH RECURSIVE enc(piece, place, id, live) AS (
+  SELECT piece, place, id, true FROM start
   UNION ALL
   (
     WITH pairs AS MATERIALIZED (
-      SELECT p.*, m.merged, b.merged AS before
+      SELECT p.*, m.merged
       FROM (
-        SELECT piece, pos, id, lead(id) OVER w AS next_id, lag(id) OVER w AS last_id, lag(pos) OVER w AS last_pos{more}
-        FROM {source} WINDOW w AS (PARTITION BY piece ORDER BY pos)
+        SELECT piece, place, id, CASE WHEN lead(piece) OVER w = piece THEN id * 65536::UINTEGER + lead(id) OVER w END AS pair, lead(place) OVER w AS next_place
+        FROM enc WHERE live WINDOW w AS (ORDER BY place)
       ) p
-      LEFT JOIN merges m ON p.id * 65536::BIGINT + p.next_id = m.pair
-      LEFT JOIN merges b ON p.last_id * 65536::BIGINT + p.id = b.pair
+      LEFT JOIN merges m USING (pair)
     ), least AS (
-      SELECT piece, min(merged) AS best, min(merged * {most}::BIGINT + pos) % {most} AS first FROM pairs GROUP BY piece
+      SELECT piece, min(merged * 4294967296::BIGINT + place) AS least FROM pairs GROUP BY piece
+    ), marked AS MATERIALIZED (
+      SELECT piece, place, id, merged, next_place, least, merged = least >> 32 AND (pair >> 16 <> pair & 65535 OR place = least & 4294967295) AS now
+      FROM pairs JOIN least USING (piece)
     )
-    SELECT piece, pos, CASE WHEN merged = best AND (id <> next_id OR {mine}) THEN best ELSE id END, best IS NOT NULL
-    FROM pairs JOIN least USING (piece)
-    WHERE NOT coalesce(before = best AND (id <> last_id OR {other}), false)
+    SELECT piece, place, CASE WHEN now THEN merged ELSE id END, least IS NOT NULL
+    FROM marked WHERE place NOT IN (SELECT next_place FROM marked WHERE now)
   )
 )
-SELECT piece, list(id ORDER BY pos) AS ids FROM enc WHERE NOT live GROUP BY piece
+SELECT piece, id FROM enc WHERE NOT live ORDER BY place
 """
-#: Pieces of fewer bytes take the leftmost place of a pair of equal tokens; longer ones every second place of a run of equal tokens.
-SHORT = 256
-ENCODE = ROUNDS.format(most=SHORT, mine="pos = first", other="last_pos = first", more="", source="enc WHERE live")
-ENCODE_LONG = ROUNDS.format(
-    most=2**31, mine="odd = 0", other="odd = 1", more=", (row_number() OVER (PARTITION BY piece, id, run ORDER BY pos) - 1) % 2 AS odd",
-    source="""(
-          SELECT *, row_number() OVER (PARTITION BY piece ORDER BY pos) - row_number() OVER (PARTITION BY piece, id ORDER BY pos) AS run FROM enc WHERE live
-        )""",
-)
 
-DECODE = """
-SELECT doc, unhex(string_agg(v.bytes, '' ORDER BY t.pos)) AS bytes
-FROM tokens t JOIN vocabulary v USING (id)
-GROUP BY doc
-"""
+DECODE = "SELECT v.bytes FROM tokens t JOIN vocabulary v USING (id) ORDER BY t.place"
+
+
+def split(texts: list[str]) -> tuple[list[str], list[int]]:
+    """The pieces of all texts, one after the other, and which are whose: from one bound to the next."""
+    joined = "\0".join(texts) + "\0"
+    kinds = classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    kinds[ends] = END
+    starts = piece_starts(kinds)
+    stops = np.append(starts[1:], len(joined) - 1)
+    real = kinds[starts] != END
+    starts, stops = starts[real], stops[real]
+    return [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.searchsorted(starts, np.concatenate([[0], ends])).tolist()
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
 
 
 class Codec:
@@ -77,12 +91,15 @@ class Codec:
     def __init__(self, path: str):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.uint32)
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
         rows = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        # No folder to spill to: a query that does not fit in memory is an error, not a file on the machine.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         merges = np.array(rows, np.int64).reshape(-1, 3)
-        self._create("merges", {"pair": merges[:, 0].astype(np.int64) * 65536 + merges[:, 1], "merged": merges[:, 2].astype(np.int32)})
-        self._create("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "bytes": [t.hex() for t in ranks]})
+        self._create("merges", {"pair": (merges[:, 0] * 65536 + merges[:, 1]).astype(np.uint32), "merged": merges[:, 2].astype(np.uint32)})
+        self._create("vocabulary", {"id": np.array(list(ranks.values()), np.uint32), "bytes": pa.array(list(ranks), pa.binary())})
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -103,62 +120,89 @@ class Codec:
         if len(self.known) > KEPT:
             self.known, self.older = {}, self.known
         new = []
-        for p in dict.fromkeys(pieces):
-            if p not in self.known:
-                if p in self.older:
-                    self.known[p] = self.older[p]
-                else:
-                    new.append((p, p.encode("utf-8", "replace")))
-        self._learn([x for x in new if len(x[1]) < SHORT], ENCODE)
-        self._learn([x for x in new if len(x[1]) >= SHORT], ENCODE_LONG)
-
-    def _learn(self, new: list[tuple[str, bytes]], query: str) -> None:
-        for s in range(0, len(new), AT_ONCE):
-            part, raw = zip(*new[s : s + AT_ONCE], strict=True)
-            sizes = np.array([len(r) for r in raw])
-            offsets = np.cumsum(sizes) - sizes
-            start = {
-                "piece": np.repeat(np.arange(len(part), dtype=np.int32), sizes),
-                "pos": (np.arange(sizes.sum()) - np.repeat(offsets, sizes)).astype(np.int32),
-                "id": self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)],
-            }
-            found = self._run("start", start, query)
-            ids = found.column("ids").combine_chunks()
-            flat = np.asarray(ids.values).astype("<u4")
-            bounds = np.asarray(ids.offsets)
-            for piece, a, b in zip(found.column("piece").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                self.known[part[piece]] = flat[a:b].tobytes()
+        for p in set(pieces).difference(self.known):
+            if p in self.older:
+                self.known[p] = self.older[p]
+            else:
+                new.append((p, p.encode("utf-8", "replace")))
+        short = [x for x in new if len(x[1]) <= WINDOW]
+        self.known.update(zip((p for p, _ in short), self.tokens([raw for _, raw in short]), strict=True))
+        for p, raw in new:
+            if len(raw) > WINDOW:
+                self.known[p] = np.array(self.long_tokens(raw), "<u4").tobytes()
+
+    def tokens(self, raws: list[bytes]) -> list[bytes]:
+        """The packed tokens of each piece, none of which is empty."""
+        out = []
+        sizes = np.array([len(r) for r in raws], np.int64)
+        query = (np.cumsum(sizes) - sizes) // AT_ONCE
+        for q in np.unique(query):
+            s, e = np.searchsorted(query, [q, q + 1])
+            data = np.frombuffer(b"".join(raws[s:e]), np.uint8)
+            start = {"piece": np.repeat(np.arange(e - s, dtype=np.int32), sizes[s:e]), "place": np.arange(len(data), dtype=np.int32), "id": self.byte_ids[data]}
+            found = self._run("start", start, ENCODE)
+            ids = np.asarray(found.column("id")).astype("<u4").tobytes()
+            bounds = (4 * np.flatnonzero(np.diff(np.asarray(found.column("piece")), prepend=-1, append=-1))).tolist()
+            out += [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return out
+
+    def long_tokens(self, raw: bytes) -> list[int]:
+        """The tokens of a piece of any length, from windows that overlap."""
+        begins = list(range(0, max(1, len(raw) - (WINDOW - STEP)), STEP))
+        windows = list({raw[i : i + WINDOW] for i in begins})
+        known = dict(zip(windows, map(unpacked, self.tokens(windows)), strict=True))
+
+        def window(a: int, b: int) -> list[int]:
+            part = raw[a:b]
+            if part not in known:
+                known[part] = unpacked(self.tokens([part])[0])
+            return known[part]
+
+        def places(first: int, ids: list[int]) -> list[int]:
+            return (first + np.cumsum([0, *self.sizes[ids[:-1]]])).tolist()
+
+        out = list(window(0, WINDOW))
+        at = places(0, out)
+        for begin in begins[1:]:
+            ids = window(begin, begin + WINDOW)
+            starts = places(begin, ids)
+            there = {p: j for j, p in enumerate(starts)}
+            shared = next((i for i in range(bisect.bisect_left(at, begin), len(at)) if ids[there.get(at[i], 0)] == out[i] and at[i] in there), None)
+            if shared is not None:
+                j = there[at[shared]]
+            else:
+                back, j = WINDOW - STEP, 0
+                while shared is None:
+                    i = max(0, bisect.bisect_right(at, begin + WINDOW - STEP - back) - 1)
+                    ids = window(at[i], begin + WINDOW)
+                    if i == 0 or ids[0] == out[i]:
+                        shared, starts = i, places(at[i], ids)
+                    back *= 2
+            out[shared:], at[shared:] = ids[j:], starts[j:]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if not texts:
-            return []
-        joined = "\0".join(texts) + "\0"
-        kinds = classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        kinds[ends] = END
-        starts = piece_starts(kinds)
-        stops = np.append(starts[1:], len(joined) - 1)
-        real = kinds[starts] != END
-        starts, stops = starts[real], stops[real]
-        pieces = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-        self.learn(pieces)
-        bounds = np.searchsorted(starts, np.concatenate([[0], ends])).tolist()
-        return [b"".join(map(self.known.__getitem__, pieces[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
+        found = [split(part) for part in stretches(texts)]
+        self.learn([p for pieces, _ in found for p in pieces])
+        return [b"".join(map(self.known.__getitem__, pieces[a:b])) for pieces, bounds in found for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids. A list may hold any id of the vocabulary; others are an error."""
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        if len(flat) and (flat.min() < 0 or flat.max() >= self.db.execute("SELECT max(id) + 1 FROM vocabulary").fetchall()[0][0]):
-            raise ValueError("an id is not in the vocabulary")
-        offsets = np.cumsum(sizes) - sizes
-        tokens = {"doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": (np.arange(len(flat)) - np.repeat(offsets, sizes)).astype(np.int32), "id": flat}
-        found = self._run("tokens", tokens, DECODE)
-        out = [b""] * len(ids)
-        for doc, data in zip(found.column("doc").to_pylist(), found.column("bytes").to_pylist(), strict=True):
-            out[doc] = data
-        return out
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        parts = []
+        for s in range(0, len(flat), TOKENS):
+            part = flat[s : s + TOKENS]
+            found = self._run("tokens", {"place": np.arange(len(part), dtype=np.int32), "id": part}, DECODE).column("bytes")
+            if len(found) < len(part):
+                raise ValueError("an id is not in the vocabulary")
+            for rows in found.chunks:  # the ordered rows' bytes lie one after the other in the column's buffer
+                bounds = np.frombuffer(rows.buffers()[1], np.int32)
+                parts.append(memoryview(rows.buffers()[2])[bounds[rows.offset] : bounds[rows.offset + len(rows)]])
+        data = b"".join(parts)
+        sizes = np.append(0, np.cumsum(self.sizes[flat]))
+        ends = sizes[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -175,7 +219,7 @@ def with_ids(df: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def run(batches):
         for batch in batches:
             first = 0
-            for texts in stretches(batch.column(batch.num_columns - 1)):
+            for texts in stretches(batch.column(batch.num_columns - 1), TEXT_CHARS):
                 ids = codec(path).encode(texts)
                 values = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
@@ -215,7 +259,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             first = 0
-            for texts in stretches(batch.column(batch.num_columns - 1)):
+            for texts in stretches(batch.column(batch.num_columns - 1), TEXT_CHARS):
                 ids = codec(path).encode(texts)
                 decoded = codec(path).decode(ids)
                 part = batch.slice(first, len(texts))

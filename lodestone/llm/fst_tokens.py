@@ -288,11 +288,11 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
     return total
 
 
-def stretches(column: pa.Array, most: int = PIECE_CHARS):
-    """Lists of texts of about `most` characters in all; nulls are empty."""
+def stretches(column, most: int = PIECE_CHARS):
+    """Lists of texts, of an Arrow array or a list, of about `most` characters in all; nulls are empty."""
     texts, size = [], 0
     for value in column:
-        texts.append(value.as_py() or "")
+        texts.append((value if isinstance(value, str) else value.as_py()) or "")
         size += len(texts[-1])
         if size >= most:
             yield texts

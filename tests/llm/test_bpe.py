@@ -65,3 +65,19 @@ def test_query(spark, sf_dir, library):
         ids = library.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(packed(ids)).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_long_words(library):
+    rng = random.Random(4)
+    codec = bpe.Codec(PATH)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for _ in range(60):
+        alphabet = rng.choice([letters, "ab", "a", "éü中", "thein", "xyzq"])
+        unit = "".join(rng.choice(alphabet) for _ in range(rng.choice([1, 2, 3, 5, 7, 11, 400])))
+        text = (unit * 2000)[: rng.randrange(90, 2000)]
+        texts += [text, text + "".join(rng.choice("etaoinshr") for _ in range(300)) + text[::-1]]
+    texts.append("".join(rng.choice(letters) for _ in range(100_000)))
+    assert codec.encode(texts) == [packed(library.encode_ordinary(t)) for t in texts]
+    runs = ["a" * 200_000, "abcdefg" * 30_000, "中" * 50_000]  # the library needs too long for these
+    assert codec.decode(codec.encode(runs)) == [t.encode() for t in runs]
