@@ -7,14 +7,16 @@ longer one are excluded: they could not be meant. What a context has seen, its s
 concerns one step, and each context keeps what is left of its shorter one after exclusion. Below the empty context, the
 unseen bytes are equally likely. A byte that UTF-8 never has ends a text, another one stands before its beginning.
 
-Counts come from all training texts. Only the longest grams are counted in texts, by Spark's aggregation; shorter ones
-are sums. The trie goes to the executors; its size has a bound: at each order, grams with a count below the least threshold
-that leaves at most MAX_NODES are not kept (1, that is all of them, unless there are more). Text that leads there escapes to shorter contexts.
+The trie is a set of tables, one per order, keyed by context; a row is a node with its next symbols, 256 at most. Nothing of
+it is left out and no more than a bounded part leaves the tables: the HOT_GRAMS most frequent grams (a context of ORDER bytes and
+its symbol) go to the executors with their probabilities, and each text is scored there as far as they reach. The other grams of
+a text are joined: with the grams of training, or, unseen, level by level with the nodes of their contexts.
 
 The baseline needs a count for every word. The HOT most frequent words are scored where the text is; the others are joined with
-the table of counts, so words that fill the corpus are never shuffled by key and no vocabulary is broadcast.
+the table of counts, so words and grams that fill the corpus are never shuffled by key and no vocabulary is broadcast. Neither bound changes a result.
 
-A null text is empty: it has its end only. A null id is a training text. Rows with equal ids are scored one by one.
+A null text is empty: it has its end only. A null id is a training text. Rows with equal ids are scored one by one. Without training
+texts, all bytes are equally likely. Columns besides id and text are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from lodestone.llm.common import materialize
 from lodestone.llm.simhash import LOWER
 
 ORDER = 5
-MAX_NODES = 2_000_000
 BEFORE, END = 0xFE, 0xFF
-HOT = 50_000
+#: Words and grams that go to the executors: the most frequent ones, at most so many.
+HOT, HOT_GRAMS = 50_000, 1_000_000
 #: Bytes of text at a time, and how many different words or grams a task gathers before it sends them on.
 STRETCH, GATHERED = 500_000, 500_000
 
@@ -67,22 +70,33 @@ def stretches(texts):
         yield out
 
 
-def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The gram (order bytes of context, then the symbol) of each symbol of each text, ends included; and where texts begin."""
-    pad = bytes([BEFORE]) * order
-    data = np.frombuffer(b"".join(p for t in texts for p in (pad, t, b"\xff")), np.uint8)
-    n = len(data) - order
-    key = np.zeros(n, np.uint64)
-    for j in range(order + 1):
-        key <<= np.uint64(8)
-        key |= data[j : j + n].astype(np.uint64)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    # Windows whose symbol stands before a text's beginning are none of it.
-    keep = np.ones(n, bool)
-    begins = (starts + np.arange(len(texts)) * order)[1:]
-    keep[(begins[:, None] - order + np.arange(order)).ravel()] = False
-    return key[keep], starts
+def windows(texts: Iterable[bytes], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of texts, grams): for each symbol, ends included, its `order` bytes of context and itself. Long texts come in parts."""
+    parts, owners, size = [], [], 0
+
+    def keyed():
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        key = np.zeros(max(0, len(data) - order), np.uint64)
+        for j in range(order + 1):
+            key <<= np.uint64(8)
+            key |= data[j : j + len(key)].astype(np.uint64)
+        lengths = np.array([len(p) for p in parts])
+        # Windows that reach from one part into the next are no symbols.
+        keep = np.ones(len(key), bool)
+        keep[(np.cumsum(lengths)[:-1, None] - order + np.arange(order)).ravel()] = False
+        return np.repeat(np.array(owners), lengths - order), key[keep]
+
+    for i, t in enumerate(texts):
+        data = bytes([BEFORE]) * order + t + bytes([END])
+        for at in range(0, len(data) - order, STRETCH):
+            parts.append(data[at : at + STRETCH + order])
+            owners.append(i)
+            size += len(parts[-1])
+            if size >= STRETCH:
+                yield keyed()
+                parts, owners, size = [], [], 0
+    if parts:
+        yield keyed()
 
 
 def gram_counts(df: DataFrame, text: str, order: int = ORDER) -> DataFrame:
@@ -99,8 +113,8 @@ def gram_counts(df: DataFrame, text: str, order: int = ORDER) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
         for batch in batches:
-            for texts in stretches(batch.column(0)):
-                k, n = np.unique(grams(texts, order)[0], return_counts=True)
+            for _, found in windows((lowered(t.as_py()) for t in batch.column(0)), order):
+                k, n = np.unique(found, return_counts=True)
                 keys.append(k)
                 sums.append(n)
                 size += len(k)
@@ -167,189 +181,169 @@ class Table:
         return rows
 
 
-@dataclass
-class Level:
-    """One order of the trie. Logarithms are to base 10."""
+def low_bytes(column: Column, n: int) -> Column:
+    return column.bitwiseAND(F.lit((1 << 8 * n) - 1))
 
-    table: Table  # of grams
-    enter: np.ndarray  # per gram: its probability where the search begins here
-    count: np.ndarray  # per gram: its count
-    contexts: Table
-    escape: np.ndarray  # per context: the escape where the search begins here
-    left: np.ndarray  # per context: what exclusion leaves of the shorter one: counts and different symbols
-    left_escape: np.ndarray  # per context: the escape from the shorter one after exclusion
 
+def context(gram: Column, k: int) -> Column:
+    """The k bytes before the gram's symbol."""
+    return low_bytes(F.shiftright(gram, 8), k)
 
-def shorter(keys: np.ndarray, counts: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted grams and counts of the orders 0 to `order`, from those of the highest one."""
-    out = []
-    for k in range(order + 1):
-        found, where = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
-        out.append((found, np.bincount(where, counts, len(found))))
-    return out
 
+def seen_probabilities(counts: DataFrame) -> DataFrame:
+    """(gram, n, p): the log10 probability of each gram of training in its longest context, which has at most 256."""
+    around = W.partitionBy(F.shiftright("gram", 8))
+    return counts.select("gram", "n", (F.log10("n") - F.log10(F.sum("n").over(around) + F.count("*").over(around))).alias("p"))
 
-class Model:
-    def __init__(self, per: list[tuple[np.ndarray, np.ndarray]]):
-        """per: sorted grams and their counts, by order from 0."""
-        self.order = len(per) - 1
-        self.levels: list[Level] = []
-        before = None
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for k, (found, n) in enumerate(per):
-                n = n.astype(np.float64)
-                contexts, owner = np.unique(found >> np.uint64(8), return_inverse=True)
-                total, kinds = np.bincount(owner, n, len(contexts)), np.bincount(owner, minlength=len(contexts)).astype(np.float64)
-                left = left_escape = np.zeros(len(contexts))
-                if before is not None:
-                    grams_, counts_, contexts_, total_, kinds_ = before
-                    shared = np.bincount(owner, counts_[np.searchsorted(grams_, found & np.uint64((1 << 8 * k) - 1))], len(contexts)) if len(found) else left
-                    up = np.searchsorted(contexts_, contexts & np.uint64((1 << 8 * (k - 1)) - 1))
-                    rest, other = total_[up] - shared, kinds_[up] - kinds
-                    left = np.where(rest + other > 0, np.log10(rest + other), 0.0)
-                    left_escape = np.where(rest + other > 0, np.log10(other) - np.log10(rest + other), 0.0)
-                self.levels.append(Level(
-                    Table(found), *(x.astype(np.float32) for x in (np.log10(n / (total + kinds)[owner]), np.log10(n))),
-                    Table(contexts), *(x.astype(np.float32) for x in (np.log10(kinds / (total + kinds)), left, left_escape)),
-                ))
-                before = (found, n, contexts, total, kinds)
-        self.unseen = -np.log10(max(1, 256 - len(per[0][0])))
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """The log10 probability of the last byte of each gram after the others."""
-        out = np.zeros(len(keys))
-        todo, inside, row_above = np.arange(len(keys)), np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        for k in range(self.order, -1, -1):
-            level = self.levels[k]
-            gram = keys[todo] & np.uint64((1 << 8 * (k + 1)) - 1)
-            rows = level.table.find(gram)
-            hit = rows >= 0
-            above = self.levels[k + 1] if k < self.order else None
-            fresh = hit & ~inside
-            out[todo[fresh]] += level.enter[rows[fresh]]
-            old = hit & inside
-            if above is not None:
-                out[todo[old]] += level.count[rows[old]] - above.left[row_above[old]]
-            todo, inside, row_above, gram = todo[~hit], inside[~hit], row_above[~hit], gram[~hit]
-            if not len(todo):
-                return out
-            rows = level.contexts.find(gram >> np.uint64(8))
-            known = rows >= 0
-            if above is not None:
-                out[todo[inside]] += above.left_escape[row_above[inside]]
-            fresh = known & ~inside
-            out[todo[fresh]] += level.escape[rows[fresh]]
-            inside |= known
-            row_above = np.where(known, rows, row_above)
-        out[todo] += self.unseen
-        return out
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        keys, starts = grams(texts, self.order)
-        # In parts: the longest text needs little more memory than its grams.
-        each = np.concatenate([self.log10(keys[i : i + STRETCH]) for i in range(0, len(keys), STRETCH)])
-        return np.add.reduceat(each, starts)
-
-
-def thresholds(counts: DataFrame, order: int = ORDER, most: int = MAX_NODES) -> list[int]:
-    """For each order, the least count that leaves at most `most` grams; never more than a longer order's."""
-    out: list[int] = []
-    for k in range(order, -1, -1):
-        n = counts if k == order else counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        if not out or out[0] > 1:
-            sizes = n.groupBy(F.ceil(F.log2("n")).alias("size")).count().collect()  # a row per power of two
-            kept, least = 0, 1
-            for r in sorted(sizes, key=lambda r: -r["size"]):
-                kept += r["count"]
-                if kept > most:
-                    least = 2 ** int(r["size"]) + 1
-                    break
-            out.insert(0, min([least, *out[:1]]))
+
+def trie(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """The nodes of each order from 0: ctx, next (symbol to count), total, kinds, and what exclusion leaves of the shorter context:
+    left (log10 of counts and different symbols) and left_escape."""
+    out: list[DataFrame] = []
+    for k in range(order + 1):
+        grams = counts if k == order else counts.groupBy(low_bytes(F.col("gram"), k + 1).alias("gram")).agg(F.sum("n").alias("n"))
+        entry = F.struct(F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
+        nodes = grams.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.map_from_entries(F.collect_list(entry)).alias("next"), F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        if k:
+            up = out[-1].select(F.col("ctx").alias("up"), F.col("next").alias("up_next"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
+            nodes = nodes.join(up, low_bytes(F.col("ctx"), k - 1) == F.col("up"))
+            shared = F.aggregate(F.map_keys("next"), F.lit(0).cast("long"), lambda a, s: a + F.element_at("up_next", s))
+            other = F.col("up_kinds") - F.col("kinds")
+            nodes = nodes.withColumn("rest", F.col("up_total") - shared + other)
+            left, escape = F.log10("rest"), F.log10(other) - F.log10("rest")
+            nodes = nodes.select("ctx", "next", "total", "kinds", *[F.when(F.col("rest") > 0, x).otherwise(0.0).alias(n) for x, n in ((left, "left"), (escape, "left_escape"))])
         else:
-            out.insert(0, 1)
+            nodes = nodes.select("*", F.lit(0.0).alias("left"), F.lit(0.0).alias("left_escape"))
+        out.append(materialize(nodes, "nodes"))
     return out
 
 
-def train(df: DataFrame, text: str, order: int = ORDER, most: int = MAX_NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The kept grams and counts of each order: what Model() takes."""
-    counts = materialize(gram_counts(df, text, order), "grams")
-    least = thresholds(counts, order, most)
-
-    def fetch(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = frame.select("gram", "n").toArrow()
-        keys, n = (np.concatenate([np.asarray(c) for c in found.column(x).chunks] or [np.zeros(0, np.int64)]) for x in ("gram", "n"))
-        rank = np.argsort(keys.view(np.uint64))
-        return keys.view(np.uint64)[rank], n[rank]
-
-    if least[-1] == 1:
-        return shorter(*fetch(counts), order)
-    # Shorter grams are sums over all longer ones, also those that are not kept.
-    masked = lambda k: counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-    return [fetch(masked(k).where(F.col("n") >= least[k])) for k in range(order + 1)]
-
-
-_models: dict[str, Model] = {}
-
-
-def model_of(name: str, per: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model, built once in a worker."""
-    if name not in _models:
-        _models.clear()
-        _models[name] = Model(per)
-    return _models[name]
-
-
-def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER, hot: int = HOT, most: int = MAX_NODES) -> DataFrame:
+def unseen_probabilities(grams: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+    """(gram, p) of different grams that training lacks; nodes: trie(). Each order is one join; orders 0 and 1 have 257 nodes at most."""
+    order = len(nodes) - 1
+    zero = F.lit(0.0)
+    rows = grams.select("gram", zero.alias("p"), F.lit(False).alias("done"), F.lit(False).alias("inside"), zero.alias("up_left"), zero.alias("up_escape"))
+    for k in range(order, -1, -1):
+        node = nodes[k].select(F.col("ctx").alias("key"), "next", "total", "kinds", "left", "left_escape")
+        # A row that is done asks for a key of its own that no node has.
+        rows = rows.withColumn("key", F.when(F.col("done"), -1 - F.col("gram")).otherwise(context(F.col("gram"), k)))
+        rows = rows.join(F.broadcast(node) if k < 2 else node, "key", "left")
+        n, known, inside = F.element_at("next", F.col("gram").bitwiseAND(F.lit(255)).cast("int")), F.col("total").isNotNull(), F.col("inside")
+        size = F.log10(F.col("total") + F.col("kinds"))
+        step = F.when(F.col("done"), zero).when(n.isNotNull(), F.log10(n) - F.when(inside, F.col("up_left")).otherwise(size))
+        step = step.when(inside, F.col("up_escape")).when(known, F.log10("kinds") - size).otherwise(zero)
+        rows = rows.select(
+            "gram", (F.col("p") + step).alias("p"), (F.col("done") | n.isNotNull()).alias("done"), (inside | known).alias("inside"),
+            F.when(known, F.col("left")).otherwise(F.col("up_left")).alias("up_left"), F.when(known, F.col("left_escape")).otherwise(F.col("up_escape")).alias("up_escape"),
+        )
+    root = nodes[0].select("kinds").first()
+    return rows.select("gram", (F.col("p") - F.when(F.col("done"), zero).otherwise(float(np.log10(max(1, 256 - (root[0] if root else 0)))))).alias("p"))
+
+
+def probabilities(grams: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, p) for different grams: the log10 probability of each gram's symbol after its context."""
+    seen = seen_probabilities(counts).select("gram", "p")
+    unseen = grams.join(counts.select("gram"), "gram", "left_anti")
+    return grams.join(seen, "gram").select("gram", "p").unionByName(unseen_probabilities(unseen, trie(counts, order)))
+
+
+def most_frequent(seen: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and probabilities of whole classes of like counts, from the highest on, while they are `most` grams together."""
+    size = F.floor(F.log2("n") * 8)
+    kept, least = 0, None
+    for r in seen.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # a few hundred rows, whatever the corpus
+        kept += r["count"]
+        if kept > most:
+            break
+        least = r["size"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    found = seen.where(size >= least).select("gram", "p").toArrow()
+    grams, p = (np.concatenate([np.asarray(c) for c in found.column(x).chunks] or [np.zeros(0)]) for x in ("gram", "p"))
+    return grams.astype(np.int64).view(np.uint64), p
+
+
+_tables: dict[str, Table] = {}
+
+
+def table_of(name: str, keys: np.ndarray) -> Table:
+    """The hash table of the frequent grams, built once in a worker."""
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = Table(keys)
+    return _tables[name]
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = ORDER, hot: int = HOT, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """One row per row of df: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = df.sparkSession
-    docs = df.select(F.col(id_col), F.col(text))
-    training = docs.where(~held_out(F.col(id_col)))
-    counts = materialize(word_counts(training, text), "words")
-    sums = counts.agg(F.sum("c"), F.count("*")).first()
+    docs = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    training = docs.where(~held_out(F.col("_id")))
+    words = materialize(word_counts(training, "_text"), "words")
+    sums = words.agg(F.sum("c"), F.count("*")).first()
     ends = training.count()
     total, kinds = (sums[0] or 0) + ends, sums[1] + (ends > 0)
     scale = float(np.log10(total + 0.5 * (kinds + 1)))
     of = lambda c: float(np.log10(c + 0.5)) - scale
-    often = {bytes(r["word"]): of(r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(hot).collect()}
+    often = {bytes(r["word"]): of(r["c"]) for r in words.orderBy(F.desc("c"), "word").limit(hot).collect()}
+    counts = materialize(gram_counts(training, "_text", order), "grams")
+    seen = materialize(seen_probabilities(counts), "seen")
     name = uuid.uuid4().hex
-    given = spark.sparkContext.broadcast((train(training, text, order, most), often, of(ends), ends > 0))
+    given = spark.sparkContext.broadcast((*most_frequent(seen, hot_grams), often, of(ends), ends > 0))
 
-    kind = docs.schema[0]
-    names = [id_col, "_key", "n_tokens", "n_known", "base_score", "score", "_rare"]
+    names = ["_id", "_key", "n_tokens", "n_known", "base_score", "score", "_rare", "_grams"]
+    pair = lambda n, kind: T.ArrayType(T.StructType([T.StructField(n, kind), T.StructField("times", T.LongType())]))
     schema = T.StructType([
-        kind, *[T.StructField(n, T.LongType()) for n in names[1:4]], *[T.StructField(n, T.DoubleType()) for n in names[4:6]],
-        T.StructField("_rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))),
+        docs.schema[0], *[T.StructField(n, T.LongType()) for n in names[1:4]], *[T.StructField(n, T.DoubleType()) for n in names[4:6]],
+        T.StructField("_rare", pair("word", T.BinaryType())), T.StructField("_grams", pair("gram", T.LongType())),
     ])
 
+    def of_grams(texts, table, p):
+        """Per text the sum over frequent grams; and the others: bounds, grams, how often."""
+        sums = np.zeros(len(texts))
+        own, rest, times = [], [], []
+        for owner, keys in windows(texts, order):
+            rows = table.find(keys)
+            found = rows >= 0
+            sums += np.bincount(owner[found], p[rows[found]], len(texts))
+            # Per text, different grams.
+            different, place = np.unique(keys[~found], return_inverse=True)
+            cell, n = np.unique(owner[~found] * max(1, len(different)) + place, return_counts=True)
+            own.append(cell // max(1, len(different)))
+            rest.append(different[cell % max(1, len(different))])
+            times.append(n)
+        own, rest, times = (np.concatenate(x) for x in (own, rest, times))
+        return sums, np.searchsorted(own, np.arange(len(texts) + 1)), rest.view(np.int64), times
+
     def run(batches):
-        per, log_often, log_end, end_known = given.value
-        model = model_of(name, per)
+        grams, p, log_often, log_end, end_known = given.value
+        table = table_of(name, grams)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             first = 0
             for texts in stretches(batch.column(1)):
                 n_tokens, n_known, base, sizes, rare, times = [], [], [], [0], [], []
                 for t in texts:
-                    words = t.split()
+                    split = t.split()
                     known, s, before = int(end_known), log_end, len(rare)
-                    for word, n in Counter(words).items():
-                        p = log_often.get(word)
-                        if p is None:
+                    for word, n in Counter(split).items():
+                        log = log_often.get(word)
+                        if log is None:
                             rare.append(word)
                             times.append(n)
                         else:
                             known += n
-                            s += n * p
-                    n_tokens.append(len(words) + 1)
+                            s += n * log
+                    n_tokens.append(len(split) + 1)
                     n_known.append(known)
                     base.append(s)
                     sizes.append(sizes[-1] + len(rare) - before)
-                pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+                scores, bounds, rest, often_ = of_grams(texts, table, p)
+                pairs = lambda k, v, n: pa.StructArray.from_arrays([k, pa.array(v, pa.int64())], names=[n, "times"])
                 columns = [
                     batch.column(0).slice(first, len(texts)), pa.array(np.arange(key, key + len(texts))), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(model.score(texts)), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs),
+                    pa.array(base, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs(pa.array(rare, pa.binary()), times, "word")),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs(pa.array(rest, pa.int64()), often_, "gram")),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 first += len(texts)
@@ -358,10 +352,17 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", order: int
     rows = materialize(docs.mapInArrow(run, schema), "scores")
     log_c = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5) - scale
     rest = (
-        rows.select("_key", F.inline("_rare")).join(counts, "word", "left").groupBy("_key")
-        .agg(F.sum(F.col("n") * log_c).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("also"))
+        rows.select("_key", F.inline("_rare")).join(words, "word", "left")
+        .select("_key", (F.col("times") * log_c).alias("more"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("also"), F.lit(0.0).alias("further"))
     )
-    return rows.drop("_rare").join(rest, "_key", "left").select(
-        id_col, held_out(F.col(id_col)).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+    asked = rows.select("_key", F.inline("_grams"))
+    wanted = materialize(asked.select("gram").distinct().join(seen.select("gram", "p"), "gram", "left"), "wanted")
+    unseen = unseen_probabilities(wanted.where("p IS NULL").select("gram"), trie(counts, order))
+    p_of = wanted.where("p IS NOT NULL").unionByName(unseen)
+    rest = rest.unionByName(asked.join(p_of, "gram").select("_key", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("also"), (F.col("times") * F.col("p")).alias("further")))
+    rest = rest.groupBy("_key").agg(*[F.sum(c).alias(c) for c in ("more", "also", "further")])
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    return rows.drop("_rare", "_grams").join(rest, "_key", "left").select(
+        F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "n_tokens", plus("n_known", "also").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        plus("base_score", "more").alias("base_score"), plus("score", "further").alias("score"),
     )
