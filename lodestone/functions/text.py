@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.arrays import let, scan
 from lodestone.schemas import ENTITY_TYPES, RELATIONSHIP_TYPES
 
 #: White space as Unicode has it, and the four separators that Java leaves out.
@@ -31,13 +32,19 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def composed(text: Column) -> Column:
+    """nfc(text); a text of ASCII characters alone is composed already and stays in the JVM."""
+    plain = F.length(text) == F.octet_length(text)
+    return F.when(plain, text).otherwise(nfc(F.when(~plain, text)))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 
 
 def normalize_text(text: Column) -> Column:
     """Composed characters, line feeds, single blanks, no blanks at line ends, at most one blank line, no white space around."""
-    out = F.regexp_replace(nfc(text), r"\r\n?", "\n")
+    out = F.regexp_replace(composed(text), r"\r\n?", "\n")
     out = F.regexp_replace(out, r"[ \t]{2,}", " ")
     out = F.regexp_replace(out, r"(?md)[ \t]+$", "")
     return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
@@ -45,15 +52,15 @@ def normalize_text(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """array<struct<start, end, text>>: parts between blank lines that hold more than white space; code-point offsets."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
-    def step(a: Column, part: Column) -> Column:
+    def step(at: Column, part: Column) -> Column:
+        lead = F.length(part) - F.length(F.regexp_replace(part, r"\A\n+", ""))
         body = F.regexp_replace(part, r"\A\n+|\n+\z", "")
-        start = a["at"] + F.length(part) - F.length(F.regexp_replace(part, r"\A\n+", ""))
-        found = F.struct(start.alias("start"), (start + F.length(body)).alias("end"), body.alias("text"))
-        return F.struct((a["at"] + F.length(part) + 2).alias("at"), F.when(part.rlike(FULL), F.concat(a["out"], F.array(found))).otherwise(a["out"]).alias("out"))
+        found = F.struct((at + lead).alias("start"), (at + lead + F.length(body)).alias("end"), body.alias("text"))
+        none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+        return F.struct((at + F.length(part) + 2).alias("state"), F.when(part.rlike(FULL), F.array(found)).otherwise(none).alias("out"))
 
-    return F.aggregate(F.split(text, "\n\n"), state, step, lambda a: a["out"])
+    return let(F.split(text, "\n\n"), lambda parts: scan(parts, F.lit(0), step, "struct<start:int,end:int,text:string>")["out"])
 
 
 def _block(kind: str, text: Column, level: Column | None = None) -> Column:
@@ -91,7 +98,7 @@ def candidate_entities(text: Column) -> Column:
 
 
 def light_key(name: Column) -> Column:
-    return F.lower(nfc(name))
+    return F.lower(composed(name))
 
 
 def name_key(name: Column) -> Column:

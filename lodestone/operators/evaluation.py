@@ -23,3 +23,14 @@ def retrieval_at_k(ranked: DataFrame, relevant: DataFrame, k: int, query: str =
     rows = total.join(hits, query, "left")
     got = F.coalesce("hits", F.lit(0))
     return rows.select(query, (got / F.col("n")).alias("recall"), (got / F.lit(k)).alias("precision"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
+def merge_quality(found: DataFrame, gold: DataFrame, mention: str = "mention", entity: str = "entity") -> DataFrame:
+    """One row: correct, incorrect and missed merges, that is pairs of mentions put together rightly, wrongly, or not. Pairs are counted
+    from the sizes of clusters, never made. found, gold: one row per mention with the cluster it is in."""
+    both = found.select(mention, F.col(entity).alias("_f")).join(gold.select(mention, F.col(entity).alias("_g")), mention)
+    pairs = lambda *by: both.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("n"))
+    parts = [pairs(*by).select(F.lit(what).alias("what"), "n") for what, by in (("both", ("_f", "_g")), ("found", ("_f",)), ("gold", ("_g",)))]
+    n = lambda what: F.sum(F.when(F.col("what") == what, F.col("n")))
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return whole.agg(n("both").alias("correct"), (n("found") - n("both")).alias("incorrect"), (n("gold") - n("both")).alias("missed"))

@@ -6,9 +6,11 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.config import Settings
 from lodestone.functions.text import light_key, quoted
 from lodestone.operators.search import retrieve
 from lodestone.operators.traversal import bfs_subgraph
@@ -33,12 +35,12 @@ def mentioned_entities(graph: Graph, question: str) -> DataFrame:
     return graph.entities.join(found.select("id"), "id", "left_semi")
 
 
-def retrieve_graph(graph: Graph, question: str, depth: int = 2, relationship_type: str | None = None) -> Subgraph:
+def retrieve_graph(graph: Graph, question: str, depth: int | None = None, relationship_type: str | None = None) -> Subgraph:
     """One search from all mentioned entities: the union of the balls around them."""
-    return bfs_subgraph(graph, mentioned_entities(graph, question), depth, relationship_type)
+    return bfs_subgraph(graph, mentioned_entities(graph, question), Settings().max_graph_depth if depth is None else depth, relationship_type)
 
 
-def retrieve_hybrid(graph: Graph, vectors: DataFrame, question: str, embed_fn: Callable[[str], list[float]], depth: int = 2, k: int = 10, relationship_type: str | None = None) -> Hybrid:
+def retrieve_hybrid(graph: Graph, vectors: DataFrame, question: str, embed_fn: Callable[[str], list[float]], depth: int | None = None, k: int | None = None, relationship_type: str | None = None) -> Hybrid:
     """Both ways; the type restricts the graph only."""
     return Hybrid(retrieve_graph(graph, question, depth, relationship_type), retrieve(vectors, question, embed_fn, k))
 
@@ -63,13 +65,47 @@ def rank(graph: Graph, found: Hybrid, weights: tuple[float, float, float] = WEIG
 
 
 def context(graph: Graph, ranked: DataFrame, chunks: DataFrame, question: str, limit: int = 10) -> DataFrame:
-    """(place, section, line): the question, the facts of the best relationships, and the chunks they stand on."""
+    """(place, section, line): the question, the facts of the best relationships, the chunks they stand on, and where these are from."""
     name = lambda k, out: graph.entities.select(F.col("id").alias(k), F.col("canonical_name").alias(out))
     best = ranked.orderBy(F.desc("final_score"), "relationship_id", "chunk_id").limit(limit)
     facts = best.where("relationship_id is not null").join(graph.relationships.withColumnRenamed("id", "relationship_id").drop("confidence", "ord"), "relationship_id")
     facts = facts.join(name("source_entity_id", "s"), "source_entity_id").join(name("target_entity_id", "t"), "target_entity_id")
-    lines = facts.select(F.lit(1).alias("place"), F.lit("GRAPH FACTS").alias("section"), F.concat_ws(" ", "s", "relationship_type", "t").alias("line"))
+    lines = facts.select(F.lit(1).alias("place"), F.lit("GRAPH FACTS").alias("section"), F.concat("s", F.lit(" --"), "relationship_type", F.lit("--> "), "t").alias("line"))
     sources = best.select(F.col("chunk_id").alias("id")).distinct().join(chunks, "id")
     lines = lines.unionByName(sources.select(F.lit(2).alias("place"), F.lit("SOURCE").alias("section"), F.concat(F.lit("["), F.col("id"), F.lit("] "), F.col("text")).alias("line")))
+    lines = lines.unionByName(sources.select(F.lit(3).alias("place"), F.lit("PROVENANCE").alias("section"), F.col("id").alias("line")))
     asked = ranked.sparkSession.createDataFrame([(0, "QUESTION", question)], "place int, section string, line string")
     return asked.unionByName(lines).orderBy("place", "line")
+
+
+def context_text(lines: DataFrame) -> DataFrame:
+    """One row, `context`: the sections of context() under their names. At most a few lines for each of its `limit` rows."""
+    sections = lines.groupBy("place", "section").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("body"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", F.concat("section", F.lit(":\n"), "body").alias("part"))))
+    return sections.agg(F.array_join(F.transform(ordered, lambda s: s["part"]), "\n\n").alias("context"))
+
+
+def rag_prompt(context: Column) -> Column:
+    """What the language model is asked: an answer from the context alone, with its sources."""
+    rules = (
+        "Answer the question from the context below and from nothing else. Add no fact and no relationship that it does not state.\n"
+        "If it does not hold enough, say so. Name the sources of each statement in brackets, as in [chunk_1].\n\n"
+    )
+    return F.concat(F.lit(rules), context)
+
+
+def with_citations(answers: DataFrame, answer: str = "answer", context: str = "context") -> DataFrame:
+    """answers with citations: the different bracketed ids in the answer that the context has as a source, and unsupported: those that it has not."""
+    cited = F.array_distinct(F.regexp_extract_all(F.col(answer), F.lit(r"\[([^\[\]\s]+)\]"), F.lit(1)))
+    known = F.regexp_extract_all(F.col(context), F.lit(r"(?m)^\[([^\[\]\s]+)\] "), F.lit(1))
+    return answers.withColumns({"citations": F.array_intersect(cited, known), "unsupported": F.array_except(cited, known)})
+
+
+def generate(contexts: DataFrame, llm: Callable[[str], str], context: str = "context") -> DataFrame:
+    """contexts with the model's answer to each, its citations, and bracketed ids that are no source."""
+
+    @F.pandas_udf("string")
+    def ask(prompts: pd.Series) -> pd.Series:
+        return prompts.map(llm, na_action="ignore")
+
+    return with_citations(contexts.withColumn("answer", ask(rag_prompt(F.col(context)))), "answer", context)

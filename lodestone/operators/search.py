@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestone.config import Settings
 from lodestone.functions.vectors import cosine_similarity
 from lodestone.operators.graph import GraphError, _add
 
@@ -29,8 +31,17 @@ def remove_vector(store: DataFrame, vector_id: str) -> DataFrame:
     return store.where(F.col("id") != vector_id)
 
 
-def search(store: DataFrame, query: list[float], k: int = 10) -> DataFrame:
+def vector_of(store: DataFrame, vector_id: str) -> DataFrame:
+    """The row with the id; none is an error."""
+    found = store.where(F.col("id") == vector_id)
+    if found.isEmpty():
+        raise GraphError(f"no vector {vector_id}")
+    return found
+
+
+def search(store: DataFrame, query: list[float], k: int | None = None) -> DataFrame:
     """store's rows with score, the k best; equal scores in order of insertion. Vectors of another length are an error."""
+    k = Settings().top_k if k is None else k
     if k < 0:
         raise ValueError("k is negative")
     literal = F.array(*[F.lit(float(x)) for x in query])
@@ -38,7 +49,7 @@ def search(store: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     return scored.orderBy(F.desc("score"), "ord").limit(k)
 
 
-def retrieve(store: DataFrame, text: str, embed_fn: Callable[[str], list[float]], k: int = 10) -> DataFrame:
+def retrieve(store: DataFrame, text: str, embed_fn: Callable[[str], list[float]], k: int | None = None) -> DataFrame:
     """Embeds the text once, on the driver."""
     return search(store, embed_fn(text), k)
 
@@ -90,3 +101,70 @@ def batch_search(store: DataFrame, queries: DataFrame, k: int = 10, id_col: str
         return store.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int")
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """An inverted file: the centres of cells, and every vector under the cell of its nearest centre."""
+
+    centres: np.ndarray
+    rows: DataFrame
+
+
+def _nearest(vectors: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    return np.argsort(-(_unit(vectors) @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+
+
+def build_index(store: DataFrame, cells: int = 64, sample_rows: int = 20_000, rounds: int = 8, id_col: str = "vec_id", vector: str = "embedding") -> CellIndex:
+    """Centres are fitted by spherical k-means on at most sample_rows vectors, those of the least hashes; every vector is filed."""
+    rows = store.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+    data = _unit(np.array([r["v"] for r in sample], np.float64).reshape(len(sample), -1))
+    centres = data[: min(cells, len(data))]
+    for _ in range(rounds):
+        mine = _nearest(data, centres, 1)[:, 0] if len(data) else np.zeros(0, np.int32)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, mine, data)
+        centres = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), centres)
+    return CellIndex(centres, _filed(rows, centres, 1))
+
+
+def _filed(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    given = rows.sparkSession.sparkContext.broadcast(centres)  # cells times dimensions
+
+    def run(batches):
+        for batch in batches:
+            v = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            found = _nearest(v, given.value, probes) if batch.num_rows else np.zeros((0, probes), np.int32)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=["id", "v", "cells"])
+
+    return rows.mapInArrow(run, rows.select("id", "v", F.lit(None).cast("array<int>").alias("cells")).schema).select("id", "v", F.explode("cells").alias("cell"))
+
+
+def index_search(index: CellIndex, queries: DataFrame, k: int = 10, probes: int = 44, salts: int = 8, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, id, score, rank): the k best of the `probes` cells nearest to each query. The vectors of a cell are dealt over `salts`
+    tasks, and the queries that ask for it go to all of them; a task keeps its own k best per query.
+
+    The recall depends on the data: vectors without clusters need many probes. At the default, 44 of 64 cells, it is above 0.9 on
+    evenly spread vectors of 64 dimensions; on clustered ones a few probes reach that."""
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = _filed(asked, index.centres, probes).select(F.col("id").alias("query_id"), F.col("v").alias("q"), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    filed = index.rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    kinds = (asked.schema["query_id"].dataType.simpleString(), filed.schema["id"].dataType.simpleString())
+
+    def run(key, left, right):
+        a, b = (np.array(t.column(c).to_pylist(), np.float64) for t, c in ((left, "v"), (right, "q")))
+        if not len(a) or not len(b):
+            return pa.table({"query_id": right.column("query_id").slice(0, 0), "id": left.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+        ids, query_ids, out = np.array(left.column("id")), np.array(right.column("query_id")), []
+        unit = _unit(a)
+        for s in range(0, len(b), 512):
+            scores = _unit(b[s : s + 512]) @ unit.T
+            best = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
+            out.append((np.repeat(query_ids[s : s + 512], best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "id", "score"])
+
+    found = filed.groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

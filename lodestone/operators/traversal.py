@@ -1,9 +1,10 @@
-"""Traversal along edges in either direction, level by level: one join of the frontier with the edges per level."""
+"""Traversal along edges in either direction, level by level: a level joins its frontier with the edges that touch it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lodestone.operators.graph import GraphError
 from lodestone.schemas import Graph, Subgraph
@@ -24,19 +25,34 @@ def adjacency(relationships: DataFrame) -> DataFrame:
     return side("source_entity_id", "target_entity_id", 0).unionByName(side("target_entity_id", "source_entity_id", 1))
 
 
-def distances(starts: DataFrame, relationships: DataFrame, depth: int) -> DataFrame:
-    """(node, dist) for nodes within `depth` hops of the nearest start; starts has `node`."""
-    # Written once: every level reads it, whatever the relationships were made from.
-    edges = written(adjacency(relationships).select("node", "other").distinct(), "edges")
-    seen = written(starts.select("node").distinct().withColumn("dist", F.lit(0)), "bfs")
-    for level in range(1, depth + 1):
-        frontier = seen.where(F.col("dist") == level - 1).select("node")
-        fresh = edges.join(frontier, "node").select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti")
-        fresh = written(fresh.withColumn("dist", F.lit(level)), "bfs")
-        if fresh.isEmpty():
+def touching(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with an end in nodes (`node`). Semi-joins move down to the edges' source, before any aggregation that makes them."""
+    by = lambda k: relationships.join(nodes.select(F.col("node").alias(k)), k, "left_semi").select(relationships.columns)
+    return by("source_entity_id").unionByName(by("target_entity_id"))
+
+
+def levels(starts: DataFrame, relationships: DataFrame, depth: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """((node, dist) within `depth` hops of the nearest start, the edges met on the way, some of them twice). depth None: as far as edges go.
+
+    Each level reads the edges that touch its frontier and writes these and the new frontier; nothing else is copied.
+    """
+    seen = frontier = written(starts.select("node").distinct().withColumn("dist", F.lit(0)), "bfs")
+    met, level = None, 0
+    while depth is None or level < depth:
+        level += 1
+        edges = written(touching(relationships, frontier.select("node")), "bfs")
+        met = edges if met is None else met.unionByName(edges)
+        ends = edges.select(F.explode(F.array("source_entity_id", "target_entity_id")).alias("node")).distinct()
+        frontier = written(ends.join(seen, "node", "left_anti").withColumn("dist", F.lit(level)), "bfs")
+        if frontier.isEmpty():
             break
-        seen = seen.unionByName(fresh)
-    return seen
+        seen = seen.unionByName(frontier)
+    return seen, met
+
+
+def distances(starts: DataFrame, relationships: DataFrame, depth: int | None) -> DataFrame:
+    """(node, dist) for nodes within `depth` hops of the nearest start; starts has `node`."""
+    return levels(starts, relationships, depth)[0]
 
 
 def bfs_subgraph(graph: Graph, starts: DataFrame | str, depth: int, relationship_type: str | None = None, min_confidence: float | None = None) -> Subgraph:
@@ -49,16 +65,15 @@ def bfs_subgraph(graph: Graph, starts: DataFrame | str, depth: int, relationship
         starts = graph.entities.where(F.col("id") == starts).select("id")
         if starts.isEmpty():
             raise GraphError("the start is no entity")
-    edges = written(passing(graph.relationships, relationship_type, min_confidence), "edges")
-    reached = distances(starts.select(F.col("id").alias("node")), edges, depth)
-    expanded = reached.where(F.col("dist") <= depth - 1).select("node")
-    ends = [edges.join(expanded.select(F.col("node").alias(k)), k, "left_semi") for k in ("source_entity_id", "target_entity_id")]
-    met = ends[0].unionByName(ends[1]).dropDuplicates(["id"])
+    edges = passing(graph.relationships, relationship_type, min_confidence)
+    reached, met = levels(starts.select(F.col("id").alias("node")), edges, depth)
+    met = edges.limit(0) if met is None else met.dropDuplicates(["id"])
     return Subgraph(graph.entities.join(reached.select(F.col("node").alias("id")), "id", "left_semi"), met)
 
 
-def find_path(graph: Graph, source: str, target: str, max_hops: int = 64) -> DataFrame:
-    """(hop, id): a path of the fewest hops, or no rows. Ties go to the path whose edges were inserted first, out-edges before in-edges, hop by hop.
+def find_path(graph: Graph, source: str, target: str) -> DataFrame:
+    """(hop, id): a path of the fewest hops, or no rows where no path of any length exists. Ties go to the path whose edges were
+    inserted first, out-edges before in-edges, hop by hop.
 
     Every reached node keeps its least path as an array of (direction, order), which sorts as the queue of a breadth-first search does.
     """
@@ -66,36 +81,61 @@ def find_path(graph: Graph, source: str, target: str, max_hops: int = 64) -> Dat
     if known != {source, target}:
         raise GraphError("an end is no entity")
     spark = graph.entities.sparkSession
-    edges = written(adjacency(graph.relationships), "edges")
-    seen = written(spark.createDataFrame([(source, [source])], "node string, path array<string>").withColumn("key", F.array().cast("array<struct<dir:int,ord:bigint>>")), "path")
-    frontier = seen
-    for _ in range(max_hops):
+    frontier = written(spark.createDataFrame([(source, [source])], "node string, path array<string>").withColumn("key", F.array().cast("array<struct<dir:int,ord:bigint>>")), "path")
+    seen = frontier.select("node")
+    while True:
         goal = frontier.where(F.col("node") == target)
         if not goal.isEmpty():
             return goal.select(F.posexplode("path").alias("hop", "id"))
-        step = edges.join(frontier, "node").select(F.col("other").alias("node"), "path", F.concat("key", F.array(F.struct("dir", "ord"))).alias("key"))
-        step = step.join(seen.select("node"), "node", "left_anti")
-        best = step.groupBy("node").agg(F.min(F.struct("key", "path")).alias("b"))
+        step = adjacency(touching(graph.relationships, frontier)).join(frontier, "node").select(F.col("other").alias("node"), "path", F.concat("key", F.array(F.struct("dir", "ord"))).alias("key"))
+        best = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min(F.struct("key", "path")).alias("b"))
         frontier = written(best.select("node", F.concat("b.path", F.array("node")).alias("path"), "b.key"), "path")
         if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return spark.createDataFrame([], "hop int, id string")
+            return spark.createDataFrame([], "hop int, id string")
+        seen = written(seen.unionByName(frontier.select("node")), "path")
+
+
+def _in_order(rows: DataFrame, key: str) -> DataFrame:
+    """rows with their place in the order of the key, from 0: a range sort, counts per part, and places within parts."""
+    parts = written(rows.orderBy(key).withColumn("_part", F.spark_partition_id()), "sorted")
+    sizes = sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect())  # a row per task of the sort
+    firsts = [(part, sum(n for _, n in sizes[:i])) for i, (part, _) in enumerate(sizes)] or [(0, 0)]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(firsts, "_part int, _first long"))
+    within = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1
+    return parts.withColumn("_within", within).join(offsets, "_part").withColumn("place", (F.col("_first") + F.col("_within")).cast("int")).drop("_part", "_first", "_within")
 
 
 def dfs_visit(graph: Graph, start: str, max_depth: int | None = None, max_entities: int = 100_000) -> DataFrame:
     """(place, id): the order in which a stack visits: last edges first, an entity marked when it is taken from the stack.
 
-    The order is sequential by nature, so one task walks the part of the graph in reach, which must not exceed max_entities;
-    larger parts are an error, not cut.
+    Where the part in reach is a tree, an entity's place follows from the edges on its way from the start: levels are joined, and one
+    range sort gives the order, whatever the size. With a circle in reach the order is sequential by nature, so one task walks that part,
+    which must not exceed max_entities; larger parts are an error, not cut.
     """
-    within = distances(graph.entities.where(F.col("id") == start).select(F.col("id").alias("node")), graph.relationships, max_depth if max_depth is not None else max_entities)
-    size = within.count()
-    if not size:
+    spark = graph.entities.sparkSession
+    if graph.entities.where(F.col("id") == start).isEmpty():
         raise GraphError("the start is no entity")
-    if size > max_entities:
-        raise GraphError(f"more than {max_entities} entities in reach")
-    lists = adjacency(graph.relationships).join(within.select("node"), "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("dir", "ord", "other"))).alias("next"))
+    kind = "array<struct<dir:int,ord:bigint>>"
+    frontier = written(spark.createDataFrame([(start, None)], "node string, parent string").withColumn("key", F.array().cast(kind)), "dfs")
+    seen, level, tree = frontier.select("node", "key"), 0, True
+    while tree and (max_depth is None or level < max_depth):
+        level += 1
+        edges = adjacency(touching(graph.relationships, frontier)).join(frontier, "node").where("NOT other <=> parent AND other <> node")
+        met = written(edges.groupBy("other", "node", "key").agg(F.max(F.struct("dir", "ord")).alias("e")), "dfs")
+        # Two ways to an entity, or one back to an entity seen before, close a circle.
+        tree = met.groupBy("other").count().where("count > 1").isEmpty() and met.join(seen.select(F.col("node").alias("other")), "other", "left_semi").isEmpty()
+        last_first = F.struct((-F.col("e.dir")).cast("int").alias("dir"), (-F.col("e.ord")).alias("ord"))
+        frontier = met.select(F.col("other").alias("node"), F.col("node").alias("parent"), F.concat("key", F.array(last_first)).cast(kind).alias("key"))
+        if met.isEmpty():
+            break
+        seen = seen.unionByName(frontier.select("node", "key"))
+    if tree:
+        return _in_order(seen, "key").select("place", F.col("node").alias("id"))
+
+    within = written(distances(graph.entities.where(F.col("id") == start).select(F.col("id").alias("node")), graph.relationships, max_depth), "dfs")
+    if within.count() > max_entities:
+        raise GraphError(f"more than {max_entities} entities in reach, with a circle among them")
+    lists = adjacency(touching(graph.relationships, within).distinct()).join(within.select("node"), "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("dir", "ord", "other"))).alias("next"))
 
     def walk(batches):
         import pyarrow as pa
@@ -132,11 +172,49 @@ def components(graph: Graph) -> DataFrame:
             return labels
 
 
-def weighted(relationships: DataFrame, cost: Column | None = None) -> DataFrame:
-    """Adjacency with a cost per edge, by default small for confident edges."""
-    rows = relationships.withColumn("_cost", cost if cost is not None else -F.ln(F.greatest("confidence", F.lit(1e-9))))
-    side = lambda a, b: rows.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col("_cost").alias("cost"))
-    return side("source_entity_id", "target_entity_id").unionByName(side("target_entity_id", "source_entity_id"))
+def weighted_path(graph: Graph, source: str, target: str, cost: Column | None = None) -> DataFrame:
+    """(hop, id, cost): a path of the least total cost, or no rows; cost: a column over relationships, none below zero, by default
+    small for confident edges (-ln of the confidence, so the path is the most credible one).
+
+    Each round relaxes the edges of entities that became cheaper, and ends when none does; costs at or above the target's are not followed.
+    """
+    known = {r["id"] for r in graph.entities.where(F.col("id").isin(source, target)).select("id").collect()}
+    if known != {source, target}:
+        raise GraphError("an end is no entity")
+    spark = graph.entities.sparkSession
+    priced = graph.relationships.withColumn("_cost", cost if cost is not None else -F.ln(F.greatest("confidence", F.lit(1e-9))))
+    side = lambda edges, a, b: edges.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col("_cost").alias("step"))
+    best = frontier = written(spark.createDataFrame([(source, 0.0, [source], [0.0])], "node string, cost double, path array<string>, costs array<double>"), "path")
+    while not frontier.isEmpty():
+        edges = touching(priced, frontier)
+        both = side(edges, "source_entity_id", "target_entity_id").unionByName(side(edges, "target_entity_id", "source_entity_id"))
+        total = (F.col("cost") + F.col("step")).alias("cost")
+        tried = both.join(frontier, "node").select(F.col("other").alias("node"), total, F.concat("path", F.array("other")).alias("path"), F.concat("costs", F.array(total)).alias("costs"))
+        tried = tried.groupBy("node").agg(F.min(F.struct("cost", "path", "costs")).alias("b")).select("node", "b.*")
+        goal = best.where(F.col("node") == target).select("cost").first()
+        if goal:
+            tried = tried.where(F.col("cost") < goal[0])
+        old = best.select("node", F.col("cost").alias("_old"))
+        frontier = written(tried.join(old, "node", "left").where("_old IS NULL OR cost < _old").drop("_old"), "path")
+        best = written(best.join(frontier, "node", "left_anti").unionByName(frontier), "path")
+    return best.where(F.col("node") == target).select(F.posexplode(F.arrays_zip("path", "costs")).alias("hop", "s")).select("hop", F.col("s.path").alias("id"), F.col("s.costs").alias("cost"))
+
+
+def communities(graph: Graph, rounds: int = 10) -> DataFrame:
+    """(id, community): label propagation. In each round every entity takes the label that most of its edge ends have, the least of several;
+    it keeps its own if that is among them. Rounds end when no label changes, after `rounds` at the latest (labels may swap for ever)."""
+    labels = written(graph.entities.select("id", F.col("id").alias("community")), "communities")
+    edges = written(adjacency(graph.relationships).where("node <> other").groupBy("node", "other").agg(F.count("*").alias("n")), "communities")
+    for _ in range(rounds):
+        votes = edges.join(labels.withColumnRenamed("id", "other"), "other").groupBy("node", "community").agg(F.sum("n").alias("n"))
+        own = labels.select(F.col("id").alias("node"), F.col("community").alias("own"))
+        best = votes.join(own, "node").groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), (F.col("community") != F.col("own")).alias("other"), "community")).alias("b"))
+        after = written(labels.join(best.select(F.col("node").alias("id"), F.col("b.community").alias("new")), "id", "left").select("id", F.coalesce("new", "community").alias("community")), "communities")
+        changed = not after.join(labels, ["id", "community"], "left_anti").isEmpty()
+        labels = after
+        if not changed:
+            break
+    return labels
 
 
 def degree_centrality(graph: Graph) -> DataFrame:

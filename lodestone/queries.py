@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import bag_of_words, cosine_similarity
-from lodestone.operators import building, chunking, evaluation, extraction, graph, resolution, retrieval, search, traversal
+from lodestone.operators import building, chunking, evaluation, extraction, graph, resolution, retrieval, search, traversal, trust
 from lodestone.plans.property_graph import property_graph, supply_lines
-from lodestone.schemas import ENTITY_TYPES, Graph
+from lodestone.schemas import ENTITY_TYPES, RELATIONSHIP_TYPES, Graph
 from lodestone.scratch import written, written_path
 from lodestone.sources.snapshots import load_graph, save_graph
 
@@ -128,15 +129,54 @@ def bfs_multi_source(spark, sf_dir):
     return _bfs_rows(traversal.bfs_subgraph(g, g.entities.where(F.col("id").isin("region_1", "supplier_4", "part_9")), 2))
 
 
-@query()
+#: Edges with the order of their insertion, and from both ends.
+ORDERED_SQL = """
+  ordered AS (
+    SELECT 'nation_' || n_nationkey AS s, 'region_' || n_regionkey AS t, CAST(1 AS DOUBLE) AS c, 1000000000000 + n_nationkey AS o FROM nation
+    UNION ALL SELECT 'customer_' || c_custkey, 'nation_' || c_nationkey, 1, 2000000000000 + c_custkey FROM customer
+    UNION ALL SELECT 'supplier_' || s_suppkey, 'nation_' || s_nationkey, 1, 3000000000000 + s_suppkey FROM supplier
+    UNION ALL SELECT 'supplier_' || l_suppkey, 'part_' || l_partkey, arg_min(round(1 - l_discount, 4), l_orderkey * 100 + l_linenumber), 4000000000000 + min(l_orderkey * 100 + l_linenumber) FROM lineitem GROUP BY l_suppkey, l_partkey
+  ), sides AS (SELECT s AS n, t AS m, 0 AS d, o, c FROM ordered UNION ALL SELECT t, s, 1, o, c FROM ordered)"""
+
+
+def _path_sql(start: str, goal: str, most: int) -> str:
+    """The least path by (direction, order) of its edges, for ends at most `most` hops apart."""
+    levels = [f"f0 AS (SELECT '{start}' AS n, CAST([] AS STRUCT(d INTEGER, o BIGINT)[]) AS key, ['{start}'] AS path), seen0 AS (SELECT n FROM f0)"]
+    for k in range(1, most + 1):
+        levels.append(f"""f{k} AS (SELECT m AS n, min(key) AS key, arg_min(path, key) AS path FROM (SELECT m, list_append(key, {{'d': d, 'o': o}}) AS key, list_append(path, m) AS path FROM f{k-1} JOIN sides USING (n) WHERE m NOT IN (FROM seen{k-1})) GROUP BY m),
+          seen{k} AS (SELECT n FROM seen{k-1} UNION ALL SELECT n FROM f{k})""")
+    found = " UNION ALL ".join(f"SELECT path FROM f{k} WHERE n = '{goal}'" for k in range(most + 1))
+    return f"WITH {ORDERED_SQL}, {', '.join(levels)} SELECT CAST(generate_subscripts(path, 1) - 1 AS INTEGER) AS hop, unnest(path) AS id FROM ({found})"
+
+
+@query(_path_sql("customer_1", "part_1", 6))
 def find_path(spark, sf_dir):
     return traversal.find_path(property_graph(spark, sf_dir), "customer_1", "part_1")
 
 
-@query()
+def _weighted_sql(start: str, goal: str, rounds: int) -> str:
+    levels = [f"w0 AS (SELECT '{start}' AS n, CAST(0 AS DOUBLE) AS cost)"]
+    for k in range(1, rounds + 1):
+        levels.append(f"w{k} AS (SELECT n, min(cost) AS cost FROM (FROM w{k-1} UNION ALL SELECT m, cost - ln(greatest(c, 1e-9)) FROM w{k-1} JOIN sides USING (n)) GROUP BY n)")
+    return f"WITH {ORDERED_SQL}, {', '.join(levels)} SELECT n AS id, round(cost, 6) AS cost FROM w{rounds} WHERE n = '{goal}'"
+
+
+@query(_weighted_sql("customer_1", "part_1", 24))
+def weighted_path(spark, sf_dir):
+    """The end of the most credible path and its cost."""
+    found = traversal.weighted_path(property_graph(spark, sf_dir), "customer_1", "part_1")
+    return found.where("id = 'part_1'").select("id", F.round("cost", 6).alias("cost"))
+
+
+@query("""WITH rows AS (
+      SELECT 'region_0' AS id, -1 AS a, 0 AS b, 0 AS c UNION ALL SELECT 'nation_' || n_nationkey, n_nationkey, 0, 0 FROM nation WHERE n_regionkey = 0
+      UNION ALL SELECT 'customer_' || c_custkey, c_nationkey, 1, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0
+      UNION ALL SELECT 'supplier_' || s_suppkey, s_nationkey, 2, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0)
+    SELECT CAST(row_number() OVER (ORDER BY a = -1 DESC, a DESC, b = 0 DESC, b DESC, c DESC) - 1 AS INTEGER) AS place, id FROM rows""")
 def dfs_visit(spark, sf_dir):
+    """All places, customers and suppliers of a region: a tree, so the order is one sort."""
     g = property_graph(spark, sf_dir)
-    return traversal.dfs_visit(Graph(g.entities, traversal.passing(g.relationships, "PART_OF"), g.evidence), "region_0")
+    return traversal.dfs_visit(Graph(g.entities, g.relationships.where(F.col("relationship_type").isin("PART_OF", "LOCATED_IN")), g.evidence), "region_0")
 
 
 @query(f"WITH {EDGES_SQL}, ends AS (SELECT s AS id FROM edges UNION ALL SELECT t FROM edges) SELECT id, count(ends.id) AS degree FROM nodes LEFT JOIN ends USING (id) GROUP BY id")
@@ -144,13 +184,92 @@ def degree_centrality(spark, sf_dir):
     return traversal.degree_centrality(property_graph(spark, sf_dir))
 
 
-@query("""WITH linked AS (SELECT DISTINCT n_regionkey FROM nation)
-  SELECT 'nation_' || n_nationkey AS id, 'nation_' || min(n_nationkey::VARCHAR) OVER (PARTITION BY n_regionkey) AS component FROM nation
-  UNION ALL SELECT 'region_' || r_regionkey, coalesce('nation_' || (SELECT min(n_nationkey::VARCHAR) FROM nation WHERE n_regionkey = r_regionkey), 'region_' || r_regionkey) FROM region""")
+def _rounds_sql(rounds: int) -> str:
+    """Least labels pushed along all edges, more often than the graph is wide."""
+    levels = ["l0 AS (SELECT id, id AS l FROM nodes)"]
+    for k in range(1, rounds + 1):
+        levels.append(f"l{k} AS (SELECT id, min(l) AS l FROM (FROM l{k-1} UNION ALL SELECT o, l FROM adj JOIN l{k-1} ON n = id) GROUP BY id)")
+    return f"WITH {EDGES_SQL}, adj AS MATERIALIZED (SELECT s AS n, t AS o FROM edges UNION SELECT t, s FROM edges), {', '.join(levels)} SELECT id, l AS component FROM l{rounds}"
+
+
+@query(_rounds_sql(12))
 def connected_components(spark, sf_dir):
+    """Of the whole graph."""
+    return traversal.components(property_graph(spark, sf_dir))
+
+
+def _communities_sql(rounds: int) -> str:
+    levels = ["c0 AS (SELECT id, id AS c FROM nodes)"]
+    for k in range(1, rounds + 1):
+        levels.append(f"""c{k} AS (SELECT id, coalesce(new, p.c) AS c FROM c{k-1} p LEFT JOIN (
+            SELECT n, first(c ORDER BY votes DESC, c <> own, c) AS new FROM (SELECT a.n, b.c, sum(a.k) AS votes, any_value(own.c) AS own FROM adj a JOIN c{k-1} b ON a.o = b.id JOIN c{k-1} own ON a.n = own.id GROUP BY a.n, b.c) GROUP BY n) v ON v.n = id)""")
+    return f"WITH {EDGES_SQL}, adj AS MATERIALIZED (SELECT n, o, count(*) AS k FROM (SELECT s AS n, t AS o FROM edges UNION ALL SELECT t, s FROM edges) WHERE n <> o GROUP BY n, o), {', '.join(levels)} SELECT id, c AS community FROM c{rounds}"
+
+
+@query(_communities_sql(3))
+def communities(spark, sf_dir):
+    return traversal.communities(property_graph(spark, sf_dir), 3)
+
+
+@query(f"WITH {EDGES_SQL} SELECT 'relationships' AS what, count(*) - 1 AS n FROM edges UNION ALL SELECT 'evidence', (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM lineitem WHERE l_suppkey = 1 AND l_partkey = (SELECT min(l_partkey) FROM lineitem WHERE l_suppkey = 1))")
+def remove_relationship_cascade(spark, sf_dir):
     g = property_graph(spark, sf_dir)
-    places = g.entities.where(F.col("entity_type") == "Location")
-    return traversal.components(Graph(places, traversal.passing(g.relationships, "PART_OF"), g.evidence))
+    name = graph.outgoing(g, "supplier_1").where("relationship_type = 'PROVIDES'").select("id", F.expr("CAST(substring(target_entity_id, 6) AS BIGINT)").alias("part")).orderBy("part").first()["id"]
+    g = graph.remove_relationship(g, name)
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(g.relationships, "relationships").unionByName(count(g.evidence, "evidence"))
+
+
+@query("SELECT 'order_' || l_orderkey AS chunk_id, round(1 - l_discount, 4) AS confidence FROM lineitem WHERE l_suppkey = 1 AND l_partkey = (SELECT min(l_partkey) FROM lineitem WHERE l_suppkey = 1)")
+def relationship_evidence(spark, sf_dir):
+    g = property_graph(spark, sf_dir)
+    name = graph.outgoing(g, "supplier_1").where("relationship_type = 'PROVIDES'").select("id", F.expr("CAST(substring(target_entity_id, 6) AS BIGINT)").alias("part")).orderBy("part").first()["id"]
+    return graph.evidence_of(g, name).select("chunk_id", F.round("confidence", 4).alias("confidence"))
+
+
+@query("""SELECT 'entities' AS what, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS n
+    UNION ALL SELECT 'relationships', (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) + (SELECT count(*) FROM orders)
+    UNION ALL SELECT 'evidence', (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM orders)""")
+def add_orders(spark, sf_dir):
+    """All orders as entities, tied to their customers, with a piece of evidence each."""
+    g = property_graph(spark, sf_dir)
+    orders = read(spark, sf_dir, "orders")
+    name, rel = F.concat(F.lit("order_"), "o_orderkey"), F.concat(F.lit("ordered_"), "o_orderkey")
+    g = graph.add_entities(g, orders.select(name.alias("id"), name.alias("canonical_name"), F.lit("Project").alias("entity_type"), F.array().cast("array<string>").alias("aliases"), (F.lit(6 * 10**12) + F.col("o_orderkey")).alias("ord")))
+    g = graph.add_relationships(g, orders.select(rel.alias("id"), F.concat(F.lit("customer_"), "o_custkey").alias("source_entity_id"), name.alias("target_entity_id"), F.lit("CREATED").alias("relationship_type"), F.lit(1.0).alias("confidence"), (F.lit(5 * 10**12) + F.col("o_orderkey")).alias("ord")))
+    g = graph.add_evidence(g, orders.select(F.concat(F.lit("proof_"), "o_orderkey").alias("id"), rel.alias("relationship_id"), name.alias("chunk_id"), F.lit("ordered").alias("text"), F.lit(1.0).alias("confidence"), F.col("o_orderkey").cast("long").alias("ord")))
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(g.entities, "entities").unionByName(count(g.relationships, "relationships")).unionByName(count(g.evidence, "evidence"))
+
+
+@query("""WITH said AS (SELECT DISTINCT l_orderkey, l_suppkey, l_partkey FROM lineitem), shared AS (SELECT *, count(*) OVER (PARTITION BY l_suppkey, l_partkey) AS k FROM said)
+    SELECT 'order_' || l_orderkey AS chunk_id, count(*) AS n, round((count(*) FILTER (k > 1) + 1.0) / (count(*) + 2.0), 6) AS reliability FROM shared GROUP BY l_orderkey""")
+def source_reliability(spark, sf_dir):
+    return trust.source_reliability(property_graph(spark, sf_dir).evidence).withColumn("reliability", F.round("reliability", 6))
+
+
+@query("""SELECT 'supplier_' || l_suppkey || '|PROVIDES|part_' || l_partkey AS relationship_id, round(1 - exp(sum(ln(greatest(1 - round(1 - l_discount, 4), 1e-300)))), 6) AS confidence, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_partkey""")
+def combined_confidence(spark, sf_dir):
+    return trust.combined_confidence(property_graph(spark, sf_dir).evidence).withColumn("confidence", F.round("confidence", 6))
+
+
+#: Suppliers state that they provide a part; a returned line denies it.
+@query("""WITH said AS (SELECT l_suppkey, l_partkey, min(l_orderkey * 100 + l_linenumber) FILTER (l_returnflag <> 'R') AS yes, min(l_orderkey * 100 + l_linenumber) FILTER (l_returnflag = 'R') AS no FROM lineitem GROUP BY ALL)
+    SELECT 'supplier_' || l_suppkey AS source_entity_id, 'part_' || l_partkey AS target_entity_id, 'line_' || yes AS stated_id, 'line_' || no AS denied_id FROM said WHERE yes IS NOT NULL AND no IS NOT NULL""")
+def contradictions(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "R", "NOT_PROVIDES").otherwise("PROVIDES")
+    said = line.groupBy("l_suppkey", "l_partkey", kind.alias("relationship_type")).agg(F.min(F.struct((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), (1 - F.col("l_discount")).alias("confidence"))).alias("f"))
+    edges = said.select(F.concat(F.lit("line_"), "f.seq").alias("id"), F.concat(F.lit("supplier_"), "l_suppkey").alias("source_entity_id"), F.concat(F.lit("part_"), "l_partkey").alias("target_entity_id"), "relationship_type", "f.confidence")
+    return trust.contradictions(edges).select("source_entity_id", "target_entity_id", "stated_id", "denied_id")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate <= DATE '1996-06-15' AND o_orderdate + INTERVAL 90 DAY > DATE '1996-06-15'")
+def valid_at(spark, sf_dir):
+    """Orders that are open on a day, for 90 days each."""
+    since = F.to_date("o_orderdate")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", since.alias("valid_from"), F.date_add(since, 90).alias("valid_until"))
+    return trust.valid_at(orders, F.lit("1996-06-15").cast("date")).select("o_orderkey", "o_custkey")
 
 
 @query(f"WITH {EDGES_SQL} SELECT 'entities' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'relationships', count(*) FROM edges UNION ALL SELECT 'evidence', count(*) FROM lineitem")
@@ -268,24 +387,67 @@ def chunk_entity_aware(spark, sf_dir):
     return _spans(chunking.chunk_by_entities(documents(spark, sf_dir), bag_of_words(WORDS), 800))
 
 
+@query(_chunk_sql(f"{COSINE_SQL} OR len(list_filter(q.names, lambda n: contains(p.text, n))) > 0 OR regexp_matches(p.text, '^(?:This|These|That|Those|It|Its|They|Their|Such)\\b')"))
+def chunk_relations(spark, sf_dir):
+    return _spans(chunking.chunk_by_relations(documents(spark, sf_dir), bag_of_words(WORDS), 800))
+
+
+@query(_chunk_sql("true").partition("SELECT id AS document_id")[0].rstrip() + """,
+    spans AS (SELECT id AS did, CAST(chunk AS INTEGER) AS chunk_index, CAST(min(cs) AS BIGINT) AS a, CAST(max(ce) AS BIGINT) AS b FROM fold GROUP BY id, chunk),
+    texts AS (SELECT 'chunk_' || substr(sha256(did || chr(31) || chunk_index), 1, 16) AS id, substr(content, a + 1, b - a) AS t FROM spans JOIN docs ON docs.id = did)
+    SELECT id, unnest(list_filter([CASE WHEN NOT regexp_matches(t, '[^\\x20\\x09-\\x0D]') THEN 'empty' WHEN length(t) < 20 THEN 'small' END, CASE WHEN length(t) > 800 THEN 'oversized' END, CASE WHEN regexp_matches(t, '[\\p{L}\\p{N},;:]\\s*$') THEN 'broken sentence' END], lambda x: x IS NOT NULL)) AS problem FROM texts""")
+def chunk_validation(spark, sf_dir):
+    return chunking.chunk_problems(chunking.chunk_by_size(documents(spark, sf_dir), 800), most=800)
+
+
 # Extraction, resolution, building ---------------------------------------------------------------------------------
 
 
 def _answer(prompt: str) -> str:
-    """A stand-in for a language model: the first words of the chunk, in a sequence of relationships; short chunks get a broken answer."""
-    words = [w.strip(".,") for w in prompt.partition("\n\nText:\n")[2].split()[:6]]
-    if len(words) < 6:
+    """A stand-in for a language model: every capitalized word of the chunk is an entity, and tied to the next one; a chunk with fewer than two gets a broken answer."""
+    text = prompt.partition("\n\nText:\n")[2].partition("\n\nThe last answer")[0]
+    names = list(dict.fromkeys(w.strip(".,") for w in re.split(r"[\x20\x09-\x0D]+", text) if re.match("[A-Z]", w)))
+    if len(names) < 2:
         return "no answer"
-    entities = [{"name": w, "entity_type": ENTITY_TYPES[len(w) % 11]} for w in words]
-    return json.dumps({"entities": entities, "relationships": [{"source": a, "target": b, "relationship_type": "USES", "evidence": f"{a} {b}", "confidence": 0.5} for a, b in zip(words, words[1:], strict=False)]})
+    entities = [{"name": w, "entity_type": ENTITY_TYPES[len(w) % 11]} for w in names]
+    return json.dumps({"entities": entities, "relationships": [{"source": a, "target": b, "relationship_type": RELATIONSHIP_TYPES[len(b) % 11], "evidence": f"{a} {b}", "confidence": 0.5} for a, b in zip(names, names[1:], strict=False)]})
+
+
+ORDER = ("document_id", "chunk_index")
 
 
 def _extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("text"))
+    """Answers for every chunk of every document."""
+    chunks = chunking.chunk_by_size(documents(spark, sf_dir), 800).select(F.col("id").alias("chunk_id"), *ORDER, "text")
     return written(extraction.extract(chunks, _answer).drop("text"), "extractions")
 
 
-@query()
+def _types(names: tuple[str, ...], size: str) -> str:
+    return f"[{', '.join(repr(n) for n in names)}][{size} % 11 + 1]"
+
+
+#: The chunks with their names in order, and the mentions of chunks whose answers are right.
+MENTIONS_SQL = f"""{_chunk_sql("true").partition("SELECT id AS document_id")[0].rstrip()},
+    spans AS (SELECT id AS document_id, CAST(chunk AS INTEGER) AS chunk_index, CAST(min(cs) AS BIGINT) AS a, CAST(max(ce) AS BIGINT) AS b FROM fold GROUP BY id, chunk),
+    texts AS (SELECT 'chunk_' || substr(sha256(document_id || chr(31) || chunk_index), 1, 16) AS chunk_id, document_id, chunk_index, regexp_split_to_array(substr(content, a + 1, b - a), '[\\x20\\x09-\\x0D]+') AS ws FROM spans JOIN docs ON id = document_id),
+    said AS (SELECT chunk_id, document_id, chunk_index, trim(w, '.,') AS name, min(i) AS i FROM (SELECT chunk_id, document_id, chunk_index, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM texts) WHERE regexp_matches(w, '^[A-Z]') GROUP BY ALL),
+    numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY i) - 1 AS INTEGER) AS pos, count(*) OVER (PARTITION BY chunk_id) AS n FROM said),
+    mentions AS (SELECT *, {_types(ENTITY_TYPES, "length(name)")} AS type, regexp_replace(lower(nfc_normalize(name)), '[^a-z0-9]+', '', 'g') AS key FROM numbered WHERE n > 1),
+    firsts AS (SELECT type, key, min({{'d': document_id, 'c': chunk_index, 'p': pos}}) AS seq, arg_min(name, {{'d': document_id, 'c': chunk_index, 'p': pos}}) AS first_name, 'entity_' || substr(sha256(type || chr(31) || key), 1, 16) AS rid FROM mentions GROUP BY type, key),
+    long AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM firsts WHERE length(first_name) >= 19),
+    near AS (SELECT y.rid AS later, x.rid AS earlier, x.k AS earlier_k, 1 - levenshtein(x.first_name, y.first_name) / greatest(length(x.first_name), length(y.first_name)) AS score FROM long x JOIN long y ON x.type = y.type AND x.k < y.k
+      WHERE levenshtein(x.first_name, y.first_name) * 20 <= greatest(length(x.first_name), length(y.first_name))),
+    steps AS (
+      SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(rid VARCHAR, founder VARCHAR)[]) AS done
+      UNION ALL
+      SELECT l.k, list_append(done, {{'rid': l.rid, 'founder': coalesce((SELECT first(earlier ORDER BY score DESC, earlier_k) FROM near WHERE later = l.rid AND list_contains(done, {{'rid': earlier, 'founder': earlier}})), l.rid)}}) FROM steps s JOIN long l ON l.k = s.k + 1
+    ),
+    founders AS (SELECT unnest(done, recursive := true) FROM (SELECT done FROM steps ORDER BY k DESC LIMIT 1)),
+    owners AS (SELECT f.*, coalesce(o.founder, f.rid) AS entity_id FROM firsts f LEFT JOIN founders o USING (rid)),
+    resolved AS (SELECT m.*, entity_id, CASE WHEN {{'d': document_id, 'c': chunk_index, 'p': pos}} = seq THEN CASE WHEN entity_id = rid THEN 'new' ELSE 'similarity' END WHEN entity_id = rid THEN 'exact' ELSE 'alias' END AS matched_via FROM mentions m JOIN owners USING (type, key))"""
+
+
+@query(f"{MENTIONS_SQL} SELECT t.chunk_id, CASE WHEN n > 1 THEN 1 ELSE 2 END AS attempts, CASE WHEN n > 1 THEN n END AS n_entities, CASE WHEN n > 1 THEN n - 1 END AS n_relationships FROM texts t LEFT JOIN (SELECT DISTINCT chunk_id, n FROM numbered) USING (chunk_id)")
 def extract_chunks(spark, sf_dir):
     rows = _extractions(spark, sf_dir)
     return rows.select("chunk_id", "attempts", F.size("entities").alias("n_entities"), F.size("relationships").alias("n_relationships"))
@@ -303,9 +465,9 @@ def extraction_validate(spark, sf_dir):
     return parsed.select("event_id", F.col("entities").isNotNull().cast("int").alias("valid"))
 
 
-@query()
+@query(f"{MENTIONS_SQL} SELECT chunk_id, pos, name, type, entity_id, matched_via FROM resolved")
 def resolve_entities(spark, sf_dir):
-    mentions, _ = resolution.resolve_stream(resolution.ranked_mentions(_extractions(spark, sf_dir), ["doc_id", "chunk_id"]))
+    mentions, _ = resolution.resolve_stream(resolution.ranked_mentions(_extractions(spark, sf_dir), list(ORDER)))
     return mentions.select("chunk_id", "pos", "name", "type", "entity_id", "matched_via")
 
 
@@ -320,13 +482,33 @@ def resolve_exact_alias(spark, sf_dir):
     return found.select("mid", "entity_id", "matched_via")
 
 
-@query()
+@query(f"""{MENTIONS_SQL}, told AS (SELECT a.entity_id AS s, b.entity_id AS t, {_types(RELATIONSHIP_TYPES, "length(b.name)")} AS ty FROM resolved a JOIN resolved b ON a.chunk_id = b.chunk_id AND b.pos = a.pos + 1)
+    SELECT 'rel_' || substr(sha256(s || chr(31) || t || chr(31) || ty), 1, 16) AS id, s AS source_entity_id, t AS target_entity_id, ty AS relationship_type, CAST(0.5 AS DOUBLE) AS confidence, count(*) AS n_evidence FROM told GROUP BY s, t, ty""")
 def build_graph(spark, sf_dir):
-    g, _ = building.build_graph(_extractions(spark, sf_dir), ("doc_id", "chunk_id"))
+    g, _ = building.build_graph(_extractions(spark, sf_dir), ORDER)
     proof = g.evidence.groupBy("relationship_id").agg(F.count("*").alias("n_evidence"))
     return g.relationships.join(proof, F.col("id") == F.col("relationship_id")).select("id", "source_entity_id", "target_entity_id", "relationship_type", "confidence", "n_evidence")
 
 
+#: Customers named without blanks and in capitals, against their keys.
+@query("""WITH m AS (SELECT c_custkey, c_custkey % 7 = 0 AS moved, CASE WHEN c_custkey % 7 = 0 THEN c_nationkey * 1000000 ELSE c_custkey END AS f, c_custkey - c_custkey % 2 AS g FROM customer),
+    p AS (SELECT (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM m GROUP BY f, g)) AS b, (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM m GROUP BY f)) AS f, (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM m GROUP BY g)) AS g)
+    SELECT CAST(b AS BIGINT) AS correct, CAST(f - b AS BIGINT) AS incorrect, CAST(g - b AS BIGINT) AS missed FROM p""")
+def merge_quality(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer")
+    found = rows.select(F.col("c_custkey").alias("mention"), F.when(F.col("c_custkey") % 7 == 0, F.col("c_nationkey") * 1000000).otherwise(F.col("c_custkey")).alias("entity"))
+    return evaluation.merge_quality(found, rows.select(F.col("c_custkey").alias("mention"), (F.col("c_custkey") - F.col("c_custkey") % 2).alias("entity")))
+
+
+@query("""WITH f AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_discount < 0.06), g AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_discount > 0.03),
+    n AS (SELECT (SELECT count(*) FROM (FROM f INTERSECT FROM g)) AS tp, (SELECT count(*) FROM (FROM f EXCEPT FROM g)) AS fp, (SELECT count(*) FROM (FROM g EXCEPT FROM f)) AS fn)
+    SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM n""")
+def precision_recall(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem")
+    got = evaluation.precision_recall(line.where("l_discount < 0.06"), line.where("l_discount > 0.03"), ["l_suppkey", "l_partkey"])
+    return got.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 # Search and retrieval ---------------------------------------------------------------------------------------------
 
 
@@ -387,14 +569,58 @@ def mentioned_entities(spark, sf_dir):
     return retrieval.mentioned_entities(property_graph(spark, sf_dir), QUESTION).select("id")
 
 
-@query(f"""WITH {EDGES_SQL}, {VECTORS_SQL}, hits AS (SELECT 'order_' || (b.vec_id + 1) AS chunk_id, {COSINE} AS score FROM (SELECT * FROM vecs ORDER BY vec_id LIMIT 1) a, vecs b ORDER BY score DESC, b.vec_id LIMIT 50),
+NAMED_SQL = f"""SELECT id FROM (SELECT 'region_' || r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'nation_' || n_nationkey, n_name FROM nation UNION ALL SELECT 'customer_' || c_custkey, c_name FROM customer
+    UNION ALL SELECT 'supplier_' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'part_' || p_partkey, p_name FROM part)
+    WHERE regexp_matches(lower('{QUESTION}'), '\\b' || regexp_replace(lower(name), '([^a-z0-9 ])', '\\\\\\1', 'g') || '\\b')"""
+
+
+@query(_bfs_sql(f"id IN ({NAMED_SQL})", 1))
+def graph_retrieve(spark, sf_dir):
+    return _bfs_rows(retrieval.retrieve_graph(property_graph(spark, sf_dir), QUESTION, 1))
+
+
+def _ranked_sql(vector: str, touched: str, k: int) -> str:
+    """Ranking of the relationships that `touched` picks, and of the k vectors nearest to `vector`."""
+    return f"""WITH {EDGES_SQL}, {VECTORS_SQL}, hits AS (SELECT 'order_' || (b.vec_id + 1) AS chunk_id, {COSINE} AS score FROM ({vector}) a, vecs b ORDER BY score DESC, b.vec_id LIMIT {k}),
     proof AS (SELECT 'supplier_' || l_suppkey || '|PROVIDES|part_' || l_partkey AS rid, count(*) AS n, count(DISTINCT l_orderkey) AS nc, min('order_' || l_orderkey) AS ch, any_value('supplier_' || l_suppkey || ' part_' || l_partkey) AS tx FROM lineitem GROUP BY l_suppkey, l_partkey),
-    rels AS (SELECT s || '|' || ty || '|' || t AS rid, c FROM edges WHERE s = 'supplier_1' OR t = 'supplier_1'),
+    rels AS (SELECT s || '|' || ty || '|' || t AS rid, c FROM edges WHERE {touched}),
     items AS (SELECT rid, c, CASE WHEN nc = 1 THEN ch END AS chunk_id, CASE WHEN n = 1 THEN tx ELSE '' END AS text FROM rels LEFT JOIN proof USING (rid))
     SELECT rid AS relationship_id, coalesce(i.chunk_id, h.chunk_id) AS chunk_id, coalesce(text, '') AS text, CASE WHEN rid IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS graph_score, round(coalesce(score, 0), 6) AS vector_score, round(coalesce(c, 0), 6) AS confidence,
-    round(CASE WHEN rid IS NULL THEN 0 ELSE 0.4 END + 0.4 * coalesce(score, 0) + 0.2 * coalesce(c, 0), 6) AS final_score FROM items i FULL JOIN hits h ON i.chunk_id = h.chunk_id""")
+    round(CASE WHEN rid IS NULL THEN 0 ELSE 0.4 END + 0.4 * coalesce(score, 0) + 0.2 * coalesce(c, 0), 6) AS final_score FROM items i FULL JOIN hits h ON i.chunk_id = h.chunk_id"""
+
+
+def _ranked(g: Graph, found: retrieval.Hybrid) -> DataFrame:
+    scores = ("vector_score", "confidence", "final_score")
+    return retrieval.rank(g, found).select("relationship_id", "chunk_id", "text", "graph_score", *[F.round(c, 6).alias(c) for c in scores])
+
+
+@query(_ranked_sql("SELECT vec_id, list_transform(v, lambda x: CAST(1 AS DOUBLE)) AS v FROM vecs ORDER BY vec_id LIMIT 1", f"s IN ({NAMED_SQL}) OR t IN ({NAMED_SQL})", 10))
+def hybrid_retrieve(spark, sf_dir):
+    """A question by both ways; its embedding is a vector of ones."""
+    g, store = property_graph(spark, sf_dir), vectors(spark, sf_dir)
+    size = len(_first_vector(store))
+    return _ranked(g, retrieval.retrieve_hybrid(g, store, QUESTION, lambda text: [1.0] * size, 1, 10))
+
+
+@query(f"""WITH {VECTORS_SQL} SELECT 'vec_' || b.vec_id AS id, round({COSINE}, 6) AS score FROM (SELECT list_transform(v, lambda x: CAST(1 AS DOUBLE)) AS v FROM vecs ORDER BY vec_id LIMIT 1) a, vecs b ORDER BY {COSINE} DESC, b.vec_id LIMIT 10""")
+def vector_retrieve(spark, sf_dir):
+    store = vectors(spark, sf_dir)
+    size = len(_first_vector(store))
+    return search.retrieve(store, QUESTION, lambda text: [1.0] * size, 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(_ranked_sql("SELECT * FROM vecs ORDER BY vec_id LIMIT 1", "s = 'supplier_1' OR t = 'supplier_1'", 50))
 def hybrid_rank(spark, sf_dir):
     g, store = property_graph(spark, sf_dir), vectors(spark, sf_dir)
     found = retrieval.Hybrid(traversal.bfs_subgraph(g, "supplier_1", 1), search.search(store, _first_vector(store), 50))
-    scores = ("vector_score", "confidence", "final_score")
-    return retrieval.rank(g, found).select("relationship_id", "chunk_id", "text", "graph_score", *[F.round(c, 6).alias(c) for c in scores])
+    return _ranked(g, found)
+
+
+@query()
+def index_recall(spark, sf_dir):
+    """The cell index's ten nearest of every 50th vector: how many of them the exact search finds as well, per query."""
+    rows = read(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0")
+    found = search.index_search(search.build_index(rows), asked, 10).select("query_id", "id")
+    exact = search.batch_search(rows, asked, 10).select("query_id", "id", F.lit(1).alias("right"))
+    return found.join(exact, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("right").alias("n_right"))

@@ -8,14 +8,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: list[str] = []
+
 
 def written_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local master without one uses the temporary folder."""
+    """A new path in the folder that spark.checkpoint.dir names, which all executors share.
+
+    A local master without that setting uses the temporary folder; any other master must name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = re.match(r"local(\[|$)", spark.sparkContext.master)
-        base = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    _paths.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
@@ -23,3 +30,12 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = written_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes what this process has written so; for when no result is read any more. Returns the number of tables."""
+    jvm, n = spark._jvm, len(_paths)
+    while _paths:
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
