@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from lodestone.config import Settings
 from lodestone.functions.vectors import cosine_similarity
@@ -74,6 +76,7 @@ def batch_search(store: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     """
     pick = store.select(id_col, F.col(vector).cast("array<double>").alias("v"))
     kind = store.schema[id_col].dataType.simpleString()
+    arrow = to_arrow_type(store.schema[id_col].dataType)
     out = None
     for ids, matrix in _blocks(queries, id_col, vector, block):
         given = store.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -93,7 +96,7 @@ def batch_search(store: DataFrame, queries: DataFrame, k: int = 10, id_col: str
                 best_score, best_id = np.take_along_axis(scores, rank, 1), np.take_along_axis(found, rank, 1)
             if best_id is not None:
                 n = best_id.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(query_ids), n)), pa.array(best_id.ravel()), pa.array(best_score.ravel())], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(query_ids), n), arrow), pa.array(best_id.ravel(), arrow), pa.array(best_score.ravel())], names=["query_id", "id", "score"])
 
         part = pick.mapInArrow(run, f"query_id {kind}, id {kind}, score double")
         out = part if out is None else out.unionByName(part)
@@ -151,20 +154,21 @@ def index_search(index: CellIndex, queries: DataFrame, k: int = 10, probes: int
     asked = queries.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asked = _filed(asked, index.centres, probes).select(F.col("id").alias("query_id"), F.col("v").alias("q"), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     filed = index.rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    kinds = (asked.schema["query_id"].dataType.simpleString(), filed.schema["id"].dataType.simpleString())
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", filed.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
 
     def run(key, left, right):
         a, b = (np.array(t.column(c).to_pylist(), np.float64) for t, c in ((left, "v"), (right, "q")))
         if not len(a) or not len(b):
-            return pa.table({"query_id": right.column("query_id").slice(0, 0), "id": left.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+            return arrow.empty_table()
         ids, query_ids, out = np.array(left.column("id")), np.array(right.column("query_id")), []
         unit = _unit(a)
         for s in range(0, len(b), 512):
             scores = _unit(b[s : s + 512]) @ unit.T
             best = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
             out.append((np.repeat(query_ids[s : s + 512], best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "id", "score"])
+        return pa.table([pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
-    found = filed.groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    found = filed.groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(run, schema)
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

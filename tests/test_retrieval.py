@@ -63,7 +63,7 @@ def test_hybrid(spark):
     assert ids(typed.entities) == {"FastAPI", "Pydantic", "Starlette"}
     chunks = spark.createDataFrame([(f"c{i}", p) for i, p in enumerate(PARAGRAPHS)], "id string, text string")
     lines = retrieval.context(x, retrieval.rank(x, found), chunks, QUESTION, 2).collect()
-    assert [r.section for r in lines] == ["QUESTION", "GRAPH FACTS", "GRAPH FACTS", "SOURCE"] and lines[1].line == "FastAPI USES Pydantic"
+    assert [r.section for r in lines] == ["QUESTION", "GRAPH FACTS", "GRAPH FACTS", "SOURCE", "PROVENANCE"] and lines[1].line == "FastAPI --USES--> Pydantic"
 
 
 def test_rank_edge_cases(spark):
