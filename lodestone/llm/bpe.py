@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import unused
 from lodestone.llm.fst_tokens import END, classes, piece_starts, stretches
 
 #: Pieces whose tokens a worker keeps (and as many that it kept before), bytes of new ones that one query encodes, and tokens that one decodes.
@@ -213,7 +214,7 @@ def codec(path: str) -> Codec:
 def with_ids(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df's columns but for the text, and the token ids as array<int>."""
     keep = [f for f in df.schema.fields if f.name not in (text, out)]
-    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias("_text"))
+    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias(unused(df, "_text")))
     schema = T.StructType([*keep, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
@@ -233,7 +234,7 @@ def with_ids(df: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 def with_text(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """df's columns but for the ids, and the text that they decode to (ids null: null)."""
     keep = [f for f in df.schema.fields if f.name not in (ids, out)]
-    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(ids).alias("_ids"))
+    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(ids).alias(unused(df, "_ids")))
     schema = T.StructType([*keep, T.StructField(out, T.StringType())])
 
     def run(batches):
@@ -252,7 +253,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df's columns but for the text, and of its encoding and decoding: n_tokens, ids_sha256, decoded_sha256."""
     new = ("n_tokens", "ids_sha256", "decoded_sha256")
     keep = [f for f in df.schema.fields if f.name != text and f.name not in new]
-    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias("_text"))
+    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias(unused(df, "_text")))
     schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     digest = lambda data: hashlib.sha256(data).hexdigest()
 

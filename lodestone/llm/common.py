@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.scratch import written
+
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -22,26 +20,21 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share.
+def as_row(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """df's columns as one struct: whatever their names, none meets an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in (columns or df.columns)])
+
 
-    The cluster names the parent in spark.checkpoint.dir. Without that setting a local master uses the system's
-    temporary folder and any other master the warehouse.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if re.match(r"local(\[|$)", spark.sparkContext.master):
-            base = tempfile.mkdtemp(prefix="spark-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a result that is used more than once, and go on from the written table: lost executors redo no lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

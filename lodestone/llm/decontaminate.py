@@ -32,6 +32,8 @@ Q, RATE, SEGMENT = 8, 0.1, 120
 BLOCK_CHARS = 2_000_000
 #: Characters of text that are searched at a time.
 PIECE_CHARS = 2_000_000
+#: Pairs of equal q-grams that are counted at a time: text with more is searched in halves.
+POSTINGS = 4_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BITMAP_BITS = 22
 
@@ -147,6 +149,9 @@ def search(texts: list[str], index: Index, q: int = Q) -> Iterator[tuple]:
     total = int(counts.sum())
     if not total:
         return
+    if total > POSTINGS and (len(texts) > 1 or len(texts[0]) > 16 * SEGMENT):
+        yield from _halves(texts, index, q)
+        return
     # Every posting of every hit.
     postings = np.repeat(index.first[where] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
     places = np.repeat(hits, counts)
@@ -194,6 +199,24 @@ def search(texts: list[str], index: Index, q: int = Q) -> Iterator[tuple]:
         yield d0, index.items[s0], index.offsets[s0], e0, max(0, stop - length), stop
 
 
+def _halves(texts: list[str], index: Index, q: int) -> Iterator[tuple]:
+    """search() in two parts: of the texts, or of the only text, whose halves overlap by more than any stretch."""
+    if len(texts) > 1:
+        half = len(texts) // 2
+        yield from search(texts[:half], index, q)
+        for n, *rest in search(texts[half:], index, q):
+            yield n + half, *rest
+        return
+    half = len(texts[0]) // 2
+    best: dict[tuple, tuple] = {}
+    for at, part in ((0, texts[0][: half + 4 * SEGMENT]), (half, texts[0][half:])):
+        for _, item, segment, edits, start, end in search([part], index, q):
+            if (item, segment) not in best or (edits, at + end) < (best[item, segment][0], best[item, segment][2]):
+                best[item, segment] = (edits, at + start, at + end)
+    for (item, segment), found in sorted(best.items()):
+        yield 0, item, segment, *found
+
+
 def blocks_of(benchmark: DataFrame, id_col: str, text: str, block_chars: int) -> Iterator[list[tuple]]:
     """The items in blocks of about block_chars characters each."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text).alias("t")).where("t is not null")
@@ -203,7 +226,7 @@ def blocks_of(benchmark: DataFrame, id_col: str, text: str, block_chars: int) ->
         yield [(r["id"], r["t"]) for r in items.where(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == b).collect()]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_CHARS, overlap: int = 4 * SEGMENT) -> Iterator[list[tuple[int, int, str]]]:
+def pieces(batch: pa.RecordBatch, column: str | int, most: int = PIECE_CHARS, overlap: int = 4 * SEGMENT) -> Iterator[list[tuple[int, int, str]]]:
     """Lists of about `most` characters of (row, place in its normal text, normal text). Longer texts come in overlapping slices."""
     size, out = 0, []
     for row, value in enumerate(batch.column(column)):
@@ -218,7 +241,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_CHARS, overlap:
         yield out
 
 
-def search_rows(batch: pa.RecordBatch, column: str, index: Index | None) -> list[tuple]:
+def search_rows(batch: pa.RecordBatch, column: str | int, index: Index | None) -> list[tuple]:
     """What search() finds, by row of the batch; of a text in slices, the stretch with the fewest edits."""
     found: dict[tuple, tuple] = {}
     for piece in pieces(batch, column) if index else ():
@@ -245,7 +268,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 
         def run(batches, index=index):
             for batch in batches:
-                found = search_rows(batch, "_text", index.value)
+                found = search_rows(batch, batch.num_columns - 1, index.value)
                 if found:
                     ids = batch.column(0).take(pa.array([f[0] for f in found]))
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(types, 1))], names=schema.names)

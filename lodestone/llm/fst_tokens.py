@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import unused
+
 #: Classes of characters.
 LETTER, NUMBER, BLANK, SPACE, OTHER, QUOTE, S_T_M_D, R, E, V, L = range(11)
 N_CLASSES = 11
@@ -305,7 +307,7 @@ def with_token_counts(df: DataFrame, path: str, text: str = "text", limit: int =
     """df's columns but for the text, and n_bytes, n_tokens and over_limit. An extra column of these names is replaced."""
     new = ("n_bytes", "n_tokens", "over_limit")
     keep = [f for f in df.schema.fields if f.name != text and f.name not in new]
-    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.col(text).alias("_text"))
+    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.col(text).alias(unused(df, "_text")))
     schema = T.StructType([*keep, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestone.llm.common import materialize, words_of
+from lodestone.llm.common import as_row, materialize, words_of
 
 MIN_WORDS, GRAM_WORDS = 50, 25
 KEY = ("_d_id", "_d_hash")
@@ -94,13 +94,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_w
     """df with the lines of later repeated runs deleted from its text, and their numbers (from 0) as a new column."""
     gone = removals(df, id_col, text, min_words, gram_words)
     columns = [c for c in df.columns if c != removed]
-    keyed = df.select(*[F.col(f"`{c}`") for c in columns]).withColumns(_keys(id_col, text)).alias("d")
+    keyed = df.select(as_row(df, columns).alias("row"), *[c.alias(k) for k, c in _keys(id_col, text).items()]).alias("d")
     same = F.col("d._d_id").eqNullSafe(F.col("r._d_id")) & (F.col("d._d_hash") == F.col("r._d_hash"))
-    out = keyed.join(gone.alias("r"), same, "left").select(*[F.col(f"d.`{c}`") for c in columns], F.coalesce("r.removed", F.array().cast("array<int>")).alias("_d_removed"))
-    lines = F.split(F.col(text), "\n")
+    out = keyed.join(gone.alias("r"), same, "left").select("row", F.coalesce("r.removed", F.array().cast("array<int>")).alias("_d_removed"))
+    whole = F.col("row").getField(text)
+    lines = F.split(whole, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_d_removed")
     # Line numbers first and lines after, so that the split text is not made again for each line.
     out = out.withColumn("_d_lines", F.when(F.size("_d_removed") > 0, lines)).withColumn("_d_kept", F.when(F.size("_d_removed") > 0, kept))
     cleaned = F.array_join(F.transform("_d_kept", lambda i: F.coalesce(F.get("_d_lines", i), F.lit(""))), "\n")
-    out = out.withColumn("_d_text", F.when(F.size("_d_removed") > 0, cleaned).otherwise(F.col(text)))
-    return out.select(*[F.col("_d_text").alias(c) if c == text else F.col(f"`{c}`") for c in columns], F.col("_d_removed").alias(removed))
+    out = out.withColumn("_d_text", F.when(F.size("_d_removed") > 0, cleaned).otherwise(whole))
+    return out.select(*[F.col("_d_text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns], F.col("_d_removed").alias(removed))

@@ -8,11 +8,13 @@ whether the token looks drawn evenly from that alphabet:
 * runs: does the sequence cross the alphabet's middle as often as chance does;
 * serial correlation: does a symbol say anything about the next one.
 
-A token that any of the three refuses is ordinary. The other side of the decision is how surprising the token would be
+The least of the three p-values, times three, is the token's fit. Benjamini and Hochberg's procedure over the fits of all candidates says
+which tokens are not drawn evenly, with a bounded share of wrong refusals; these are ordinary. The other side of the decision is how surprising the token would be
 in ordinary text, where neighbours seldom differ in kind (small letter, capital, digit): Chernoff's bound on the number
 of changes of kind is the token's p-value. It depends on the length, so short tokens need a higher rate of changes.
-Benjamini and Hochberg's procedure over all candidates of the scan bounds the share of false finds. P-values are
-rounded up to a grid of fixed size, so one small histogram finds the threshold.
+The same procedure over these p-values bounds the share of false finds among the candidates. P-values are
+rounded up to a grid of fixed size, so two small histograms find the thresholds. Tokens whose characters are of one kind (digits, or letters
+of one case) never change kind: they are no finds, since nothing tells them from numbers and long words.
 
 Spans are in code points, end exclusive. A null text is empty and has no spans. Rows with equal ids are scanned one by
 one, extra columns are left out, and an empty table gives an empty result.
@@ -47,10 +49,8 @@ ENCODINGS = (
 )
 #: In ordinary text at most this share of neighbours differ in kind.
 ORDINARY_CHANGES = 0.05
-#: A test refuses "random" below this p-value.
-REFUSE = 0.001
-#: Share of false finds that is allowed.
-FALSE_SHARE = 0.01
+#: Shares that are allowed: of keys among the tokens refused as ordinary, and of false finds.
+REFUSED_SHARE, FALSE_SHARE = 0.01, 0.01
 #: Steps of the p-value grid per factor of ten, and its end.
 GRID, GRID_END = 20, 30
 SPAN = "struct<start:int,end:int,m:string>"
@@ -200,28 +200,29 @@ def discovery_step(histogram: list[tuple[int, int]], share: float = FALSE_SHARE)
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", share: float = FALSE_SHARE) -> DataFrame:
     """One row per document: id, base and found, both array<struct<start, rank, end>> in order; rank is the kind's place in KINDS."""
     t = F.col("_t")
-    rows = df.select(F.col(id_col), text_of(text).alias("_t"))
+    rows = df.select(F.col(id_col).alias("_id"), text_of(text).alias("_t"))
     group2 = lambda s: F.length(F.regexp_extract(s["m"], ASSIGN, 2)) >= 12
     ranked = lambda spans, rank: F.transform(spans, lambda s: F.struct(s["start"], F.lit(rank).alias("rank"), s["end"]))
     rows = rows.select(
-        id_col,
+        "_id",
         ranked(F.filter(match_spans(t, ASSIGN), group2), 0).alias("a"),
         ranked(match_spans(t, ACCESS), 1).alias("k"),
         ranked(match_spans(t, HEX), 2).alias("h"),
         match_spans(t, CANDIDATE).alias("c"),
     )
-    rows = rows.select(id_col, F.sort_array(F.concat("a", "k", "h")).alias("base"), "c")
+    rows = rows.select("_id", F.sort_array(F.concat("a", "k", "h")).alias("base"), "c")
     apart = F.filter("c", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = rows.select(id_col, "base", apart.alias("c"))
+    rows = rows.select("_id", "base", apart.alias("c"))
     judged = F.transform(
-        "c", lambda s: F.struct(s["start"], s["end"], p_random(s["m"]).alias("fit"), grid_step(p_ordinary(s["m"])).alias("step"))
+        "c", lambda s: F.struct(s["start"], s["end"], grid_step(p_random(s["m"])).alias("fit"), grid_step(p_ordinary(s["m"])).alias("step"))
     )
-    rows = materialize(rows.select(id_col, "base", F.filter(judged, lambda s: s["fit"].isNotNull()).alias("c")), "secrets")
-    # At most GRID * GRID_END + 1 rows, whatever the corpus.
-    histogram = rows.select(F.explode("c.step").alias("step")).groupBy("step").agg(F.count("*").alias("n")).collect()
-    least = discovery_step([(r["step"], r["n"]) for r in histogram], share)
-    found = F.filter("c", lambda s: (s["fit"] >= REFUSE) & (s["step"] >= least))
-    return rows.select(id_col, "base", F.sort_array(F.concat("base", ranked(found, 3))).alias("found"))
+    rows = materialize(rows.select("_id", "base", F.filter(judged, lambda s: s["fit"].isNotNull()).alias("c")), "secrets")
+    # At most GRID * GRID_END + 1 rows of either kind, whatever the corpus.
+    steps = F.explode(F.flatten(F.transform("c", lambda s: F.array(F.struct(F.lit("fit").alias("kind"), s["fit"].alias("at")), F.struct(F.lit("step").alias("kind"), s["step"].alias("at"))))))
+    histogram = rows.select(steps.alias("s")).groupBy("s.kind", "s.at").agg(F.count("*").alias("n")).collect()
+    refused, least = (discovery_step([(r["at"], r["n"]) for r in histogram if r["kind"] == kind], part) for kind, part in (("fit", REFUSED_SHARE), ("step", share)))
+    found = F.filter("c", lambda s: (s["fit"] < refused) & (s["step"] >= least))
+    return rows.select(F.col("_id").alias(id_col), "base", F.sort_array(F.concat("base", ranked(found, 3))).alias("found"))
 
 
 def render(spans: Column) -> Column:

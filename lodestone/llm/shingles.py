@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import simhash
-from lodestone.llm.common import materialize
+from lodestone.llm.common import as_row, materialize, unused
 from lodestone.llm.components import connected_components
 
 SIZE, LEAST, BANDS, ROWS = 5, 0.8, 32, 4
@@ -59,11 +59,11 @@ def bands(text: str | None, size: int = SIZE) -> list[int]:
 def with_prints(df: DataFrame, text: str, size: int = 4) -> DataFrame:
     """df's columns but for the text, the fingerprint fp and the bands."""
     keep = [f for f in df.schema.fields if f.name != text]
-    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias("_text"))
+    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias(unused(df, "_text")))
 
     def run(batches):
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("_text")]
+            texts = [t.as_py() for t in batch.columns[-1]]
             fps = np.fromiter((simhash.fingerprint(t, size) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps), pa.array(map(bands, texts), pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "fp", "bands"])
 
@@ -95,7 +95,6 @@ def _labelled(keyed: DataFrame, edges: DataFrame) -> DataFrame:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, one of each component: the one with the least id (and hash of its text, where ids repeat)."""
-    columns = df.columns
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
     prints = materialize(with_prints(df.select(F.col(text), key.alias("_key")), text), "fingerprints")
     edges = materialize(simhash.fingerprint_links(prints.select("fp").distinct()), "links")
@@ -114,5 +113,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     edges = edges.unionByName(_checked(near.select("h", "fp", "h2", "fp2"), texts))
 
     keys = simhash.named(prints.drop("bands"), "_key", edges).select(F.col("component_id").alias("_key")).distinct()
-    out = df.withColumn("_key", key).join(keys, "_key", "left_semi").dropDuplicates(["_key"])
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    return df.select(as_row(df).alias("row"), key.alias("_key")).join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select("row.*")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import as_row, materialize, unused
 from lodestone.llm.components import connected_components
 
 BITS, RADIUS, SEED = 64, 4, 42
@@ -62,11 +62,11 @@ def fingerprint(text: str | None, size: int = 4) -> int:
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", size: int = 4) -> DataFrame:
     """df's columns but for the text, and the fingerprint as a signed 64-bit number."""
     keep = [f for f in df.schema.fields if f.name not in (text, out)]
-    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias("_text"))
+    rows = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text).alias(unused(df, "_text")))
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column("_text")), np.uint64, batch.num_rows).view(np.int64)
+            fps = np.fromiter((fingerprint(t.as_py(), size) for t in batch.columns[-1]), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*batch.schema.names[:-1], out])
 
     return rows.mapInArrow(run, T.StructType([*keep, T.StructField(out, T.LongType())]))
@@ -223,9 +223,7 @@ def _named(prints: DataFrame, least: DataFrame, edges: DataFrame) -> DataFrame:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = 4) -> DataFrame:
     """The rows of df, one of each component: the one with the least id (and hash of its text, where ids repeat)."""
-    columns = df.columns
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
     prints = materialize(with_fingerprint(df.select(F.col(text), key.alias("_key")), text, "fp", size), "fingerprints")
     keys = with_component(prints, "_key", radius).select(F.col("component_id").alias("_key")).distinct()
-    out = df.withColumn("_key", key).join(keys, "_key", "left_semi").dropDuplicates(["_key"])
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    return df.select(as_row(df).alias("row"), key.alias("_key")).join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select("row.*")

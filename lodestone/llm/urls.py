@@ -16,10 +16,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import as_row
+
 TOKEN = "[^a-z0-9]+"
 RULE_SCHEMA = "rule string, pattern string, verdict string, priority int, tokens array<string>"
 #: The index is broadcast up to this many rules; beyond it Spark joins by shuffling.
 BROADCAST_RULES = 20_000
+#: Tasks that share the rows of one URL when verdicts are joined back; only URLs that a rule fits have verdicts to deal out.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -84,7 +88,7 @@ def filter_urls(df: DataFrame, rules, url: str = "url", default: str = "allow")
     rules = list(rules)
     frame = rule_frame(spark, rules)
     own = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    df = df.select(*[F.col(f"`{c}`") for c in own]).withColumn("_u_key", F.coalesce(F.col(url), F.lit("")))
+    df = df.select(as_row(df, own).alias("row"), F.coalesce(F.col(url), F.lit("")).alias("_u_key"))
     subject = F.concat(F.col("host"), F.col("path"))
     different = (
         df.select("_u_key").distinct().withColumn("host", host_of(F.col("_u_key"))).withColumn("path", path_of(F.col("_u_key")))
@@ -106,5 +110,9 @@ def filter_urls(df: DataFrame, rules, url: str = "url", default: str = "allow")
         .agg(F.max(F.struct("priority", F.coalesce("rule", F.lit("")).alias("named"), "rule", "verdict")).alias("best"))
         .select("_u_key", "best.rule", "best.verdict")
     )
-    judged = df.join(best, "_u_key", "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-    return judged.select(*[F.col(f"`{c}`") for c in own], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), "rule", "verdict")
+    # A URL may stand in a third of all rows: its verdict is dealt to SALTS tasks.
+    df = df.withColumn("_u_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    best = best.withColumn("_u_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_u_salt", F.col("_u_salt").cast("long"))
+    judged = df.join(best, ["_u_key", "_u_salt"], "left")
+    place = F.col("row").getField(url)
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in own], host_of(place).alias("host"), path_of(place).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

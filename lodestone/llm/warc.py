@@ -1,7 +1,7 @@
 """WARC records, and a Merkle audit of their fixity across replicas.
 
-The audit hashes every record, builds a tree of hashes over the ordered offset ranges of each file, compares the
-replicas' roots, and joins only the children of nodes that differ, down to the records. Two intact replicas cost one
+The audit hashes every record, builds a tree of hashes over the ordered offset ranges of each file and writes its levels. It compares the
+replicas' roots, and reads only the children of nodes that differ, down to the records. Two intact replicas cost one
 comparison of roots; a damaged one costs a path per damaged record.
 
 Files hold a bounded number of records: a file number that more rows share is cut into parts by a hash, and equal
@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestone.llm.common import materialize
+from lodestone.scratch import written, written_path
 
 END = "\r\n\r\n"
 FANOUT = 16
 FILE_RECORDS = 1024
 FILE = ("file", "part")
+#: Parts in which a level is written.
+BUCKETS = 32
 
 
 def record(url: Column, body: Column) -> Column:
@@ -105,11 +107,30 @@ def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     ).withColumnRenamed("up", "node")
 
 
-def tree(records: DataFrame, levels: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Leaves first, roots last."""
-    out = [records]
+class Level:
+    """One level of a tree, written in BUCKETS parts by a hash of the file, so that a search reads the parts with differing files only."""
+
+    def __init__(self, nodes: DataFrame, name: str):
+        self.spark, self.path = nodes.sparkSession, written_path(nodes.sparkSession, name)
+        placed = nodes.withColumn("bucket", F.pmod(F.xxhash64(*FILE), F.lit(BUCKETS)).cast("int"))
+        placed.repartition(BUCKETS, "bucket").write.partitionBy("bucket").parquet(self.path)
+        self.schema = placed.schema
+        self.nodes = self.spark.read.schema(self.schema).parquet(self.path)
+
+    def parent(self, fanout: int) -> Level:
+        return Level(parents(self.nodes, fanout), "level")
+
+    def under(self, wanted: DataFrame, buckets: list[int], fanout: int) -> DataFrame:
+        """The nodes whose parent is wanted, from the buckets named."""
+        on = [F.col(f"n.{k}").eqNullSafe(F.col(f"w.{k}")) for k in FILE] + [F.floor(F.col("n.node") / fanout) == F.col("w.node")]
+        return self.nodes.where(F.col("bucket").isin(buckets)).alias("n").join(wanted.alias("w"), on, "left_semi").drop("bucket")
+
+
+def tree(records: DataFrame, levels: int, fanout: int = FANOUT) -> list[Level]:
+    """Leaves first, roots last; each level is made from the written one below it."""
+    out = [Level(records, "leaves")]
     for _ in range(levels):
-        out.append(parents(out[-1], fanout))
+        out.append(out[-1].parent(fanout))
     return out
 
 
@@ -133,21 +154,21 @@ def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """The records of a (the master) and b that differ: file, part, node, id, start, end, problem. a, b: leaves()."""
-    a, b = materialize(a, "leaves"), materialize(b, "leaves")
-    most = max(x.agg(F.max("node")).first()[0] or 0 for x in (a, b))
+    """The records of a (the master) and b that differ: file, part, node, id, start, end, problem. a, b: leaves().
+
+    Roots are compared first; below, only the children of differing nodes are read.
+    """
+    trees = [tree(x, 0, fanout) for x in (a, b)]
+    most = max(t[0].nodes.agg(F.max("node")).first()[0] or 0 for t in trees)
     levels = 1
     while fanout**levels <= most:
         levels += 1
-    trees = [tree(x, levels, fanout) for x in (a, b)]
-    below = [t[levels] for t in trees]
+    for t in trees:
+        for _ in range(levels):
+            t.append(t[-1].parent(fanout))
+    below = [t[levels].nodes.drop("bucket") for t in trees]
     for level in range(levels - 1, -1, -1):
-        found = _different(*below)
-        below = [_under(t[level], found, fanout) for t in trees]
+        found = written(_different(*below), "differing")
+        buckets = [r[0] for r in found.select(F.pmod(F.xxhash64(*FILE), F.lit(BUCKETS)).cast("int")).distinct().collect()]  # BUCKETS at most
+        below = [t[level].under(found, buckets, fanout) for t in trees]
     return reconcile(*below)
-
-
-def _under(nodes: DataFrame, wanted: DataFrame, fanout: int) -> DataFrame:
-    """The nodes whose parent is wanted."""
-    on = [F.col(f"n.{k}").eqNullSafe(F.col(f"w.{k}")) for k in FILE] + [F.floor(F.col("n.node") / fanout) == F.col("w.node")]
-    return nodes.alias("n").join(wanted.alias("w"), on, "left_semi")

@@ -54,42 +54,20 @@ def secrets(text):
     return [sum(1 for x in spans if x[1] == k) for k in range(3)], hashlib.sha256(joined.encode()).hexdigest(), joined
 
 
-def dedup_lines(docs, min_words=50, gram_words=25, hash_of=None):
-    """{key: line numbers to delete}: every fingerprint against the first one with an equal gram, extended line by line.
+def dedup_lines(docs, min_words=50):
+    """{key: line numbers to delete}: runs of at least min_words words that any earlier place has as well, by comparing every pair of equal lines.
 
-    docs: {key: text}, with keys in the order of documents. hash_of gives a gram's rank; any order of grams is a valid
-    choice of window minima.
+    docs: {key: text}, with keys in the order of documents. A line counts for min_words words at most.
     """
-    lines = {k: [(i, x.strip(" \t\r"), min(min_words, len(WORD.findall(x)))) for i, x in enumerate(t.split("\n")) if WORD.search(x)] for k, t in docs.items() if t is not None}
-    prints, starts = [], {}
-    for key in sorted(lines):
-        rows = lines[key]
-        at = starts[key] = [sum(n for _, _, n in rows[:i]) for i in range(len(rows))]
-        total = sum(n for _, _, n in rows)
-        grams = []
-        for i in range(len(rows)):
-            run = [r for r, a in zip(rows[i:], at[i:]) if a < at[i] + gram_words]
-            grams.append(tuple(r[1] for r in run) if sum(r[2] for r in run) >= gram_words else None)
-        for i in range(len(rows)):
-            if total - at[i] >= min_words:
-                window = [(hash_of(grams[j]), -at[j], j) for j in range(i, len(rows)) if at[j] <= at[i] + min_words - gram_words and grams[j] is not None]
-                j = min(window)[2]
-                prints.append((grams[j], key, j))
-    first, gone = {}, {}
-    for gram, key, i in sorted(set(prints), key=lambda p: p[1:]):
-        if gram not in first:
-            first[gram] = (key, i)
-            continue
-        k0, i0 = first[gram]
-        mine, other = lines[key], lines[k0]
-        a = 0
-        at, at0, most = starts[key], starts[k0], 2 * min_words
-        while a < i and a < i0 and max(at[i] - at[i - a - 1], at0[i0] - at0[i0 - a - 1]) <= most and mine[i - a - 1][1] == other[i0 - a - 1][1]:
-            a += 1
-        b = 0
-        while i + b < len(mine) and i0 + b < len(other) and max(at[i + b] - at[i], at0[i0 + b] - at0[i0]) <= most and mine[i + b][1] == other[i0 + b][1]:
-            b += 1
-        run = mine[i - a : i + b]
-        if sum(n for _, _, n in run) >= min_words:
-            gone.setdefault(key, set()).update(r[0] for r in run)
+    rows = [(k, i, x.strip(" \t\r"), min(min_words, len(WORD.findall(x)))) for k in sorted(docs) if docs[k] is not None for i, x in enumerate(docs[k].split("\n")) if WORD.search(x)]
+    places, gone = {}, {}
+    for a, (_, _, line, _) in enumerate(rows):
+        for b in places.setdefault(line, []):
+            n = size = 0
+            while a + n < len(rows) and rows[a + n][2] == rows[b + n][2] and rows[a + n][0] == rows[a][0] and rows[b + n][0] == rows[b][0]:
+                size += rows[a + n][3]
+                n += 1
+            if size >= min_words:
+                gone.setdefault(rows[a][0], set()).update(r[1] for r in rows[a : a + n])
+        places[line].append(a)
     return gone

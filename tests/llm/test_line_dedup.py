@@ -1,33 +1,12 @@
 import random
 
-from pyspark.sql import functions as F
-
 from lodestone.llm import line_dedup, queries
 from tests.llm import brute
 
 
-def gram_hash(spark, docs, gram_words=25):
-    """The operator's hash of every gram of the documents, so that the plain version picks the same window minima."""
-    lines = {x.strip(" \t\r") for t in docs.values() if t for x in t.split("\n")}
-    hashed = {r.line: r.h for r in spark.createDataFrame([(x,) for x in lines] or [("",)], "line string").withColumn("h", F.xxhash64("line")).collect()}
-    grams = set()
-
-    def ask(gram):
-        grams.add(gram)
-        return 0
-
-    brute.dedup_lines(docs, gram_words=gram_words, hash_of=ask)
-    if not grams:
-        return lambda g: 0
-    order = sorted(grams)
-    rows = spark.createDataFrame([(i, [hashed[x] for x in g]) for i, g in enumerate(order)], "i int, a array<long>").withColumn("h", F.xxhash64("a")).collect()
-    found = {order[r.i]: r.h for r in rows}
-    return found.__getitem__
-
-
 def check(spark, docs):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    want = brute.dedup_lines(docs, hash_of=gram_hash(spark, docs))
+    want = brute.dedup_lines(docs)
     rows = line_dedup.dedup_lines(df).collect()
     assert len(rows) == len(docs)
     for r in rows:
@@ -83,26 +62,11 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    want = brute.dedup_lines(docs, hash_of=gram_hash(spark, docs))
+    want = brute.dedup_lines(docs)
     rows = queries.op8_line_dedup(spark, sf_dir).collect()
     assert {r.doc_id: {int(x) for x in r.removed_lines.split(",")} for r in rows if r.n_removed} == want
 
 
-def plain_removals(docs, min_words=50):
-    """{key: line numbers}: runs of min_words or more words that any earlier place has, by comparing all pairs of lines."""
-    rows = [(k, i, x.strip(" \t\r"), min(min_words, len(x.split()))) for k in sorted(docs) for i, x in enumerate(docs[k].split("\n")) if x.split()]
-    gone = {}
-    for a in range(len(rows)):
-        for b in range(a):
-            n, size = 0, 0
-            while a + n < len(rows) and rows[a + n][2] == rows[b + n][2] and rows[a + n][0] == rows[a][0] and rows[b + n][0] == rows[b][0]:
-                size += rows[a + n][3]
-                n += 1
-            if size >= min_words:
-                gone.setdefault(rows[a][0], set()).update(r[1] for r in rows[a : a + n])
-    return gone
-
-
 def removed(spark, docs):
     rows = line_dedup.dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
     return {r.doc_id: set(r.removed_lines) for r in rows if r.removed_lines}
@@ -112,12 +76,20 @@ def test_later_places_besides_the_first(spark):
     rng = random.Random(5)
     x, y = words(rng, 30), words(rng, 30)
     docs = {1: "\n".join((words(rng, 40), x, words(rng, 40))), 2: "\n".join((words(rng, 20), x, y)), 3: "\n".join((words(rng, 35), x, y))}
-    assert removed(spark, docs) == plain_removals(docs) == {3: {1, 2}}
+    assert removed(spark, docs) == brute.dedup_lines(docs) == {3: {1, 2}}
 
 
 def test_all_earlier_places(spark):
     rng = random.Random(11)
     pool = [words(rng, rng.choice((1, 3, 9, 18, 26, 30, 55))) for _ in range(9)] + [""]
     docs = {d: "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for d in range(80)}
-    want = plain_removals(docs)
+    want = brute.dedup_lines(docs)
     assert want and removed(spark, docs) == want
+
+
+def test_clashing_names(spark):
+    rng = random.Random(3)
+    text = words(rng, 70)
+    df = spark.createDataFrame([(1, text, "a", "b", "c"), (2, "x\n" + text, "a", "b", "c")], "doc_id long, text string, _d_id string, row string, _d_hash string")
+    rows = line_dedup.dedup_lines(df).collect()
+    assert {(r.doc_id, r.text, r._d_id, r.row, r._d_hash) for r in rows} == {(1, text, "a", "b", "c"), (2, "x", "a", "b", "c")}

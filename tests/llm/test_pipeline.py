@@ -4,8 +4,7 @@ import corpus_pipeline
 from lodestone.llm import bpe, decontaminate, quality
 from tests.llm import brute
 from tests.llm.test_decontaminate import sellers
-from tests.llm.test_line_dedup import gram_hash
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_shingles import plain_kept
 
 
 def test_stages_against_plain_versions(spark, sf_dir):
@@ -20,7 +19,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert {r.doc_id: r.text for r in rows} == want and 0 < len(want) < len(texts)
 
     docs = spark.createDataFrame(rows, docs.schema)
-    gone = brute.dedup_lines(want, hash_of=gram_hash(spark, want))
+    gone = brute.dedup_lines(want)
     cut = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in want.items()}
     want = {d: t for d, t in cut.items() if brute.WORD.search(t) or d not in gone}
     out = corpus_pipeline.line_stage(spark, docs, sf_dir)
@@ -29,8 +28,8 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert all(r.n_chars == len(r.text) for r in rows)
 
     docs = spark.createDataFrame(rows, docs.schema)
-    component = brute_components([(d, brute_fingerprint(t)) for d, t in want.items()])
-    want = {d: t for d, t in want.items() if component[d] == d}
+    kept, _ = plain_kept(want)
+    want = {d: t for d, t in want.items() if d in kept}
     out = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir)
     rows = out.collect()
     assert out.columns == docs.columns and {r.doc_id: r.text for r in rows} == want
@@ -62,3 +61,18 @@ def test_stages_against_plain_versions(spark, sf_dir):
 
     whole = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, got))
+
+
+def test_odd_rows(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (None, good + " end", None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, f"other text {good[::-1]}", "en", "s", 1)]
+    for frame in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        docs = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, sf_dir)
+            assert docs.columns == corpus_pipeline.COLUMNS
+        got = corpus_pipeline.encoding_stage(spark, docs, sf_dir).collect()
+        assert sorted(r.doc_id for r in got) == ([] if frame.isEmpty() else [1, 4])
+    extra = spark.createDataFrame([(*r, "mine") for r in rows], schema.add("_key", "string"))
+    assert corpus_pipeline.quality_stage(spark, extra, sf_dir).columns == corpus_pipeline.COLUMNS
