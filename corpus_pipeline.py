@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's
 documents. All but the last return the columns of documents.
+
+Results that are defined: the first stage rejects null and empty texts, having no words. Null ids are ids like others; rows with equal ids stay rows of their
+own, but equal rows are near-duplicates, of which one stays (the least id, a null one last). Columns besides those of documents, whatever
+their names, are left out by the first stage. No documents give no rows, with the same columns.
 """
 
 from __future__ import annotations
