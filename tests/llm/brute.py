@@ -1,6 +1,7 @@
 """Plain, slow versions of the operators' results, written from their contracts."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -71,3 +72,72 @@ def dedup_lines(docs, min_words=50):
                 gone.setdefault(rows[a][0], set()).update(r[1] for r in rows[a : a + n])
         places[line].append(a)
     return gone
+
+
+def _upper(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def randomness(token):
+    """Three times the least of the p-values of chi-squared, runs and serial correlation, one at most; None where no encoding fits."""
+    body = re.sub("=+$", "", token.replace("_", "/").replace("-", "+"))
+    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    for form, alphabet in (
+        ("[0-9]+", digits), ("[0-9a-f]+|[0-9A-F]+", digits + "ABCDEF"), ("[A-Z2-7]+=*", upper + "234567"), ("[0-9a-z]+|[0-9A-Z]+", digits + upper), ("[A-Za-z0-9+/_-]+=*", upper + lower + digits + "+/"),
+    ):
+        if re.fullmatch(form, token):
+            break
+    else:
+        return None
+    x = [alphabet.index(c) for c in (body if lower[0] in alphabet else body.upper())]
+    n, k = len(x), len(alphabet)
+    chi = k / n * sum(c * c for c in Counter(x).values()) - n
+    spread = 2 / (9 * (k - 1))
+    ps = [_upper(((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))]
+    high = [2 * s >= k for s in x]
+    h = sum(high)
+    if h in (0, n):
+        ps.append(0.0)
+    else:
+        mean = 2 * h * (n - h) / n + 1
+        ps.append(2 * _upper(abs(1 + sum(a != b for a, b in zip(high, high[1:])) - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))))
+    mean = sum(x) / n
+    var = sum((s - mean) ** 2 for s in x)
+    ps.append(2 * _upper(abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / var + 1 / n) * math.sqrt(n)) if var else 0.0)
+    return min(1.0, 3 * min(ps))
+
+
+def ordinariness(token):
+    """Chernoff's bound on so many changes of kind at a rate of one in twenty."""
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    pairs = len(token) - 1
+    r = sum(kind(a) != kind(b) and 3 not in (kind(a), kind(b)) for a, b in zip(token, token[1:])) / pairs
+    if r <= 0.05:
+        return 1.0
+    return math.exp(-pairs * (r * math.log(r / 0.05) + ((1 - r) * math.log((1 - r) / 0.95) if r < 1 else 0)))
+
+
+def step_of(p):
+    return min(600, math.floor(-math.log10(max(p, 1e-30)) * 20))
+
+
+def threshold(steps, share=0.01):
+    """Benjamini and Hochberg over p-values of 10 ** (-step / 20): the least step that is rejected."""
+    passed = [s for s in set(steps) if len(steps) * 10 ** (-s / 20) <= share * sum(x >= s for x in steps)]
+    return min(passed, default=601)
+
+
+def random_spans(texts):
+    """Per text the spans (start, end) of the battery, over all texts together."""
+    found = []
+    for i, t in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in secrets(t)[2].split(",") if s]
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", t or ""):
+            if all(e <= m.start() or m.end() <= s for s, e in base) and (p := randomness(m[0])) is not None:
+                found.append((i, m.span(), step_of(p), step_of(ordinariness(m[0]))))
+    refused, least = threshold([f[2] for f in found]), threshold([f[3] for f in found])
+    out = [[] for _ in texts]
+    for i, span, fit, step in found:
+        if fit < refused and step >= least:
+            out[i].append(span)
+    return out

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -105,6 +106,36 @@ def test_secret_battery(spark):
     assert not found & set(range(60, 70))
 
 
+def spans_of(row):
+    return [tuple(map(int, x.split(":")[1:])) for x in row["spans"].split(",") if x.startswith("random")]
+
+
+def test_battery_against_plain_version(spark, sf_dir):
+    rng = random.Random(8)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for name, _, abc in secrets.ENCODINGS:
+        for n in (20, 24, 33, 60):
+            token = "".join(rng.choice(abc) for _ in range(n))
+            texts += [f"key {token} end", f"{token.lower()} and {token[:10] * 4}"]
+    rows = {r["doc_id"]: spans_of(r) for r in secrets.secret_report(docs(spark, texts + SECRETS)).collect()}
+    want = brute.random_spans(texts + SECRETS)
+    assert any(want) and [rows[i] for i in range(len(want))] == want
+    assert secrets.secret_report(docs(spark, SECRETS).limit(0)).collect() == []
+
+
+def test_recall_by_length(spark):
+    rng = random.Random(9)
+    words = ["", *("".join(rng.choice(["ing", "the", "tion", "er", "que", "auf", "an"]) for _ in range(9)) for _ in range(400))]
+    abc = secrets.ENCODINGS[-1][2]
+    lengths = [20 + 5 * (i % 5) for i in range(500)]
+    keys = ["".join(rng.choice(abc) for _ in range(n)) for n in lengths]
+    rows = {r["doc_id"]: spans_of(r) for r in secrets.secret_report(docs(spark, keys + words)).collect()}
+    for n in set(lengths):
+        mine = [bool(rows[i]) for i, m in enumerate(lengths) if m == n]
+        assert sum(mine) >= 0.9 * len(mine), n
+    assert sum(bool(rows[i]) for i in range(500, 900)) <= 4
+
+
 def test_discovery_step():
     assert secrets.discovery_step([]) == secrets.GRID * secrets.GRID_END + 1
     assert secrets.discovery_step([(0, 1000)]) == secrets.GRID * secrets.GRID_END + 1
@@ -117,3 +148,16 @@ def test_secret_query(spark, sf_dir, table):
     for r in queries.op10_secret_scan(spark, sf_dir).collect():
         counts, sha, _ = brute.secrets(texts[r["doc_id"]])
         assert ([r["n_assign"], r["n_access"], r["n_hex"]], r["base_sha256"]) == (counts, sha)
+
+
+def test_measured_costs_rank_a_dear_rule_last(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    free, dear = quality.Rule("free", lambda m: m.n_words < -1), quality.Rule("dear", lambda m: quality.F.regexp_count(m.text, quality.F.lit("[aeiou][^aeiou]{0,3}[aeiou]")) < 0)
+    nothing = quality.Rule("nothing", lambda m: m.text.isNull())
+    cost = {e.rule.name: e.seconds for e in quality.estimate(df, (free, dear, nothing))}
+    assert cost["nothing"] < cost["dear"] and all(e >= 0 for e in cost.values())
+
+
+def test_clashes_of_ids(spark):
+    df = spark.createDataFrame([(1, "token = abcdefghijkl")], "c long, text string")
+    assert secrets.secret_report(df, "c").columns[0] == "c"
