@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import normalize_text
@@ -13,6 +13,7 @@ from lodestone.operators.chunking import chunk_by_size
 from lodestone.operators.extraction import extract
 from lodestone.schemas import Graph
 from lodestone.scratch import written
+from lodestone.sources.snapshots import load_graph, save_graph
 
 
 def ingest(documents: DataFrame, llm: Callable[[str], str], chunker: Callable[[DataFrame], DataFrame] = chunk_by_size, on_error: str = "raise") -> tuple[DataFrame, Graph]:
@@ -21,3 +22,50 @@ def ingest(documents: DataFrame, llm: Callable[[str], str], chunker: Callable[[D
     found = written(extract(chunker(texts), llm, on_error=on_error), "extractions")
     graph, _ = build_graph(found.withColumnRenamed("id", "chunk_id"), ("document_id", "chunk_index", "chunk_id"))
     return found, graph
+
+
+#: The states of a document on its way, in order, and the one of those that did not arrive.
+STATES = ("CREATED", "PROCESSING", "CHUNKING", "EXTRACTING", "RESOLVING", "BUILDING_GRAPH", "EMBEDDING", "COMPLETED")
+FAILED = "FAILED"
+
+
+def _log(documents: DataFrame, state: str, path: str) -> None:
+    place = STATES.index(state) if state in STATES else len(STATES)
+    rows = documents.select(F.col("id").cast("string").alias("document_id"), F.lit(state).alias("state"), F.lit(place).alias("place"), F.current_timestamp().alias("at"))
+    rows.write.mode("append").parquet(f"{path}/states")
+
+
+def states(spark: SparkSession, path: str) -> DataFrame:
+    """(document_id, state): the last state of each document; failure is last."""
+    return spark.read.parquet(f"{path}/states").groupBy("document_id").agg(F.max(F.struct("at", "place", "state")).getField("state").alias("state"))
+
+
+def process(documents: DataFrame, llm: Callable[[str], str], embed: Callable[[Column], Column], path: str, chunker: Callable[[DataFrame], DataFrame] = chunk_by_size) -> Graph:
+    """From documents (id, content) to chunks, vectors and a saved graph under path, with the state of every document on the way.
+
+    A stage is one job over all documents, so they share its state. A document fails if none of its chunks has a usable answer though it
+    has chunks; it has its chunks and vectors all the same. embed: a column function over texts.
+    """
+    spark = documents.sparkSession
+    documents = written(documents.select("id", "content"), "documents")
+    for state in STATES[:2]:
+        _log(documents, state, path)
+    texts = documents.select("id", normalize_text(F.coalesce("content", F.lit(""))).alias("content"))
+    _log(documents, "CHUNKING", path)
+    chunks = written(chunker(texts), "chunks")
+    chunks.write.parquet(f"{path}/chunks")
+    _log(documents, "EXTRACTING", path)
+    found = written(extract(chunks, llm, on_error="skip"), "extractions")
+    _log(documents, "RESOLVING", path)
+    graph, _ = build_graph(found.withColumnRenamed("id", "chunk_id"), ("document_id", "chunk_index", "chunk_id"))
+    _log(documents, "BUILDING_GRAPH", path)
+    # The order of insertion is a struct here; the saved graph has a number for it.
+    numbered = lambda df: df.withColumn("ord", F.xxhash64(F.col("ord").cast("string")))
+    save_graph(Graph(numbered(graph.entities), numbered(graph.relationships), numbered(graph.evidence)), f"{path}/graph")
+    _log(documents, "EMBEDDING", path)
+    vectors = chunks.select(F.concat(F.lit("vec_"), "id").alias("id"), F.col("id").alias("chunk_id"), embed(F.col("text")).alias("vector"), F.xxhash64("id").alias("ord"))
+    vectors.write.parquet(f"{path}/vectors")
+    answered = found.groupBy("document_id").agg(F.count("entities").alias("n")).where("n = 0").select(F.col("document_id").alias("id"))
+    _log(documents.join(answered, "id", "left_semi"), FAILED, path)
+    _log(documents.join(answered, "id", "left_anti"), "COMPLETED", path)
+    return load_graph(spark, f"{path}/graph")

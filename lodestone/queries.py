@@ -14,7 +14,7 @@ from lodestone.operators import building, chunking, evaluation, extraction, grap
 from lodestone.plans.property_graph import property_graph, supply_lines
 from lodestone.schemas import ENTITY_TYPES, RELATIONSHIP_TYPES, Graph
 from lodestone.scratch import written, written_path
-from lodestone.sources.snapshots import load_graph, save_graph
+from lodestone.sources.snapshots import changes, load_graph, save_graph, to_json
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -281,6 +281,25 @@ def snapshot_roundtrip(spark, sf_dir):
     return count(g.entities, "entities").unionByName(count(g.relationships, "relationships")).unionByName(count(g.evidence, "evidence"))
 
 
+@query(f"""WITH {EDGES_SQL} SELECT 'entities' AS kind, 'supplier_3' AS id, 'removed' AS change UNION ALL SELECT 'relationships', s || '|' || ty || '|' || t, 'removed' FROM edges WHERE s = 'supplier_3' OR t = 'supplier_3'
+    UNION ALL SELECT 'entities', id, 'changed' FROM nodes WHERE starts_with(id, 'region_')""")
+def snapshot_changes(spark, sf_dir):
+    """Two versions of the graph: in the second an entity is gone, and the regions have an alias. Evidence has its own count of rows."""
+    path, g = written_path(spark, "snapshot"), property_graph(spark, sf_dir)
+    first = save_graph(g, path)
+    after = graph.remove_entity(load_graph(spark, path), "supplier_3")
+    alias = F.when(F.col("id").startswith("region_"), F.array(F.lower("canonical_name"))).otherwise(F.col("aliases"))
+    second = save_graph(Graph(after.entities.withColumn("aliases", alias), after.relationships, after.evidence), path)
+    return changes(spark, path, first, second).where("kind <> 'evidence'")
+
+
+@query(f"WITH {EDGES_SQL} SELECT 'entity' AS kind, id FROM nodes UNION ALL SELECT 'relationship', s || '|' || ty || '|' || t FROM edges")
+def graph_json(spark, sf_dir):
+    """The ids in the JSON lines of all entities and relationships."""
+    lines = to_json(property_graph(spark, sf_dir)).where("kind <> 'evidence'")
+    return lines.select("kind", F.get_json_object("json", "$.id").alias("id"))
+
+
 # Text -------------------------------------------------------------------------------------------------------------
 
 
@@ -471,13 +490,15 @@ def resolve_entities(spark, sf_dir):
     return mentions.select("chunk_id", "pos", "name", "type", "entity_id", "matched_via")
 
 
-@query("""WITH m AS (SELECT o_orderkey AS mid, CASE o_orderkey % 3 WHEN 0 THEN upper(c_name) WHEN 1 THEN replace(c_name, '#', ' ') ELSE 'unknown ' || c_custkey END AS name, o_custkey, o_orderkey % 3 AS kind FROM orders JOIN customer ON o_custkey = c_custkey)
-    SELECT mid, CASE WHEN kind < 2 THEN 'customer_' || o_custkey END AS entity_id, CASE WHEN kind < 2 THEN 'exact' ELSE 'new' END AS matched_via FROM m""")
+@query("""WITH m AS (SELECT o_orderkey AS mid, o_custkey, o_orderkey % 3 AS kind FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT mid, CASE WHEN kind < 2 OR o_custkey % 2 = 0 THEN 'customer_' || o_custkey END AS entity_id, CASE WHEN kind < 2 THEN 'exact' WHEN o_custkey % 2 = 0 THEN 'alias' ELSE 'new' END AS matched_via FROM m""")
 def resolve_exact_alias(spark, sf_dir):
     customers = property_graph(spark, sf_dir).entities.where(F.col("id").startswith("customer_"))
+    number = F.substring("id", 10, 20)
+    customers = customers.withColumn("aliases", F.when(number.cast("long") % 2 == 0, F.array(F.concat(F.lit("Client no. "), number))).otherwise(F.col("aliases")))
     named = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     kind = F.col("o_orderkey") % 3
-    name = F.when(kind == 0, F.upper("c_name")).when(kind == 1, F.replace("c_name", F.lit("#"), F.lit(" "))).otherwise(F.concat(F.lit("unknown "), "c_custkey"))
+    name = F.when(kind == 0, F.upper("c_name")).when(kind == 1, F.replace("c_name", F.lit("#"), F.lit(" "))).otherwise(F.concat(F.lit("CLIENT NO "), "c_custkey"))
     found = resolution.resolve_against(customers, named.select(F.col("o_orderkey").alias("mid"), name.alias("name"), F.lit("Company").alias("type")))
     return found.select("mid", "entity_id", "matched_via")
 
@@ -616,6 +637,20 @@ def hybrid_rank(spark, sf_dir):
     return _ranked(g, found)
 
 
+@query(f"""WITH {EDGES_SQL}, names AS (SELECT 'region_' || r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'nation_' || n_nationkey, n_name FROM nation UNION ALL SELECT 'supplier_' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'part_' || p_partkey, p_name FROM part),
+    proof AS (SELECT 'supplier_' || l_suppkey || '|PROVIDES|part_' || l_partkey AS rid, count(DISTINCT l_orderkey) AS nc, min('order_' || l_orderkey) AS ch FROM lineitem GROUP BY l_suppkey, l_partkey),
+    best AS (SELECT s, t, ty, CASE WHEN nc = 1 THEN ch END AS ch FROM (SELECT *, s || '|' || ty || '|' || t AS rid FROM edges WHERE s = 'supplier_1' OR t = 'supplier_1') LEFT JOIN proof USING (rid) ORDER BY 0.4 + 0.2 * c DESC, rid LIMIT 10)
+    SELECT 0 AS place, 'QUESTION' AS section, '{QUESTION}' AS line UNION ALL SELECT 1, 'GRAPH FACTS', a.name || ' --' || ty || '--> ' || b.name FROM best JOIN names a ON a.id = s JOIN names b ON b.id = t
+    UNION ALL SELECT DISTINCT 2, 'SOURCE', '[' || ch || '] ' || o_orderstatus FROM best JOIN orders ON 'order_' || o_orderkey = ch UNION ALL SELECT DISTINCT 3, 'PROVENANCE', ch FROM best JOIN orders ON 'order_' || o_orderkey = ch""")
+def rag_context(spark, sf_dir):
+    """The ten best facts about a supplier, with their orders as sources."""
+    g = property_graph(spark, sf_dir)
+    nothing = spark.createDataFrame([], "chunk_id string, score double")
+    ranked = retrieval.rank(g, retrieval.Hybrid(traversal.bfs_subgraph(g, "supplier_1", 1), nothing))
+    chunks = read(spark, sf_dir, "orders").select(F.concat(F.lit("order_"), "o_orderkey").alias("id"), F.col("o_orderstatus").alias("text"))
+    return retrieval.context(g, ranked, chunks, QUESTION, 10)
+
+
 @query()
 def index_recall(spark, sf_dir):
     """The cell index's ten nearest of every 50th vector: how many of them the exact search finds as well, per query."""

@@ -13,7 +13,9 @@ from lodestone.functions import text as tx
 from lodestone.functions.vectors import bag_of_words
 from lodestone.operators import chunking, evaluation, retrieval, search, traversal, trust
 from lodestone.operators import graph as g
+from lodestone.plans import ingest
 from lodestone.schemas import EVIDENCE, RELATIONSHIPS
+from lodestone.sources import snapshots
 from tests.corpus import PARAGRAPHS, graph, simple_graph
 from tests.test_graph import dfs
 
@@ -155,9 +157,7 @@ def test_index_finds_what_it_probes(spark):
     near = {x for x in exact if x[0] < 300}  # the zero vector is near to nothing
     assert len(some & near) >= 0.9 * len(near)
     store = df.withColumn("id", F.col("vec_id").cast("string"))
-    assert search.vector_of(store, "7").count() == 1
-    with pytest.raises(g.GraphError):
-        search.vector_of(store, "x")
+    assert search.vector_of(store, "7").count() == 1 and search.vector_of(store, "x").isEmpty()
 
 
 def test_scratch_tables_go(spark):
@@ -168,3 +168,29 @@ def test_scratch_tables_go(spark):
 def test_ascii_texts_need_no_composition(spark):
     df = spark.createDataFrame([("abc",), ("é",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(tx.composed(F.col("t"))).collect()] == ["abc", "é", None, ""]
+
+
+def test_process_with_states(spark, tmp_path):
+    def llm(prompt):
+        text = prompt.partition("Text:\n")[2]
+        if "FastAPI uses" not in text:
+            return "no"
+        return '{"entities": [{"name": "FastAPI", "entity_type": "Technology"}, {"name": "Pydantic", "entity_type": "Technology"}], "relationships": [{"source": "FastAPI", "target": "Pydantic", "relationship_type": "USES", "evidence": "FastAPI uses Pydantic", "confidence": 0.9}]}'
+
+    docs = spark.createDataFrame([("a", "\n\n".join(PARAGRAPHS)), ("b", "Nothing here."), ("c", "")], "id string, content string")
+    path = str(tmp_path / "out")
+    made = ingest.process(docs, llm, bag_of_words(["fastapi", "uses"]), path)
+    assert {r.document_id: r.state for r in ingest.states(spark, path).collect()} == {"a": "COMPLETED", "b": "FAILED", "c": "COMPLETED"}
+    assert made.relationships.count() == 1 and made.entities.count() == 2 and spark.read.parquet(f"{path}/vectors").count() == spark.read.parquet(f"{path}/chunks").count() == 2
+    logged = {r.state for r in spark.read.parquet(f"{path}/states").collect()}
+    assert logged == {*ingest.STATES, ingest.FAILED}
+
+
+def test_versions_and_changes(spark, tmp_path):
+    x, path = graph(spark), str(tmp_path / "g")
+    first = snapshots.save_graph(x, path)
+    second = snapshots.save_graph(g.remove_entity(x, "API"), path)
+    assert [r.version for r in snapshots.versions(spark, path).collect()] == [first, second]
+    found = {(r.kind, r.id, r.change) for r in snapshots.changes(spark, path, first, second).collect()}
+    assert found == {("entities", "API", "removed"), ("relationships", "r4", "removed"), ("evidence", "v4", "removed")}
+    assert Counter(r.kind for r in snapshots.to_json(x).collect()) == {"entity": 7, "relationship": 6, "evidence": 6}
