@@ -43,7 +43,7 @@ def test_snapshot(spark, tmp_path):
     assert load_graph(spark, path).entities.count() == 6 and load_graph(spark, path, first).entities.count() == 7
     back = load_graph(spark, path, first)
     assert sorted(map(str, back.entities.collect())) == sorted(map(str, x.entities.collect()))
-    assert to_json(back).count() == 13
+    assert to_json(back).count() == 19
 
 
 def around(edges, kind=None, least=None):
