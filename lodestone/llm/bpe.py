@@ -20,6 +20,8 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import itertools
+from collections.abc import Iterable
 from functools import lru_cache
 
 import duckdb
@@ -69,17 +71,22 @@ SELECT piece, id FROM enc WHERE NOT live ORDER BY place
 DECODE = "SELECT v.bytes FROM tokens t JOIN vocabulary v USING (id) ORDER BY t.place"
 
 
-def split(texts: list[str]) -> tuple[list[str], list[int]]:
-    """The pieces of all texts, one after the other, and which are whose: from one bound to the next."""
+def split(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different pieces of all texts, the number of each piece in order, and where each text ends: a piece of its own that is no text."""
     joined = "\0".join(texts) + "\0"
-    kinds = classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    kinds[ends] = END
-    starts = piece_starts(kinds)
-    stops = np.append(starts[1:], len(joined) - 1)
-    real = kinds[starts] != END
-    starts, stops = starts[real], stops[real]
-    return [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.searchsorted(starts, np.concatenate([[0], ends])).tolist()
+    raw = joined.encode("utf-8", "replace")
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = classes()[codes]
+    kinds[np.cumsum([len(t) + 1 for t in texts]) - 1] = END
+    starts = np.append(piece_starts(kinds), len(kinds) - 1)  # the last end is a piece as well
+    if len(raw) == len(codes):
+        offsets = np.append(starts, len(raw))
+    else:
+        sizes = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+        sizes[(codes >= 0xD800) & (codes < 0xE000)] = 1  # halves of a pair are replaced
+        offsets = np.append((np.cumsum(sizes) - sizes)[starts], len(raw))
+    pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+    return pieces.dictionary.to_pylist(), np.asarray(pieces.indices), np.flatnonzero(kinds[starts] == END)
 
 
 def unpacked(ids: bytes) -> list[int]:
@@ -101,8 +108,8 @@ class Codec:
         merges = np.array(rows, np.int64).reshape(-1, 3)
         self._create("merges", {"pair": (merges[:, 0] * 65536 + merges[:, 1]).astype(np.uint32), "merged": merges[:, 2].astype(np.uint32)})
         self._create("vocabulary", {"id": np.array(list(ranks.values()), np.uint32), "bytes": pa.array(list(ranks), pa.binary())})
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _create(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
@@ -116,21 +123,17 @@ class Codec:
         finally:
             self.db.unregister(name)
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: Iterable[bytes]) -> None:
         """Encodes the pieces that are new. Of pieces that were not met for long, the worker forgets the tokens."""
         if len(self.known) > KEPT:
             self.known, self.older = {}, self.known
-        new = []
-        for p in set(pieces).difference(self.known):
-            if p in self.older:
-                self.known[p] = self.older[p]
-            else:
-                new.append((p, p.encode("utf-8", "replace")))
-        short = [x for x in new if len(x[1]) <= WINDOW]
-        self.known.update(zip((p for p, _ in short), self.tokens([raw for _, raw in short]), strict=True))
-        for p, raw in new:
-            if len(raw) > WINDOW:
-                self.known[p] = np.array(self.long_tokens(raw), "<u4").tobytes()
+        new = set(pieces).difference(self.known)
+        again = [p for p in new if p in self.older]
+        self.known.update((p, self.older[p]) for p in again)
+        new.difference_update(again)
+        short = [p for p in new if len(p) <= WINDOW]
+        self.known.update(zip(short, self.tokens(short), strict=True))
+        self.known.update((p, np.array(self.long_tokens(p), "<u4").tobytes()) for p in new if len(p) > WINDOW)
 
     def tokens(self, raws: list[bytes]) -> list[bytes]:
         """The packed tokens of each piece, none of which is empty."""
@@ -185,8 +188,20 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         found = [split(part) for part in stretches(texts)]
-        self.learn([p for pieces, _ in found for p in pieces])
-        return [b"".join(map(self.known.__getitem__, pieces[a:b])) for pieces, bounds in found for a, b in zip(bounds, bounds[1:], strict=False)]
+        self.learn(itertools.chain.from_iterable(pieces for pieces, _, _ in found))
+        out = []
+        for pieces, number, ends in found:
+            packed = [self.known[p] for p in pieces]
+            sizes = np.array([len(p) // 4 for p in packed])
+            lengths = sizes[number]
+            lengths[ends] = 0
+            stops = np.cumsum(lengths)
+            # The tokens of each piece, one piece after the other.
+            place = np.repeat((np.cumsum(sizes) - sizes)[number] - (stops - lengths), lengths) + np.arange(stops[-1])
+            ids = np.frombuffer(b"".join(packed), "<u4")[place].tobytes()
+            bounds = [0, *(4 * stops[ends]).tolist()]
+            out += [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids. A list may hold any id of the vocabulary; others are an error."""
