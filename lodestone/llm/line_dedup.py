@@ -25,6 +25,8 @@ from lodestone.llm.common import as_row, materialize, words_of
 
 MIN_WORDS, GRAM_WORDS = 50, 25
 KEY = ("_d_id", "_d_hash")
+#: A stretch with more places than one in so many fingerprints is hot.
+HOT_SHARE = 1000
 
 
 def _keys(id_col: str, text: str) -> dict[str, Column]:
@@ -79,8 +81,15 @@ def repeated_runs(prints: DataFrame) -> DataFrame:
     rows = prints.join(copied, "g", "left_semi").select(*KEY, "near", F.inline("stretches"))
     rows = rows.select("h", F.struct(*KEY, "first").alias("mine"), F.filter("near", lambda x: (x >= F.col("first")) & (x <= F.col("last"))).alias("run"))
     # Neighbouring fingerprints send the same stretch: two places differ.
-    first = rows.groupBy("h").agg(F.min("mine").alias("source"), F.max("mine").alias("end")).where(F.col("source") < F.col("end")).select("h", "source")
-    return rows.join(first, "h").where(F.col("mine") > F.col("source")).select("mine.*", "run").drop("first")
+    first = rows.groupBy("h").agg(F.min("mine").alias("source"), F.max("mine").alias("end"), F.count("*").alias("n")).where(F.col("source") < F.col("end")).select("h", "source", "n")
+    # A place sends at most two stretches per line of min_words words, so hot stretches number 2 * MIN_WORDS * HOT_SHARE at most: they are
+    # broadcast, and their rows are dealt out by another key than the stretch.
+    most = prints.count() // HOT_SHARE
+    hot = F.broadcast(first.where(F.col("n") > most).select("h", F.col("source").alias("hot_source")))
+    calm = first.where(F.col("n") <= most).select(F.col("h").alias("k"), "source")
+    rows = rows.join(hot, "h", "left").withColumn("k", F.when(F.col("hot_source").isNull(), F.col("h")).otherwise(F.xxhash64("mine", "h")))
+    source = F.coalesce("hot_source", "source")
+    return rows.join(calm, "k", "left").where(F.col("mine") > source).select("mine.*", "run").drop("first")
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
