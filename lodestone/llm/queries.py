@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, fst_tokens, line_dedup, ppm, quality, secrets, simhash, urls, warc
+from lodestone.llm import bpe, decontaminate, exact, fst_tokens, line_dedup, ppm, quality, secrets, simhash, urls, warc
 from lodestone.llm.common import table
 
 
@@ -74,7 +74,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op4_bpe_round_trip, op5_ppm_scores, op6_quality_rules, op7_benchmark_decontamination, op8_line_dedup, op9_warc_fixity, op10_secret_scan)}
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op4_bpe_round_trip, op5_ppm_scores, op6_quality_rules, op7_benchmark_decontamination, op8_line_dedup, op9_warc_fixity, op10_secret_scan, op13_exact_duplicates)}
 
 _HEAD = len("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:sha256:" + "0" * 64 + ">\r\nWARC-Target-URI: \r\nContent-Type: text/html\r\nContent-Length: " + "\r\n\r\n" * 2)
 
@@ -127,6 +132,11 @@ ORACLE_SQL: dict[str, str] = {
                NOT (base_failed OR n_symbols * 10 > n_words * 3 OR n_dup_lines * 10 > n_lines * 3 OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR capitals) AS kept
         FROM base
     """,
+    "op13_exact_duplicates": f"""
+        WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+        FROM norm WINDOW same AS (PARTITION BY t)
+    """,
     "op9_warc_fixity": f"""
         WITH sized AS (
           SELECT page_id, page_id // {PAGES_A_FILE} AS file, {_HEAD} + strlen(coalesce(url, '')) + strlen(coalesce(html, '')) + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) AS size,
