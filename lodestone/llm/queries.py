@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, exact, fst_tokens, line_dedup, ppm, quality, secrets, simhash, urls, warc
+from lodestone.llm import bpe, decontaminate, exact, fst_tokens, line_dedup, ppm, quality, secrets, simhash, spelling, urls, warc
 from lodestone.llm.common import table
 
 
@@ -74,12 +74,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op4_bpe_round_trip, op5_ppm_scores, op6_quality_rules, op7_benchmark_decontamination, op8_line_dedup, op9_warc_fixity, op10_secret_scan, op13_exact_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op4_bpe_round_trip, op5_ppm_scores, op6_quality_rules, op7_benchmark_decontamination, op8_line_dedup, op9_warc_fixity, op10_secret_scan, op12_spelling_variants, op13_exact_duplicates)}
 
 _HEAD = len("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:sha256:" + "0" * 64 + ">\r\nWARC-Target-URI: \r\nContent-Type: text/html\r\nContent-Length: " + "\r\n\r\n" * 2)
 
@@ -89,6 +93,16 @@ _WORDS = f"list_filter(regexp_split_to_array(t, '{_SPACE}'), lambda w: w <> '')"
 _LINES = r"list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))"
 _HOST = "CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') ELSE '' END"
 
+#: CRC-32 of a text by the rule of its table: crcs(t) has the table, _crc the expression over it.
+_CRCS = "crcs(tbl) AS (SELECT list(x ORDER BY i) FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS x FROM range(256) r(i)))"
+
+
+def _crc(text: str) -> str:
+    digits = f"hex(encode({text}))"
+    codes = f"list_transform(range(0, CAST(length({digits}) / 2 AS BIGINT)), lambda i: CAST('0x' || substr({digits}, 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda a, b: xor(a >> 8, tbl[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": f"""
         WITH hosts AS (SELECT page_id, url, {_HOST} AS raw FROM pages),
@@ -132,6 +146,21 @@ ORACLE_SQL: dict[str, str] = {
                NOT (base_failed OR n_symbols * 10 > n_words * 3 OR n_dup_lines * 10 > n_lines * 3 OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR capitals) AS kept
         FROM base
     """,
+    # All pairs by the words that one deletion leaves.
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE {_CRCS},
+        runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+        hashed AS (SELECT run, n, {_crc("d || ':' || run")} AS h FROM (SELECT d, run, count(*) AS n FROM runs GROUP BY ALL), crcs),
+        cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+        words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        less AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        pairs AS (SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT word, rest FROM less SEMI JOIN words w ON w.word = less.rest UNION SELECT rest, word FROM less SEMI JOIN words w ON w.word = less.rest),
+        best AS (SELECT p.word, count(*) AS n_near, first(near ORDER BY w.n DESC, encode(near)) AS form, max(w.n) AS form_n FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word),
+        forms AS MATERIALIZED (SELECT word, CASE WHEN form_n >= 2 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+        way AS (SELECT word, word AS at FROM forms UNION ALL SELECT way.word, forms.form FROM way JOIN forms ON way.at = forms.word WHERE forms.form IS NOT NULL)
+        SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN way ON way.word = f.word JOIN forms final ON final.word = way.at WHERE final.form IS NULL
+    """,
     "op13_exact_duplicates": f"""
         WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256

@@ -9,7 +9,7 @@ from lodestone.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     asked = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in asked.description]
