@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lodestone.operators.graph import GraphError
+from lodestone.ordering import in_order
 from lodestone.schemas import Graph, Subgraph
 from lodestone.scratch import written
 
@@ -95,16 +95,6 @@ def find_path(graph: Graph, source: str, target: str) -> DataFrame:
         seen = written(seen.unionByName(frontier.select("node")), "path")
 
 
-def _in_order(rows: DataFrame, key: str) -> DataFrame:
-    """rows with their place in the order of the key, from 0: a range sort, counts per part, and places within parts."""
-    parts = written(rows.orderBy(key).withColumn("_part", F.spark_partition_id()), "sorted")
-    sizes = sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect())  # a row per task of the sort
-    firsts = [(part, sum(n for _, n in sizes[:i])) for i, (part, _) in enumerate(sizes)] or [(0, 0)]
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(firsts, "_part int, _first long"))
-    within = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1
-    return parts.withColumn("_within", within).join(offsets, "_part").withColumn("place", (F.col("_first") + F.col("_within")).cast("int")).drop("_part", "_first", "_within")
-
-
 def dfs_visit(graph: Graph, start: str, max_depth: int | None = None, max_entities: int = 100_000) -> DataFrame:
     """(place, id): the order in which a stack visits: last edges first, an entity marked when it is taken from the stack.
 
@@ -130,7 +120,7 @@ def dfs_visit(graph: Graph, start: str, max_depth: int | None = None, max_entiti
             break
         seen = seen.unionByName(frontier.select("node", "key"))
     if tree:
-        return _in_order(seen, "key").select("place", F.col("node").alias("id"))
+        return in_order(seen, "key").select(F.col("place").cast("int").alias("place"), F.col("node").alias("id"))
 
     within = written(distances(graph.entities.where(F.col("id") == start).select(F.col("id").alias("node")), graph.relationships, max_depth), "dfs")
     if within.count() > max_entities:
