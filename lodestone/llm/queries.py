@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, exact, fst_tokens, line_dedup, ppm, quality, secrets, simhash, spelling, urls, warc
+from lodestone.llm import bpe, conversations, decontaminate, exact, fst_tokens, line_dedup, ppm, quality, secrets, simhash, spelling, urls, warc
 from lodestone.llm.common import table
 
 
@@ -74,6 +74,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select(*[c for c in nodes.columns if c != "ends"], F.coalesce("ends", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -83,7 +88,7 @@ def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op4_bpe_round_trip, op5_ppm_scores, op6_quality_rules, op7_benchmark_decontamination, op8_line_dedup, op9_warc_fixity, op10_secret_scan, op12_spelling_variants, op13_exact_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_url_filter, op4_bpe_round_trip, op5_ppm_scores, op6_quality_rules, op7_benchmark_decontamination, op8_line_dedup, op9_warc_fixity, op10_secret_scan, op11_conversation_trie, op12_spelling_variants, op13_exact_duplicates)}
 
 _HEAD = len("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:sha256:" + "0" * 64 + ">\r\nWARC-Target-URI: \r\nContent-Type: text/html\r\nContent-Length: " + "\r\n\r\n" * 2)
 
@@ -146,6 +151,23 @@ ORACLE_SQL: dict[str, str] = {
                NOT (base_failed OR n_symbols * 10 > n_words * 3 OR n_dup_lines * 10 > n_lines * 3 OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR capitals) AS kept
         FROM base
     """,
+    # Every prefix of every conversation as a list, and every node with all nodes above it.
+    "op11_conversation_trie": f"""
+        WITH {_CRCS},
+        placed AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (SELECT c, c - c % 100 AS base, {_crc("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM placed), crcs),
+        whole AS (SELECT c, v.base, 0 AS side, pos, t FROM convs v JOIN placed p ON p.c = v.base WHERE pos < h UNION ALL SELECT v.c, v.base, 1, pos, t FROM convs v JOIN placed p ON p.c = v.c WHERE pos >= h),
+        seqs AS (SELECT v.c, coalesce(list(w.t ORDER BY side, pos) FILTER (w.c IS NOT NULL), []) AS s FROM convs v LEFT JOIN whole AS w(c, base, side, pos, t) USING (c) GROUP BY v.c),
+        members AS (SELECT c, list_slice(s, 1, d) AS p, d, d = len(s) AS ends FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+        nodes AS MATERIALIZED (SELECT p, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY p),
+        kids AS (SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+        sized AS (SELECT n.*, coalesce(k.n, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(p[depth].text) END AS saved FROM nodes n LEFT JOIN kids k USING (p)),
+        above AS (SELECT list_slice(p, 1, d) AS p, saved, n_children FROM (SELECT p, saved, n_children, unnest(range(0, depth + 1)) AS d FROM sized)),
+        sums AS (SELECT p, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY p)
+        SELECT CAST(s.depth AS BIGINT) AS depth, s.conv_id, CASE WHEN s.depth > 0 THEN up.conv_id END AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, s.ends_sha256
+        FROM sized s JOIN sums USING (p) LEFT JOIN nodes up ON up.p = list_slice(s.p, 1, s.depth - 1) AND s.depth > 0
+    """,
     # All pairs by the words that one deletion leaves.
     "op12_spelling_variants": f"""
         WITH RECURSIVE {_CRCS},
