@@ -157,7 +157,7 @@ ORACLE_SQL: dict[str, str] = {
         placed AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t
             FROM conversations WHERE conv_id IS NOT NULL),
         convs AS (SELECT c, c - c % 100 AS base, {_crc("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM placed), crcs),
-        whole AS (SELECT c, v.base, 0 AS side, pos, t FROM convs v JOIN placed p ON p.c = v.base WHERE pos < h UNION ALL SELECT v.c, v.base, 1, pos, t FROM convs v JOIN placed p ON p.c = v.c WHERE pos >= h),
+        whole AS (SELECT v.c, v.base, 0 AS side, pos, t FROM convs v JOIN placed p ON p.c = v.base WHERE pos < h UNION ALL SELECT v.c, v.base, 1, pos, t FROM convs v JOIN placed p ON p.c = v.c WHERE pos >= h),
         seqs AS (SELECT v.c, coalesce(list(w.t ORDER BY side, pos) FILTER (w.c IS NOT NULL), []) AS s FROM convs v LEFT JOIN whole AS w(c, base, side, pos, t) USING (c) GROUP BY v.c),
         members AS (SELECT c, list_slice(s, 1, d) AS p, d, d = len(s) AS ends FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
         nodes AS MATERIALIZED (SELECT p, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY p),
