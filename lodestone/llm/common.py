@@ -32,6 +32,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Hashed keys that a prefilter tells apart: its size never grows beyond this, and a full one lets all rows through.
+LIKELY = 1 << 20
+
+
+def likely(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key may be in wanted, to be joined with it after: most others go before they are shuffled. Broadcasts at most LIKELY numbers."""
+    bucket = lambda df: F.pmod(F.xxhash64(*[df[c] for c in on]), F.lit(LIKELY))
+    name = unused(rows, "_bucket")
+    return rows.withColumn(name, bucket(rows)).join(F.broadcast(wanted.select(bucket(wanted).alias(name)).distinct()), name, "left_semi").drop(name)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a result that is used more than once, and go on from the written table: lost executors redo no lineage."""
     return written(df, name)

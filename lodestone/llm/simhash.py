@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import as_row, materialize, unused
 from lodestone.llm.components import connected_components
+from lodestone.skew import join_split
 
 BITS, RADIUS, SEED = 64, 4, 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -216,9 +217,9 @@ def named(prints: DataFrame, id_col: str, edges: DataFrame) -> DataFrame:
 def _named(prints: DataFrame, least: DataFrame, edges: DataFrame) -> DataFrame:
     labels = connected_components(edges).withColumnRenamed("node", "fp")
     linked = materialize(labels.join(least, "fp"), "labels")
-    named = linked.join(linked.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")
-    component = least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(component, "fp", "left")
+    named = join_split(linked, linked.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")
+    component = materialize(least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "labels")
+    return join_split(prints, component, "fp").select(*prints.columns, "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = 4) -> DataFrame:
