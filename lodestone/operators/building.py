@@ -5,11 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.resolution import ranked_mentions, resolve_stream
+from lodestone.operators.resolution import ranked_mentions, resolve_into, resolve_stream
+from lodestone.ordering import in_order
 from lodestone.schemas import Graph, make_id
 from lodestone.scratch import written
 
 
+EDGE_KEY = ["source_entity_id", "target_entity_id", "relationship_type"]
+
+
+def _said(extractions: DataFrame, mentions: DataFrame, order: list[str]) -> DataFrame:
+    """The extracted relationships whose ends are entities of their answer: chunk_id, pos, EDGE_KEY, evidence, confidence, seq."""
+    # A name with two types in one answer means the later one.
+    ends = mentions.groupBy("chunk_id", "name").agg(F.max_by("entity_id", "pos").alias("entity_id"))
+    said = extractions.where(F.col("relationships").isNotNull()).select("chunk_id", *[c for c in order if c != "chunk_id"], F.posexplode("relationships").alias("pos", "r"))
+    said = said.select("chunk_id", "pos", "r.*", F.struct(*order, "pos").alias("seq"))
+    end = lambda name, out: ends.select("chunk_id", F.col("name").alias(name), F.col("entity_id").alias(out))
+    return said.join(end("source", "source_entity_id"), ["chunk_id", "source"]).join(end("target", "target_entity_id"), ["chunk_id", "target"])
+
+
+def _edges(said: DataFrame) -> DataFrame:
+    """One relationship per key of said (with relationship_id), with the first one's confidence."""
+    return said.groupBy("relationship_id", *EDGE_KEY).agg(F.min(F.struct("seq", "confidence")).alias("f")).select(F.col("relationship_id").alias("id"), *EDGE_KEY, "f.confidence", F.col("f.seq").alias("ord"))
+
+
+def _evidence(said: DataFrame) -> DataFrame:
+    return said.select(make_id("evidence", F.col("chunk_id"), F.col("pos")).alias("id"), "relationship_id", "chunk_id", F.col("evidence").alias("text"), "confidence", F.col("seq").alias("ord"))
+
+
 def build_graph(extractions: DataFrame, order: tuple[str, ...] = ("chunk_id",)) -> tuple[Graph, DataFrame]:
     """The graph of all extractions, and the resolved mentions. extractions: chunk_id, entities, relationships (null: rejected).
 
@@ -19,21 +42,34 @@ def build_graph(extractions: DataFrame, order: tuple[str, ...] = ("chunk_id",))
     """
     order = list(order)
     mentions, entities = resolve_stream(ranked_mentions(extractions, order))
-    mentions = written(mentions, "mentions")
-    # A name with two types in one answer means the later one.
-    ends = mentions.groupBy("chunk_id", "name").agg(F.max_by("entity_id", "pos").alias("entity_id"))
-    said = extractions.where(F.col("relationships").isNotNull()).select("chunk_id", *[c for c in order if c != "chunk_id"], F.posexplode("relationships").alias("pos", "r"))
-    said = said.select("chunk_id", "pos", "r.*", F.struct(*order, "pos").alias("seq"))
-    end = lambda name, out: ends.select("chunk_id", F.col("name").alias(name), F.col("entity_id").alias(out))
-    said = said.join(end("source", "source_entity_id"), ["chunk_id", "source"]).join(end("target", "target_entity_id"), ["chunk_id", "target"])
-    key = ["source_entity_id", "target_entity_id", "relationship_type"]
-    said = written(said.withColumn("relationship_id", make_id("rel", *[F.col(k) for k in key])), "said")
-    relationships = said.groupBy("relationship_id", *key).agg(F.min(F.struct("seq", "confidence")).alias("f")).select(F.col("relationship_id").alias("id"), *key, "f.confidence", F.col("f.seq").alias("ord"))
-    evidence = said.select(make_id("evidence", F.col("chunk_id"), F.col("pos")).alias("id"), "relationship_id", "chunk_id", F.col("evidence").alias("text"), "confidence", F.col("seq").alias("ord"))
-    return Graph(entities, relationships, evidence), mentions
+    said = _said(extractions, mentions, order)
+    said = written(said.withColumn("relationship_id", make_id("rel", *[F.col(k) for k in EDGE_KEY])), "said")
+    return Graph(entities, _edges(said), _evidence(said)), mentions
+
+
+def numbered(new: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """new with its ord, whatever its type, as numbers in that order, after those of old."""
+    last = None if old is None else old.agg(F.max("ord")).first()[0]
+    return in_order(new, "ord").withColumn("ord", F.col("place") + (0 if last is None else last + 1)).drop("place")
+
+
+def extend_graph(graph: Graph, extractions: DataFrame, order: tuple[str, ...] = ("chunk_id",)) -> tuple[Graph, DataFrame]:
+    """The graph after the extractions of further chunks, and their resolved mentions. `ord` is a number in all tables of the graph.
+
+    Mentions resolve to the graph's entities or, in their order, among themselves. A relationship that the graph has between the same ends
+    (of several, the first) gets the new evidence and keeps its confidence. Evidence has its id from chunk and place, so a chunk that comes again adds nothing.
+    """
+    order = list(order)
+    mentions, entities = resolve_into(graph.entities, ranked_mentions(extractions, order))
+    have = graph.relationships.groupBy(*EDGE_KEY).agg(F.min(F.struct("ord", "id")).getField("id").alias("_id"))
+    said = _said(extractions, mentions, order).withColumn("_new", make_id("rel", *[F.col(k) for k in EDGE_KEY])).join(have, EDGE_KEY, "left")
+    said = written(said.withColumn("relationship_id", F.coalesce("_id", "_new")), "said")
+    edges = numbered(_edges(said.where("_id IS NULL")), graph.relationships)
+    proof = _evidence(said).join(graph.evidence.select("id"), "id", "left_anti")
+    more = lambda old, new: written(old.withColumn("ord", F.col("ord").cast("long")).unionByName(new, allowMissingColumns=True), "graph")
+    return Graph(written(entities, "graph"), more(graph.relationships, edges), more(graph.evidence, numbered(proof, graph.evidence))), mentions
 
 
 def dedup_edges(edges: DataFrame, seq: str = "seq") -> DataFrame:
     """One edge per source, target and type, with the first one's confidence and the number of mentions."""
-    key = ["source_entity_id", "target_entity_id", "relationship_type"]
-    return edges.groupBy(*key).agg(F.min(F.struct(seq, "confidence")).getField("confidence").alias("confidence"), F.count("*").alias("mentions"))
+    return edges.groupBy(*EDGE_KEY).agg(F.min(F.struct(seq, "confidence")).getField("confidence").alias("confidence"), F.count("*").alias("mentions"))

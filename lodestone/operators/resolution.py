@@ -2,78 +2,118 @@
 
 Within a type, a normalized name has one owner, so only the first mention of each (type, key) must be resolved; all
 others follow by an equi-join. First mentions resolve to an earlier entity when their names agree in at least 95 % of
-the longer one's characters. For names under 20 characters that means equal names, so only longer ones are compared:
-names within d edits share one of d + 1 pieces near its place, and only names that share one are measured.
+the longer one's characters. For names under 20 characters that means equal names, so only longer ones are compared,
+and of these only names that share one of the rarest pieces of the first (similar_pairs).
 Which of the similar names found an entity is decided in rounds: a name whose earlier similar names are all decided
 joins the best that founded one, or founds its own.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import levenshtein_similarity, name_key
+from lodestone.ordering import in_order
 from lodestone.schemas import make_id
 from lodestone.scratch import written
+from lodestone.skew import join_split
 
 #: Similarity from which names are one, and the edits it allows: one for each so many characters of the longer name.
 SIMILAR, PER_EDIT = 0.95, 20
+#: Letters of a piece, and the slots of the table that tells rare pieces.
+GRAM, SLOTS = 3, 1 << 16
 
 
-def _pieces(name: str, length: int) -> list[tuple[int, str]]:
-    """(number, piece) of a name cut for comparison with names of `length`: one more piece than edits allowed."""
-    n = max(len(name), length) // PER_EDIT + 1
-    cuts = [len(name) * i // n for i in range(n + 1)]
-    return [(i, name[cuts[i] : cuts[i + 1]]) for i in range(n)]
+def most_edits(length: int) -> int:
+    """The edits that a name may be away from one it is similar to."""
+    return (length + length // PER_EDIT + 1) // PER_EDIT
 
 
-def _windows(name: str, length: int) -> set[tuple[int, str]]:
-    """The pieces that a name of `length` might share with this one."""
-    d = max(len(name), length) // PER_EDIT
-    cuts = [length * i // (d + 1) for i in range(d + 2)]
-    out = set()
-    for i in range(d + 1):
-        size = cuts[i + 1] - cuts[i]
-        out |= {(i, name[s : s + size]) for s in range(max(0, cuts[i] - d), min(cuts[i] + d, len(name) - size) + 1)}
+def _grams(name: str) -> list[str]:
+    return [name[i : i + GRAM] for i in range(len(name) - GRAM + 1)]
+
+
+def _slot(gram: str) -> int:
+    return xxhash.xxh32_intdigest(gram.encode()) % SLOTS
+
+
+def gram_counts(long: DataFrame) -> np.ndarray:
+    """How often the grams of each of SLOTS slots stand in the names: an upper bound of each gram's number, of fixed size."""
+
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                for g in _grams(name):
+                    counts[_slot(g)] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in long.select("name").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r["slot"]] = r["n"]
     return out
 
 
-def similar_pairs(names: DataFrame) -> DataFrame:
-    """(later, earlier, score): pairs of one type with score >= 0.95. names: rid, type, name, seq."""
+def rare_pieces(name: str, counts: np.ndarray) -> list[int]:
+    """Places of disjoint grams, one more than edits allowed, with the least total number."""
+    k, cost = most_edits(len(name)) + 1, [int(counts[_slot(g)]) for g in _grams(name)]
+    # best[j][i]: the least total of j grams from place i on, and the first one's place.
+    best = [[(0, -1)] * (len(cost) + GRAM + 1)]
+    for _ in range(k):
+        row = [(1 << 62, -1)] * (len(cost) + GRAM + 1)
+        for i in range(len(cost) - 1, -1, -1):
+            row[i] = min(row[i + 1], (cost[i] + best[-1][i + GRAM][0], i))
+        best.append(row)
+    out, i = [], 0
+    for j in range(k, 0, -1):
+        out.append(best[j][i][1])
+        i = out[-1] + GRAM
+    return out
+
+
+def similar_pairs(names: DataFrame, asking: Column | None = None) -> DataFrame:
+    """(later, earlier, score): pairs of one type with score >= 0.95. names: rid, type, name, seq; asking: which names may be the later one (all).
+
+    d edits leave one of d + 1 disjoint pieces of a name whole, and move it by d places at most. So each name looks for its rarest pieces
+    in the other names' grams, on one side of a pair; what many names have in common is not looked for if there is anything else.
+    """
     long = names.where(F.length("name") >= PER_EDIT - 1).select("rid", "type", "name", "seq")
+    counts = gram_counts(long)
 
-    def keyed(kind):
+    def keyed(long, pieces):
         def run(batches):
             for batch in batches:
                 out = []
-                for rid, name in zip(batch.column("rid").to_pylist(), batch.column("name").to_pylist(), strict=True):
-                    d = (len(name) + len(name) // PER_EDIT + 1) // PER_EDIT
-                    for other in range(len(name) - d, len(name) + d + 1):
-                        if kind == "piece":
-                            out += [(rid, len(name), other, i, p) for i, p in _pieces(name, other)]
-                        else:
-                            out += [(rid, other, len(name), i, p) for i, p in _windows(name, other)]
+                for row, name in enumerate(batch.column("name").to_pylist()):
+                    d = most_edits(len(name))
+                    if pieces:
+                        out += [(row, name[p : p + GRAM], at) for p in rare_pieces(name, counts) for at in range(p - d, p + d + 1)]
+                    else:
+                        out += [(row, g, at) for at, g in enumerate(_grams(name))]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["rid", "cut_length", "length", "i", "piece"])
+                    rows, piece, at = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array(piece), pa.array(at, pa.int32())], names=[*batch.schema.names, "piece", "at"])
 
-        return long.mapInArrow(run, "rid string, cut_length long, length long, i long, piece string").join(long, "rid")
+        return long.mapInArrow(run, T.StructType([*long.schema.fields, T.StructField("piece", T.StringType()), T.StructField("at", T.IntegerType())]))
 
-    a, b = keyed("piece").alias("a"), keyed("window").alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("type", "cut_length", "length", "i", "piece")]
-    met = a.join(b, on).where(F.col("a.rid") != F.col("b.rid"))
-    first = F.col("a.seq") < F.col("b.seq")
-    side = lambda c, yes, no: F.when(first, F.col(f"{yes}.{c}")).otherwise(F.col(f"{no}.{c}"))
-    pairs = met.select(side("rid", "b", "a").alias("later"), side("rid", "a", "b").alias("earlier"), side("name", "b", "a").alias("x"), side("name", "a", "b").alias("y")).distinct()
-    longest = F.greatest(F.length("x"), F.length("y"))
-    near = F.levenshtein("x", "y") * PER_EDIT <= longest
-    return pairs.where(near).select("later", "earlier", levenshtein_similarity(F.col("x"), F.col("y")).alias("score"))
+    a, b = keyed(long, True).alias("a"), keyed(long if asking is None else long.where(asking), False).alias("b")
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("type", "piece", "at")]).where("a.seq < b.seq")
+    x, y = F.col("a.name"), F.col("b.name")
+    longest = F.greatest(F.length(x), F.length(y))
+    near = (F.abs(F.length(x) - F.length(y)) * PER_EDIT <= longest) & (F.levenshtein(x, y) * PER_EDIT <= longest)
+    pairs = met.where(near).select(F.col("b.rid").alias("later"), F.col("a.rid").alias("earlier"), levenshtein_similarity(x, y).alias("score"))
+    return pairs.dropDuplicates(["later", "earlier"])
 
 
 def found_entities(firsts: DataFrame) -> DataFrame:
-    """(rid, founder) for first mentions: rid, type, name, seq. A founder's own rid stands for itself."""
-    pairs = written(similar_pairs(firsts), "similar")
+    """(rid, founder) for first mentions: rid, type, name, seq. A founder's own rid stands for itself; names with seq.new = 0 always found."""
+    pairs = written(similar_pairs(firsts, F.col("seq.new") == 1), "similar")
     involved = pairs.select(F.col("later").alias("rid")).unionByName(pairs.select(F.col("earlier").alias("rid"))).distinct()
     decided = written(involved.join(pairs.select(F.col("later").alias("rid")), "rid", "left_anti").select("rid", F.col("rid").alias("founder")), "founders")
     order = firsts.select(F.col("rid").alias("earlier"), F.col("seq").alias("earlier_seq"))
@@ -90,29 +130,79 @@ def found_entities(firsts: DataFrame) -> DataFrame:
     return firsts.select("rid").join(decided, "rid", "left").select("rid", F.coalesce("founder", "rid").alias("founder"))
 
 
+def _owners(entities: DataFrame) -> DataFrame:
+    """(type, key, o): who owns a name key among the entities, the first of them: o has ord, id, via (exact or alias)."""
+    spellings = F.concat(F.array(F.struct(F.col("canonical_name").alias("name"), F.lit("exact").alias("via"))), F.transform("aliases", lambda a: F.struct(a.alias("name"), F.lit("alias").alias("via"))))
+    names = entities.select("id", F.col("entity_type").alias("type"), "ord", F.explode(spellings).alias("n"))
+    owners = names.select("type", name_key(F.col("n.name")).alias("key"), F.struct("ord", F.when(F.col("n.via") == "exact", 0).otherwise(1).alias("rank"), "id", F.col("n.via").alias("via")).alias("o"))
+    return owners.groupBy("type", "key").agg(F.min("o").alias("o"))
+
+
+def _resolved(mentions: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(the mentions with entity_id, matched_via, canonical_name; new entities: id, canonical_name, entity_type, ord), after the known entities."""
+    keyed = written(mentions.withColumn("key", name_key(F.col("name"))), "mentions")
+    firsts = keyed.groupBy("type", "key").agg(F.min(F.struct("seq", "name")).alias("f"))
+    firsts = firsts.select(make_id("entity", F.col("type"), F.col("key")).alias("rid"), "type", "key", "f.name", "f.seq")
+    # Known entities come before all mentions.
+    place = lambda new, ord_, seq: F.struct(F.lit(new).alias("new"), ord_.cast("long").alias("ord"), seq.alias("seq"))
+    nothing = F.lit(None).cast(keyed.schema["seq"].dataType)
+    own = None
+    if known is not None:
+        own = written(_owners(known), "owners")
+        firsts = firsts.join(own.select("type", "key"), ["type", "key"], "left_anti")
+    firsts = written(firsts, "firsts")
+    names = firsts.select("rid", "type", "name", place(1, F.lit(None), F.col("seq")).alias("seq"))
+    if known is not None:
+        names = written(names.unionByName(known.select(F.col("id").alias("rid"), F.col("entity_type").alias("type"), F.col("canonical_name").alias("name"), place(0, F.col("ord"), nothing).alias("seq"))), "names")
+    founders = written(found_entities(names), "founders")
+    canonical = names.select(F.col("rid").alias("founder"), F.col("name").alias("canonical_name"))
+    owner = firsts.join(founders, "rid").join(canonical, "founder").select("type", "key", F.col("seq").alias("first_seq"), F.col("founder").alias("entity_id"), "canonical_name", (F.col("founder") == F.col("rid")).alias("own"))
+    if known is not None:
+        told = own.join(known.select(F.col("id").alias("entity_id"), "canonical_name"), F.col("o.id") == F.col("entity_id"))
+        owner = owner.unionByName(told.select("type", "key", nothing.alias("first_seq"), "entity_id", "canonical_name", (F.col("o.via") == "exact").alias("own")))
+    owner = written(owner, "owners")
+    joined = join_split(keyed, owner, ["type", "key"])
+    first = F.coalesce(F.col("seq") == F.col("first_seq"), F.lit(False))
+    via = F.when(first & F.col("own"), "new").when(first, "similarity").when(F.col("own"), "exact").otherwise("alias")
+    found = written(joined.withColumn("matched_via", via).drop("first_seq", "own", "key"), "resolved")
+    new = owner.where("own AND first_seq IS NOT NULL").select(F.col("entity_id").alias("id"), "canonical_name", F.col("type").alias("entity_type"), F.col("first_seq").alias("ord"))
+    return found, new
+
+
+def _spellings(found: DataFrame) -> DataFrame:
+    """(id, spelled): the different names by which an entity was mentioned besides its own, in the order of their first mention."""
+    rows = found.where(F.col("name") != F.col("canonical_name")).groupBy("entity_id", "name").agg(F.min("seq").alias("seq"))
+    rows = rows.groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("a"))
+    return rows.select("id", F.transform("a", lambda x: x["name"]).alias("spelled"))
+
+
+NO_NAMES = "CAST(array() AS array<string>)"
+
+
 def resolve_stream(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Resolves all mentions of a corpus in the order of seq, starting from no entity. mentions: name, type, seq (unique), and more.
 
     Returns the mentions with entity_id and matched_via (new, similarity, exact, alias), and the entities they make.
     """
-    keyed = written(mentions.withColumn("key", name_key(F.col("name"))), "mentions")
-    firsts = keyed.groupBy("type", "key").agg(F.min(F.struct("seq", "name")).alias("f"))
-    firsts = written(firsts.select(make_id("entity", F.col("type"), F.col("key")).alias("rid"), "type", "key", "f.name", "f.seq"), "firsts")
-    founders = written(found_entities(firsts), "founders")
-    owner = firsts.join(founders, "rid")
-    canonical = firsts.select(F.col("rid").alias("founder"), F.col("name").alias("canonical_name"), F.col("key").alias("canonical_key"), F.col("seq").alias("ord"))
-    owner = owner.join(canonical, "founder").select("type", "key", F.col("seq").alias("first_seq"), F.col("founder").alias("entity_id"), "canonical_name", "canonical_key", "ord")
-    joined = keyed.join(owner, ["type", "key"])
-    first = F.col("seq") == F.col("first_seq")
-    via = F.when(first & (F.col("key") == F.col("canonical_key")), "new").when(first, "similarity").when(F.col("key") == F.col("canonical_key"), "exact").otherwise("alias")
-    found = written(joined.withColumn("matched_via", via), "resolved")
-    spellings = found.where(F.col("name") != F.col("canonical_name")).groupBy("entity_id", "name").agg(F.min("seq").alias("seq"))
-    spellings = spellings.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("a"))
-    base = owner.where(F.col("key") == F.col("canonical_key")).select(F.col("entity_id"), "canonical_name", F.col("type").alias("entity_type"), "ord")
-    entities = base.join(spellings, "entity_id", "left").select(
-        F.col("entity_id").alias("id"), "canonical_name", "entity_type", F.coalesce(F.transform("a", lambda x: x["name"]), F.array().cast("array<string>")).alias("aliases"), "ord"
-    )
-    return found.drop("first_seq", "canonical_name", "canonical_key", "ord", "key"), entities
+    found, new = _resolved(mentions, None)
+    entities = new.join(_spellings(found), "id", "left").select("id", "canonical_name", "entity_type", F.coalesce("spelled", F.expr(NO_NAMES)).alias("aliases"), "ord")
+    return found.drop("canonical_name"), entities
+
+
+def resolve_into(known: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As resolve_stream, with known entities (ord: a number) before all mentions: the mentions resolved, and the known and new entities.
+
+    Of several known entities with a key, the first is it. Known entities get the new spellings after their aliases; new ones are numbered
+    after the known ones.
+    """
+    found, new = _resolved(mentions, known)
+    spelled = written(_spellings(found), "spellings")
+    last = known.agg(F.max("ord")).first()[0]
+    numbered = in_order(new, "ord").withColumn("ord", F.col("place") + (0 if last is None else last + 1)).drop("place")
+    kept = [c for c in known.columns if c in ("description", "metadata")]
+    old = known.join(spelled, "id", "left").select("id", "canonical_name", "entity_type", F.concat("aliases", F.array_except(F.coalesce("spelled", F.expr(NO_NAMES)), "aliases")).alias("aliases"), F.col("ord").cast("long").alias("ord"), *kept)
+    made = numbered.join(spelled, "id", "left").select("id", "canonical_name", "entity_type", F.coalesce("spelled", F.expr(NO_NAMES)).alias("aliases"), "ord")
+    return found.drop("canonical_name"), old.unionByName(made, allowMissingColumns=True)
 
 
 def resolve_against(entities: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -120,26 +210,21 @@ def resolve_against(entities: DataFrame, mentions: DataFrame) -> DataFrame:
 
     The earliest entity with the key as its name or an alias wins; else the most similar canonical name of 95 % or more; else new, with no id.
     """
-    names = entities.select("id", F.col("entity_type").alias("type"), "ord", F.explode(F.concat(F.array(F.struct("canonical_name", F.lit("exact").alias("via"))), F.transform("aliases", lambda a: F.struct(a.alias("canonical_name"), F.lit("alias").alias("via"))))).alias("n"))
-    owners = names.select("type", name_key(F.col("n.canonical_name")).alias("key"), F.struct("ord", F.when(F.col("n.via") == "exact", 0).otherwise(1).alias("rank"), "id", F.col("n.via").alias("via")).alias("o"))
-    owners = owners.groupBy("type", "key").agg(F.min("o").alias("o"))
+    owners = _owners(entities)
     asked = mentions.withColumn("key", name_key(F.col("name"))).join(owners, ["type", "key"], "left")
-    rest = asked.where("o is null").select(F.concat(F.lit("m"), F.col("mid").cast("string")).alias("rid"), "type", "name", F.lit(2**62).alias("seq"))
+    rest = asked.where("o is null").select("type", "name").distinct().select(F.to_json(F.struct("type", "name")).alias("rid"), "type", "name", F.lit(2**62).alias("seq"))
     known = entities.select(F.concat(F.lit("e"), "id").alias("rid"), F.col("entity_type").alias("type"), F.col("canonical_name").alias("name"), F.col("ord").cast("long").alias("seq"))
-    pairs = similar_pairs(known.unionByName(rest)).where(F.col("later").startswith("m") & F.col("earlier").startswith("e"))
+    pairs = similar_pairs(written(known.unionByName(rest), "names"), F.col("seq") == 2**62)
     order = entities.select(F.concat(F.lit("e"), "id").alias("earlier"), "ord", "id")
     best = pairs.join(order, "earlier").groupBy("later").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "id")).alias("b"))
-    best = best.select(F.expr("substring(later, 2)").alias("_mid"), F.col("b.id").alias("near"))
-    out = asked.join(best, F.col("mid").cast("string") == F.col("_mid"), "left")
+    best = rest.join(best.select(F.col("later").alias("rid"), F.col("b.id").alias("near")), "rid").select("type", "name", "near")
+    out = asked.join(best, ["type", "name"], "left")
     via = F.when(F.col("o").isNotNull(), F.col("o.via")).when(F.col("near").isNotNull(), "similarity").otherwise("new")
     return out.select(*[c for c in mentions.columns], F.coalesce("o.id", "near").alias("entity_id"), via.alias("matched_via"), (via == "new").alias("is_new"))
 
 
 def ranked_mentions(extractions: DataFrame, order: list[str]) -> DataFrame:
-    """One row per extracted entity with seq, its place in the corpus: chunks by `order`, then the place in the answer.
-
-    seq packs the chunk's rank (by a range sort, not one task) and the place, so it never depends on partitions.
-    """
+    """One row per extracted entity with seq, its place in the corpus: a struct of the chunk's `order` columns and the place in the answer."""
     chunks = extractions.where(F.col("entities").isNotNull())
     return chunks.select("chunk_id", *[c for c in order if c != "chunk_id"], F.posexplode("entities").alias("pos", "e")).select(
         "chunk_id", "pos", F.col("e.name").alias("name"), F.col("e.entity_type").alias("type"), F.struct(*order, "pos").alias("seq")

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lodestone.operators import building, resolution
-from lodestone.schemas import ENTITIES, EXTRACTION
+from lodestone.schemas import ENTITIES, EXTRACTION, Graph
 
 
 def key(name):
@@ -109,3 +109,55 @@ def test_build(spark):
     assert mentions.count() == 7
     again, _ = building.build_graph(df.repartition(4))
     assert sorted(map(str, again.relationships.collect())) == sorted(map(str, graph.relationships.collect()))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_stream_into_known_entities(spark, seed):
+    rng = random.Random(10 + seed)
+    draw = lambda n: [(noisy(rng, rng.choice(BASES)), rng.choice(("Product", "Concept"))) for _ in range(n)]
+    known, mentions = [[n, t, rng.choice(([], [noisy(rng, n)]))] for n, t in draw(14)], draw(120)
+    rows = [(f"k{i}", n, t, a, None, None, i) for i, (n, t, a) in enumerate(known)]
+    df = spark.createDataFrame([(n, t, i) for i, (n, t) in enumerate(mentions)], "name string, type string, seq long").repartition(3)
+    found, entities = resolution.resolve_into(spark.createDataFrame(rows, ENTITIES), df)
+    entities = entities.orderBy("ord").collect()
+    want = [[n, t, list(a)] for n, t, a in known]
+    via = []
+    for name, kind in mentions:
+        i, how = resolve(want, name, kind)
+        if i is None:
+            i = len(want)
+            want.append([name, kind, []])
+        elif name != want[i][0] and name not in want[i][2]:
+            want[i][2].append(name)
+        via.append((i, how))
+    assert [[r.canonical_name, r.entity_type, r.aliases] for r in entities] == want
+    place = {r.id: i for i, r in enumerate(entities)}
+    assert [(place[r.entity_id], r.matched_via) for r in found.orderBy("seq").collect()] == via
+
+
+def test_many_names_with_one_start(spark):
+    rng = random.Random(3)
+    names = [f"Organization Number {i:05d}" for i in range(3000)] + ["Organization Number"]
+    df = spark.createDataFrame([(str(i), "t", n, i) for i, n in enumerate(names)], "rid string, type string, name string, seq long").repartition(4)
+    got = {(int(r.later), int(r.earlier)) for r in resolution.similar_pairs(df).collect()}
+    sample = rng.sample(range(len(names)), 25)
+    assert {p for p in got if p[0] in sample} == {(j, i) for j in sample for i in range(j) if 20 * edits(names[i], names[j]) <= max(len(names[i]), len(names[j]))}
+
+
+def test_extending_is_building(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        names = list(dict.fromkeys((noisy(rng, rng.choice(BASES)), rng.choice(("Product", "Concept"))) for _ in range(5)))
+        ends = [*(n for n, _ in names), "nobody"]
+        rows.append((f"c{i:02}", names, [(rng.choice(ends), rng.choice(ends), rng.choice(("USES", "PART_OF")), "said", rng.random()) for _ in range(5)]) if i % 7 else (f"c{i:02}", None, None))
+    df = spark.createDataFrame(rows, f"chunk_id string, {EXTRACTION}")
+    whole, _ = building.build_graph(df)
+    part, _ = building.build_graph(df.where("chunk_id < 'c15'"))
+    graph = Graph(*(building.numbered(t) for t in (part.entities, part.relationships, part.evidence)))
+    for a, b in (("c15", "c30"), ("c30", "c99"), ("c30", "c99")):  # the last one comes again
+        graph, _ = building.extend_graph(graph, df.where(f"chunk_id >= '{a}' AND chunk_id < '{b}'"))
+    for got, want in ((graph.entities, whole.entities), (graph.relationships, whole.relationships), (graph.evidence, whole.evidence)):
+        assert [r.ord for r in got.orderBy("ord").collect()] == list(range(got.count()))
+        rows = lambda t: [tuple(r) for r in t.orderBy("ord").select(*[c for c in want.columns if c != "ord"]).collect()]  # noqa: B023, E731
+        assert rows(got) == rows(want)
