@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import normalize_text
-from lodestone.operators.building import build_graph
+from lodestone.operators.building import build_graph, numbered
 from lodestone.operators.chunking import chunk_by_size
 from lodestone.operators.extraction import extract
+from lodestone.ordering import in_order
 from lodestone.schemas import Graph
 from lodestone.scratch import written
 from lodestone.sources.snapshots import load_graph, save_graph
@@ -40,32 +41,51 @@ def states(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/states").groupBy("document_id").agg(F.max(F.struct("at", "place", "state")).getField("state").alias("state"))
 
 
+def _done(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def process(documents: DataFrame, llm: Callable[[str], str], embed: Callable[[Column], Column], path: str, chunker: Callable[[DataFrame], DataFrame] = chunk_by_size) -> Graph:
     """From documents (id, content) to chunks, vectors and a saved graph under path, with the state of every document on the way.
 
-    A stage is one job over all documents, so they share its state. A document fails if none of its chunks has a usable answer though it
-    has chunks; it has its chunks and vectors all the same. embed: a column function over texts.
+    path must be new. A stage is one job over all documents, so they share its state, and its result is a table under path. When a stage fails, all documents are
+    FAILED and the error goes on; resume() goes on from the tables that are whole. A document also fails if none of its chunks has a usable
+    answer though it has chunks; it has its chunks and vectors all the same. `ord` numbers rows in the order of insertion: entities by their first mention,
+    relationships by their first statement, evidence and vectors by chunk. embed: a column function over texts.
     """
-    spark = documents.sparkSession
-    documents = written(documents.select("id", "content"), "documents")
-    for state in STATES[:2]:
-        _log(documents, state, path)
-    texts = documents.select("id", normalize_text(F.coalesce("content", F.lit(""))).alias("content"))
-    _log(documents, "CHUNKING", path)
-    chunks = written(chunker(texts), "chunks")
-    chunks.write.parquet(f"{path}/chunks")
-    _log(documents, "EXTRACTING", path)
-    found = written(extract(chunks, llm, on_error="skip"), "extractions")
-    _log(documents, "RESOLVING", path)
-    graph, _ = build_graph(found.withColumnRenamed("id", "chunk_id"), ("document_id", "chunk_index", "chunk_id"))
-    _log(documents, "BUILDING_GRAPH", path)
-    # The order of insertion is a struct here; the saved graph has a number for it.
-    numbered = lambda df: df.withColumn("ord", F.xxhash64(F.col("ord").cast("string")))
-    save_graph(Graph(numbered(graph.entities), numbered(graph.relationships), numbered(graph.evidence)), f"{path}/graph")
-    _log(documents, "EMBEDDING", path)
-    vectors = chunks.select(F.concat(F.lit("vec_"), "id").alias("id"), F.col("id").alias("chunk_id"), embed(F.col("text")).alias("vector"), F.xxhash64("id").alias("ord"))
-    vectors.write.parquet(f"{path}/vectors")
-    answered = found.groupBy("document_id").agg(F.count("entities").alias("n")).where("n = 0").select(F.col("document_id").alias("id"))
-    _log(documents.join(answered, "id", "left_semi"), FAILED, path)
-    _log(documents.join(answered, "id", "left_anti"), "COMPLETED", path)
-    return load_graph(spark, f"{path}/graph")
+    documents.select("id", "content").write.parquet(f"{path}/documents")
+    _log(documents.sparkSession.read.parquet(f"{path}/documents"), STATES[0], path)
+    return resume(documents.sparkSession, path, llm, embed, chunker)
+
+
+def resume(spark: SparkSession, path: str, llm: Callable[[str], str], embed: Callable[[Column], Column], chunker: Callable[[DataFrame], DataFrame] = chunk_by_size) -> Graph:
+    """Goes on with what process() began at path. Chunks that have their answers are not asked for again."""
+    documents = spark.read.parquet(f"{path}/documents")
+
+    def stage(state: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if not _done(spark, f"{path}/{name}"):
+            _log(documents, state, path)
+            make().write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    try:
+        _log(documents, STATES[1], path)
+        texts = documents.select("id", normalize_text(F.coalesce("content", F.lit(""))).alias("content"))
+        chunks = stage("CHUNKING", "chunks", lambda: chunker(texts))
+        found = stage("EXTRACTING", "extractions", lambda: extract(chunks, llm, on_error="skip"))
+        if not _done(spark, f"{path}/graph/manifest"):
+            _log(documents, "RESOLVING", path)
+            graph, _ = build_graph(found.withColumnRenamed("id", "chunk_id"), ("document_id", "chunk_index", "chunk_id"))
+            _log(documents, "BUILDING_GRAPH", path)
+            save_graph(Graph(*(numbered(t) for t in (graph.entities, graph.relationships, graph.evidence))), f"{path}/graph")
+        rows = in_order(chunks.select("document_id", "chunk_index", "id", "text"), "document_id", "chunk_index", "id", place="ord")
+        stage("EMBEDDING", "vectors", lambda: rows.select(F.concat(F.lit("vec_"), "id").alias("id"), F.col("id").alias("chunk_id"), embed(F.col("text")).alias("vector"), "ord"))
+        unanswered = found.groupBy("document_id").agg(F.count("entities").alias("n")).where("n = 0").select(F.col("document_id").alias("id"))
+        _log(documents.join(unanswered, "id", "left_semi"), FAILED, path)
+        _log(documents.join(unanswered, "id", "left_anti"), "COMPLETED", path)
+        return load_graph(spark, f"{path}/graph")
+    except Exception:
+        _log(documents, FAILED, path)
+        raise

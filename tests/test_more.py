@@ -186,6 +186,33 @@ def test_process_with_states(spark, tmp_path):
     assert logged == {*ingest.STATES, ingest.FAILED}
 
 
+def test_process_keeps_order_and_goes_on_after_a_failure(spark, tmp_path):
+    asked = tmp_path / "asked"
+
+    def llm(prompt):
+        name = prompt.partition("Text:\n")[2].split()[0]
+        with open(asked, "a") as f:
+            f.write(f"{name}\n")
+        return f'{{"entities": [{{"name": "{name}", "entity_type": "Concept"}}, {{"name": "Common", "entity_type": "Concept"}}], "relationships": [{{"source": "{name}", "target": "Common", "relationship_type": "USES", "evidence": "said", "confidence": 0.5}}]}}'
+
+    names = [f"{n}{i}" for i, n in enumerate(("Delta", "Beta", "Alpha", "Gamma") * 2)]
+    docs = spark.createDataFrame([(f"d{i}", f"{n} uses the common thing.") for i, n in enumerate(names)], "id string, content string").repartition(4)
+    path = str(tmp_path / "out")
+    with pytest.raises(Exception):  # noqa: B017
+        ingest.process(docs, llm, lambda text: F.raise_error(F.lit("no vectors")).cast("array<double>"), path)
+    assert {r.state for r in ingest.states(spark, path).collect()} == {ingest.FAILED}
+    made = ingest.resume(spark, path, llm, bag_of_words(["uses"]))
+    assert {r.state for r in ingest.states(spark, path).collect()} == {"COMPLETED"}
+    assert sorted(asked.read_text().split()) == sorted(names)
+    assert [r.canonical_name for r in made.entities.orderBy("ord").collect()] == [names[0], "Common", *names[1:]]
+    ids = {r.id: r.canonical_name for r in made.entities.collect()}
+    assert [ids[r.source_entity_id] for r in made.relationships.orderBy("ord").collect()] == names
+    chunks = {r.id: r.document_id for r in spark.read.parquet(f"{path}/chunks").collect()}
+    assert [chunks[r.chunk_id] for r in made.evidence.orderBy("ord").collect()] == [chunks[r.chunk_id] for r in spark.read.parquet(f"{path}/vectors").orderBy("ord").collect()] == sorted(chunks.values())
+    # Ties go by the order of insertion, so a path over the common entity is the one before saving.
+    assert [ids[r.id] for r in traversal.find_path(made, *[next(i for i, n in ids.items() if n == names[k]) for k in (5, 2)]).orderBy("hop").collect()] == [names[5], "Common", names[2]]
+
+
 def test_versions_and_changes(spark, tmp_path):
     x, path = graph(spark), str(tmp_path / "g")
     first = snapshots.save_graph(x, path)
