@@ -9,11 +9,12 @@ whether the token looks drawn evenly from that alphabet:
 * serial correlation: does a symbol say anything about the next one.
 
 The least of the three p-values, times three, is the token's fit. Benjamini and Hochberg's procedure over the fits of all candidates says
-which tokens are not drawn evenly, with a bounded share of wrong refusals; these are ordinary. The other side of the decision is how surprising the token would be
-in ordinary text, where neighbours seldom differ in kind (small letter, capital, digit): Chernoff's bound on the number
-of changes of kind is the token's p-value. It depends on the length, so short tokens need a higher rate of changes.
-The same procedure over these p-values bounds the share of false finds among the candidates. P-values are
-rounded up to a grid of fixed size, so two small histograms find the thresholds. Tokens whose characters are of one kind (digits, or letters
+which tokens are not drawn evenly, with a bounded share of wrong refusals; these are ordinary. The other side of the
+decision is how surprising the token would be in ordinary text, where neighbours seldom differ in kind (small letter,
+capital, digit) and some letters are rare: the likelihood of that text over that of even draws from the encoding's
+alphabet bounds the token's p-value. It depends on the length, so short tokens need clearer signs. The same procedure
+over these p-values bounds the share of false finds among the candidates. P-values are rounded up to a grid of fixed
+size, so two small histograms find the thresholds. Tokens whose characters are of one kind (digits, or letters
 of one case) never change kind: they are no finds, since nothing tells them from numbers and long words.
 
 Spans are in code points, end exclusive. A null text is empty and has no spans. Rows with equal ids are scanned one by
@@ -22,6 +23,7 @@ one, extra columns are left out, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -47,8 +49,11 @@ ENCODINGS = (
     ("base36", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base64", r"^[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-#: In ordinary text at most this share of neighbours differ in kind.
-ORDINARY_CHANGES = 0.05
+#: In ordinary text at most this share of neighbours differ in kind: in tokens of one case, and of both.
+ORDINARY_CHANGES = (0.02, 0.05)
+#: Letters by their frequency in European languages, and the share of ordinary text's letters that each part is taken to have.
+LETTERS = (("etaoinsr", 0.64), ("dlcumhgbpf", 0.28), ("jkqvwxyz", 0.08))
+LEAST_SHARE = 0.001
 #: Shares that are allowed: of keys among the tokens refused as ordinary, and of false finds.
 REFUSED_SHARE, FALSE_SHARE = 0.01, 0.01
 #: Steps of the p-value grid per factor of ten, and its end.
@@ -171,15 +176,34 @@ def p_random(token: Column) -> Column:
     return let(encoding_of(token, 2), lambda abc: F.when(abc.isNotNull(), with_alphabet(abc)))
 
 
+def drawn(abc: str) -> tuple[float, list[float]]:
+    """For symbols drawn evenly from an alphabet: the chance that neighbours differ in kind, and of a letter to be in each of LETTERS."""
+    kinds = [sum(c.islower() for c in abc), sum(c.isupper() for c in abc), sum(c.isdigit() for c in abc)]
+    letters = [c.lower() for c in abc if c.isalpha()]
+    return (sum(kinds) ** 2 - sum(k * k for k in kinds)) / len(abc) ** 2, [sum(c in part for c in letters) / max(len(letters), 1) for part, _ in LETTERS]
+
+
 def p_ordinary(token: Column) -> Column:
-    """Chernoff's bound on so many changes of kind among the token's neighbours in ordinary text."""
+    """A bound on the chance that ordinary text looks as much like even draws from the token's alphabet: one over the likelihood ratio of the two.
+
+    The ratio is that of the neighbours' changes of kind, times that of the letters. By Markov's inequality, ordinary text exceeds a
+    ratio r with a chance of 1 / r at most. One without changes of kind is ordinary.
+    """
     pairs = F.greatest(F.length(token) - 1, F.lit(1)).cast("double")
     changes = F.regexp_count(token, F.lit(r"(?<=[a-z])[A-Z0-9]|(?<=[0-9])[A-Za-z]|(?<=[A-Z])[0-9a-z]")).cast("double")
-    r, q = changes / pairs, ORDINARY_CHANGES
-    some = F.when(r > 0, r * F.ln(F.greatest(r, F.lit(1e-9)) / q)).otherwise(F.lit(0.0)) + F.when(
-        r < 1, (1 - r) * F.ln(F.greatest(1 - r, F.lit(1e-9)) / (1 - q))
-    ).otherwise(F.lit(0.0))
-    return F.when(r <= q, F.lit(1.0)).otherwise(F.exp(-pairs * some))
+    letters = [F.regexp_count(F.lower(token), F.lit(f"[{part}]")).cast("double") for part, _ in LETTERS]
+
+    def ratio(abc: str) -> Column:
+        usual = ORDINARY_CHANGES[0 if abc.upper() == abc else 1]
+        change, shares = drawn(abc)
+        change = min(max(change, LEAST_SHARE), 1 - LEAST_SHARE)
+        parts = [n * math.log(max(share, LEAST_SHARE) / text) for n, share, (_, text) in zip(letters, shares, LETTERS, strict=True)]
+        return sum(parts, changes * math.log(change / usual) + (pairs - changes) * math.log((1 - change) / (1 - usual)))
+
+    out = F.lit(0.0)
+    for _, form, abc in reversed(ENCODINGS):
+        out = F.when(token.rlike(form), ratio(abc)).otherwise(out)
+    return F.when(changes == 0, F.lit(1.0)).otherwise(F.exp(-F.greatest(out, F.lit(0.0))))
 
 
 def grid_step(p: Column) -> Column:

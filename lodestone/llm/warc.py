@@ -9,12 +9,14 @@ records of a file are one leaf with a number of copies, so no group grows with t
 made where its leaves are, without further shuffles.
 
 Null urls and bodies are empty. Ids may repeat or be null. Records that one replica alone has are reported as missing
-or extra. An empty replica has no files: every file of the other one is reported.
+or extra. An empty replica has no files: every file of the other one is reported. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,41 +50,62 @@ def write_warc(df: DataFrame, path: str, url: str = "url", body: str = "html", m
     df.select(F.substring(whole, F.lit(1), F.length(whole) - len(END)).alias("value")).write.mode(mode).option("lineSep", END).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[int, int, str, bytes]]:
-    """(start, end, url, body) of each record; stops at the first that is damaged."""
-    file, size = io.BytesIO(data), len(data)
-    while (start := file.tell()) < size:
-        if file.readline().strip() != b"WARC/1.0":
-            return
-        url, length = "", None
-        while (line := file.readline()).strip():
-            name, _, value = line.partition(b":")
-            if name.lower() == b"warc-target-uri":
-                url = value.strip().decode("utf-8", "replace")
-            elif name.lower() == b"content-length":
-                length = int(value) if value.strip().isdigit() else None
-        if length is None or file.tell() + length + len(END) > size:
-            return
-        body = file.read(length)
-        if file.read(len(END)) != END.encode():
-            return
-        yield start, file.tell(), url, body
+MARK = re.compile(rb"WARC/1\.[0-9]\r?\n")
+
+
+def _record_at(data: bytes, start: int) -> tuple[int, str, bytes] | None:
+    """(end, url, body) of the record at start, or None if it is damaged."""
+    file = io.BytesIO(data)
+    file.seek(start)
+    if not MARK.fullmatch(file.readline()):
+        return None
+    fields: dict[bytes, bytes] = {}
+    while (line := file.readline()).strip():
+        name, colon, value = line.partition(b":")
+        # A head that is cut off runs into the next one: a line without a name, or a field again.
+        if not colon or not re.fullmatch(rb"[A-Za-z0-9-]+", name) or fields.setdefault(name.lower(), value) is not value:
+            return None
+    url, length = fields.get(b"warc-target-uri", b"").strip().decode("utf-8", "replace"), fields.get(b"content-length", b"").strip()
+    length = int(length) if re.fullmatch(rb"[0-9]{1,18}", length) else None
+    at = file.tell()
+    # A damaged length leads elsewhere than to the end of a record.
+    if length is None or data[at + length : at + length + len(END)] != END.encode():
+        return None
+    return at + length + len(END), url, data[at : at + length]
+
+
+def parse_records(data: bytes) -> Iterator[tuple[int, int, str | None, bytes | None]]:
+    """(start, end, url, body) of each record, in order; url and body are null for a damaged range.
+
+    After damage, reading goes on where the next whole record begins; what lies between is one damaged range. A record whose url or
+    body is changed, but not its length, is whole: the audit's hashes find it.
+    """
+    at = 0
+    while at < len(data):
+        found = _record_at(data, at)
+        if found:
+            yield at, found[0], found[1], found[2]
+            at = found[0]
+            continue
+        next_ = next((m.start() for m in MARK.finditer(data, at + 1) if _record_at(data, m.start())), len(data))
+        yield at, next_, None, None
+        at = next_
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path, start, end, url, html of every record under path. A file is read by one task; writers keep files small."""
-    schema = "path string, start long, end long, url string, html string"
+    """path, start, end, url, html, damaged: every record under path, and every damaged range (url and html are null). A file is read by one task; writers keep files small."""
+    kinds = {"path": pa.string(), "start": pa.int64(), "end": pa.int64(), "url": pa.string(), "html": pa.string(), "damaged": pa.bool_()}
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                found = list(parse_records(content.as_py()))
-                for i in range(0, len(found), 500):
-                    part = found[i : i + 500]
-                    columns = [[name.as_py()] * len(part), [r[0] for r in part], [r[1] for r in part], [r[2] for r in part], [r[3].decode("utf-8", "replace") for r in part]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["path", "start", "end", "url", "html"])
+                found = parse_records(content.as_py())
+                while part := list(itertools.islice(found, 500)):
+                    start, end, url, body = zip(*part, strict=True)
+                    columns = [[name.as_py()] * len(part), start, end, url, [b if b is None else b.decode("utf-8", "replace") for b in body], [b is None for b in body]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, start long, end long, url string, html string, damaged boolean")
 
 
 def leaves(df: DataFrame, file: Column, id_col: str = "page_id", url: str = "url", body: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:

@@ -5,6 +5,8 @@ import math
 import re
 from collections import Counter
 
+from lodestone.llm import secrets as secrets_module
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -108,13 +110,20 @@ def randomness(token):
 
 
 def ordinariness(token):
-    """Chernoff's bound on so many changes of kind at a rate of one in twenty."""
+    """One over the likelihood ratio of even draws to ordinary text: changes of kind at a rate of 0.02 or 0.05, and letters by three parts."""
     kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
-    pairs = len(token) - 1
-    r = sum(kind(a) != kind(b) and 3 not in (kind(a), kind(b)) for a, b in zip(token, token[1:])) / pairs
-    if r <= 0.05:
+    differ = lambda a, b: kind(a) != kind(b) and 3 not in (kind(a), kind(b))
+    abc = next((abc for _, form, abc in secrets_module.ENCODINGS if re.search(form, token)), None)
+    changes = sum(map(differ, token, token[1:]))
+    if not changes or abc is None:
         return 1.0
-    return math.exp(-pairs * (r * math.log(r / 0.05) + ((1 - r) * math.log((1 - r) / 0.95) if r < 1 else 0)))
+    q = 0.02 if not any(c.islower() for c in abc) else 0.05
+    u = min(max(sum(differ(a, b) for a in abc for b in abc) / len(abc) ** 2, 0.001), 0.999)
+    out = changes * math.log(u / q) + (len(token) - 1 - changes) * math.log((1 - u) / (1 - q))
+    letters = [c.lower() for c in abc if c.isalpha()]
+    for part, share in (("etaoinsr", 0.64), ("dlcumhgbpf", 0.28), ("jkqvwxyz", 0.08)):
+        out += sum(c.lower() in part for c in token) * math.log(max(sum(c in part for c in letters) / max(len(letters), 1), 0.001) / share)
+    return math.exp(-max(out, 0))
 
 
 def step_of(p):

@@ -58,7 +58,48 @@ def test_files_round_trip(spark, tmp_path):
     for r in back:
         with open(r.path.removeprefix("file:"), "rb") as f:
             assert f.read()[r.start : r.end].startswith(b"WARC/1.0")
-    assert list(warc.parse_records(b"")) == [] and list(warc.parse_records(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc")) == []
+    assert not any(r.damaged for r in back)
+    cut = b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc"
+    assert list(warc.parse_records(b"")) == [] and list(warc.parse_records(cut)) == [(0, len(cut), None, None)]
+
+
+def made(url, body):
+    return f"WARC/1.0\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n".encode()
+
+
+def test_reading_goes_on_after_damage():
+    records = [made(f"http://x/{i}", f"body {i} é\r\n\r\nWARC/1.0 is a format\r\n" * (i + 1)) for i in range(6)]
+    whole = b"".join(records)
+    starts = [len(b"".join(records[:i])) for i in range(7)]
+    assert [r[:2] for r in warc.parse_records(whole)] == list(zip(starts, starts[1:]))
+    for i in range(6):
+        head = records[i]
+        for bad in (head.replace(b"WARC/1.0\r", b"WARX/1.0\r", 1), head.replace(b"Content-Length: ", b"Content-Length: 9", 1), head.replace(b"Content-Length: ", b"Content-Length: x", 1), head[: len(head) // 2], head[:20], head[:35], b"noise\n" + head[30:]):
+            data = b"".join([*records[:i], bad, *records[i + 1 :]])
+            found = list(warc.parse_records(data))
+            assert [r[2] for r in found if r[2] is not None] == [f"http://x/{k}" for k in range(6) if k != i]
+            assert [(r[0], r[1]) for r in found if r[2] is None] == [(starts[i], starts[i] + len(bad))]
+            assert all(a[1] == b[0] for a, b in zip(found, found[1:])) and (found[0][0], found[-1][1]) == (0, len(data))
+    lost = list(warc.parse_records(records[0] + b"\0" * 50 + records[1] + b"\0" * 7))
+    assert [r[2] for r in lost] == ["http://x/0", None, "http://x/1", None]
+
+
+def test_damaged_files_in_a_table(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(made("http://a/", "one") + made("http://b/", "two")[:-20] + made("http://c/", ""))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = warc.read_warc(spark, str(tmp_path)).orderBy("start").collect()
+    assert [(r.url, r.html, r.damaged) for r in rows] == [("http://a/", "one", False), (None, None, True), ("http://c/", "", False)]
+
+
+def test_odd_tables(spark):
+    assert found(spark, [], ROWS[:3]) == [(i, "extra") for i in range(3)]
+    long = [(1, "http://long/", "é" * 3_000_000), (2, None, None)]
+    assert found(spark, long, long) == [] and found(spark, long, [(1, "http://long/", "é" * 2_999_999 + "e"), long[1]]) == [(1, "changed")]
+    names = ("file", "part", "node", "hash", "start", "end", "size", "copies", "n", "parts", "id")
+    extra = spark.createDataFrame(ROWS, SCHEMA).select("*", *[F.lit("mine").alias(c) for c in names])
+    plain = spark.createDataFrame(ROWS[1:], SCHEMA)
+    rows = warc.audit(*[warc.leaves(f, F.floor(F.col("page_id") / 128)) for f in (extra, plain)]).collect()
+    assert [(r.id, r.problem) for r in rows] == [(0, "missing")]
 
 
 def test_query(spark, sf_dir):
