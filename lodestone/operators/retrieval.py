@@ -15,6 +15,8 @@ from lodestone.functions.text import light_key, quoted
 from lodestone.operators.search import retrieve
 from lodestone.operators.traversal import bfs_subgraph
 from lodestone.schemas import Graph, Subgraph
+from lodestone.scratch import written
+from lodestone.skew import join_split
 
 #: Weights of graph, vector and confidence in the final score.
 WEIGHTS = (0.4, 0.4, 0.2)
@@ -35,6 +37,30 @@ def mentioned_entities(graph: Graph, question: str) -> DataFrame:
     return graph.entities.join(found.select("id"), "id", "left_semi")
 
 
+#: Runs of letters, digits and underscores, and single other characters.
+TOKEN = r"(?U)\w+|\W"
+
+
+def mentions_of(graph: Graph, questions: DataFrame, id_col: str = "question_id", text: str = "text") -> DataFrame:
+    """(id_col, entity_id): for each of many questions the entities that mentioned_entities() finds in it, once each.
+
+    A name stands in a question as whole words only if all its tokens do, so each different name is looked up by the one of its tokens that the
+    fewest names have, and the pairs that meet are checked. A token of very many questions meets few names, or none, and moves only if a name has it.
+    """
+    names = F.filter(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda n: n != "")
+    owned = written(graph.entities.select(F.col("id").alias("entity_id"), F.explode(names).alias("name")).select("entity_id", light_key(F.col("name")).alias("key")).distinct(), "names")
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)))
+    keyed = owned.select("key").distinct().select("key", F.explode(tokens(F.col("key"))).alias("token"))
+    number = keyed.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = written(join_split(written(keyed, "tokens"), number, "token").groupBy("key").agg(F.min(F.struct("n", "token")).alias("t")).select("key", "t.token"), "tokens")
+    asked = written(questions.select(id_col, light_key(F.col(text)).alias("asked")), "questions")
+    rows = asked.select(id_col, "asked", F.explode(tokens(F.col("asked"))).alias("token"))
+    hits = rows.join(rarest, "token").select(id_col, "asked", "key")
+    whole = F.col("asked").contains(F.col("key")) & F.regexp_like("asked", F.concat(F.lit(r"(?U)\b"), quoted(F.col("key")), F.lit(r"\b")))
+    found = written(hits.where(whole).select(id_col, "key").distinct(), "mentions")
+    return found.join(owned, "key").select(id_col, "entity_id").distinct()
+
+
 def retrieve_graph(graph: Graph, question: str, depth: int | None = None, relationship_type: str | None = None) -> Subgraph:
     """One search from all mentioned entities: the union of the balls around them."""
     return bfs_subgraph(graph, mentioned_entities(graph, question), Settings().max_graph_depth if depth is None else depth, relationship_type)

@@ -9,6 +9,7 @@ from lodestone.operators.graph import GraphError
 from lodestone.ordering import in_order
 from lodestone.schemas import Graph, Subgraph
 from lodestone.scratch import written
+from lodestone.skew import join_split
 
 
 def passing(relationships: DataFrame, relationship_type: str | None = None, min_confidence: float | None = None) -> DataFrame:
@@ -211,3 +212,44 @@ def degree_centrality(graph: Graph) -> DataFrame:
     """(id, degree): edge ends at each entity; loops count twice."""
     ends = adjacency(graph.relationships).groupBy(F.col("node").alias("id")).agg(F.count("*").alias("degree"))
     return graph.entities.select("id").join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def page_rank(graph: Graph, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+    """(id, rank): the chance to be at an entity, going along outgoing edges or, with 1 - damping, anywhere; from an entity without edges
+    one goes anywhere. Several edges between two entities count as often. Ranks sum up to 1.
+
+    Shares of a target are summed where they are made, and an entity with very many edges meets its rank without moving them.
+    """
+    nodes = written(graph.entities.select("id"), "rank")
+    n = nodes.count()
+    if not n:
+        return nodes.withColumn("rank", F.lit(0.0))
+    edges = written(graph.relationships.groupBy(F.col("source_entity_id").alias("id"), F.col("target_entity_id").alias("target")).agg(F.count("*").alias("k")), "rank")
+    degree = edges.groupBy("id").agg(F.sum("k").alias("out"))
+    nodes = written(nodes.join(degree, "id", "left"), "rank")
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(rounds):
+        idle = ranks.where("out IS NULL").agg(F.sum("rank")).first()[0] or 0.0
+        share = join_split(edges, ranks.where("out IS NOT NULL").select("id", (F.col("rank") / F.col("out")).alias("share")), "id")
+        came = share.groupBy(F.col("target").alias("id")).agg(F.sum(F.col("share") * F.col("k")).alias("came"))
+        base = (1.0 - damping) / n + damping * idle / n
+        ranks = written(nodes.join(came, "id", "left").select("id", "out", (F.lit(base) + damping * F.coalesce("came", F.lit(0.0))).alias("rank")), "rank")
+    return ranks.select("id", "rank")
+
+
+def harmonic_centrality(graph: Graph, depth: int = 6, bits: int = 12) -> DataFrame:
+    """(id, closeness): the sum over the other entities within `depth` hops of one over their distance, by sketches of the balls around each entity.
+
+    A round joins each entity's sketch of fixed size with its neighbours', so the work per round is that of one pass over the edges; counts are off by about
+    1.04 / 2 ** (bits / 2), relatively. Hubs send on one merged sketch per task.
+    """
+    edges = written(adjacency(graph.relationships).where("node <> other").select("node", F.col("other").alias("id")).distinct(), "balls")
+    balls = written(graph.entities.select("id").groupBy("id").agg(F.hll_sketch_agg("id", bits).alias("ball")), "balls")
+    known = balls.select("id", F.lit(1.0).alias("size"), F.lit(0.0).alias("closeness"))
+    for hop in range(1, depth + 1):
+        sent = join_split(edges, balls, "id").select(F.col("node").alias("id"), "ball").unionByName(balls)
+        balls = written(sent.groupBy("id").agg(F.hll_union_agg("ball").alias("ball")), "balls")
+        sizes = balls.select("id", F.hll_sketch_estimate("ball").cast("double").alias("now"))
+        grown = known.join(sizes, "id")
+        known = written(grown.select("id", F.greatest("now", "size").alias("size"), (F.col("closeness") + F.greatest(F.col("now") - F.col("size"), F.lit(0.0)) / hop).alias("closeness")), "balls")
+    return known.select("id", "closeness")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.scratch import written
+from lodestone.skew import join_split
+
 #: The type of a relationship that denies another one.
 DENIES = "NOT_"
 
@@ -20,6 +23,45 @@ def contradictions(relationships: DataFrame) -> DataFrame:
     return stated.join(against, key).select(*key, "stated_id", "denied_id", "stated_confidence", "denied_confidence")
 
 
+#: Buckets that one interval may be in before the length of a bucket is doubled.
+MOST_BUCKETS = 64
+
+
+def overlaps(rows: DataFrame, key: list[str], id_col: str = "id", since: str = "valid_from", until: str = "valid_until", days: int = 90, side: Column | None = None) -> DataFrame:
+    """(key, first_id, second_id, overlap_from, overlap_until): pairs of rows with equal keys that hold at a time together, from `since` on and before
+    `until` (dates; null is open on that side). side: a boolean column; only pairs whose first row has it false and whose second one true.
+
+    Time is cut into buckets of `days`; a row goes to each bucket that it touches, and a pair is found in the one in which its overlap begins. So a
+    key with many rows is dealt out over its time. Longer intervals go in longer buckets: a level doubles them, and rows of
+    different levels meet at the longer one's.
+    """
+    lo, hi = F.coalesce(F.col(since), F.lit("0001-01-01").cast("date")), F.coalesce(F.col(until), F.lit("9999-12-31").cast("date"))
+    day = lambda d: F.datediff(d, F.lit("1970-01-01").cast("date"))
+    rows = rows.select(*key, F.col(id_col).alias("id"), (F.lit(None) if side is None else side).cast("boolean").alias("side"), day(lo).alias("a"), day(hi).alias("b")).where("a < b")
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("b") - F.col("a")) / F.lit(float(days * MOST_BUCKETS))))).cast("int")
+    rows = rows.withColumn("level", level)
+    levels = sorted(r["level"] for r in rows.select("level").distinct().collect())  # 16 at most: days are below 2 ** 22
+    # A row meets rows of its own and of each higher level in the buckets of that level.
+    at = F.explode(F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n >= F.col("level"))) if levels else F.lit(0)
+    size = F.lit(days) * F.pow(F.lit(2), F.col("at")).cast("long")
+    placed = rows.withColumn("at", at).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / size), F.floor((F.col("b") - 1) / size))))
+    x, y = (placed.alias("x"), placed.alias("y")) if side is None else (placed.where("NOT side").alias("x"), placed.where("side").alias("y"))
+    begin, end = F.greatest("x.a", "y.a"), F.least("x.b", "y.b")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in key] + [F.col("x.at") == F.col("y.at"), F.col("x.bucket") == F.col("y.bucket")]
+    met = x.join(y, same).where((F.col("x.id") < F.col("y.id") if side is None else F.lit(True)) & (F.greatest("x.level", "y.level") == F.col("x.at")) & (begin < end))
+    met = met.where(F.floor(begin / (F.lit(days) * F.pow(F.lit(2), F.col("x.at")).cast("long"))) == F.col("x.bucket"))
+    date = lambda n: F.date_add(F.lit("1970-01-01").cast("date"), n.cast("int"))
+    return met.select(*[F.col(f"x.{c}").alias(c) for c in key], F.col("x.id").alias("first_id"), F.col("y.id").alias("second_id"), date(begin).alias("overlap_from"), date(end).alias("overlap_until"))
+
+
+def contradictions_in_time(relationships: DataFrame, since: str = "valid_from", until: str = "valid_until", days: int = 90) -> DataFrame:
+    """(source_entity_id, target_entity_id, stated_type, stated_id, denied_id, overlap_from, overlap_until): statements and denials between the same ends that hold at the same time."""
+    kind = F.expr(f"IF(startswith(relationship_type, '{DENIES}'), substring(relationship_type, {len(DENIES) + 1}), relationship_type)")
+    denied = F.col("relationship_type").startswith(DENIES)
+    found = overlaps(relationships.withColumn("stated_type", kind), ["source_entity_id", "target_entity_id", "stated_type"], "id", since, until, days, denied)
+    return found.withColumnsRenamed({"first_id": "stated_id", "second_id": "denied_id"})
+
+
 def valid_at(relationships: DataFrame, when: Column, since: str = "valid_from", until: str = "valid_until") -> DataFrame:
     """The relationships that hold at the time: from `since` on and before `until`; null is open on that side."""
     return relationships.where((F.col(since).isNull() | (F.col(since) <= when)) & (F.col(until).isNull() | (F.col(until) > when)))
@@ -43,3 +85,28 @@ def source_reliability(evidence: DataFrame, source: str = "chunk_id") -> DataFra
     shared = said.groupBy("relationship_id").agg(F.count("*").alias("sources"))
     rows = said.join(shared, "relationship_id").groupBy(source).agg(F.count("*").alias("n"), F.count(F.when(F.col("sources") > 1, 1)).alias("confirmed"))
     return rows.select(source, "n", ((F.col("confirmed") + 1.0) / (F.col("n") + 2.0)).alias("reliability"))
+
+
+def propagated(evidence: DataFrame, source: str = "chunk_id", rounds: int | None = None, change: float = 1e-6, start: float = 0.8, damping: float = 0.5) -> tuple[DataFrame, DataFrame, int]:
+    """((relationship_id, confidence), (source, reliability), rounds): facts and sources that support each other over any number of steps.
+
+    A fact's confidence is the chance that one of its sources is right, each with its reliability times its own confidence; a source's reliability is the mean confidence
+    of its facts, mixed with the start value by `damping`. Rounds go on until no reliability changes by more than `change`, or for a given number of them.
+    Both sides are aggregations with partial results, so a source or a fact with very many statements is no hot key; a round's reliabilities are joined to the statements
+    with hot sources where they are.
+    """
+    said = written(evidence.groupBy(source, "relationship_id").agg(F.max("confidence").alias("c")), "said")
+    trust = written(said.select(source).distinct().withColumn("reliability", F.lit(float(start))), "trust")
+    done = 0
+    while True:
+        wrong = F.ln(F.greatest(1.0 - F.col("c") * F.col("reliability"), F.lit(1e-300)))
+        facts = written(join_split(said, trust, source).groupBy("relationship_id").agg((1.0 - F.exp(F.sum(wrong))).alias("confidence")), "facts")
+        if done == rounds:
+            break
+        mean = join_split(said, facts, "relationship_id").groupBy(source).agg(F.avg("confidence").alias("m"))
+        after = written(mean.select(source, (F.lit(damping * start) + (1.0 - damping) * F.col("m")).alias("reliability")), "trust")
+        most = after.join(trust.withColumnRenamed("reliability", "old"), source).agg(F.max(F.abs(F.col("reliability") - F.col("old")))).first()[0]
+        trust, done = after, done + 1
+        if rounds is None and (most is None or most <= change):
+            break
+    return facts, trust, done

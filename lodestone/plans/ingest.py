@@ -13,7 +13,7 @@ from lodestone.operators.chunking import chunk_by_size
 from lodestone.operators.extraction import extract
 from lodestone.ordering import in_order
 from lodestone.schemas import Graph
-from lodestone.scratch import written
+from lodestone.scratch import is_written, written
 from lodestone.sources.snapshots import load_graph, save_graph
 
 
@@ -41,12 +41,6 @@ def states(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/states").groupBy("document_id").agg(F.max(F.struct("at", "place", "state")).getField("state").alias("state"))
 
 
-def _done(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written there to its end."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def process(documents: DataFrame, llm: Callable[[str], str], embed: Callable[[Column], Column], path: str, chunker: Callable[[DataFrame], DataFrame] = chunk_by_size) -> Graph:
     """From documents (id, content) to chunks, vectors and a saved graph under path, with the state of every document on the way.
 
@@ -65,7 +59,7 @@ def resume(spark: SparkSession, path: str, llm: Callable[[str], str], embed: Cal
     documents = spark.read.parquet(f"{path}/documents")
 
     def stage(state: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        if not _done(spark, f"{path}/{name}"):
+        if not is_written(spark, f"{path}/{name}"):
             _log(documents, state, path)
             make().write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
@@ -75,7 +69,7 @@ def resume(spark: SparkSession, path: str, llm: Callable[[str], str], embed: Cal
         texts = documents.select("id", normalize_text(F.coalesce("content", F.lit(""))).alias("content"))
         chunks = stage("CHUNKING", "chunks", lambda: chunker(texts))
         found = stage("EXTRACTING", "extractions", lambda: extract(chunks, llm, on_error="skip"))
-        if not _done(spark, f"{path}/graph/manifest"):
+        if not is_written(spark, f"{path}/graph/manifest"):
             _log(documents, "RESOLVING", path)
             graph, _ = build_graph(found.withColumnRenamed("id", "chunk_id"), ("document_id", "chunk_index", "chunk_id"))
             _log(documents, "BUILDING_GRAPH", path)

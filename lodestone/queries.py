@@ -14,7 +14,8 @@ from lodestone.operators import building, chunking, evaluation, extraction, grap
 from lodestone.plans.property_graph import property_graph, supply_lines
 from lodestone.schemas import ENTITY_TYPES, RELATIONSHIP_TYPES, Graph
 from lodestone.scratch import written, written_path
-from lodestone.sources.snapshots import changes, load_graph, save_graph, to_json
+from lodestone.sources.snapshots import as_of, changes, history, load_graph, save_graph, to_json, versions
+from lodestone.streaming.building import write_graph
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -300,6 +301,74 @@ def graph_json(spark, sf_dir):
     return lines.select("kind", F.get_json_object("json", "$.id").alias("id"))
 
 
+@query(_path_sql("customer_1", "part_1", 6))
+def saved_path(spark, sf_dir):
+    """The path of find_path in the graph after saving and loading it: the order of insertion is kept."""
+    path = written_path(spark, "snapshot")
+    save_graph(property_graph(spark, sf_dir), path)
+    return traversal.find_path(load_graph(spark, path), "customer_1", "part_1")
+
+
+@query(f"""WITH {EDGES_SQL} SELECT id, CASE WHEN starts_with(id, 'region_') THEN 1 ELSE 0 END AS n_aliases FROM nodes WHERE id <> 'supplier_3'""")
+def entities_as_of(spark, sf_dir):
+    """Three versions: all entities, without one and with aliases for the regions, and without the nations. The second one as history has it."""
+    path, g = written_path(spark, "snapshot"), property_graph(spark, sf_dir)
+    save_graph(g, path)
+    alias = F.when(F.col("id").startswith("region_"), F.array(F.lower("canonical_name"))).otherwise(F.col("aliases"))
+    second = Graph(g.entities.where("id <> 'supplier_3'").withColumn("aliases", alias), g.relationships, g.evidence)
+    version = save_graph(second, path)
+    save_graph(Graph(second.entities.where("NOT startswith(id, 'nation_')"), g.relationships, g.evidence), path)
+    when = versions(spark, path).where(F.col("version") == version).first()["saved_at"]
+    rows = as_of(history(spark, path), F.lit(when), g.entities.select(sorted(g.entities.columns)).schema.simpleString())
+    return rows.select("id", F.size("aliases").alias("n_aliases"))
+
+
+def _rank_sql(rounds: int) -> str:
+    levels = ["r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM nodes) AS r FROM nodes)"]
+    for k in range(1, rounds + 1):
+        levels.append(f"""i{k} AS (SELECT coalesce(sum(r), 0) AS r FROM r{k-1} ANTI JOIN outs USING (id)), c{k} AS (SELECT e.t AS id, sum(r / outs.k) AS c FROM edges e JOIN outs ON outs.id = e.s JOIN r{k-1} p ON p.id = e.s GROUP BY e.t),
+          r{k} AS (SELECT id, (0.15 + 0.85 * (SELECT r FROM i{k})) / (SELECT count(*) FROM nodes) + 0.85 * coalesce(c, 0) AS r FROM nodes LEFT JOIN c{k} USING (id))""")
+    return f"WITH {EDGES_SQL}, outs AS (SELECT s AS id, CAST(count(*) AS DOUBLE) AS k FROM edges GROUP BY s), {', '.join(levels)} SELECT id, round(r, 9) AS rank FROM r{rounds}"
+
+
+@query(_rank_sql(10).replace("1.0 /", "CAST(1 AS DOUBLE) /"))
+def page_rank(spark, sf_dir):
+    return traversal.page_rank(property_graph(spark, sf_dir), 10).withColumn("rank", F.round("rank", 9))
+
+
+def _propagated_sql(rounds: int) -> str:
+    levels = ["t0 AS (SELECT DISTINCT src, CAST(0.8 AS DOUBLE) AS t FROM said)"]
+    fact = "SELECT rid, 1 - exp(sum(ln(greatest(1 - c * t, 1e-300)))) AS f FROM said JOIN t{k} USING (src) GROUP BY rid"
+    for k in range(1, rounds + 1):
+        levels += [f"f{k} AS ({fact.format(k=k-1)})", f"t{k} AS (SELECT src, 0.4 + 0.5 * avg(f) AS t FROM said JOIN f{k} USING (rid) GROUP BY src)"]
+    return f"""WITH said AS (SELECT 'order_' || l_orderkey AS src, 'supplier_' || l_suppkey || '|PROVIDES|part_' || l_partkey AS rid, CAST(max(round(1 - l_discount, 4)) AS DOUBLE) AS c FROM lineitem GROUP BY ALL),
+      {', '.join(levels)}, facts AS ({fact.format(k=rounds)}) SELECT 'fact' AS kind, rid AS id, round(f, 6) AS confidence FROM facts UNION ALL SELECT 'source', src, round(t, 6) FROM t{rounds}"""
+
+
+@query(_propagated_sql(6))
+def propagated_confidence(spark, sf_dir):
+    """Facts and the orders that state them, after six rounds."""
+    facts, sources, _ = trust.propagated(property_graph(spark, sf_dir).evidence, rounds=6)
+    return facts.select(F.lit("fact").alias("kind"), F.col("relationship_id").alias("id"), F.round("confidence", 6).alias("confidence")).unionByName(
+        sources.select(F.lit("source").alias("kind"), F.col("chunk_id").alias("id"), F.round("reliability", 6).alias("confidence"))
+    )
+
+
+#: A line says for a while that its supplier provides the part; a returned one denies it. Every tenth holds from its day on.
+@query("""WITH said AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_suppkey, l_partkey % 50 AS part, l_returnflag = 'R' AS no, CAST(o_orderdate AS DATE) AS a, CASE WHEN l_orderkey % 10 = 0 THEN DATE '9999-12-31' ELSE CAST(o_orderdate AS DATE) + CAST(l_quantity AS INTEGER) END AS b
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT 'supplier_' || x.l_suppkey AS source_entity_id, 'part_' || x.part AS target_entity_id, x.id AS stated_id, y.id AS denied_id, greatest(x.a, y.a) AS overlap_from, least(x.b, y.b) AS overlap_until
+    FROM said x JOIN said y ON x.l_suppkey = y.l_suppkey AND x.part = y.part AND NOT x.no AND y.no AND x.a < y.b AND y.a < x.b AND x.a < x.b AND y.a < y.b""")
+def contradictions_in_time(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    day = F.to_date("o_orderdate")
+    edges = line.select(
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("supplier_"), "l_suppkey").alias("source_entity_id"), F.concat(F.lit("part_"), F.col("l_partkey") % 50).alias("target_entity_id"),
+        F.when(F.col("l_returnflag") == "R", "NOT_PROVIDES").otherwise("PROVIDES").alias("relationship_type"), day.alias("valid_from"), F.when(F.col("l_orderkey") % 10 != 0, F.date_add(day, F.col("l_quantity").cast("int"))).alias("valid_until"),
+    )
+    return trust.contradictions_in_time(edges, days=30).select("source_entity_id", "target_entity_id", "stated_id", "denied_id", "overlap_from", "overlap_until")
+
+
 # Text -------------------------------------------------------------------------------------------------------------
 
 
@@ -511,6 +580,77 @@ def build_graph(spark, sf_dir):
     return g.relationships.join(proof, F.col("id") == F.col("relationship_id")).select("id", "source_entity_id", "target_entity_id", "relationship_type", "confidence", "n_evidence")
 
 
+BUILT_SQL = ORACLE_SQL["build_graph"]
+
+
+def _edges_with_proof(g: Graph) -> DataFrame:
+    proof = g.evidence.groupBy("relationship_id").agg(F.count("*").alias("n_evidence"))
+    return g.relationships.join(proof, F.col("id") == F.col("relationship_id")).select("id", "source_entity_id", "target_entity_id", "relationship_type", "confidence", "n_evidence")
+
+
+def _numbered(g: Graph) -> Graph:
+    return Graph(*(building.numbered(t) for t in (g.entities, g.relationships, g.evidence)))
+
+
+@query(BUILT_SQL)
+def extend_graph(spark, sf_dir):
+    """The graph of the first half of all documents, extended by the second half: that of all of them."""
+    rows = _extractions(spark, sf_dir)
+    ends = rows.agg(F.min("document_id").alias("a"), F.max("document_id").alias("b")).first()
+    first = F.col("document_id") <= (ends["a"] + ends["b"]) // 2
+    g, _ = building.build_graph(rows.where(first), ORDER)
+    g, _ = building.extend_graph(_numbered(g), rows.where(~first), ORDER)
+    return _edges_with_proof(g)
+
+
+@query(BUILT_SQL)
+def stream_graph(spark, sf_dir):
+    """The extractions as a stream of three files, of which the second one comes twice."""
+    rows, path = _extractions(spark, sf_dir), written_path(spark, "stream")
+    ends = rows.agg(F.min("document_id").alias("a"), F.max("document_id").alias("b")).first()
+    third = (ends["b"] - ends["a"]) // 3 + 1
+    for part in (0, 1, 1, 2):
+        rows.where(F.floor((F.col("document_id") - ends["a"]) / third) == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    write_graph(stream, f"{path}/graph", f"{path}/checkpoint", ORDER).awaitTermination()
+    return _edges_with_proof(load_graph(spark, f"{path}/graph"))
+
+
+#: Each customer under a long name, then with another last letter, then with another first and last one, then in capitals, then with the other last letter again.
+@query("""WITH base AS (SELECT c_custkey AS k, 'Buyer no ' || c_custkey || ' ' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'Company' ELSE 'Person' END AS type FROM customer),
+    said AS (SELECT k * 10 AS seq, k, type, name FROM base UNION ALL SELECT k * 10 + 1, k, type, left(name, length(name) - 1) || 'x' FROM base UNION ALL SELECT k * 10 + 2, k, type, 'Z' || substr(name, 2, length(name) - 2) || 'y' FROM base
+      UNION ALL SELECT k * 10 + 3, k, type, upper(name) FROM base UNION ALL SELECT k * 10 + 4, k, type, left(name, length(name) - 1) || 'x' FROM base),
+    near AS (SELECT b.seq, min(a.seq) AS first FROM said a JOIN said b ON a.type = b.type AND a.seq < b.seq AND abs(length(a.name) - length(b.name)) <= 1 AND a.seq % 10 IN (0, 2) AND b.seq % 10 IN (1, 2)
+      AND left(a.name, 8) = left(b.name, 8) AND a.k = b.k AND levenshtein(a.name, b.name) * 20 <= greatest(length(a.name), length(b.name)) GROUP BY b.seq)
+    SELECT s.seq, CASE s.seq % 10 WHEN 0 THEN s.seq WHEN 2 THEN coalesce(first, s.seq) ELSE k * 10 END AS owner, CASE s.seq % 10 WHEN 0 THEN 'new' WHEN 1 THEN CASE WHEN first IS NULL THEN 'new' ELSE 'similarity' END WHEN 2 THEN CASE WHEN first IS NULL THEN 'new' ELSE 'similarity' END
+      WHEN 3 THEN 'exact' ELSE 'alias' END AS matched_via FROM said s LEFT JOIN near n USING (seq)""")
+def resolve_similar(spark, sf_dir):
+    """Mentions with long names: which one founded the entity, and how it was found."""
+    key = F.col("c_custkey")
+    name = F.concat(F.lit("Buyer no "), key, F.lit(" "), F.substring(F.md5(key.cast("string").cast("binary")), 1, 16))
+    other = F.concat(F.expr("left(name, length(name) - 1)"), F.lit("x"))
+    base = read(spark, sf_dir, "customer").select(key.alias("k"), F.when(key % 2 == 0, "Company").otherwise("Person").alias("type"), name.alias("name"))
+    names = F.array(F.col("name"), other, F.concat(F.lit("Z"), F.expr("substring(name, 2, length(name) - 2)"), F.lit("y")), F.upper("name"), other)
+    mentions = base.select("k", "type", F.posexplode(names).alias("i", "name")).select((F.col("k") * 10 + F.col("i")).alias("seq"), "type", "name")
+    found, entities = resolution.resolve_stream(mentions)
+    return found.join(entities.select(F.col("id").alias("entity_id"), F.col("ord").alias("owner")), "entity_id").select("seq", "owner", "matched_via")
+
+
+@query("""WITH e AS (SELECT o_orderkey, 'priority' || substr(o_orderpriority, 1, 1) AS p, o_orderpriority FROM orders),
+    ids AS (SELECT *, 'entity_' || substr(sha256('Project' || chr(31) || 'order' || o_orderkey), 1, 16) AS s, 'entity_' || substr(sha256('Concept' || chr(31) || p), 1, 16) AS t FROM e)
+    SELECT s AS source_entity_id, t AS target_entity_id, 'USES' AS relationship_type, CAST(count(*) AS BIGINT) AS n_evidence FROM ids GROUP BY s, t""")
+def build_last_type(spark, sf_dir):
+    """One answer per order: its priority as a product and, later, as a concept, and a relationship with an end that is no entity of the answer."""
+    order, priority = F.concat(F.lit("Order "), "o_orderkey"), F.concat(F.lit("Priority "), F.substring("o_orderpriority", 1, 1))
+    entity = lambda name, kind: F.struct(name.alias("name"), F.lit(kind).alias("entity_type"))
+    told = lambda target: F.struct(order.alias("source"), target.alias("target"), F.lit("USES").alias("relationship_type"), F.lit("said").alias("evidence"), F.lit(0.5).alias("confidence"))
+    rows = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("chunk_"), "o_orderkey").alias("chunk_id"), F.array(entity(order, "Project"), entity(priority, "Product"), entity(priority, "Concept")).alias("entities"), F.array(told(priority), told(F.lit("nobody"))).alias("relationships")
+    )
+    g, _ = building.build_graph(written(rows, "extractions"))
+    return _edges_with_proof(g).select("source_entity_id", "target_entity_id", "relationship_type", "n_evidence")
+
+
 #: Customers named without blanks and in capitals, against their keys.
 @query("""WITH m AS (SELECT c_custkey, c_custkey % 7 = 0 AS moved, CASE WHEN c_custkey % 7 = 0 THEN c_nationkey * 1000000 ELSE c_custkey END AS f, c_custkey - c_custkey % 2 AS g FROM customer),
     p AS (SELECT (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM m GROUP BY f, g)) AS b, (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM m GROUP BY f)) AS f, (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM m GROUP BY g)) AS g)
@@ -595,6 +735,20 @@ NAMED_SQL = f"""SELECT id FROM (SELECT 'region_' || r_regionkey AS id, r_name AS
     WHERE regexp_matches(lower('{QUESTION}'), '\\b' || regexp_replace(lower(name), '([^a-z0-9 ])', '\\\\\\1', 'g') || '\\b')"""
 
 
+@query(f"""WITH named AS (SELECT id, lower(name) AS name FROM (SELECT 'region_' || r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'nation_' || n_nationkey, n_name FROM nation UNION ALL SELECT 'customer_' || c_custkey, c_name FROM customer
+      UNION ALL SELECT 'supplier_' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'part_' || p_partkey, p_name FROM part)),
+    names AS MATERIALIZED (SELECT DISTINCT name, '(^|[^a-z0-9_])' || regexp_replace(name, '([^a-z0-9 ])', '\\\\\\1', 'g') || '([^a-z0-9_]|$)' AS form FROM named),
+    parts AS (SELECT l_orderkey * 100 + l_linenumber AS question_id, lower('Did ' || s_name || ' (' || n_name || ') sell the ' || p_name || ' of line ' || l_linenumber || '?') AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
+    asked AS MATERIALIZED (SELECT DISTINCT regexp_replace(q, ' of line .*', '') AS q FROM parts),
+    met AS (SELECT q, name FROM asked JOIN names ON contains(q, name) AND regexp_matches(q, form))
+    SELECT DISTINCT question_id, id AS entity_id FROM parts JOIN met ON met.q = regexp_replace(parts.q, ' of line .*', '') JOIN named USING (name)""")
+def mentions_of_questions(spark, sf_dir):
+    """A question for each line of all orders, against all entities."""
+    line = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    text = F.concat(F.lit("Did "), "s_name", F.lit(" ("), "n_name", F.lit(") sell the "), "p_name", F.lit(" of line "), "l_linenumber", F.lit("?"))
+    return retrieval.mentions_of(property_graph(spark, sf_dir), line.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("question_id"), text.alias("text")))
+
+
 @query(_bfs_sql(f"id IN ({NAMED_SQL})", 1))
 def graph_retrieve(spark, sf_dir):
     return _bfs_rows(retrieval.retrieve_graph(property_graph(spark, sf_dir), QUESTION, 1))

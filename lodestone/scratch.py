@@ -32,6 +32,12 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def clean(spark: SparkSession) -> int:
     """Deletes what this process has written so; for when no result is read any more. Returns the number of tables."""
     jvm, n = spark._jvm, len(_paths)
