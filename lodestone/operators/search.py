@@ -169,3 +169,87 @@ def index_search(index: CellIndex, queries: DataFrame, k: int = 10, probes: int
     found = filed.groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(run, schema)
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+@dataclass(frozen=True)
+class CodeIndex:
+    """Product quantization: for each part of the dimensions its centres, and every vector with a byte per part, the number of the nearest centre."""
+
+    centres: list[np.ndarray]
+    rows: DataFrame
+
+
+def _parts(vectors: np.ndarray, n: int) -> list[np.ndarray]:
+    return np.array_split(vectors, n, axis=1)
+
+
+def _closest(part: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmin((centres**2).sum(axis=1) - 2 * part @ centres.T, axis=1)
+
+
+def build_codes(store: DataFrame, parts: int = 16, centres: int = 256, sample_rows: int = 20_000, rounds: int = 8, id_col: str = "vec_id", vector: str = "embedding") -> CodeIndex:
+    """Centres are fitted by k-means on at most sample_rows vectors, those of the least hashes; every vector is coded, by its direction."""
+    rows = store.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+    data = _unit(np.array([r["v"] for r in sample], np.float64).reshape(len(sample), -1))
+    books = []
+    for part in _parts(data, min(parts, max(data.shape[1], 1))):
+        book = part[: min(centres, 256, len(part))].copy()
+        for _ in range(rounds if len(book) else 0):
+            mine = _closest(part, book)
+            sums, sizes = np.zeros_like(book), np.bincount(mine, minlength=len(book))[:, None]
+            np.add.at(sums, mine, part)
+            book = np.where(sizes > 0, sums / np.maximum(sizes, 1), book)
+        books.append(book)
+    given = rows.sparkSession.sparkContext.broadcast(books)  # 256 times dimensions
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = _unit(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1))
+                codes = np.stack([_closest(p, b) for p, b in zip(_parts(v, len(given.value)), given.value, strict=True)], axis=1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "v", "code"])
+
+    return CodeIndex(books, rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("code", T.BinaryType())])))
+
+
+def code_search(index: CodeIndex, queries: DataFrame, k: int = 10, share: float = 0.05, id_col: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest of a short list, by the exact cosine; ties to the lower id.
+
+    The short list of a query are the vectors of the best scores by codes, `share` of all (k at least): a task looks up the products of the query's
+    parts with all centres, adds one per part, and sends on its own best. So only `share` of the exact distances are computed. The recall depends on the data and the share.
+    """
+    n_short = max(k, int(np.ceil(share * index.rows.count())))
+    rows = index.rows
+    kind = rows.schema["id"].dataType.simpleString()
+    arrow = to_arrow_type(rows.schema["id"].dataType)
+    coded, out = rows.select("id", "code"), None
+    for ids, matrix in _blocks(queries, id_col, vector, block):
+        tables = [q @ b.T for q, b in zip(_parts(matrix, len(index.centres)), index.centres, strict=True)]
+        given = rows.sparkSession.sparkContext.broadcast((ids, tables))
+
+        def run(batches, given=given):
+            query_ids, tables = given.value
+            best_score, best_id = np.zeros((len(query_ids), 0)), None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                scores, found = sum(t[:, codes[:, i]] for i, t in enumerate(tables)), np.broadcast_to(np.asarray(batch.column(0)), (len(query_ids), batch.num_rows))
+                if best_id is not None:
+                    scores, found = np.hstack([best_score, scores]), np.hstack([best_id, found])
+                keep = np.argsort(-scores, axis=1, kind="stable")[:, :n_short]
+                best_score, best_id = np.take_along_axis(scores, keep, 1), np.take_along_axis(found, keep, 1)
+            if best_id is not None:
+                n = best_id.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(query_ids), n), arrow), pa.array(best_id.ravel(), arrow), pa.array(best_score.ravel())], names=["query_id", "id", "guess"])
+
+        part = coded.mapInArrow(run, f"query_id {kind}, id {kind}, guess double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int")
+    short = out.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("guess"), "id"))).where(F.col("place") <= n_short)
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
+    scored = short.join(rows.select("id", "v"), "id").join(asked, "query_id").select("query_id", "id", cosine_similarity(F.col("v"), F.col("q")).alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.connected import connected_components
 from lodestone.operators.graph import GraphError
 from lodestone.ordering import in_order
 from lodestone.schemas import Graph, Subgraph
@@ -147,20 +148,10 @@ def dfs_visit(graph: Graph, start: str, max_depth: int | None = None, max_entiti
 
 
 def components(graph: Graph) -> DataFrame:
-    """(id, component): the least entity id that edges reach."""
-    labels = written(graph.entities.select(F.col("id"), F.col("id").alias("component")), "components")
-    edges = written(adjacency(graph.relationships).select("node", "other").where("node <> other").distinct(), "components")
-    while True:
-        around = edges.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        lower = labels.join(around.withColumnRenamed("node", "id"), "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"))
-        # A label's own label is at most as large: jumping halves the way that is left.
-        lower = written(lower, "components")
-        jump = lower.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        after = written(lower.join(jump, "component").select("id", F.least("component", "further").alias("component")), "components")
-        changed = not after.join(labels, ["id", "component"], "left_anti").isEmpty()
-        labels = after
-        if not changed:
-            return labels
+    """(id, component): the least entity id that edges reach. Rounds grow with the logarithm of the longest way; hubs' edges stay where they are."""
+    edges = graph.relationships.select(F.col("source_entity_id").alias("a"), F.col("target_entity_id").alias("b"))
+    labels = connected_components(edges).withColumnRenamed("node", "id")
+    return graph.entities.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
 def weighted_path(graph: Graph, source: str, target: str, cost: Column | None = None) -> DataFrame:
@@ -191,21 +182,20 @@ def weighted_path(graph: Graph, source: str, target: str, cost: Column | None =
     return best.where(F.col("node") == target).select(F.posexplode(F.arrays_zip("path", "costs")).alias("hop", "s")).select("hop", F.col("s.path").alias("id"), F.col("s.costs").alias("cost"))
 
 
-def communities(graph: Graph, rounds: int = 10) -> DataFrame:
+def communities(graph: Graph) -> DataFrame:
     """(id, community): label propagation. In each round every entity takes the label that most of its edge ends have, the least of several;
-    it keeps its own if that is among them. Rounds end when no label changes, after `rounds` at the latest (labels may swap for ever)."""
-    labels = written(graph.entities.select("id", F.col("id").alias("community")), "communities")
-    edges = written(adjacency(graph.relationships).where("node <> other").groupBy("node", "other").agg(F.count("*").alias("n")), "communities")
-    for _ in range(rounds):
-        votes = edges.join(labels.withColumnRenamed("id", "other"), "other").groupBy("node", "community").agg(F.sum("n").alias("n"))
-        own = labels.select(F.col("id").alias("node"), F.col("community").alias("own"))
-        best = votes.join(own, "node").groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), (F.col("community") != F.col("own")).alias("other"), "community")).alias("b"))
+    it keeps its own if that is among them. With weights that are the same both ways, labels settle or alternate between two in the
+    end; rounds go on until then, and of two that alternate the lesser one is the entity's. The votes of a hub are counted where its edges are."""
+    edges = written(adjacency(graph.relationships).where("node <> other").groupBy("node", F.col("other").alias("id")).agg(F.count("*").alias("n")), "communities")
+    before, labels = None, written(graph.entities.select("id", F.col("id").alias("community")), "communities")
+    while True:
+        votes = written(join_split(edges, labels, "id").groupBy("node", "community").agg(F.sum("n").alias("n")), "votes")
+        rows = join_split(votes, labels.select(F.col("id").alias("node"), F.col("community").alias("own")), "node")
+        best = rows.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), (F.col("community") != F.col("own")).alias("other"), "community")).alias("b"))
         after = written(labels.join(best.select(F.col("node").alias("id"), F.col("b.community").alias("new")), "id", "left").select("id", F.coalesce("new", "community").alias("community")), "communities")
-        changed = not after.join(labels, ["id", "community"], "left_anti").isEmpty()
-        labels = after
-        if not changed:
-            break
-    return labels
+        if before is not None and after.join(before, ["id", "community"], "left_anti").isEmpty():
+            return after.join(labels.withColumnRenamed("community", "other"), "id").select("id", F.least("community", "other").alias("community"))
+        before, labels = labels, after
 
 
 def degree_centrality(graph: Graph) -> DataFrame:

@@ -108,5 +108,5 @@ def propagated(evidence: DataFrame, source: str = "chunk_id", rounds: int | None
         most = after.join(trust.withColumnRenamed("reliability", "old"), source).agg(F.max(F.abs(F.col("reliability") - F.col("old")))).first()[0]
         trust, done = after, done + 1
         if rounds is None and (most is None or most <= change):
-            break
+            rounds = done  # once more for the facts
     return facts, trust, done

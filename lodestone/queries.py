@@ -204,12 +204,13 @@ def _communities_sql(rounds: int) -> str:
     for k in range(1, rounds + 1):
         levels.append(f"""c{k} AS (SELECT id, coalesce(new, p.c) AS c FROM c{k-1} p LEFT JOIN (
             SELECT n, first(c ORDER BY votes DESC, c <> own, c) AS new FROM (SELECT a.n, b.c, sum(a.k) AS votes, any_value(own.c) AS own FROM adj a JOIN c{k-1} b ON a.o = b.id JOIN c{k-1} own ON a.n = own.id GROUP BY a.n, b.c) GROUP BY n) v ON v.n = id)""")
-    return f"WITH {EDGES_SQL}, adj AS MATERIALIZED (SELECT n, o, count(*) AS k FROM (SELECT s AS n, t AS o FROM edges UNION ALL SELECT t, s FROM edges) WHERE n <> o GROUP BY n, o), {', '.join(levels)} SELECT id, c AS community FROM c{rounds}"
+    return f"WITH {EDGES_SQL}, adj AS MATERIALIZED (SELECT n, o, count(*) AS k FROM (SELECT s AS n, t AS o FROM edges UNION ALL SELECT t, s FROM edges) WHERE n <> o GROUP BY n, o), {', '.join(levels)} SELECT id, least(a.c, b.c) AS community FROM c{rounds} a JOIN c{rounds - 1} b USING (id)"
 
 
-@query(_communities_sql(3))
+#: More rounds than labels need to settle, or to alternate between two.
+@query(_communities_sql(16))
 def communities(spark, sf_dir):
-    return traversal.communities(property_graph(spark, sf_dir), 3)
+    return traversal.communities(property_graph(spark, sf_dir))
 
 
 @query(f"WITH {EDGES_SQL} SELECT 'relationships' AS what, count(*) - 1 AS n FROM edges UNION ALL SELECT 'evidence', (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM lineitem WHERE l_suppkey = 1 AND l_partkey = (SELECT min(l_partkey) FROM lineitem WHERE l_suppkey = 1))")
@@ -813,3 +814,13 @@ def index_recall(spark, sf_dir):
     found = search.index_search(search.build_index(rows), asked, 10).select("query_id", "id")
     exact = search.batch_search(rows, asked, 10).select("query_id", "id", F.lit(1).alias("right"))
     return found.join(exact, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("right").alias("n_right"))
+
+
+@query()
+def code_recall(spark, sf_dir):
+    """Search by product codes: of every 50th vector's ten nearest by the short list, how many the exact search finds as well."""
+    rows = read(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0")
+    found = search.code_search(search.build_codes(rows), asked, 10).select("query_id", "id")
+    exact = search.batch_search(rows, asked, 10).select("query_id", "id", F.lit(1).alias("right"))
+    return found.join(exact, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("right").alias("n_right"))
