@@ -284,22 +284,25 @@ def snapshot_roundtrip(spark, sf_dir):
 
 
 @query(f"""WITH {EDGES_SQL} SELECT 'entities' AS kind, 'supplier_3' AS id, 'removed' AS change UNION ALL SELECT 'relationships', s || '|' || ty || '|' || t, 'removed' FROM edges WHERE s = 'supplier_3' OR t = 'supplier_3'
-    UNION ALL SELECT 'entities', id, 'changed' FROM nodes WHERE starts_with(id, 'region_')""")
+    UNION ALL SELECT 'entities', id, 'changed' FROM nodes WHERE starts_with(id, 'region_') UNION ALL SELECT 'evidence', CAST(count(*) AS VARCHAR) || ' rows', 'removed' FROM lineitem WHERE l_suppkey = 3""")
 def snapshot_changes(spark, sf_dir):
-    """Two versions of the graph: in the second an entity is gone, and the regions have an alias. Evidence has its own count of rows."""
+    """Two versions of the graph: in the second an entity is gone, and the regions have an alias. Evidence is counted by its change."""
     path, g = written_path(spark, "snapshot"), property_graph(spark, sf_dir)
     first = save_graph(g, path)
     after = graph.remove_entity(load_graph(spark, path), "supplier_3")
     alias = F.when(F.col("id").startswith("region_"), F.array(F.lower("canonical_name"))).otherwise(F.col("aliases"))
     second = save_graph(Graph(after.entities.withColumn("aliases", alias), after.relationships, after.evidence), path)
-    return changes(spark, path, first, second).where("kind <> 'evidence'")
+    found = changes(spark, path, first, second)
+    counted = found.where("kind = 'evidence'").groupBy("kind", "change").agg(F.concat(F.count("*").cast("string"), F.lit(" rows")).alias("id"))
+    return found.where("kind <> 'evidence'").unionByName(counted)
 
 
-@query(f"WITH {EDGES_SQL} SELECT 'entity' AS kind, id FROM nodes UNION ALL SELECT 'relationship', s || '|' || ty || '|' || t FROM edges")
+@query(f"WITH {EDGES_SQL} SELECT 'entity' AS kind, id FROM nodes UNION ALL SELECT 'relationship', s || '|' || ty || '|' || t FROM edges UNION ALL SELECT 'evidence', 'supplier_' || l_suppkey || '|PROVIDES|part_' || l_partkey || '@order_' || l_orderkey FROM lineitem")
 def graph_json(spark, sf_dir):
-    """The ids in the JSON lines of all entities and relationships."""
-    lines = to_json(property_graph(spark, sf_dir)).where("kind <> 'evidence'")
-    return lines.select("kind", F.get_json_object("json", "$.id").alias("id"))
+    """The ids in the JSON lines of all entities and relationships, and what each piece of evidence is for and where it stands."""
+    of = lambda name: F.get_json_object("json", f"$.{name}")
+    proof = F.concat(of("relationship_id"), F.lit("@"), of("chunk_id"))
+    return to_json(property_graph(spark, sf_dir)).select("kind", F.when(F.col("kind") == "evidence", proof).otherwise(of("id")).alias("id"))
 
 
 @query(_path_sql("customer_1", "part_1", 6))
@@ -737,17 +740,18 @@ NAMED_SQL = f"""SELECT id FROM (SELECT 'region_' || r_regionkey AS id, r_name AS
 
 
 @query(f"""WITH named AS (SELECT id, lower(name) AS name FROM (SELECT 'region_' || r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'nation_' || n_nationkey, n_name FROM nation UNION ALL SELECT 'customer_' || c_custkey, c_name FROM customer
-      UNION ALL SELECT 'supplier_' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'part_' || p_partkey, p_name FROM part)),
+      UNION ALL SELECT 'supplier_' || s_suppkey, s_name FROM supplier)),
     names AS MATERIALIZED (SELECT DISTINCT name, '(^|[^a-z0-9_])' || regexp_replace(name, '([^a-z0-9 ])', '\\\\\\1', 'g') || '([^a-z0-9_]|$)' AS form FROM named),
-    parts AS (SELECT l_orderkey * 100 + l_linenumber AS question_id, lower('Did ' || s_name || ' (' || n_name || ') sell the ' || p_name || ' of line ' || l_linenumber || '?') AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
-    asked AS MATERIALIZED (SELECT DISTINCT regexp_replace(q, ' of line .*', '') AS q FROM parts),
+    parts AS (SELECT l_orderkey * 100 + l_linenumber AS question_id, lower('Did ' || s_name || ' (' || n_name || ') sell') AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+    asked AS MATERIALIZED (SELECT DISTINCT q FROM parts),
     met AS (SELECT q, name FROM asked JOIN names ON contains(q, name) AND regexp_matches(q, form))
-    SELECT DISTINCT question_id, id AS entity_id FROM parts JOIN met ON met.q = regexp_replace(parts.q, ' of line .*', '') JOIN named USING (name)""")
+    SELECT DISTINCT question_id, id AS entity_id FROM parts JOIN met ON met.q = parts.q JOIN named USING (name)""")
 def mentions_of_questions(spark, sf_dir):
-    """A question for each line of all orders, against all entities."""
+    """A question for each line of all orders, against all places, customers and suppliers (the parts share a few names, so each would be mentioned by most questions)."""
     line = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     text = F.concat(F.lit("Did "), "s_name", F.lit(" ("), "n_name", F.lit(") sell the "), "p_name", F.lit(" of line "), "l_linenumber", F.lit("?"))
-    return retrieval.mentions_of(property_graph(spark, sf_dir), line.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("question_id"), text.alias("text")))
+    g = property_graph(spark, sf_dir)
+    return retrieval.mentions_of(Graph(g.entities.where("NOT startswith(id, 'part_')"), g.relationships, g.evidence), line.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("question_id"), text.alias("text")))
 
 
 @query(_bfs_sql(f"id IN ({NAMED_SQL})", 1))
