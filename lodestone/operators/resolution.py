@@ -113,7 +113,12 @@ def similar_pairs(names: DataFrame, asking: Column | None = None) -> DataFrame:
 
 def found_entities(firsts: DataFrame) -> DataFrame:
     """(rid, founder) for first mentions: rid, type, name, seq. A founder's own rid stands for itself; names with seq.new = 0 always found."""
+    alone = firsts.select("rid", F.col("rid").alias("founder"))
+    if firsts.where((F.length("name") >= PER_EDIT - 1) & (F.col("seq.new") == 1)).isEmpty():
+        return alone
     pairs = written(similar_pairs(firsts, F.col("seq.new") == 1), "similar")
+    if pairs.isEmpty():
+        return alone
     involved = pairs.select(F.col("later").alias("rid")).unionByName(pairs.select(F.col("earlier").alias("rid"))).distinct()
     decided = written(involved.join(pairs.select(F.col("later").alias("rid")), "rid", "left_anti").select("rid", F.col("rid").alias("founder")), "founders")
     order = firsts.select(F.col("rid").alias("earlier"), F.col("seq").alias("earlier_seq"))
@@ -154,7 +159,7 @@ def _resolved(mentions: DataFrame, known: DataFrame | None) -> tuple[DataFrame,
     names = firsts.select("rid", "type", "name", place(1, F.lit(None), F.col("seq")).alias("seq"))
     if known is not None:
         names = written(names.unionByName(known.select(F.col("id").alias("rid"), F.col("entity_type").alias("type"), F.col("canonical_name").alias("name"), place(0, F.col("ord"), nothing).alias("seq"))), "names")
-    founders = written(found_entities(names), "founders")
+    founders = found_entities(names)
     canonical = names.select(F.col("rid").alias("founder"), F.col("name").alias("canonical_name"))
     owner = firsts.join(founders, "rid").join(canonical, "founder").select("type", "key", F.col("seq").alias("first_seq"), F.col("founder").alias("entity_id"), "canonical_name", (F.col("founder") == F.col("rid")).alias("own"))
     if known is not None:
