@@ -10,7 +10,7 @@ from lodestone.operators.graph import GraphError
 from lodestone.ordering import in_order
 from lodestone.schemas import Graph, Subgraph
 from lodestone.scratch import written
-from lodestone.skew import join_split
+from lodestone.skew import hot_keys, join_split
 
 
 def passing(relationships: DataFrame, relationship_type: str | None = None, min_confidence: float | None = None) -> DataFrame:
@@ -187,9 +187,9 @@ def communities(graph: Graph) -> DataFrame:
     it keeps its own if that is among them. With weights that are the same both ways, labels settle or alternate between two in the
     end; rounds go on until then, and of two that alternate the lesser one is the entity's. The votes of a hub are counted where its edges are."""
     edges = written(adjacency(graph.relationships).where("node <> other").groupBy("node", F.col("other").alias("id")).agg(F.count("*").alias("n")), "communities")
-    before, labels = None, written(graph.entities.select("id", F.col("id").alias("community")), "communities")
+    before, labels, hot = None, written(graph.entities.select("id", F.col("id").alias("community")), "communities"), hot_keys(edges, "id")
     while True:
-        votes = written(join_split(edges, labels, "id").groupBy("node", "community").agg(F.sum("n").alias("n")), "votes")
+        votes = written(join_split(edges, labels, "id", hot=hot).groupBy("node", "community").agg(F.sum("n").alias("n")), "votes")
         rows = join_split(votes, labels.select(F.col("id").alias("node"), F.col("community").alias("own")), "node")
         best = rows.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), (F.col("community") != F.col("own")).alias("other"), "community")).alias("b"))
         after = written(labels.join(best.select(F.col("node").alias("id"), F.col("b.community").alias("new")), "id", "left").select("id", F.coalesce("new", "community").alias("community")), "communities")
@@ -217,10 +217,10 @@ def page_rank(graph: Graph, rounds: int = 20, damping: float = 0.85) -> DataFram
     edges = written(graph.relationships.groupBy(F.col("source_entity_id").alias("id"), F.col("target_entity_id").alias("target")).agg(F.count("*").alias("k")), "rank")
     degree = edges.groupBy("id").agg(F.sum("k").alias("out"))
     nodes = written(nodes.join(degree, "id", "left"), "rank")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    ranks, hot = nodes.withColumn("rank", F.lit(1.0 / n)), hot_keys(edges, "id")
     for _ in range(rounds):
         idle = ranks.where("out IS NULL").agg(F.sum("rank")).first()[0] or 0.0
-        share = join_split(edges, ranks.where("out IS NOT NULL").select("id", (F.col("rank") / F.col("out")).alias("share")), "id")
+        share = join_split(edges, ranks.where("out IS NOT NULL").select("id", (F.col("rank") / F.col("out")).alias("share")), "id", hot=hot)
         came = share.groupBy(F.col("target").alias("id")).agg(F.sum(F.col("share") * F.col("k")).alias("came"))
         base = (1.0 - damping) / n + damping * idle / n
         ranks = written(nodes.join(came, "id", "left").select("id", "out", (F.lit(base) + damping * F.coalesce("came", F.lit(0.0))).alias("rank")), "rank")
@@ -235,9 +235,9 @@ def harmonic_centrality(graph: Graph, depth: int = 6, bits: int = 12) -> DataFra
     """
     edges = written(adjacency(graph.relationships).where("node <> other").select("node", F.col("other").alias("id")).distinct(), "balls")
     balls = written(graph.entities.select("id").groupBy("id").agg(F.hll_sketch_agg("id", bits).alias("ball")), "balls")
-    known = balls.select("id", F.lit(1.0).alias("size"), F.lit(0.0).alias("closeness"))
+    known, hot = balls.select("id", F.lit(1.0).alias("size"), F.lit(0.0).alias("closeness")), hot_keys(edges, "id")
     for hop in range(1, depth + 1):
-        sent = join_split(edges, balls, "id").select(F.col("node").alias("id"), "ball").unionByName(balls)
+        sent = join_split(edges, balls, "id", hot=hot).select(F.col("node").alias("id"), "ball").unionByName(balls)
         balls = written(sent.groupBy("id").agg(F.hll_union_agg("ball").alias("ball")), "balls")
         sizes = balls.select("id", F.hll_sketch_estimate("ball").cast("double").alias("now"))
         grown = known.join(sizes, "id")

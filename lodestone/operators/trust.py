@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.scratch import written
-from lodestone.skew import join_split
+from lodestone.skew import hot_keys, join_split
 
 #: The type of a relationship that denies another one.
 DENIES = "NOT_"
@@ -97,13 +97,13 @@ def propagated(evidence: DataFrame, source: str = "chunk_id", rounds: int | None
     """
     said = written(evidence.groupBy(source, "relationship_id").agg(F.max("confidence").alias("c")), "said")
     trust = written(said.select(source).distinct().withColumn("reliability", F.lit(float(start))), "trust")
-    done = 0
+    done, by_source, by_fact = 0, hot_keys(said, source), hot_keys(said, "relationship_id")
     while True:
         wrong = F.ln(F.greatest(1.0 - F.col("c") * F.col("reliability"), F.lit(1e-300)))
-        facts = written(join_split(said, trust, source).groupBy("relationship_id").agg((1.0 - F.exp(F.sum(wrong))).alias("confidence")), "facts")
+        facts = written(join_split(said, trust, source, hot=by_source).groupBy("relationship_id").agg((1.0 - F.exp(F.sum(wrong))).alias("confidence")), "facts")
         if done == rounds:
             break
-        mean = join_split(said, facts, "relationship_id").groupBy(source).agg(F.avg("confidence").alias("m"))
+        mean = join_split(said, facts, "relationship_id", hot=by_fact).groupBy(source).agg(F.avg("confidence").alias("m"))
         after = written(mean.select(source, (F.lit(damping * start) + (1.0 - damping) * F.col("m")).alias("reliability")), "trust")
         most = after.join(trust.withColumnRenamed("reliability", "old"), source).agg(F.max(F.abs(F.col("reliability") - F.col("old")))).first()[0]
         trust, done = after, done + 1

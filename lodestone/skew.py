@@ -11,21 +11,24 @@ from lodestone.scratch import written
 HOT_SHARE = 1000
 
 
-def hot_keys(rows: DataFrame, on: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """The keys of rows that are hot: at most `share` of them, whatever the size of rows."""
+def hot_keys(rows: DataFrame, on: list[str] | str, share: int = HOT_SHARE) -> DataFrame | None:
+    """The keys of rows that are hot: at most `share` of them, whatever the size of rows; None where there is none."""
+    on = [on] if isinstance(on, str) else list(on)
     counts = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in on)).groupBy(*on).agg(F.count("*").alias("_n"))
-    return written(counts.where(F.col("_n") > max(rows.count() // share, 1)).select(*on), "hot")
+    hot = written(counts.where(F.col("_n") > max(rows.count() // share, 1)).select(*on), "hot")
+    return None if hot.isEmpty() else hot
 
 
-def join_split(rows: DataFrame, side: DataFrame, on: list[str] | str, how: str = "inner", share: int = HOT_SHARE) -> DataFrame:
+def join_split(rows: DataFrame, side: DataFrame, on: list[str] | str, how: str = "inner", share: int = HOT_SHARE, **known: DataFrame | None) -> DataFrame:
     """rows.join(side, on, how) for how inner or left; side has at most one row per key.
 
     Rows of hot keys stay where they are and meet the side's few rows for these keys, which are broadcast (at most `share`);
-    all others are shuffled. rows is read several times, so it should be a written table or a plain scan.
+    all others are shuffled. rows is read several times, so it should be a written table or a plain scan. Where the same rows are
+    joined again and again, hot=hot_keys(rows, on) finds the hot keys once.
     """
     on = [on] if isinstance(on, str) else list(on)
-    hot = hot_keys(rows, on, share)
-    if hot.isEmpty():
+    hot = known["hot"] if "hot" in known else hot_keys(rows, on, share)
+    if hot is None:
         return rows.join(side, on, how)
     few = side.join(F.broadcast(hot), on, "left_semi")
     at_home = rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, how)
