@@ -98,6 +98,11 @@ _WORDS = f"list_filter(regexp_split_to_array(t, '{_SPACE}'), lambda w: w <> '')"
 _LINES = r"list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))"
 _HOST = "CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') ELSE '' END"
 
+#: The filter's own verdict: one alternation for each kind of rule.
+_HOST_FORMS = "|".join(["|".join(urls.HOST_WORDS), *(f"({'|'.join(a)})-([^.@:/]*-)?({'|'.join(b)})" for a, b in urls.HOST_PAIRS)])
+_PATH_FORMS = f"/({'|'.join(urls.PATH_PIECES)})([./]|$)|[.]({'|'.join(urls.FILE_ENDS)})$"
+_OWN_VERDICT = f"(regexp_matches(host, '(^|[.@-])({_HOST_FORMS})([.@:-]|$)') OR regexp_matches(path, '{_PATH_FORMS}', 'is'))"
+
 #: CRC-32 of a text by the rule of its table: crcs(t) has the table, _crc the expression over it.
 _CRCS = "crcs(tbl) AS (SELECT list(x ORDER BY i) FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS x FROM range(256) r(i)))"
 
@@ -118,7 +123,7 @@ ORACLE_SQL: dict[str, str] = {
         ),
         rules(h, p, v) AS (VALUES {', '.join(f"('{h}', '{p}', '{v}')" for v, h, p in (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")))}),
         fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '^([^/]*\\.)?spam-farm\\.|^([^/]*[.-])?(casino|porn)[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {_OWN_VERDICT} THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts LEFT JOIN fits USING (page_id)
     """,
     # Every pair of equal lines, not fingerprints: runs of 50 or more words that any earlier place has.

@@ -53,12 +53,31 @@ RULES = (
     prefix_rule("block", "net", "/es/"),
     prefix_rule("block", "net", "/fr/"),
 )
-#: What the filter adds for URLs that no rule fits: farms of advertising pages and hosts of adult or gambling pages.
-PATTERNS = (
-    UrlRule(None, r"^(?:[^/]*\.)?spam-farm\.", "block", 10, ("spam", "farm")),
-    UrlRule(None, r"^(?:[^/]*[.-])?casino[.-]", "block", 10, ("casino",)),
-    UrlRule(None, r"^(?:[^/]*[.-])?porn[.-]", "block", 10, ("porn",)),
+#: Fixed values, what the filter adds for URLs that no rule of the contract fits. Words of a host that suffice for themselves:
+HOST_WORDS = ("casino", "porn", "xxx", "viagra", "escorts", "warez", "doubleclick")
+#: words of one part of a host that tell in this order, others between them or not: any of the first with any of the second;
+HOST_PAIRS = (
+    (("cheap", "free", "buy", "discount", "online"), ("pills", "meds", "bets", "loans", "replicas", "essays")),
+    (("adult", "sexy"), ("x", "cams", "chat", "videos")),
+    (("ad", "ads", "click", "pixel"), ("track", "tracker", "server", "network")),
+    (("spam", "link", "content"), ("farm", "farms")),
 )
+#: whole pieces of a path, of pages without text of their own;
+PATH_PIECES = ("login", "signin", "signup", "logout", "register", "cart", "checkout", "wishlist")
+#: and ends of a path, of files that are no pages.
+FILE_ENDS = ("zip", "rar", "exe", "msi", "dmg", "iso", "apk", "mp3", "mp4", "avi")
+
+
+def own_patterns() -> tuple[UrlRule, ...]:
+    """A rule for each word, pair, piece and end, with its literals; letters of a path may be in either case."""
+    before, after = r"^(?:[^/]*[.@-])?", r"(?:[.@:/-]|\z)"
+    out = [UrlRule(None, f"{before}{w}{after}", "block", 10, (w,)) for w in HOST_WORDS]
+    out += [UrlRule(None, f"{before}{a}-(?:[^.@:/]*-)?{b}{after}", "block", 10, (a, b)) for first, second in HOST_PAIRS for a in first for b in second]
+    out += [UrlRule(None, rf"(?is)^[^/]*/(?:.*/)?{w}(?:[./]|\z)", "block", 10, (w,)) for w in PATH_PIECES]
+    return (*out, *(UrlRule(None, rf"(?is)^[^/]*/.*\.{w}\z", "block", 10, (w,)) for w in FILE_ENDS))
+
+
+PATTERNS = own_patterns()
 
 
 def host_of(url: Column) -> Column:
