@@ -21,6 +21,7 @@ texts, all bytes are equally likely. Columns besides id and text are left out; a
 
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 from collections import Counter
@@ -36,6 +37,7 @@ from pyspark.sql import Window as W
 
 from lodestone.llm.common import materialize
 from lodestone.llm.simhash import LOWER
+from lodestone.skew import join_split
 
 ORDER = 5
 BEFORE, END = 0xFE, 0xFF
@@ -219,25 +221,39 @@ def trie(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
 
 
 def unseen_probabilities(grams: DataFrame, nodes: list[DataFrame]) -> DataFrame:
-    """(gram, p) of different grams that training lacks; nodes: trie(). Each order is one join; orders 0 and 1 have 257 nodes at most."""
+    """(gram, p) of different grams that training lacks; nodes: trie(). Each order is one join of the grams that are not done.
+
+    Orders 0 and 1 have 257 nodes at most, which are broadcast. At the two longest orders a context has at most 65,536 different grams; in between a few
+    contexts may have most of them, whose grams meet their nodes where they are.
+    """
     order = len(nodes) - 1
     zero = F.lit(0.0)
-    rows = grams.select("gram", zero.alias("p"), F.lit(False).alias("done"), F.lit(False).alias("inside"), zero.alias("up_left"), zero.alias("up_escape"))
+    rows, settled = grams.select("gram", zero.alias("p"), F.lit(False).alias("inside"), zero.alias("up_left"), zero.alias("up_escape")), []
     for k in range(order, -1, -1):
         node = nodes[k].select(F.col("ctx").alias("key"), "next", "total", "kinds", "left", "left_escape")
-        # A row that is done asks for a key of its own that no node has.
-        rows = rows.withColumn("key", F.when(F.col("done"), -1 - F.col("gram")).otherwise(context(F.col("gram"), k)))
-        rows = rows.join(F.broadcast(node) if k < 2 else node, "key", "left")
+        rows = rows.withColumn("key", context(F.col("gram"), k))
+        if k < 2:
+            rows = rows.join(F.broadcast(node), "key", "left")
+        elif order - k < 2:
+            rows = rows.join(node, "key", "left")
+        else:
+            rows = join_split(rows, node, "key", "left")
         n, known, inside = F.element_at("next", F.col("gram").bitwiseAND(F.lit(255)).cast("int")), F.col("total").isNotNull(), F.col("inside")
         size = F.log10(F.col("total") + F.col("kinds"))
-        step = F.when(F.col("done"), zero).when(n.isNotNull(), F.log10(n) - F.when(inside, F.col("up_left")).otherwise(size))
+        step = F.when(n.isNotNull(), F.log10(n) - F.when(inside, F.col("up_left")).otherwise(size))
         step = step.when(inside, F.col("up_escape")).when(known, F.log10("kinds") - size).otherwise(zero)
-        rows = rows.select(
-            "gram", (F.col("p") + step).alias("p"), (F.col("done") | n.isNotNull()).alias("done"), (inside | known).alias("inside"),
-            F.when(known, F.col("left")).otherwise(F.col("up_left")).alias("up_left"), F.when(known, F.col("left_escape")).otherwise(F.col("up_escape")).alias("up_escape"),
+        rows = materialize(
+            rows.select(
+                "gram", (F.col("p") + step).alias("p"), n.isNotNull().alias("done"), (inside | known).alias("inside"),
+                F.when(known, F.col("left")).otherwise(F.col("up_left")).alias("up_left"), F.when(known, F.col("left_escape")).otherwise(F.col("up_escape")).alias("up_escape"),
+            ),
+            "unseen",
         )
+        settled.append(rows.where("done").select("gram", "p"))
+        rows = rows.where("NOT done").drop("done")
     root = nodes[0].select("kinds").first()
-    return rows.select("gram", (F.col("p") - F.when(F.col("done"), zero).otherwise(float(np.log10(max(1, 256 - (root[0] if root else 0)))))).alias("p"))
+    never = rows.select("gram", (F.col("p") - float(np.log10(max(1, 256 - (root[0] if root else 0))))).alias("p"))
+    return functools.reduce(DataFrame.unionByName, settled, never)
 
 
 def probabilities(grams: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
