@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.config import Settings
 from lodestone.functions.text import light_key, quoted
 from lodestone.operators.search import retrieve
-from lodestone.operators.traversal import bfs_subgraph
+from lodestone.operators.traversal import bfs_subgraph, passing, touching
 from lodestone.schemas import Graph, Subgraph
 from lodestone.scratch import written
 from lodestone.skew import join_split
@@ -66,6 +66,43 @@ def retrieve_graph(graph: Graph, question: str, depth: int | None = None, relati
     return bfs_subgraph(graph, mentioned_entities(graph, question), Settings().max_graph_depth if depth is None else depth, relationship_type)
 
 
+def _of_types(column: str, types: str | Collection[str]) -> Column:
+    return F.col(column).isin([types] if isinstance(types, str) else list(types))
+
+
+def retrieve_relationships(graph: Graph, question: str, relationship_type: str | Collection[str] | None = None, min_confidence: float | None = None) -> Subgraph:
+    """The edges at entities that the question mentions, each once, of one of the types and confident enough if asked; and their ends, with the mentioned entities."""
+    named = written(mentioned_entities(graph, question).select(F.col("id").alias("node")), "named")
+    edges = graph.relationships if relationship_type is None else graph.relationships.where(_of_types("relationship_type", relationship_type))
+    met = touching(passing(edges, None, min_confidence), named).dropDuplicates(["id"])
+    return Subgraph(graph.entities.join(_ends(met).unionByName(named.withColumnRenamed("node", "id")), "id", "left_semi"), met)
+
+
+def retrieve_by_entity_type(graph: Graph, entity_type: str | Collection[str], around: bool = False) -> Subgraph:
+    """The entities of one of the types, and the edges that have both ends among them; around: any edge with one end there, and the entities at its other end.
+
+    A type that no entity has gives nothing. Both ends are semi-joins, which Spark splits where an entity has very many edges; types of few entities are broadcast by their size.
+    """
+    own = graph.entities.where(_of_types("entity_type", entity_type))
+    side = lambda edges, end, how="left_semi": edges.join(own.select(F.col("id").alias(end)), end, how).select(edges.columns)
+    out = side(graph.relationships, "source_entity_id")
+    if not around:
+        return Subgraph(own, side(out, "target_entity_id"))
+    met = out.unionByName(side(side(graph.relationships, "target_entity_id"), "source_entity_id", "left_anti"))
+    return Subgraph(graph.entities.join(_ends(met).unionByName(own.select("id")), "id", "left_semi"), met)
+
+
+def retrieve_by_relationship_type(graph: Graph, relationship_type: str | Collection[str], min_confidence: float | None = None) -> Subgraph:
+    """The edges of one of the types, confident enough if asked, and the entities at their ends."""
+    met = passing(graph.relationships.where(_of_types("relationship_type", relationship_type)), None, min_confidence)
+    return Subgraph(graph.entities.join(_ends(met), "id", "left_semi"), met)
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """`id` of each end once: grouped where the edges are before anything moves, so that a hub is one row a task."""
+    return edges.select(F.explode(F.array("source_entity_id", "target_entity_id")).alias("id")).distinct()
+
+
 def retrieve_hybrid(graph: Graph, vectors: DataFrame, question: str, embed_fn: Callable[[str], list[float]], depth: int | None = None, k: int | None = None, relationship_type: str | None = None) -> Hybrid:
     """Both ways; the type restricts the graph only."""
     return Hybrid(retrieve_graph(graph, question, depth, relationship_type), retrieve(vectors, question, embed_fn, k))

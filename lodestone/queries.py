@@ -759,6 +759,35 @@ def graph_retrieve(spark, sf_dir):
     return _bfs_rows(retrieval.retrieve_graph(property_graph(spark, sf_dir), QUESTION, 1))
 
 
+def _subgraph_sql(met: str, also: str) -> str:
+    """Rows (kind, id): the edges that `met` picks, their ends, and the entities that `also` picks."""
+    return f"""WITH {EDGES_SQL}, met AS (SELECT * FROM edges WHERE {met}) SELECT 'relationship' AS kind, s || '|' || ty || '|' || t AS id FROM met
+      UNION ALL SELECT 'entity', id FROM (SELECT s AS id FROM met UNION SELECT t FROM met UNION SELECT id FROM nodes WHERE {also})"""
+
+
+@query(_subgraph_sql(f"ty IN ('PROVIDES', 'PART_OF') AND c >= 0.95 AND (s IN ({NAMED_SQL}) OR t IN ({NAMED_SQL}))", f"id IN ({NAMED_SQL})"))
+def retrieve_relationships(spark, sf_dir):
+    """What the entities of a question provide, or are part of, by confident facts."""
+    return _bfs_rows(retrieval.retrieve_relationships(property_graph(spark, sf_dir), QUESTION, ["PROVIDES", "PART_OF"], 0.95))
+
+
+@query(_subgraph_sql("regexp_matches(s, '^(region|nation|customer|supplier)_') AND regexp_matches(t, '^(region|nation|customer|supplier)_')", "NOT starts_with(id, 'part_')"))
+def retrieve_entity_types(spark, sf_dir):
+    """Places and companies, and what ties them to each other."""
+    return _bfs_rows(retrieval.retrieve_by_entity_type(property_graph(spark, sf_dir), ["Location", "Company"]))
+
+
+@query(_subgraph_sql("regexp_matches(s, '^(region|nation)_') OR regexp_matches(t, '^(region|nation)_')", "regexp_matches(id, '^(region|nation)_')"))
+def retrieve_around_type(spark, sf_dir):
+    """Places, all that is tied to one, and the ties."""
+    return _bfs_rows(retrieval.retrieve_by_entity_type(property_graph(spark, sf_dir), "Location", around=True))
+
+
+@query(_subgraph_sql("ty = 'PROVIDES' AND c >= 0.97", "false"))
+def retrieve_relationship_type(spark, sf_dir):
+    return _bfs_rows(retrieval.retrieve_by_relationship_type(property_graph(spark, sf_dir), "PROVIDES", 0.97))
+
+
 def _ranked_sql(vector: str, touched: str, k: int) -> str:
     """Ranking of the relationships that `touched` picks, and of the k vectors nearest to `vector`."""
     return f"""WITH {EDGES_SQL}, {VECTORS_SQL}, hits AS (SELECT 'order_' || (b.vec_id + 1) AS chunk_id, {COSINE} AS score FROM ({vector}) a, vecs b ORDER BY score DESC, b.vec_id LIMIT {k}),

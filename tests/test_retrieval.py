@@ -66,6 +66,25 @@ def test_hybrid(spark):
     assert [r.section for r in lines] == ["QUESTION", "GRAPH FACTS", "GRAPH FACTS", "SOURCE", "PROVENANCE"] and lines[1].line == "FastAPI --USES--> Pydantic"
 
 
+def test_by_types(spark):
+    x = graph(spark)
+    got = lambda found: (ids(found.entities), sorted(r.id for r in found.relationships.collect()))
+    assert got(retrieval.retrieve_by_entity_type(x, "Technology")) == ({"FastAPI", "Pydantic", "Starlette"}, ["r1", "r2"])
+    assert got(retrieval.retrieve_by_entity_type(x, ("Person", "Concept"))) == ({"Sebastián Ramírez", "API", "Microservices"}, [])
+    assert got(retrieval.retrieve_by_entity_type(x, ["Person", "Concept"], around=True)) == ({"Sebastián Ramírez", "API", "Microservices", "FastAPI"}, ["r3", "r4", "r5"])
+    assert got(retrieval.retrieve_by_entity_type(x, "Technology", around=True)) == (ids(x.entities), [f"r{i}" for i in range(6)])
+    assert got(retrieval.retrieve_by_relationship_type(x, "USES")) == ({"FastAPI", "Pydantic", "Starlette"}, ["r1", "r2"])
+    assert got(retrieval.retrieve_by_relationship_type(x, ["USES", "WRITTEN_IN"], 0.94)) == ({"FastAPI", "Pydantic", "Python"}, ["r0", "r1"])
+    for nothing in (retrieval.retrieve_by_entity_type(x, "Event"), retrieval.retrieve_by_entity_type(x, [], around=True), retrieval.retrieve_by_relationship_type(x, "PART_OF")):
+        assert got(nothing) == (set(), [])
+    assert got(retrieval.retrieve_relationships(x, "who uses Pydantic and Starlette?")) == ({"FastAPI", "Pydantic", "Starlette"}, ["r1", "r2"])
+    assert got(retrieval.retrieve_relationships(x, "Pydantic, FastAPI", ("USES", "CREATED"), 0.94)) == ({"FastAPI", "Pydantic", "Sebastián Ramírez"}, ["r1", "r3"])
+    assert got(retrieval.retrieve_relationships(x, "Python", "USES")) == ({"Python"}, []) and got(retrieval.retrieve_relationships(x, "nothing")) == (set(), [])
+    # A loop is one edge, from whichever end it is met.
+    loop = Graph(x.entities, x.relationships.unionByName(x.relationships.limit(1).withColumns({"id": F.lit("l"), "target_entity_id": F.col("source_entity_id")})), x.evidence)
+    assert got(retrieval.retrieve_by_entity_type(loop, "Technology", around=True))[1].count("l") == got(retrieval.retrieve_relationships(loop, "FastAPI"))[1].count("l") == 1
+
+
 def test_rank_edge_cases(spark):
     x = graph(spark)
     proof = [("a", "r0", "c0", "t1", 0.5, 0), ("b", "r0", "c0", "t2", 0.5, 1), ("c", "r1", "c1", "t3", 0.5, 2), ("d", "r1", "c2", "t4", 0.5, 3)]
