@@ -63,6 +63,18 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, got))
 
 
+def test_a_very_long_text(spark, sf_dir):
+    """A text of 60,000 words beside short ones goes through every stage, whole."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    long = "\n".join(" ".join(f"long{i + j}" for j in range(12)) for i in range(0, 60_000, 12))
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, long, "en", "s", len(long)), (3, " ".join(f"word{i}" for i in range(60)), "en", "s", 5)], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+    assert {r.doc_id: r.text == long for r in docs.collect()} == {1: True, 3: False}
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.encoding_stage(spark, docs, sf_dir).collect()}
+    assert set(got) == {1, 3} and got[1] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_odd_rows(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     good = " ".join(f"word{i}" for i in range(60))
