@@ -63,7 +63,8 @@ def _similar(df: DataFrame, embed: Callable[[Column], Column], per_text: bool, t
 
     def similar(p: Column, i: Column) -> Column:
         at = lambda c, j: F.get(c, F.greatest(j, F.lit(0)))
-        value = F.coalesce(F.try_divide(dot(at("_v", i - 1), at("_v", i)), at("_n", i - 1) * at("_n", i)), F.lit(0.0))
+        # One norm after the other: as the SQL rounds, which decides ties with the threshold, and no product can overflow.
+        value = F.coalesce(F.try_divide(F.try_divide(dot(at("_v", i - 1), at("_v", i)), at("_n", i)), at("_n", i - 1)), F.lit(0.0))
         return (i > 0) & (value >= threshold)
 
     return df, similar

@@ -55,3 +55,10 @@ def test_fold(spark, documents, most):
         want += [(i, start, end)] * (start is not None)
     df = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
     assert sorted((r.document_id, r.start_offset, r.end_offset) for r in chunking.chunk_by_size(df, most).collect()) == want
+
+
+def test_ties_with_the_threshold(spark):
+    """Cosines of exactly 0.75 whose rounding depends on the order of the divisions: the SQL divides by one norm after the other."""
+    text = "left\n\nright"
+    rows = [chunk(doc(spark, text), embed_with(lambda t: [1.0, 2.0, 5.0, 1.0, 3.0] if t == "left" else [0.0, 1.0, 1.0, 2.0, 2.0]), 1000, per_text=False) for chunk in (chunking.chunk_by_similarity, chunking.chunk_by_entities, chunking.chunk_by_relations)]
+    assert [spans(r) for r in rows] == [[(0, 11)]] * 3
