@@ -25,8 +25,10 @@ from lodestone.skew import join_split
 
 #: Similarity from which names are one, and the edits it allows: one for each so many characters of the longer name.
 SIMILAR, PER_EDIT = 0.95, 20
-#: Letters of a piece, and the slots of the table that tells rare pieces.
-GRAM, SLOTS = 3, 1 << 16
+#: Letters of a piece: long ones tell very many names apart, short ones fit where names differ in a few letters only. (Edits + 1) * the longest fit into any name.
+PIECES = (8, 3)
+#: Slots of the table that tells rare pieces.
+SLOTS = 1 << 16
 
 
 def most_edits(length: int) -> int:
@@ -34,8 +36,8 @@ def most_edits(length: int) -> int:
     return (length + length // PER_EDIT + 1) // PER_EDIT
 
 
-def _grams(name: str) -> list[str]:
-    return [name[i : i + GRAM] for i in range(len(name) - GRAM + 1)]
+def _grams(name: str, letters: int) -> list[str]:
+    return [name[i : i + letters] for i in range(len(name) - letters + 1)]
 
 
 def _slot(gram: str) -> int:
@@ -48,9 +50,8 @@ def gram_counts(long: DataFrame) -> np.ndarray:
     def run(batches):
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for name in batch.column("name").to_pylist():
-                for g in _grams(name):
-                    counts[_slot(g)] += 1
+            slots = [_slot(g) for name in batch.column("name").to_pylist() for letters in PIECES for g in _grams(name, letters)]
+            counts += np.bincount(np.array(slots, np.int64), minlength=SLOTS)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
 
@@ -60,20 +61,28 @@ def gram_counts(long: DataFrame) -> np.ndarray:
     return out
 
 
-def rare_pieces(name: str, counts: np.ndarray) -> list[int]:
-    """Places of disjoint grams, one more than edits allowed, with the least total number."""
-    k, cost = most_edits(len(name)) + 1, [int(counts[_slot(g)]) for g in _grams(name)]
-    # best[j][i]: the least total of j grams from place i on, and the first one's place.
-    best = [[(0, -1)] * (len(cost) + GRAM + 1)]
+def rare_pieces(name: str, counts: np.ndarray) -> list[tuple[int, int]]:
+    """(place, letters) of disjoint grams, one more than edits allowed, with the least total number."""
+    k, size = most_edits(len(name)) + 1, len(name)
+    costs = [(letters, counts[[_slot(g) for g in _grams(name, letters)]].tolist()) for letters in PIECES]
+    # best[j][i]: the least total of j grams from place i on, and the first one's letters (less than zero, so that ties go to longer ones) and place.
+    best = [[(0, 0, -1)] * (size + 1)]
     for _ in range(k):
-        row = [(1 << 62, -1)] * (len(cost) + GRAM + 1)
-        for i in range(len(cost) - 1, -1, -1):
-            row[i] = min(row[i + 1], (cost[i] + best[-1][i + GRAM][0], i))
+        row, rest = [(1 << 62, 0, -1)] * (size + 1), best[-1]
+        for i in range(size - min(PIECES), -1, -1):
+            now = row[i + 1]
+            for letters, cost in costs:
+                if i + letters <= size:
+                    total = cost[i] + rest[i + letters][0]
+                    if total < now[0] or total == now[0] and -letters < now[1]:
+                        now = (total, -letters, i)
+            row[i] = now
         best.append(row)
     out, i = [], 0
     for j in range(k, 0, -1):
-        out.append(best[j][i][1])
-        i = out[-1] + GRAM
+        _, letters, at = best[j][i]
+        out.append((at, -letters))
+        i = at - letters
     return out
 
 
@@ -82,32 +91,38 @@ def similar_pairs(names: DataFrame, asking: Column | None = None) -> DataFrame:
 
     d edits leave one of d + 1 disjoint pieces of a name whole, and move it by d places at most. So each name looks for its rarest pieces
     in the other names' grams, on one side of a pair; what many names have in common is not looked for if there is anything else.
+    Numbers stand for the names and hashes for pieces and places until names have met; every pair is then compared by its names.
     """
-    long = names.where(F.length("name") >= PER_EDIT - 1).select("rid", "type", "name", "seq")
+    asks = F.lit(True) if asking is None else asking
+    long = names.where(F.length("name") >= PER_EDIT - 1).select("rid", "type", "name", "seq", asks.alias("asks"))
+    long = written(long.withColumn("nid", F.monotonically_increasing_id()), "long")
     counts = gram_counts(long)
 
-    def keyed(long, pieces):
-        def run(batches):
-            for batch in batches:
-                out = []
-                for row, name in enumerate(batch.column("name").to_pylist()):
-                    d = most_edits(len(name))
-                    if pieces:
-                        out += [(row, name[p : p + GRAM], at) for p in rare_pieces(name, counts) for at in range(p - d, p + d + 1)]
-                    else:
-                        out += [(row, g, at) for at, g in enumerate(_grams(name))]
-                if out:
-                    rows, piece, at = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array(piece), pa.array(at, pa.int32())], names=[*batch.schema.names, "piece", "at"])
-
-        return long.mapInArrow(run, T.StructType([*long.schema.fields, T.StructField("piece", T.StringType()), T.StructField("at", T.IntegerType())]))
-
-    a, b = keyed(long, True).alias("a"), keyed(long if asking is None else long.where(asking), False).alias("b")
-    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("type", "piece", "at")]).where("a.seq < b.seq")
-    x, y = F.col("a.name"), F.col("b.name")
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row, name in enumerate(batch.column("name").to_pylist()):
+                d = most_edits(len(name))
+                out += [(row, name[p : p + letters], at, letters) for p, letters in rare_pieces(name, counts) for at in range(max(p - d, 0), p + d + 1)]
+            if out:
+                rows, piece, at, letters = zip(*out, strict=True)
+                rows = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column("nid").take(rows), batch.column("type").take(rows), pa.array(piece), pa.array(at, pa.int32()), pa.array(letters, pa.int32())], names=["nid", "type", "piece", "at", "letters"])
+
+    key = lambda piece, at: F.xxhash64("type", piece, at)
+    a = long.select("nid", "type", "name").mapInArrow(run, T.StructType([long.schema["nid"], long.schema["type"], T.StructField("piece", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("letters", T.IntegerType())]))
+    a = written(a.select(F.col("nid").alias("earlier"), key("piece", "at").alias("key"), "letters"), "pieces")
+    used = [r["letters"] for r in a.select("letters").distinct().collect()]  # as many as PIECES
+    grams = lambda n: F.transform(F.sequence(F.lit(0), F.length("name") - n), lambda i: key(F.substr("name", i + 1, F.lit(n)), i))
+    keys = F.concat(*[grams(n) for n in used]) if used else F.array().cast("array<bigint>")
+    b = long.where("asks").select(F.col("nid").alias("later"), F.explode(keys).alias("key"))
+    met = a.select("key", "earlier").join(b, "key").where("earlier <> later").select("later", "earlier").distinct()
+    side = lambda what: long.select(F.col("nid").alias(what), F.struct("rid", "type", "name", "seq").alias(what[0]))
+    met = met.join(side("later"), "later").join(side("earlier"), "earlier").where("e.type = l.type AND e.seq < l.seq")
+    x, y = F.col("e.name"), F.col("l.name")
     longest = F.greatest(F.length(x), F.length(y))
     near = (F.abs(F.length(x) - F.length(y)) * PER_EDIT <= longest) & (F.levenshtein(x, y) * PER_EDIT <= longest)
-    pairs = met.where(near).select(F.col("b.rid").alias("later"), F.col("a.rid").alias("earlier"), levenshtein_similarity(x, y).alias("score"))
+    pairs = met.where(near).select(F.col("l.rid").alias("later"), F.col("e.rid").alias("earlier"), levenshtein_similarity(x, y).alias("score"))
     return pairs.dropDuplicates(["later", "earlier"])
 
 

@@ -1,4 +1,6 @@
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -161,3 +163,10 @@ def test_extending_is_building(spark):
         assert [r.ord for r in got.orderBy("ord").collect()] == list(range(got.count()))
         rows = lambda t: [tuple(r) for r in t.orderBy("ord").select(*[c for c in want.columns if c != "ord"]).collect()]  # noqa: B023, E731
         assert rows(got) == rows(want)
+
+
+def test_pieces_tell_many_names_apart(spark):
+    names = [f"Buyer no {i} {hashlib.md5(str(i).encode()).hexdigest()[:16]}" for i in range(4000)]
+    counts = resolution.gram_counts(spark.createDataFrame([(n,) for n in names], "name string"))
+    met = Counter((n[p : p + letters], p) for n in names for p, letters in resolution.rare_pieces(n, counts))
+    assert sum(met.values()) == 2 * len(names) and sum(k * k for k in met.values()) < 4 * len(names)
