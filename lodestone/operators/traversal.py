@@ -77,24 +77,34 @@ def find_path(graph: Graph, source: str, target: str) -> DataFrame:
     """(hop, id): a path of the fewest hops, or no rows where no path of any length exists. Ties go to the path whose edges were
     inserted first, out-edges before in-edges, hop by hop.
 
-    Every reached node keeps its least path as an array of (direction, order), which sorts as the queue of a breadth-first search does.
+    The levels are found first, by nodes alone. Then only the nodes from which the target is reached in time get paths: arrays of
+    (direction, order), which sort as the queue of a breadth-first search does. The edges are made once.
     """
     known = {r["id"] for r in graph.entities.where(F.col("id").isin(source, target)).select("id").collect()}
     if known != {source, target}:
         raise GraphError("an end is no entity")
     spark = graph.entities.sparkSession
-    frontier = written(spark.createDataFrame([(source, [source])], "node string, path array<string>").withColumn("key", F.array().cast("array<struct<dir:int,ord:bigint>>")), "path")
-    seen = frontier.select("node")
-    while True:
-        goal = frontier.where(F.col("node") == target)
-        if not goal.isEmpty():
-            return goal.select(F.posexplode("path").alias("hop", "id"))
-        step = adjacency(touching(graph.relationships, frontier)).join(frontier, "node").select(F.col("other").alias("node"), "path", F.concat("key", F.array(F.struct("dir", "ord"))).alias("key"))
-        best = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min(F.struct("key", "path")).alias("b"))
-        frontier = written(best.select("node", F.concat("b.path", F.array("node")).alias("path"), "b.key"), "path")
-        if frontier.isEmpty():
+    sides = adjacency(written(graph.relationships.select("source_entity_id", "target_entity_id", "ord"), "path"))
+    frontiers = [written(spark.createDataFrame([(source,)], "node string"), "path")]
+    while frontiers[-1].where(F.col("node") == target).isEmpty():
+        ends = sides.join(frontiers[-1], "node").select(F.col("other").alias("node")).distinct()
+        # Edges lead both ways, so a level's neighbours are in it, the one before or the next one.
+        for nodes in frontiers[-2:]:
+            ends = ends.join(nodes, "node", "left_anti")
+        frontiers.append(written(ends, "path"))
+        if frontiers[-1].isEmpty():
             return spark.createDataFrame([], "hop int, id string")
-        seen = written(seen.unionByName(frontier.select("node")), "path")
+    on_way = [frontiers[-1].where(F.col("node") == target)]
+    for nodes in frontiers[-2:0:-1]:
+        before = sides.join(on_way[-1], "node").select(F.col("other").alias("node")).distinct()
+        on_way.append(written(nodes.join(before, "node", "left_semi"), "path"))
+    paths = spark.createDataFrame([(source, [source])], "node string, path array<string>").withColumn("key", F.array().cast("array<struct<dir:int,ord:bigint>>"))
+    for nodes in reversed(on_way if len(frontiers) > 1 else []):
+        step = sides.join(nodes.select(F.col("node").alias("other")), "other", "left_semi").join(paths, "node")
+        step = step.select(F.col("other").alias("node"), "path", F.concat("key", F.array(F.struct("dir", "ord"))).alias("key"))
+        best = step.groupBy("node").agg(F.min(F.struct("key", "path")).alias("b"))
+        paths = written(best.select("node", F.concat("b.path", F.array("node")).alias("path"), "b.key"), "path")
+    return paths.select(F.posexplode("path").alias("hop", "id"))
 
 
 def dfs_visit(graph: Graph, start: str, max_depth: int | None = None, max_entities: int = 100_000) -> DataFrame:
@@ -165,17 +175,17 @@ def weighted_path(graph: Graph, source: str, target: str, cost: Column | None =
         raise GraphError("an end is no entity")
     spark = graph.entities.sparkSession
     priced = graph.relationships.withColumn("_cost", cost if cost is not None else -F.ln(F.greatest("confidence", F.lit(1e-9))))
+    priced = written(priced.select("source_entity_id", "target_entity_id", "_cost"), "path")
     side = lambda edges, a, b: edges.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col("_cost").alias("step"))
     best = frontier = written(spark.createDataFrame([(source, 0.0, [source], [0.0])], "node string, cost double, path array<string>, costs array<double>"), "path")
     while not frontier.isEmpty():
-        edges = touching(priced, frontier)
-        both = side(edges, "source_entity_id", "target_entity_id").unionByName(side(edges, "target_entity_id", "source_entity_id"))
         total = (F.col("cost") + F.col("step")).alias("cost")
+        both = side(priced, "source_entity_id", "target_entity_id").unionByName(side(priced, "target_entity_id", "source_entity_id"))
         tried = both.join(frontier, "node").select(F.col("other").alias("node"), total, F.concat("path", F.array("other")).alias("path"), F.concat("costs", F.array(total)).alias("costs"))
-        tried = tried.groupBy("node").agg(F.min(F.struct("cost", "path", "costs")).alias("b")).select("node", "b.*")
         goal = best.where(F.col("node") == target).select("cost").first()
         if goal:
             tried = tried.where(F.col("cost") < goal[0])
+        tried = tried.groupBy("node").agg(F.min(F.struct("cost", "path", "costs")).alias("b")).select("node", "b.*")
         old = best.select("node", F.col("cost").alias("_old"))
         frontier = written(tried.join(old, "node", "left").where("_old IS NULL OR cost < _old").drop("_old"), "path")
         best = written(best.join(frontier, "node", "left_anti").unionByName(frontier), "path")

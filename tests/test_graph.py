@@ -124,3 +124,18 @@ def test_traversal_edges(spark):
         with pytest.raises(g.GraphError):
             wrong()
     assert {r.id: r.degree for r in t.degree_centrality(triangle).collect()} == {"0": 2, "1": 2, "2": 2, "3": 0}
+
+
+def test_paths_make_the_edges_once(spark):
+    x, made = simple_graph(spark, 6, [(i, i + 1, "USES", 0.5) for i in range(5)]), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    x = type(x)(x.entities, x.relationships.mapInArrow(count, x.relationships.schema), x.evidence)
+    for find in (t.find_path, t.weighted_path):
+        before = made.value
+        assert [r.id for r in find(x, "0", "5").orderBy("hop").collect()] == list("012345")
+        assert made.value - before == 5
