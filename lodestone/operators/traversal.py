@@ -192,20 +192,53 @@ def weighted_path(graph: Graph, source: str, target: str, cost: Column | None =
     return best.where(F.col("node") == target).select(F.posexplode(F.arrays_zip("path", "costs")).alias("hop", "s")).select("hop", F.col("s.path").alias("id"), F.col("s.costs").alias("cost"))
 
 
+def _places(graph: Graph) -> DataFrame:
+    """(id, place): the entities numbered in the order of their ids, so that numbers compare as ids do."""
+    return written(in_order(graph.entities.select("id"), "id").select("id", "place"), "places")
+
+
+def _between(relationships: DataFrame, places: DataFrame) -> DataFrame:
+    """(a, b): the places of the ends of each edge whose ends are entities. Ends with very many edges are not moved."""
+    ends = written(relationships.select("source_entity_id", "target_entity_id"), "ends")
+    side = lambda end, out: places.select(F.col("id").alias(end), F.col("place").alias(out))
+    half = written(join_split(ends, side("target_entity_id", "b"), "target_entity_id").select("source_entity_id", "b"), "ends")
+    return written(join_split(half, side("source_entity_id", "a"), "source_entity_id").select("a", "b"), "ends")
+
+
 def communities(graph: Graph) -> DataFrame:
     """(id, community): label propagation. In each round every entity takes the label that most of its edge ends have, the least of several;
     it keeps its own if that is among them. With weights that are the same both ways, labels settle or alternate between two in the
-    end; rounds go on until then, and of two that alternate the lesser one is the entity's. The votes of a hub are counted where its edges are."""
-    edges = written(adjacency(graph.relationships).where("node <> other").groupBy("node", F.col("other").alias("id")).agg(F.count("*").alias("n")), "communities")
-    before, labels, hot = None, written(graph.entities.select("id", F.col("id").alias("community")), "communities"), hot_keys(edges, "id")
+    end; rounds go on until then, and of two that alternate the lesser one is the entity's. The votes of a hub are counted where its edges are.
+
+    Numbers in the order of the ids stand for entities and labels. An entity's own label is a vote that counts nothing, so a round is
+    one join and two sums, and all that it writes is a row per entity: its labels now, one and two rounds ago."""
+    places = _places(graph)
+    pairs = _between(graph.relationships, places).where("a <> b")
+    edges = written(pairs.select(F.col("a").alias("node"), F.col("b").alias("id")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("id"))).groupBy("node", "id").agg(F.count("*").alias("n")), "communities")
+    many, most = places.count(), edges.agg(F.sum("n")).first()[0] or 0
+    # One number compares as (most votes, own label first, least label) does.
+    kind = "bigint" if (most + 1) * 2 * many < 2**63 else "decimal(38,0)"
+    number = lambda c: c.cast(kind)
+    score = (number(F.lit(most) - F.col("n")) * 2 + number(F.when(F.col("own").isNull(), 1).otherwise(0))) * number(F.lit(many)) + number(F.col("community"))
+    nothing, hot = F.lit(None).cast("bigint"), hot_keys(edges, "id")
+    own = lambda labels: labels.select(F.col("id").alias("node"), "community", F.lit(0).cast("bigint").alias("n"), F.col("community").alias("own"), "last")
+    # Too many labels to be broadcast: hashed, so that a round does not sort the edges.
+    side = lambda labels: labels.hint("shuffle_hash") if many > 1_000_000 else labels
+    # At first all labels differ, so each edge is a vote by itself.
+    labels, first = places.select(F.col("place").alias("id"), F.col("place").alias("community"), nothing.alias("last")), True
     while True:
-        votes = written(join_split(edges, labels, "id", hot=hot).groupBy("node", "community").agg(F.sum("n").alias("n")), "votes")
-        rows = join_split(votes, labels.select(F.col("id").alias("node"), F.col("community").alias("own")), "node")
-        best = rows.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), (F.col("community") != F.col("own")).alias("other"), "community")).alias("b"))
-        after = written(labels.join(best.select(F.col("node").alias("id"), F.col("b.community").alias("new")), "id", "left").select("id", F.coalesce("new", "community").alias("community")), "communities")
-        if before is not None and after.join(before, ["id", "community"], "left_anti").isEmpty():
-            return after.join(labels.withColumnRenamed("community", "other"), "id").select("id", F.least("community", "other").alias("community"))
-        before, labels = labels, after
+        if first:
+            votes = edges.select("node", F.col("id").alias("community"), "n", nothing.alias("own"), nothing.alias("last")).unionByName(own(labels))
+        else:
+            told = join_split(edges, side(labels.select("id", "community")), "id", hot=hot).select("node", "community", "n", nothing.alias("own"), nothing.alias("last"))
+            votes = told.unionByName(own(labels)).groupBy("node", "community").agg(F.sum("n").alias("n"), F.max("own").alias("own"), F.max("last").alias("last"))
+        best = votes.groupBy("node").agg(F.min(score).alias("best"), F.max("own").alias("last"), F.max("last").alias("before"))
+        labels, first = written(best.select(F.col("node").alias("id"), (F.col("best") % number(F.lit(max(many, 1)))).cast("bigint").alias("community"), "last", "before"), "communities"), False
+        if labels.where("NOT community <=> before").isEmpty():
+            break
+    least = labels.select("id", F.least("community", "last").alias("community"))
+    named = least.join(places.select(F.col("place").alias("id"), F.col("id").alias("_name")), "id").select(F.col("_name").alias("id"), "community")
+    return join_split(written(named, "communities"), places.select(F.col("place").alias("community"), F.col("id").alias("_name")), "community").select("id", F.col("_name").alias("community"))
 
 
 def degree_centrality(graph: Graph) -> DataFrame:
