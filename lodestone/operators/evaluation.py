@@ -20,11 +20,26 @@ def retrieval_at_k(ranked: DataFrame, relevant: DataFrame, k: int, query: str =
     wanted = relevant.select(query, item).distinct()
     hits = ranked.join(wanted, [query, item]).groupBy(query).agg(F.count(F.when(F.col("rank") <= k, 1)).alias("hits"), F.min("rank").alias("first"))
     total = wanted.groupBy(query).agg(F.count("*").alias("n"))
+    return _at_k(total, hits, k, query)
+
+
+def _at_k(total: DataFrame, hits: DataFrame, k: int, query: str) -> DataFrame:
     rows = total.join(hits, query, "left")
     got = F.coalesce("hits", F.lit(0))
     return rows.select(query, (got / F.col("n")).alias("recall"), (got / F.lit(k)).alias("precision"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
+def retrieval_at_k_by_class(ranked: DataFrame, asked: DataFrame, items: DataFrame, k: int, kind: str, query: str = "query_id", item: str = "id") -> DataFrame:
+    """As retrieval_at_k, where the relevant items of a query are all of its own kind. asked: query, kind; items: item, kind. Relevant pairs are
+    counted from the sizes of kinds, never made."""
+    have = items.where(F.col(kind).isNotNull()).select(item, kind).distinct()
+    wanted = asked.select(query, kind).distinct()
+    total = wanted.join(have.groupBy(kind).agg(F.count("*").alias("n")), kind).groupBy(query).agg(F.sum("n").alias("n"))
+    met = ranked.join(have, item).join(wanted, [query, kind])
+    hits = met.groupBy(query).agg(F.count(F.when(F.col("rank") <= k, 1)).alias("hits"), F.min("rank").alias("first"))
+    return _at_k(total, hits, k, query)
+
+
 def merge_quality(found: DataFrame, gold: DataFrame, mention: str = "mention", entity: str = "entity") -> DataFrame:
     """One row: correct, incorrect and missed merges, that is pairs of mentions put together rightly, wrongly, or not. Pairs are counted
     from the sizes of clusters, never made. found, gold: one row per mention with the cluster it is in."""
