@@ -16,9 +16,14 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from lodestone.config import Settings
 from lodestone.functions.vectors import cosine_similarity
 from lodestone.operators.graph import GraphError, _add
+from lodestone.scratch import written
 
 #: Queries that one pass over the vectors answers: the part that goes to every executor.
 QUERY_BLOCK = 2048
+#: Queries and vectors that a task compares at once: what it holds besides its best.
+TILE = (256, 4096)
+#: Parts of the range of scores by codes, of which one holds the end of a short list.
+BINS = 512
 
 
 def add_vectors(store: DataFrame, new: DataFrame) -> DataFrame:
@@ -66,10 +71,57 @@ def _blocks(queries: DataFrame, id_col: str, vector: str, size: int) -> Iterator
             yield [r[0] for r in rows], _unit(np.array([r["v"] for r in rows], np.float64))
 
 
+def _tiles(n_queries: int, rows: int) -> Iterator[tuple[slice, slice]]:
+    for a in range(0, rows, TILE[1]):
+        for q in range(0, n_queries, TILE[0]):
+            yield slice(q, min(q + TILE[0], n_queries)), slice(a, min(a + TILE[1], rows))
+
+
+class _Best:
+    """The k best (query, id, score) of each query so far; least id first among scores that are equal when rounded."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.cut, self.held = k, np.full(n_queries, -np.inf), {}
+
+    def take(self, queries: slice, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows for the queries of a tile; at: places in the tile."""
+        old = self.held.get(queries.start)
+        if old is not None:
+            at, ids, scores = np.concatenate([old[0], at]), np.concatenate([old[1], ids]), np.concatenate([old[2], scores])
+        rounded = np.round(scores, 12)
+        order = np.lexsort((ids, -rounded, at))
+        place = np.arange(len(order)) - np.searchsorted(at[order], at[order])
+        order = order[place < self.k]
+        self.held[queries.start] = at[order], ids[order], scores[order]
+        last = order[place[place < self.k] == self.k - 1]
+        self.cut[queries.start + at[last]] = np.nan_to_num(rounded[last], nan=-np.inf)
+
+    def take_all(self, queries: slice, scores: np.ndarray, ids: np.ndarray) -> None:
+        """A score of every query of a tile with every id. Only what may be among the best is sorted."""
+        rounded = np.round(scores, 12)
+        rounded[np.isnan(rounded)] = -np.inf
+        cut, n = self.cut[queries], scores.shape[1]
+        if 0 < self.k < n:
+            cut = np.maximum(cut, np.partition(rounded, n - self.k, axis=1)[:, n - self.k])
+        at, column = np.nonzero(rounded >= cut[:, None])
+        self.take(queries, at, ids[column], scores[at, column])
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places of queries, ids, scores), a tile at a time."""
+        for start, (at, ids, scores) in self.held.items():
+            yield start + at, ids, scores
+
+
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def batch_search(store: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest rows of store for each query, itself included; ties to the lower id.
 
-    Queries go out in blocks. A task multiplies its vectors with a block, and sends on its own k best of each query only.
+    Queries go out in blocks. A task multiplies its vectors with a block, a tile at a time, and sends on its own k best of each query only:
+    it holds these and one tile, whatever the number of vectors.
     """
     pick = store.select(id_col, F.col(vector).cast("array<double>").alias("v"))
     kind = store.schema[id_col].dataType.simpleString()
@@ -80,27 +132,22 @@ def batch_search(store: DataFrame, queries: DataFrame, k: int = 10, id_col: str
 
         def run(batches, given=given):
             query_ids, q = given.value
-            best_score, best_id = np.full((len(q), 0), 0.0), None
+            best = _Best(len(q), k)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                rows = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                scores, found = q @ _unit(rows).T, np.broadcast_to(np.asarray(batch.column(0)), (len(q), batch.num_rows))
-                if best_id is not None:
-                    scores, found = np.hstack([best_score, scores]), np.hstack([best_id, found])
-                # Least id first among equal scores.
-                rank = np.lexsort((found, -np.round(scores, 12)), axis=1)[:, :k]
-                best_score, best_id = np.take_along_axis(scores, rank, 1), np.take_along_axis(found, rank, 1)
-            if best_id is not None:
-                n = best_id.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(query_ids), n), arrow), pa.array(best_id.ravel(), arrow), pa.array(best_score.ravel())], names=["query_id", "id", "score"])
+                found, unit = np.asarray(batch.column(0)), _unit(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1))
+                for some, part in _tiles(len(q), len(unit)):
+                    best.take_all(some, q[some] @ unit[part].T, found[part])
+            names = np.array(query_ids)
+            for at, found, scores in best.rows():
+                yield pa.RecordBatch.from_arrays([pa.array(names[at], arrow), pa.array(found, arrow), pa.array(scores)], names=["query_id", "id", "score"])
 
         part = pick.mapInArrow(run, f"query_id {kind}, id {kind}, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return store.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int")
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _ranked(out, k)
 
 
 @dataclass(frozen=True)
@@ -155,20 +202,21 @@ def index_search(index: CellIndex, queries: DataFrame, k: int = 10, probes: int
     arrow = to_arrow_schema(schema)
 
     def run(key, left, right):
-        a, b = (np.array(t.column(c).to_pylist(), np.float64) for t, c in ((left, "v"), (right, "q")))
-        if not len(a) or not len(b):
+        if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
+        a, b = (np.concatenate([np.asarray(c.flatten()) for c in t.column(c).chunks]).reshape(t.num_rows, -1) for t, c in ((left, "v"), (right, "q")))
         ids, query_ids, out = np.array(left.column("id")), np.array(right.column("query_id")), []
         unit = _unit(a)
         for s in range(0, len(b), 512):
-            scores = _unit(b[s : s + 512]) @ unit.T
-            best = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-            out.append((np.repeat(query_ids[s : s + 512], best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
+            some = _unit(b[s : s + 512])
+            best = _Best(len(some), k)
+            for part, cols in _tiles(len(some), len(unit)):
+                best.take_all(part, some[part] @ unit[cols].T, ids[cols])
+            out += [(query_ids[s + at], found, scores) for at, found, scores in best.rows()]
         return pa.table([pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
     found = filed.groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(run, schema)
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _ranked(found, k)
 
 
 @dataclass(frozen=True)
@@ -217,39 +265,71 @@ def code_search(index: CodeIndex, queries: DataFrame, k: int = 10, share: float
     """(query_id, id, score, rank): the k nearest of a short list, by the exact cosine; ties to the lower id.
 
     The short list of a query are the vectors of the best scores by codes, `share` of all (k at least): a task looks up the products of the query's
-    parts with all centres, adds one per part, and sends on its own best. So only `share` of the exact distances are computed. The recall depends on the data and the share.
+    parts with all centres and adds one per part. A first pass counts these scores by bins, which tells the bin in which each short list ends. The second pass ranks
+    the vectors in better bins where they are, and sends on its k best of each query and what is in the last bin. So about `share` of the exact distances are computed,
+    and no short list is held or moved. The recall depends on the data and the share.
     """
-    n_short = max(k, int(np.ceil(share * index.rows.count())))
-    rows = index.rows
+    rows = written(index.rows, "codes")
+    n_short = max(k, int(np.ceil(share * rows.count())))
     kind = rows.schema["id"].dataType.simpleString()
     arrow = to_arrow_type(rows.schema["id"].dataType)
-    coded, out = rows.select("id", "code"), None
+    out = None
     for ids, matrix in _blocks(queries, id_col, vector, block):
         tables = [q @ b.T for q, b in zip(_parts(matrix, len(index.centres)), index.centres, strict=True)]
-        given = rows.sparkSession.sparkContext.broadcast((ids, tables))
+        low, high = (sum((getattr(t, f)(axis=1) for t in tables), np.zeros(len(ids)))[:, None] for f in ("min", "max"))
+        given = rows.sparkSession.sparkContext.broadcast((ids, matrix, tables, low, BINS / np.maximum(high - low, 1e-300)))
 
-        def run(batches, given=given):
-            query_ids, tables = given.value
-            best_score, best_id = np.zeros((len(query_ids), 0)), None
+        def tiles(batches, given=given):
+            """(queries, batch's vectors, rows, scores by codes, their bins)"""
+            query_ids, _, tables, low, scale = given.value
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                scores, found = sum(t[:, codes[:, i]] for i, t in enumerate(tables)), np.broadcast_to(np.asarray(batch.column(0)), (len(query_ids), batch.num_rows))
-                if best_id is not None:
-                    scores, found = np.hstack([best_score, scores]), np.hstack([best_id, found])
-                keep = np.argsort(-scores, axis=1, kind="stable")[:, :n_short]
-                best_score, best_id = np.take_along_axis(scores, keep, 1), np.take_along_axis(found, keep, 1)
-            if best_id is not None:
-                n = best_id.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(query_ids), n), arrow), pa.array(best_id.ravel(), arrow), pa.array(best_score.ravel())], names=["query_id", "id", "guess"])
-
-        part = coded.mapInArrow(run, f"query_id {kind}, id {kind}, guess double")
+                if batch.num_rows:
+                    codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    for some, part in _tiles(len(query_ids), len(codes)):
+                        guess = sum(t[some][:, codes[part, i]] for i, t in enumerate(tables))
+                        yield some, batch, part, guess, np.clip((guess - low[some]) * scale[some], 0, BINS - 1).astype(np.int64)
+
+        def count(batches, given=given, tiles=tiles):
+            counts = np.zeros((len(given.value[0]), BINS), np.int64)
+            for some, _, _, _, bins in tiles(batches):
+                m = len(bins)
+                counts[some] += np.bincount((np.arange(m)[:, None] * BINS + bins).ravel(), minlength=m * BINS).reshape(m, BINS)
+            at, bins = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bins), pa.array(counts[at, bins])], names=["at", "bin", "n"])
+
+        # The bin in which the short list of each query ends, and how many are in better ones.
+        sizes = rows.select("code").mapInArrow(count, "at long, bin long, n long").groupBy("at", "bin").agg(F.sum("n").alias("n"))
+        better = F.coalesce(F.sum("n").over(W.partitionBy("at").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        ends = sizes.withColumn("better", better).where(F.col("better") < n_short).groupBy("at").agg(F.min("bin").alias("bin"), F.max("better").alias("better")).collect()  # a row per query of the block
+        last, rest = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for r in ends:
+            last[r["at"]], rest[r["at"]] = r["bin"], n_short - r["better"]
+        limits = rows.sparkSession.sparkContext.broadcast((last, rest))
+
+        def run(batches, given=given, limits=limits, tiles=tiles):
+            query_ids, q, *_ = given.value
+            (last, rest), names = limits.value, np.array(query_ids)
+            best = _Best(len(query_ids), k)
+            for some, batch, part, guess, bins in tiles(batches):
+                at, column = np.nonzero(bins >= last[some, None])
+                unit, found = _unit(np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)[part]), np.asarray(batch.column("id"))[part]
+                score = np.concatenate([np.einsum("ij,ij->i", q[some][at[i : i + TILE[1]]], unit[column[i : i + TILE[1]]]) for i in range(0, max(len(at), 1), TILE[1])])
+                bin_, guess = bins[at, column], guess[at, column]
+                sure = bin_ > last[some][at]
+                best.take(some, at[sure], found[column[sure]], score[sure])
+                edge = ~sure
+                if edge.any():
+                    who = some.start + at[edge]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[who], arrow), pa.array(found[column[edge]], arrow), pa.array(score[edge]), pa.array(guess[edge]), pa.array(rest[who])], names=["query_id", "id", "score", "guess", "rest"])
+            for at, found, scores in best.rows():
+                nothing = pa.nulls(len(at), pa.float64()), pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(names[at], arrow), pa.array(found, arrow), pa.array(scores), *nothing], names=["query_id", "id", "score", "guess", "rest"])
+
+        part = rows.mapInArrow(run, f"query_id {kind}, id {kind}, score double, guess double, rest long")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return rows.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int")
-    short = out.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("guess"), "id"))).where(F.col("place") <= n_short)
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
-    scored = short.join(rows.select("id", "v"), "id").join(asked, "query_id").select("query_id", "id", cosine_similarity(F.col("v"), F.col("q")).alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # In the last bin the best by codes are still in the short list, ties by the id.
+    place = F.row_number().over(W.partitionBy("query_id", F.col("rest").isNull()).orderBy(F.desc("guess"), "id"))
+    short = out.withColumn("place", place).where("rest IS NULL OR place <= rest")
+    return _ranked(short.select("query_id", "id", "score"), k)

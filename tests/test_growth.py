@@ -31,3 +31,50 @@ def test_a_round_of_communities_writes_a_row_of_numbers_per_entity(spark, monkey
     rounds = [f for f in found if f[0] in ("votes", "communities") and "before" in dict(f[1])]
     assert rounds and all(n == 12 and {t for _, t in kinds} == {"bigint"} for _, kinds, n in rounds)
     assert not [f for f in found if f[0] == "votes"]
+
+
+def test_the_best_of_tiles_are_those_of_the_whole(monkeypatch):
+    monkeypatch.setattr(search, "TILE", (3, 5))
+    rng = np.random.default_rng(1)
+    scores = rng.integers(0, 4, (7, 41)) / 8.0  # many ties
+    scores[2, 5] = np.nan
+    ids = rng.permutation(41)
+    best = search._Best(7, 6)
+    for some, part in search._tiles(7, 41):
+        assert some.stop - some.start <= 3 and part.stop - part.start <= 5
+        best.take_all(some, scores[some, part], ids[part])
+    got = sorted((q, -s, i) for at, found, values in best.rows() for q, i, s in zip(at.tolist(), found.tolist(), values.tolist(), strict=True))
+    want = [row for q in range(7) for row in sorted((q, -s, i) for s, i in zip(scores[q].tolist(), ids.tolist(), strict=True) if s == s)[:6]]
+    assert got == want
+
+
+def test_a_short_list_is_not_moved(spark):
+    """The short list by codes is that of the definition, with ties, and only what is in its last bin leaves a task besides the best."""
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(300, 8))
+    data[200:260] = data[7]  # equal codes
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    index = search.build_codes(rows, parts=4, centres=8)
+    asked = rows.where("vec_id % 25 = 7")
+    found = search.code_search(index, asked, 5, share=0.3)
+    assert "rest" in found._jdf.queryExecution().analyzed().toString()
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    codes = {r["id"]: np.frombuffer(bytes(r["code"]), np.uint8) for r in index.rows.collect()}
+    want = set()
+    for q in range(7, 300, 25):
+        tables = [p @ b.T for p, b in zip(np.array_split(unit[q], 4), index.centres, strict=True)]
+        guess = [sum(t[c] for t, c in zip(tables, codes[i], strict=True)) for i in range(300)]
+        short = sorted(range(300), key=lambda i: (-guess[i], i))[:90]
+        want |= {(q, i) for i in sorted(short, key=lambda i: (-round(float(unit[q] @ unit[i]), 12), i))[:5]}
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == want
+
+
+def test_relevant_pairs_of_a_kind_are_counted_not_made(spark):
+    from lodestone.operators import evaluation
+
+    items = spark.range(400).select("id", F.when(F.col("id") % 7 != 0, F.col("id") % 3).alias("kind"))
+    asked = items.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    ranked = asked.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("rank")).withColumn("id", (F.col("query_id") * 3 + F.col("rank") * 11) % 400)
+    pairs = asked.join(items, "kind").select("query_id", "id")
+    want = evaluation.retrieval_at_k(ranked, pairs, 4).collect()
+    assert sorted(evaluation.retrieval_at_k_by_class(ranked, asked, items, 4, "kind").collect()) == sorted(want)
