@@ -93,20 +93,28 @@ def propagated(evidence: DataFrame, source: str = "chunk_id", rounds: int | None
     A fact's confidence is the chance that one of its sources is right, each with its reliability times its own confidence; a source's reliability is the mean confidence
     of its facts, mixed with the start value by `damping`. Rounds go on until no reliability changes by more than `change`, or for a given number of them.
     Both sides are aggregations with partial results, so a source or a fact with very many statements is no hot key; a round's reliabilities are joined to the statements
-    with hot sources where they are.
+    with hot sources where they are. A fact that one source states moves in no round: its source knows the sum of its statements.
     """
     said = written(evidence.groupBy(source, "relationship_id").agg(F.max("confidence").alias("c")), "said")
-    trust = written(said.select(source).distinct().withColumn("reliability", F.lit(float(start))), "trust")
-    done, by_source, by_fact = 0, hot_keys(said, source), hot_keys(said, "relationship_id")
+    # One statement c of a source r is c * r; more, and values that are no chance, go the general way.
+    chance = F.coalesce((F.max("c") <= 1) & (F.count("c") == F.count("*")), F.lit(False)) if start <= 1 else F.lit(False)
+    several = written(said.groupBy("relationship_id").agg(F.count("*").alias("n"), chance.alias("chance")).where("n > 1 OR NOT chance").select("relationship_id"), "several")
+    lone, shared = said.join(several, "relationship_id", "left_anti"), written(said.join(several, "relationship_id", "left_semi"), "shared")
+    stated = lone.select(source, "c").unionByName(shared.select(source, F.lit(0.0).alias("c")))
+    trust = written(stated.groupBy(source).agg(F.sum("c").alias("lone"), F.count("*").alias("n")).withColumn("reliability", F.lit(float(start))), "trust")
+    done, by_source, by_fact = 0, hot_keys(shared, source), hot_keys(shared, "relationship_id")
     while True:
         wrong = F.ln(F.greatest(1.0 - F.col("c") * F.col("reliability"), F.lit(1e-300)))
-        facts = written(join_split(said, trust, source, hot=by_source).groupBy("relationship_id").agg((1.0 - F.exp(F.sum(wrong))).alias("confidence")), "facts")
+        facts = written(join_split(shared, trust.select(source, "reliability"), source, hot=by_source).groupBy("relationship_id").agg((1.0 - F.exp(F.sum(wrong))).alias("confidence")), "facts")
         if done == rounds:
             break
-        mean = join_split(said, facts, "relationship_id", hot=by_fact).groupBy(source).agg(F.avg("confidence").alias("m"))
-        after = written(mean.select(source, (F.lit(damping * start) + (1.0 - damping) * F.col("m")).alias("reliability")), "trust")
-        most = after.join(trust.withColumnRenamed("reliability", "old"), source).agg(F.max(F.abs(F.col("reliability") - F.col("old")))).first()[0]
-        trust, done = after, done + 1
-        if rounds is None and (most is None or most <= change):
-            rounds = done  # once more for the facts
-    return facts, trust, done
+        came = join_split(shared, facts, "relationship_id", hot=by_fact).groupBy(source).agg(F.sum("confidence").alias("came"))
+        mean = (F.col("reliability") * F.col("lone") + F.coalesce("came", F.lit(0.0))) / F.col("n")
+        after = trust.join(came, source, "left").select(source, "lone", "n", (F.lit(damping * start) + (1.0 - damping) * mean).alias("reliability"), F.col("reliability").alias("old"))
+        trust, done = written(after, "trust"), done + 1
+        if rounds is None:
+            most = trust.agg(F.max(F.abs(F.col("reliability") - F.col("old")))).first()[0]
+            if most is None or most <= change:
+                rounds = done  # once more for the facts
+    alone = lone.join(trust.select(source, "reliability"), source).select("relationship_id", (F.col("c") * F.col("reliability")).alias("confidence"))
+    return facts.unionByName(alone), trust.select(source, "reliability"), done

@@ -78,3 +78,11 @@ def test_relevant_pairs_of_a_kind_are_counted_not_made(spark):
     pairs = asked.join(items, "kind").select("query_id", "id")
     want = evaluation.retrieval_at_k(ranked, pairs, 4).collect()
     assert sorted(evaluation.retrieval_at_k_by_class(ranked, asked, items, 4, "kind").collect()) == sorted(want)
+
+
+def test_facts_of_one_source_move_in_no_round(spark, monkeypatch):
+    rows = [(f"c{i}", f"r{i}", 0.5) for i in range(30)] + [("c1", "both", 0.9), ("c2", "both", 0.4), ("c3", "odd", None)]
+    found = recorded(monkeypatch, trust)
+    facts, sources, _ = trust.propagated(spark.createDataFrame(rows, "chunk_id string, relationship_id string, confidence double"), rounds=3)
+    assert facts.count() == 32 and sources.count() == 30
+    assert {n for name, _, n in found if name in ("facts", "shared")} == {2, 3}
