@@ -158,10 +158,11 @@ def dfs_visit(graph: Graph, start: str, max_depth: int | None = None, max_entiti
 
 
 def components(graph: Graph) -> DataFrame:
-    """(id, component): the least entity id that edges reach. Rounds grow with the logarithm of the longest way; hubs' edges stay where they are."""
-    edges = graph.relationships.select(F.col("source_entity_id").alias("a"), F.col("target_entity_id").alias("b"))
-    labels = connected_components(edges).withColumnRenamed("node", "id")
-    return graph.entities.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+    """(id, component): the least entity id that edges reach. Numbers in the order of the ids stand for entities. Rounds grow with the logarithm of the longest way; hubs' edges stay where they are."""
+    places = _places(graph)
+    labels = connected_components(_between(graph.relationships, places)).withColumnRenamed("node", "place")
+    found = written(places.join(labels, "place", "left").select("id", F.coalesce("label", "place").alias("place")), "components")
+    return join_split(found, places.select("place", F.col("id").alias("component")), "place").select("id", "component")
 
 
 def weighted_path(graph: Graph, source: str, target: str, cost: Column | None = None) -> DataFrame:
@@ -253,21 +254,27 @@ def page_rank(graph: Graph, rounds: int = 20, damping: float = 0.85) -> DataFram
 
     Shares of a target are summed where they are made, and an entity with very many edges meets its rank without moving them.
     """
-    nodes = written(graph.entities.select("id"), "rank")
-    n = nodes.count()
+    places = _places(graph)
+    n = places.count()
     if not n:
-        return nodes.withColumn("rank", F.lit(0.0))
-    edges = written(graph.relationships.groupBy(F.col("source_entity_id").alias("id"), F.col("target_entity_id").alias("target")).agg(F.count("*").alias("k")), "rank")
-    degree = edges.groupBy("id").agg(F.sum("k").alias("out"))
-    nodes = written(nodes.join(degree, "id", "left"), "rank")
-    ranks, hot = nodes.withColumn("rank", F.lit(1.0 / n)), hot_keys(edges, "id")
+        return places.select("id", F.lit(0.0).alias("rank"))
+    edges = _between(graph.relationships, places)
+    nodes = written(places.select(F.col("place").alias("a")).join(edges.groupBy("a").agg(F.count("*").alias("out")), "a", "left"), "rank")
+    # A round moves a list of targets with each entity, in parts: more of them for an entity with very many edges.
+    hot, part = hot_keys(edges, "a"), F.xxhash64("b")
+    if hot is not None:
+        edges = edges.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "a", "left")
+    parts = F.lit(8) if hot is None else F.when(F.col("hot"), 4096).otherwise(8)
+    number = "int" if n < 2**31 else "bigint"
+    lists = written(edges.groupBy("a", F.pmod(part, parts).alias("part")).agg(F.sort_array(F.collect_list(F.col("b").cast(number))).alias("targets")).select("a", "targets"), "rank")
+    ranks, hot = nodes.withColumn("rank", F.lit(1.0 / n)), hot_keys(lists, "a")
     for _ in range(rounds):
         idle = ranks.where("out IS NULL").agg(F.sum("rank")).first()[0] or 0.0
-        share = join_split(edges, ranks.where("out IS NOT NULL").select("id", (F.col("rank") / F.col("out")).alias("share")), "id", hot=hot)
-        came = share.groupBy(F.col("target").alias("id")).agg(F.sum(F.col("share") * F.col("k")).alias("came"))
+        share = join_split(lists, ranks.where("out IS NOT NULL").select("a", (F.col("rank") / F.col("out")).alias("share")), "a", hot=hot)
+        came = share.select(F.explode("targets").alias("a"), "share").groupBy("a").agg(F.sum("share").alias("came"))
         base = (1.0 - damping) / n + damping * idle / n
-        ranks = written(nodes.join(came, "id", "left").select("id", "out", (F.lit(base) + damping * F.coalesce("came", F.lit(0.0))).alias("rank")), "rank")
-    return ranks.select("id", "rank")
+        ranks = written(nodes.join(came.withColumn("a", F.col("a").cast("bigint")), "a", "left").select("a", "out", (F.lit(base) + damping * F.coalesce("came", F.lit(0.0))).alias("rank")), "rank")
+    return places.join(ranks.select(F.col("a").alias("place"), "rank"), "place").select("id", "rank")
 
 
 def harmonic_centrality(graph: Graph, depth: int = 6, bits: int = 12) -> DataFrame:
