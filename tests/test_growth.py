@@ -86,3 +86,14 @@ def test_facts_of_one_source_move_in_no_round(spark, monkeypatch):
     facts, sources, _ = trust.propagated(spark.createDataFrame(rows, "chunk_id string, relationship_id string, confidence double"), rounds=3)
     assert facts.count() == 32 and sources.count() == 30
     assert {n for name, _, n in found if name in ("facts", "shared")} == {2, 3}
+
+
+def test_only_groups_that_differ_are_compared_row_by_row(spark, monkeypatch, tmp_path):
+    x, path = graph(spark), str(tmp_path / "g")
+    first = snapshots.save_graph(x, path)
+    later = x.entities.where("id <> 'API'").withColumn("canonical_name", F.when(F.col("id") == "Python", "Py").otherwise(F.col("canonical_name")))
+    found = recorded(monkeypatch, snapshots)
+    second = snapshots.save_graph(type(x)(later, x.relationships, x.evidence.where("id <> 'v0'")), path)
+    rows = snapshots.changes(spark, path, first, second)
+    assert {tuple(r) for r in rows.collect()} == {("entities", "API", "removed"), ("entities", "Python", "changed"), ("evidence", "v0", "removed")}
+    assert [n for name, _, n in found if name == "differ"] == [2, 0, 1]
