@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,12 @@ def composed(text: Column) -> Column:
     return F.when(plain, text).otherwise(nfc(F.when(~plain, text)))
 
 
+def with_name_key(rows: DataFrame, name: str = "name", key: str = "key") -> DataFrame:
+    """rows with name_key(name); those with an ASCII name do not pass through Python at all, so rows is read twice."""
+    plain = F.length(name) == F.octet_length(name)
+    return rows.where(plain).withColumn(key, _letters(F.lower(name))).unionByName(rows.where(~F.coalesce(plain, F.lit(False))).withColumn(key, name_key(F.col(name))))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 
@@ -103,7 +109,11 @@ def light_key(name: Column) -> Column:
 
 def name_key(name: Column) -> Column:
     """Lower-cased ASCII letters and digits; names without any share the empty key."""
-    return F.regexp_replace(light_key(name), r"[^a-z0-9]+", "")
+    return _letters(light_key(name))
+
+
+def _letters(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^a-z0-9]+", "")
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -123,8 +133,8 @@ def quoted(text: Column) -> Column:
     return F.regexp_replace(text, r"([^\p{L}\p{N}\s_])", r"\\$1")
 
 
-def extraction_prompt(chunk: Column, strict: bool = False) -> Column:
-    """What the language model is asked for a chunk."""
+def prompt_around(strict: bool = False) -> tuple[str, str]:
+    """What stands before and after the chunk in extraction_prompt."""
     ask = (
         "List the entities in the text and the relationships that it states between them.\n"
         f"Entity types: {', '.join(ENTITY_TYPES)}\nRelationship types: {', '.join(RELATIONSHIP_TYPES)}\n"
@@ -132,5 +142,10 @@ def extraction_prompt(chunk: Column, strict: bool = False) -> Column:
         'Answer with JSON only: {"entities": [{"name": "", "entity_type": ""}], "relationships": [{"source": "", "target": "", '
         '"relationship_type": "", "evidence": "", "confidence": 0.0}]}\n\nText:\n'
     )
-    more = "\n\nThe last answer could not be used. Answer with the JSON object alone, without fences or remarks." if strict else ""
-    return F.concat(F.lit(ask), chunk, F.lit(more))
+    return ask, "\n\nThe last answer could not be used. Answer with the JSON object alone, without fences or remarks." if strict else ""
+
+
+def extraction_prompt(chunk: Column, strict: bool = False) -> Column:
+    """What the language model is asked for a chunk."""
+    before, after = prompt_around(strict)
+    return F.concat(F.lit(before), chunk, F.lit(after))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestone.functions.text import extraction_prompt, strip
+from lodestone.functions.text import prompt_around, strip
 from lodestone.schemas import ENTITY_TYPES, EXTRACTION, RELATIONSHIP_TYPES
 
 
@@ -72,15 +72,16 @@ def is_valid(answer: dict) -> bool:
     return all(r["source"] in names and r["target"] in names and r["evidence"].strip() for r in answer["relationships"])
 
 
-def _parse_frame(df: DataFrame, answers: Callable[[pa.RecordBatch], list[tuple[dict | None, int]]]) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(EXTRACTION).fields, T.StructField("attempts", T.IntegerType())])
+def _parse_frame(df: DataFrame, answers: Callable[[pa.RecordBatch], list[tuple[dict | None, int]]], drop: tuple[str, ...] = ()) -> DataFrame:
+    kept = [f for f in df.schema.fields if f.name not in drop]
+    schema = T.StructType([*kept, *T._parse_datatype_string(EXTRACTION).fields, T.StructField("attempts", T.IntegerType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             found = answers(batch)
             columns = [pa.array([a and a[k] for a, _ in found], arrow.field(k).type) for k in ("entities", "relationships")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array([n for _, n in found], pa.int32())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *columns, pa.array([n for _, n in found], pa.int32())], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -93,17 +94,18 @@ def parse_answers(df: DataFrame, raw: str = "raw") -> DataFrame:
     return found.withColumns({k: F.when(ok, F.col(k)) for k in ("entities", "relationships")})
 
 
-def extract(chunks: DataFrame, llm: Callable[[str], str], text: str = "text", on_error: str = "raise") -> DataFrame:
+def extract(chunks: DataFrame, llm: Callable[[str], str], text: str = "text", on_error: str = "raise", drop: tuple[str, ...] = ()) -> DataFrame:
     """chunks with entities, relationships and attempts: a rejected answer is asked for once more, then left null.
 
-    An exception of llm itself ends the job, unless on_error is "skip".
+    An exception of llm itself ends the job, unless on_error is "skip". drop: columns that the result is without, such as the text; they do not come back from Python.
+    The text goes to Python once, as it is; prompts are made there, the second one only where it is asked for.
     """
-    asked = chunks.withColumns({"_ask": extraction_prompt(F.col(text)), "_again": extraction_prompt(F.col(text), strict=True)})
+    around = [prompt_around(), prompt_around(strict=True)]
 
-    def one(first: str, again: str) -> tuple[dict | None, int]:
-        for n, prompt in enumerate((first, again), 1):
+    def one(chunk: str | None) -> tuple[dict | None, int]:
+        for n, (before, after) in enumerate(around, 1):
             try:
-                raw = llm(prompt)
+                raw = llm(None if chunk is None else before + chunk + after)
             except Exception:
                 if on_error == "skip":
                     return None, n
@@ -113,4 +115,4 @@ def extract(chunks: DataFrame, llm: Callable[[str], str], text: str = "text", on
                 return answer, n
         return None, 2
 
-    return _parse_frame(asked, lambda batch: [one(a.as_py(), b.as_py()) for a, b in zip(batch.column("_ask"), batch.column("_again"), strict=True)]).drop("_ask", "_again")
+    return _parse_frame(chunks, lambda batch: [one(t) for t in batch.column(text).to_pylist()], drop)

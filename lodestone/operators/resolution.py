@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.text import levenshtein_similarity, name_key
+from lodestone.functions.text import levenshtein_similarity, name_key, with_name_key
 from lodestone.ordering import in_order
 from lodestone.schemas import make_id
 from lodestone.scratch import written
@@ -160,7 +160,7 @@ def _owners(entities: DataFrame) -> DataFrame:
 
 def _resolved(mentions: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(the mentions with entity_id, matched_via, canonical_name; new entities: id, canonical_name, entity_type, ord), after the known entities."""
-    keyed = written(mentions.withColumn("key", name_key(F.col("name"))), "mentions")
+    keyed = written(with_name_key(mentions), "mentions", packed=True)
     firsts = keyed.groupBy("type", "key").agg(F.min(F.struct("seq", "name")).alias("f"))
     firsts = firsts.select(make_id("entity", F.col("type"), F.col("key")).alias("rid"), "type", "key", "f.name", "f.seq")
     # Known entities come before all mentions.
@@ -184,7 +184,7 @@ def _resolved(mentions: DataFrame, known: DataFrame | None) -> tuple[DataFrame,
     joined = join_split(keyed, owner, ["type", "key"])
     first = F.coalesce(F.col("seq") == F.col("first_seq"), F.lit(False))
     via = F.when(first & F.col("own"), "new").when(first, "similarity").when(F.col("own"), "exact").otherwise("alias")
-    found = written(joined.withColumn("matched_via", via).drop("first_seq", "own", "key"), "resolved")
+    found = written(joined.withColumn("matched_via", via).drop("first_seq", "own", "key"), "resolved", packed=True)
     new = owner.where("own AND first_seq IS NOT NULL").select(F.col("entity_id").alias("id"), "canonical_name", F.col("type").alias("entity_type"), F.col("first_seq").alias("ord"))
     return found, new
 
@@ -218,7 +218,7 @@ def resolve_into(known: DataFrame, mentions: DataFrame) -> tuple[DataFrame, Data
     found, new = _resolved(mentions, known)
     spelled = written(_spellings(found), "spellings")
     last = known.agg(F.max("ord")).first()[0]
-    numbered = in_order(new, "ord").withColumn("ord", F.col("place") + (0 if last is None else last + 1)).drop("place")
+    numbered = in_order(new, "ord", packed=True).withColumn("ord", F.col("place") + (0 if last is None else last + 1)).drop("place")
     kept = [c for c in known.columns if c in ("description", "metadata")]
     old = known.join(spelled, "id", "left").select("id", "canonical_name", "entity_type", F.concat("aliases", F.array_except(F.coalesce("spelled", F.expr(NO_NAMES)), "aliases")).alias("aliases"), F.col("ord").cast("long").alias("ord"), *kept)
     made = numbered.join(spelled, "id", "left").select("id", "canonical_name", "entity_type", F.coalesce("spelled", F.expr(NO_NAMES)).alias("aliases"), "ord")

@@ -5,17 +5,21 @@ from __future__ import annotations
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.scratch import written
 
 
-def in_order(rows: DataFrame, *keys: str, place: str = "place") -> DataFrame:
-    """rows with their place (long, from 0) in the order of the keys: a range sort, counts per part, and places within parts."""
-    parts = written(rows.orderBy(*keys).withColumn("_part", F.spark_partition_id()), "sorted")
-    sizes = sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect())  # a row per task of the sort
+#: Bits of a row's number inside its task, in what monotonically_increasing_id gives.
+WITHIN = 33
+
+
+def in_order(rows: DataFrame, *keys: str, place: str = "place", packed: bool = False) -> DataFrame:
+    """rows with their place (long, from 0) in the order of the keys: a range sort, in whose tasks rows are numbered, and counts per task."""
+    parts = written(rows.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()), "sorted", packed)
+    part = F.shiftright("_at", WITHIN).cast("int")
+    sizes = sorted((r["_part"], r["count"]) for r in parts.groupBy(part.alias("_part")).count().collect())  # a row per task of the sort
     firsts = [(part, end - n) for (part, n), end in zip(sizes, accumulate(n for _, n in sizes), strict=True)] or [(0, 0)]
     offsets = F.broadcast(rows.sparkSession.createDataFrame(firsts, "_part int, _first long"))
-    within = F.row_number().over(W.partitionBy("_part").orderBy(*keys)) - 1
-    return parts.withColumn("_within", within).join(offsets, "_part").withColumn(place, F.col("_first") + F.col("_within")).drop("_part", "_first", "_within")
+    within = F.col("_at").bitwiseAND(F.lit((1 << WITHIN) - 1))
+    return parts.withColumn("_part", part).join(offsets, "_part").withColumn(place, F.col("_first") + within).drop("_part", "_first", "_at")

@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.building import build_graph, extend_graph, numbered
+from lodestone.operators.building import build_graph, extension, numbered
 from lodestone.schemas import Graph
 from lodestone.scratch import is_written
-from lodestone.sources.snapshots import load_graph, save_graph
+from lodestone.sources.snapshots import append_graph, load_graph, newest, save_graph
 
 
 def merge_batch(path: str, order: tuple[str, ...] = ("chunk_id",)) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the batch's extractions (chunk_id, order columns, entities, relationships) go into the graph at path.
 
-    Every batch that has rows becomes a version. A batch that comes again, after a failure, adds nothing: mentions meet the entities that they
+    Every batch that has rows becomes a version, which writes all entities but only the new relationships and evidence. A batch that comes again, after a failure, adds nothing: mentions meet the entities that they
     made, and evidence has its id from chunk and place. Within a batch, `order` says what comes first; batches come in their own order.
     """
 
@@ -27,11 +27,12 @@ def merge_batch(path: str, order: tuple[str, ...] = ("chunk_id",)) -> Callable[[
             if batch.isEmpty():
                 return
             if is_written(spark, f"{path}/manifest"):
-                graph, _found = extend_graph(load_graph(spark, path, check=False), batch, order)
+                base = newest(spark, path)
+                new, _found = extension(load_graph(spark, path, base, check=False), batch, order)
+                append_graph(new, path, base)
             else:
                 made, _found = build_graph(batch, order)
-                graph = Graph(*(numbered(t) for t in (made.entities, made.relationships, made.evidence)))
-            save_graph(graph, path)
+                save_graph(Graph(*(numbered(t) for t in (made.entities, made.relationships, made.evidence))), path)
         finally:
             batch.unpersist()
 

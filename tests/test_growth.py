@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.operators import search, traversal, trust
+from lodestone.schemas import EXTRACTION
 from lodestone.sources import snapshots
 from tests.corpus import graph, simple_graph
 
@@ -97,3 +98,31 @@ def test_only_groups_that_differ_are_compared_row_by_row(spark, monkeypatch, tmp
     rows = snapshots.changes(spark, path, first, second)
     assert {tuple(r) for r in rows.collect()} == {("entities", "API", "removed"), ("entities", "Python", "changed"), ("evidence", "v0", "removed")}
     assert [n for name, _, n in found if name == "differ"] == [2, 0, 1]
+
+
+def test_a_text_goes_to_the_model_once_and_does_not_come_back(spark):
+    from lodestone.functions.text import prompt_around
+    from lodestone.operators import extraction
+
+    chunks = spark.createDataFrame([("a", "Some text."), ("b", None)], "chunk_id string, text string")
+    answers = extraction.extract(chunks, lambda prompt: "{}" if prompt == prompt_around()[0] + "Some text." else "no", drop=("text",))
+    assert "concat" not in answers._jdf.queryExecution().optimizedPlan().toString()
+    assert answers.columns == ["chunk_id", "entities", "relationships", "attempts"]
+    assert {(r.chunk_id, r.entities is None, r.attempts) for r in answers.collect()} == {("a", False, 1), ("b", True, 2)}
+
+
+def test_a_batch_writes_what_is_new(spark, tmp_path):
+    from lodestone.streaming.building import merge_batch
+
+    def said(i):
+        entities = [{"name": n, "entity_type": "Concept"} for n in ("Hub", f"Leaf {i}")]
+        return f"c{i}", entities, [{"source": "Hub", "target": f"Leaf {i}", "relationship_type": "USES", "evidence": "x", "confidence": 0.5}]
+
+    df = spark.createDataFrame([said(i) for i in range(6)], f"chunk_id string, {EXTRACTION}")
+    path, merge = str(tmp_path / "g"), merge_batch(str(tmp_path / "g"))
+    for first, last in (("c0", "c2"), ("c2", "c5"), ("c2", "c5")):
+        merge(df.where(f"chunk_id BETWEEN '{first}' AND '{last}'"), 0)
+    sizes = [spark.read.parquet(f"{path}/versions/{r['version']}/evidence").count() for r in snapshots.versions(spark, path).collect()]
+    assert sizes == [3, 3, 0]
+    whole = snapshots.load_graph(spark, path)
+    assert [r["ord"] for r in whole.evidence.orderBy("ord").collect()] == list(range(6)) and whole.relationships.count() == 6 and whole.entities.count() == 7
