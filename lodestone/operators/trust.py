@@ -27,6 +27,16 @@ def contradictions(relationships: DataFrame) -> DataFrame:
 MOST_BUCKETS = 64
 
 
+def _placed(rows: DataFrame, days: int) -> DataFrame:
+    """rows (a, b, level) with each level `at` and `bucket` in which they may meet others. An overlap begins where one of its rows does, so no bucket after the last beginning counts."""
+    found = {r["level"]: r["a"] for r in rows.groupBy("level").agg(F.max("a").alias("a")).collect()}  # 16 at most: days are below 2 ** 22
+    levels, latest = sorted(found), max(found.values(), default=0)
+    # A row meets rows of its own and of each higher level in the buckets of that level.
+    at = F.explode(F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n >= F.col("level"))) if levels else F.lit(0)
+    size = F.lit(days) * F.pow(F.lit(2), F.col("at")).cast("long")
+    return rows.withColumn("at", at).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / size), F.floor(F.least(F.col("b") - 1, F.lit(latest)) / size))))
+
+
 def overlaps(rows: DataFrame, key: list[str], id_col: str = "id", since: str = "valid_from", until: str = "valid_until", days: int = 90, side: Column | None = None) -> DataFrame:
     """(key, first_id, second_id, overlap_from, overlap_until): pairs of rows with equal keys that hold at a time together, from `since` on and before
     `until` (dates; null is open on that side). side: a boolean column; only pairs whose first row has it false and whose second one true.
@@ -40,11 +50,7 @@ def overlaps(rows: DataFrame, key: list[str], id_col: str = "id", since: str = "
     rows = rows.select(*key, F.col(id_col).alias("id"), (F.lit(None) if side is None else side).cast("boolean").alias("side"), day(lo).alias("a"), day(hi).alias("b")).where("a < b")
     level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("b") - F.col("a")) / F.lit(float(days * MOST_BUCKETS))))).cast("int")
     rows = rows.withColumn("level", level)
-    levels = sorted(r["level"] for r in rows.select("level").distinct().collect())  # 16 at most: days are below 2 ** 22
-    # A row meets rows of its own and of each higher level in the buckets of that level.
-    at = F.explode(F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n >= F.col("level"))) if levels else F.lit(0)
-    size = F.lit(days) * F.pow(F.lit(2), F.col("at")).cast("long")
-    placed = rows.withColumn("at", at).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / size), F.floor((F.col("b") - 1) / size))))
+    placed = _placed(rows, days)
     x, y = (placed.alias("x"), placed.alias("y")) if side is None else (placed.where("NOT side").alias("x"), placed.where("side").alias("y"))
     begin, end = F.greatest("x.a", "y.a"), F.least("x.b", "y.b")
     same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in key] + [F.col("x.at") == F.col("y.at"), F.col("x.bucket") == F.col("y.bucket")]

@@ -126,3 +126,8 @@ def test_a_batch_writes_what_is_new(spark, tmp_path):
     assert sizes == [3, 3, 0]
     whole = snapshots.load_graph(spark, path)
     assert [r["ord"] for r in whole.evidence.orderBy("ord").collect()] == list(range(6)) and whole.relationships.count() == 6 and whole.entities.count() == 7
+
+
+def test_an_open_interval_is_in_no_bucket_after_the_last_beginning(spark):
+    rows = spark.range(40).selectExpr("id", "CAST(9000 + id AS INT) AS a", "CAST(2932896 AS INT) AS b", "11 AS level")
+    assert trust._placed(rows, 30).count() == 40
