@@ -40,25 +40,63 @@ def mentioned_entities(graph: Graph, question: str) -> DataFrame:
 #: Runs of letters, digits and underscores, and single other characters.
 TOKEN = r"(?U)\w+|\W"
 
+#: A token with more than one in so many words of all questions is hot, so there are at most as many hot tokens as this.
+HOT_TOKENS = 10_000
+
+
+def _word(text: Column) -> Column:
+    return text.rlike(r"(?U)\w")
+
+
+def _whole() -> Column:
+    """Whether key stands in asked as whole words. Mostly the two letters around its first place tell; else a pattern does, which is made anew for each pair."""
+    at = F.position("key", "asked")
+    before = (at > 1) & _word(F.substring("asked", at - 1, F.lit(1)))
+    edges = (before != F.col("opens")) & (_word(F.substring("asked", at + F.length("key"), F.lit(1))) != F.col("closes"))
+    return F.contains("asked", "key") & F.when(edges, True).otherwise(F.regexp_like("asked", F.concat(F.lit(r"(?U)\b"), quoted(F.col("key")), F.lit(r"\b"))))
+
+
+def _light(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id_col and asked, the light_key of the text; ASCII texts do not pass through Python. rows is read once, texts that are null are left out."""
+    plain = F.length(text) == F.octet_length(text)
+    raw = written(rows.select(id_col, F.when(plain, F.lower(text)).otherwise(F.col(text)).alias("asked"), plain.alias("plain")), "questions")
+    # The files' own ranges of `plain` say where there is none of a kind.
+    other = written(raw.where("plain = false").select(id_col, light_key(F.col("asked")).alias("asked")), "composed")
+    return raw.where("plain = true").select(id_col, "asked").unionByName(other)
+
 
 def mentions_of(graph: Graph, questions: DataFrame, id_col: str = "question_id", text: str = "text") -> DataFrame:
     """(id_col, entity_id): for each of many questions the entities that mentioned_entities() finds in it, once each.
 
     A name stands in a question as whole words only if all its tokens do, so each different name is looked up by the one of its tokens that the
-    fewest names have, and the pairs that meet are checked. A token of very many questions meets few names, or none, and moves only if a name has it.
+    fewest names have, and the pairs that meet are checked. Hot tokens of the questions that look up no name are dropped where they are; those that do
+    meet their few names apart, so a question moves once for each of its rare tokens only.
     """
     names = F.filter(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda n: n != "")
     owned = written(graph.entities.select(F.col("id").alias("entity_id"), F.explode(names).alias("name")).select("entity_id", light_key(F.col("name")).alias("key")).distinct(), "names")
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)))
-    keyed = owned.select("key").distinct().select("key", F.explode(tokens(F.col("key"))).alias("token"))
-    number = keyed.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = written(join_split(written(keyed, "tokens"), number, "token").groupBy("key").agg(F.min(F.struct("n", "token")).alias("t")).select("key", "t.token"), "tokens")
-    asked = written(questions.select(id_col, light_key(F.col(text)).alias("asked")), "questions")
-    rows = asked.select(id_col, "asked", F.explode(tokens(F.col("asked"))).alias("token"))
-    hits = rows.join(rarest, "token").select(id_col, "asked", "key")
-    whole = F.col("asked").contains(F.col("key")) & F.regexp_like("asked", F.concat(F.lit(r"(?U)\b"), quoted(F.col("key")), F.lit(r"\b")))
-    found = written(hits.where(whole).select(id_col, "key").distinct(), "mentions")
-    return found.join(owned, "key").select(id_col, "entity_id").distinct()
+    # A name of one entity brings its id along.
+    keys = written(owned.groupBy("key").agg(F.count("*").alias("n"), F.min("entity_id").alias("one")).select("key", F.when(F.col("n") == 1, F.col("one")).alias("entity_id")), "keys")
+    # Other characters are tokens only where a name has nothing else.
+    words = keys.where(~_word(F.col("key"))).isEmpty()
+    tokens = lambda c: F.split(c, r"(?U)\W+") if words else F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    keyed = written(keys.select("key", F.explode(F.array_distinct(tokens(F.col("key")))).alias("token")).where("token <> ''"), "tokens")
+    rarest = join_split(keyed, keyed.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("key").agg(F.min(F.struct("n", "token")).alias("t"))
+    named = keys.join(rarest, "key").select("t.token", "key", "entity_id", _word(F.substring("key", 1, 1)).alias("opens"), _word(F.substring("key", -1, 1)).alias("closes"))
+    named = written(named, "named")
+    asked = _light(questions, id_col, text)
+    counts = written(asked.select(F.explode(tokens(F.col("asked"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), "counts")
+    hot = written(counts.where(F.col("n") > (counts.agg(F.sum("n")).first()[0] or 0) // HOT_TOKENS).select("token"), "hot")
+    near = written(named.join(F.broadcast(hot), "token", "left_semi"), "near")
+    kind = hot.join(near.select("token", F.lit(True).alias("named")).distinct(), "token", "left").select("token", F.coalesce("named", F.lit(False)).alias("named"))
+    rows = asked.select(id_col, "asked", F.explode(F.array_distinct(tokens(F.col("asked")))).alias("token")).join(F.broadcast(kind), "token", "left")
+    rows = written(rows.where(F.coalesce("named", F.lit(True))).select(id_col, "asked", "token", F.col("named").isNotNull().alias("hot")), "looked_up")
+    met = rows.where("NOT hot").join(named, "token").unionByName(rows.where("hot").join(near, "token").select(id_col, "asked", "token", "hot", *named.columns[1:]))
+    hits = met.where(_whole()).select(id_col, "key", "entity_id")
+    if keys.where("entity_id IS NULL").isEmpty():
+        return hits.select(id_col, "entity_id").distinct()
+    found = written(hits, "mentions")
+    several = found.where("entity_id IS NULL").select(id_col, "key").join(owned, "key").select(id_col, "entity_id")
+    return found.where("entity_id IS NOT NULL").select(id_col, "entity_id").unionByName(several).distinct()
 
 
 def retrieve_graph(graph: Graph, question: str, depth: int | None = None, relationship_type: str | None = None) -> Subgraph:

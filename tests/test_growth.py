@@ -131,3 +131,15 @@ def test_a_batch_writes_what_is_new(spark, tmp_path):
 def test_an_open_interval_is_in_no_bucket_after_the_last_beginning(spark):
     rows = spark.range(40).selectExpr("id", "CAST(9000 + id AS INT) AS a", "CAST(2932896 AS INT) AS b", "11 AS level")
     assert trust._placed(rows, 30).count() == 40
+
+
+def test_only_rare_words_of_questions_move(spark, monkeypatch):
+    from lodestone.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "HOT_TOKENS", 100)
+    x = simple_graph(spark, 300, [])
+    asked = spark.range(200).selectExpr("id AS question_id", "concat('Who is N', id, ' in the wide world?') AS text")
+    found = recorded(monkeypatch, retrieval)
+    assert {tuple(r) for r in retrieval.mentions_of(x, asked).collect()} == {(i, str(i)) for i in range(200)}
+    assert [n for name, _, n in found if name == "looked_up"] == [200]
+    assert [n for name, _, n in found if name in ("near", "composed", "mentions")] == [0, 0]

@@ -112,6 +112,20 @@ def test_mentions_of_many_questions_are_those_of_each(spark):
     assert retrieval.mentions_of(x, asked.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("hot", [1, 10, 10_000])
+def test_mentions_by_hot_and_by_rare_words(spark, monkeypatch, hot):
+    """No name without a letter, names of several entities, a first place inside a word, and texts that are not ASCII."""
+    monkeypatch.setattr(retrieval, "HOT_TOKENS", hot)
+    names = ["New York", "York", "Zürich", "C++", "x_y", "GPT-5", "York", "-dash", "東京", "new-york", "Élan"]
+    texts = ["newyork York", "yorks, york", "Zürich? zürich's york", "c++x or c++", "a-dash -dash", "GPT-55 GPT-5", "x_y York, New York", "E\u0301lan of 東京", "-dash", "york", None, "", "new york-york", "zürichs", "new-york"]
+    entities = spark.createDataFrame([(f"e{i}", n, "Concept", [], None, None, i) for i, n in enumerate(names)], ENTITIES)
+    x = Graph(entities, spark.createDataFrame([], RELATIONSHIPS), spark.createDataFrame([], EVIDENCE))
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, "Zürich"), (1, "york")], "question_id int, text string").repartition(3)
+    got = [(r.question_id, r.entity_id) for r in retrieval.mentions_of(x, asked).collect()]
+    want = {(i, r.id) for i, q in [*enumerate(texts), (1, "Zürich")] if q is not None for r in retrieval.mentioned_entities(x, q).collect()}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
 def test_batches_that_come_again_add_nothing(spark, tmp_path):
     rows = [(f"c{i:02}", [(f"Name {i % 7}", "Product"), (f"Other {i % 3}", "Concept")], [(f"Name {i % 7}", f"Other {i % 3}", "USES", "said", 0.1 * (i % 9))]) for i in range(24)]
     df = spark.createDataFrame(rows, f"chunk_id string, {EXTRACTION}")
