@@ -13,19 +13,24 @@ class GraphError(ValueError):
 
 
 def _refuse(rows: DataFrame, what: str) -> None:
-    found = rows.select("id").take(5)
-    if found:
-        raise GraphError(f"{what}: {', '.join(str(r['id']) for r in found)}")
+    # Counted first, in all tasks at once: take() begins with one task, and mostly there is nothing to find.
+    if rows.agg(F.count("*").alias("n")).first()["n"]:
+        raise GraphError(f"{what}: {', '.join(str(r['id']) for r in rows.select('id').take(5))}")
+
+
+def _in_range(ids: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The ids that may be among the keys of new: not before the first and not after the last. Others go no further than the scan, not even into a grouping."""
+    return ids.where(F.col("id").between(new.agg(F.min(key).alias("least")).scalar(), new.agg(F.max(key).alias("last")).scalar()))
 
 
 def _add(old: DataFrame, new: DataFrame, what: str) -> DataFrame:
     _refuse(new.groupBy("id").count().where("count > 1"), f"repeated {what}")
-    _refuse(new.join(old, "id", "left_semi"), f"{what} exists")
+    _refuse(new.join(_in_range(old.select("id"), new, "id"), "id", "left_semi"), f"{what} exists")
     return old.unionByName(new, allowMissingColumns=True)
 
 
 def _needs(new: DataFrame, key: str, other: DataFrame, what: str) -> None:
-    _refuse(new.join(other.select(F.col("id").alias(key)), key, "left_anti"), what)
+    _refuse(new.join(_in_range(other.select("id"), new, key).withColumnRenamed("id", key), key, "left_anti"), what)
 
 
 def _checked(new: DataFrame, condition: Column, what: str) -> DataFrame:

@@ -36,6 +36,23 @@ def test_changes(spark):
     assert problems(type(x)(x.entities, broken, x.evidence)).count() == 12
 
 
+def test_changes_at_the_ends_of_the_range_of_ids(spark):
+    x = graph(spark)
+    like = lambda rows, i, n: rows.limit(1).withColumn(i, F.explode(F.array(*[F.lit(v).cast("string") for v in n])))
+    for taken in (["r0"], ["r5"], ["a", "r3", "z"], ["r5", "z"], ["a", "r0"]):
+        with pytest.raises(g.GraphError, match="relationship exists: r"):
+            g.add_relationships(x, like(x.relationships, "id", taken))
+    assert g.add_relationships(x, like(x.relationships, "id", ["a", "r33", "z"])).relationships.count() == 9
+    with pytest.raises(g.GraphError, match="repeated relationship: z"):
+        g.add_relationships(x, like(x.relationships, "id", ["z", "z"]))
+    for end in ("source_entity_id", "target_entity_id"):
+        for missing in (["API", "A"], ["Zed", "API"], ["API", "B", "Python"], [None, "API"], [None]):
+            with pytest.raises(g.GraphError, match=f"{end} is missing"):
+                g.add_relationships(x, like(x.relationships, end, missing).withColumn("id", F.expr("uuid()")))
+    assert g.add_evidence(x, x.evidence.withColumn("id", F.concat("id", F.lit("x")))).evidence.count() == 12
+    assert g.add_entities(x, x.entities.limit(0)).entities.count() == 7 and g.add_evidence(x, x.evidence.limit(0)).evidence.count() == 6
+
+
 def test_snapshot(spark, tmp_path):
     x, path = graph(spark), str(tmp_path / "s")
     first = save_graph(x, path)

@@ -143,3 +143,18 @@ def test_only_rare_words_of_questions_move(spark, monkeypatch):
     assert {tuple(r) for r in retrieval.mentions_of(x, asked).collect()} == {(i, str(i)) for i in range(200)}
     assert [n for name, _, n in found if name == "looked_up"] == [200]
     assert [n for name, _, n in found if name in ("near", "composed", "mentions")] == [0, 0]
+
+
+def test_ids_out_of_range_are_not_grouped_by_checks_of_changes(spark, monkeypatch):
+    from lodestone.operators import graph as g
+
+    x, seen, plain = graph(spark), {}, g._refuse
+    monkeypatch.setattr(g, "_refuse", lambda rows, what: (seen.update({what: rows._jdf.queryExecution().optimizedPlan().toString().split("\n")}), plain(rows, what)))
+    rest = [c for c in x.relationships.columns if c != "id"]
+    grouped = type(x)(x.entities, x.relationships.groupBy("id").agg(*[F.min(c).alias(c) for c in rest]), x.evidence)
+    first = x.relationships.where("id = 'r1'").withColumn("id", F.lit("s1"))
+    proof = x.evidence.where("id = 'v1'").withColumns({"id": F.lit("w1"), "relationship_id": F.lit("s1")})
+    assert g.add_evidence(g.add_relationships(grouped, first), proof).evidence.count() == x.evidence.count() + 1
+    for what in ("relationship exists", "relationship is missing"):
+        at = lambda *signs: next(i for i, line in enumerate(seen[what]) if all(s in line for s in signs))  # noqa: E731, B023
+        assert at("Aggregate [id") < at("Filter", "scalar-subquery")
