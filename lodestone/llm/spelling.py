@@ -40,6 +40,8 @@ RUN, DIVISOR, LEAST_LENGTH, LEAST_COUNT = re.compile("[A-Za-zÀ-ÿ]+"), 97, 5, 3
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Different words that a task counts before it sends them on.
 COUNTED = 200_000
+#: Letters up to which a table of words goes to all tasks. Larger ones are merged: by its written size Spark takes a table for far smaller than it is in memory.
+FEW = 1 << 20
 LONG = 64
 
 
@@ -165,7 +167,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): both ways, each pair of words one edit apart. words: word, n, of at least LEAST_LENGTH letters."""
     numbers = gram_numbers(words)
     a, b = _keyed(words, pivot_keys, numbers), _keyed(words, prefix_keys, numbers).select("key", F.col("word").alias("other"), F.col("n").alias("m"))
-    met = a.join(b, "key").where((F.col("word") != F.col("other")) & F.expr(one_edit("word", "other")))
+    # Spark takes the keys to be about as large as the words, and would send all of a small vocabulary's to every task by way of the driver.
+    met = a.join(b.hint("merge"), "key").where((F.col("word") != F.col("other")) & F.expr(one_edit("word", "other")))
     first = F.col("word") < F.col("other")
     side = lambda yes, no, out: F.when(first, F.col(yes)).otherwise(F.col(no)).alias(out)
     pairs = met.select(side("word", "other", "x"), side("n", "m", "nx"), side("other", "word", "y"), side("m", "n", "ny")).distinct()
@@ -180,11 +183,14 @@ def roots(forms: DataFrame) -> DataFrame:
     """
     last = materialize(forms.where("form IS NULL").select("word", F.col("word").alias("root")), "roots")
     out, rest = last, forms.where("form IS NOT NULL").select("word", "form")
-    while True:
-        last = materialize(rest.join(last.withColumnRenamed("word", "form"), "form").select("word", "root"), "roots")
-        if last.isEmpty():
-            return out
-        out = out.unionByName(last)
+    letters = lambda: last.agg(F.sum(F.length("word") + F.length("root"))).first()[0]
+    size = letters()
+    while size:
+        found = last.withColumnRenamed("word", "form")
+        last = materialize(rest.join(F.broadcast(found) if size <= FEW else found.hint("merge"), "form").select("word", "root"), "roots")
+        size = letters()
+        out = out.unionByName(last) if size else out
+    return out
 
 
 def spelling_variants(df: DataFrame, id_col: str = "doc_id", text: str = "text", ratio: int = 2) -> DataFrame:
@@ -195,4 +201,4 @@ def spelling_variants(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = words.join(near, "word", "left")
     ok = -F.col("best.n") >= ratio * F.col("n")
     rows = materialize(rows.select("word", F.when(ok, F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(ok, -F.col("best.n")).alias("form_n")), "forms")
-    return rows.join(roots(rows), "word").select("word", "form", "root", "n", "n_near", "form_n")
+    return rows.join(roots(rows).hint("merge"), "word").select("word", "form", "root", "n", "n_near", "form_n")

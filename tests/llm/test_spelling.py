@@ -79,3 +79,16 @@ def test_odd_rows(spark):
     docs = [(i, f"{run} {run[:-1]}x {run[1:]} {run[:900]}z{run[900:]} {run[::-1]} tower") for i in range(4)]
     df = spark.createDataFrame(docs, schema).select("*", F.lit("mine").alias("word"), F.lit("mine").alias("n"), F.lit("mine").alias("key"))
     assert found(df) == plain(docs)
+
+
+def test_keys_and_words_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """Spark takes a table of keys for as small as that of the words, and a written one for as small as its file."""
+    words = spark.sql("SELECT * FROM VALUES ('hello', 9L), ('hallo', 3L), ('jello', 4L), ('others', 5L) AS t(word, n)")
+    pairs = spelling.near_pairs(words)
+    assert pairs.count() == 4 and "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spelling, "FEW", 0)
+    plans, plain = [], spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, name))
+    forms = spark.sql("SELECT * FROM VALUES ('hello', NULL), ('hallo', 'hello'), ('hall', 'hallo') AS t(word, form)")
+    assert sorted(map(tuple, spelling.roots(forms).collect())) == [("hall", "hello"), ("hallo", "hello"), ("hello", "hello")]
+    assert len(plans) == 4 and not any("BroadcastExchange" in p for p in plans)
