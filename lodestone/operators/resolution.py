@@ -6,6 +6,8 @@ the longer one's characters. For names under 20 characters that means equal name
 and of these only names that share one of the rarest pieces of the first (similar_pairs).
 Which of the similar names found an entity is decided in rounds: a name whose earlier similar names are all decided
 joins the best that founded one, or founds its own.
+Tables of names and keys are merged ("merge" hints): Spark sizes them by their packed files, or as before an explode, and
+would send many times as much to every task by way of the driver.
 """
 
 from __future__ import annotations
@@ -116,8 +118,8 @@ def similar_pairs(names: DataFrame, asking: Column | None = None) -> DataFrame:
     grams = lambda n: F.transform(F.sequence(F.lit(0), F.length("name") - n), lambda i: key(F.substr("name", i + 1, F.lit(n)), i))
     keys = F.concat(*[grams(n) for n in used]) if used else F.array().cast("array<bigint>")
     b = long.where("asks").select(F.col("nid").alias("later"), F.explode(keys).alias("key"))
-    met = a.select("key", "earlier").join(b, "key").where("earlier <> later").select("later", "earlier").distinct()
-    side = lambda what: long.select(F.col("nid").alias(what), F.struct("rid", "type", "name", "seq").alias(what[0]))
+    met = a.select("key", "earlier").hint("merge").join(b.hint("merge"), "key").where("earlier <> later").select("later", "earlier").distinct()
+    side = lambda what: long.select(F.col("nid").alias(what), F.struct("rid", "type", "name", "seq").alias(what[0])).hint("merge")
     met = met.join(side("later"), "later").join(side("earlier"), "earlier").where("e.type = l.type AND e.seq < l.seq")
     x, y = F.col("e.name"), F.col("l.name")
     longest = F.greatest(F.length(x), F.length(y))
@@ -135,19 +137,19 @@ def found_entities(firsts: DataFrame) -> DataFrame:
     if pairs.isEmpty():
         return alone
     involved = pairs.select(F.col("later").alias("rid")).unionByName(pairs.select(F.col("earlier").alias("rid"))).distinct()
-    decided = written(involved.join(pairs.select(F.col("later").alias("rid")), "rid", "left_anti").select("rid", F.col("rid").alias("founder")), "founders")
+    decided = written(involved.join(pairs.select(F.col("later").alias("rid")).hint("merge"), "rid", "left_anti").select("rid", F.col("rid").alias("founder")), "founders")
     order = firsts.select(F.col("rid").alias("earlier"), F.col("seq").alias("earlier_seq"))
-    ranked = written(pairs.join(order, "earlier"), "similar")
+    ranked = written(pairs.hint("merge").join(order.hint("merge"), "earlier"), "similar")
     while True:
-        open_ = ranked.join(decided.select(F.col("rid").alias("later")), "later", "left_anti")
-        state = open_.join(decided.select(F.col("rid").alias("earlier"), "founder"), "earlier", "left")
+        open_ = ranked.join(decided.select(F.col("rid").alias("later")).hint("merge"), "later", "left_anti")
+        state = open_.join(decided.select(F.col("rid").alias("earlier"), "founder").hint("merge"), "earlier", "left")
         choice = F.min(F.when(F.col("founder") == F.col("earlier"), F.struct((-F.col("score")).alias("s"), "earlier_seq", "earlier")))
         ready = state.groupBy("later").agg(F.count(F.when(F.col("founder").isNull(), 1)).alias("waits"), choice.alias("best")).where("waits = 0")
         ready = written(ready.select(F.col("later").alias("rid"), F.coalesce("best.earlier", "later").alias("founder")), "founders")
         if ready.isEmpty():
             break
         decided = decided.unionByName(ready)
-    return firsts.select("rid").join(decided, "rid", "left").select("rid", F.coalesce("founder", "rid").alias("founder"))
+    return firsts.select("rid").join(decided.hint("merge"), "rid", "left").select("rid", F.coalesce("founder", "rid").alias("founder"))
 
 
 def _owners(entities: DataFrame) -> DataFrame:
@@ -169,19 +171,19 @@ def _resolved(mentions: DataFrame, known: DataFrame | None) -> tuple[DataFrame,
     own = None
     if known is not None:
         own = written(_owners(known), "owners")
-        firsts = firsts.join(own.select("type", "key"), ["type", "key"], "left_anti")
+        firsts = firsts.join(own.select("type", "key").hint("merge"), ["type", "key"], "left_anti")
     firsts = written(firsts, "firsts")
     names = firsts.select("rid", "type", "name", place(1, F.lit(None), F.col("seq")).alias("seq"))
     if known is not None:
         names = written(names.unionByName(known.select(F.col("id").alias("rid"), F.col("entity_type").alias("type"), F.col("canonical_name").alias("name"), place(0, F.col("ord"), nothing).alias("seq"))), "names")
     founders = found_entities(names)
     canonical = names.select(F.col("rid").alias("founder"), F.col("name").alias("canonical_name"))
-    owner = firsts.join(founders, "rid").join(canonical, "founder").select("type", "key", F.col("seq").alias("first_seq"), F.col("founder").alias("entity_id"), "canonical_name", (F.col("founder") == F.col("rid")).alias("own"))
+    owner = firsts.hint("merge").join(founders.hint("merge"), "rid").join(canonical.hint("merge"), "founder").select("type", "key", F.col("seq").alias("first_seq"), F.col("founder").alias("entity_id"), "canonical_name", (F.col("founder") == F.col("rid")).alias("own"))
     if known is not None:
-        told = own.join(known.select(F.col("id").alias("entity_id"), "canonical_name"), F.col("o.id") == F.col("entity_id"))
+        told = own.hint("merge").join(known.select(F.col("id").alias("entity_id"), "canonical_name").hint("merge"), F.col("o.id") == F.col("entity_id"))
         owner = owner.unionByName(told.select("type", "key", nothing.alias("first_seq"), "entity_id", "canonical_name", (F.col("o.via") == "exact").alias("own")))
     owner = written(owner, "owners")
-    joined = join_split(keyed, owner, ["type", "key"])
+    joined = join_split(keyed, owner.hint("merge"), ["type", "key"])
     first = F.coalesce(F.col("seq") == F.col("first_seq"), F.lit(False))
     via = F.when(first & F.col("own"), "new").when(first, "similarity").when(F.col("own"), "exact").otherwise("alias")
     found = written(joined.withColumn("matched_via", via).drop("first_seq", "own", "key"), "resolved", packed=True)
@@ -205,7 +207,7 @@ def resolve_stream(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     Returns the mentions with entity_id and matched_via (new, similarity, exact, alias), and the entities they make.
     """
     found, new = _resolved(mentions, None)
-    entities = new.join(_spellings(found), "id", "left").select("id", "canonical_name", "entity_type", F.coalesce("spelled", F.expr(NO_NAMES)).alias("aliases"), "ord")
+    entities = new.join(_spellings(found).hint("merge"), "id", "left").select("id", "canonical_name", "entity_type", F.coalesce("spelled", F.expr(NO_NAMES)).alias("aliases"), "ord")
     return found.drop("canonical_name"), entities
 
 
@@ -220,8 +222,8 @@ def resolve_into(known: DataFrame, mentions: DataFrame) -> tuple[DataFrame, Data
     last = known.agg(F.max("ord")).first()[0]
     numbered = in_order(new, "ord", packed=True).withColumn("ord", F.col("place") + (0 if last is None else last + 1)).drop("place")
     kept = [c for c in known.columns if c in ("description", "metadata")]
-    old = known.join(spelled, "id", "left").select("id", "canonical_name", "entity_type", F.concat("aliases", F.array_except(F.coalesce("spelled", F.expr(NO_NAMES)), "aliases")).alias("aliases"), F.col("ord").cast("long").alias("ord"), *kept)
-    made = numbered.join(spelled, "id", "left").select("id", "canonical_name", "entity_type", F.coalesce("spelled", F.expr(NO_NAMES)).alias("aliases"), "ord")
+    old = known.join(spelled.hint("merge"), "id", "left").select("id", "canonical_name", "entity_type", F.concat("aliases", F.array_except(F.coalesce("spelled", F.expr(NO_NAMES)), "aliases")).alias("aliases"), F.col("ord").cast("long").alias("ord"), *kept)
+    made = numbered.join(spelled.hint("merge"), "id", "left").select("id", "canonical_name", "entity_type", F.coalesce("spelled", F.expr(NO_NAMES)).alias("aliases"), "ord")
     return found.drop("canonical_name"), old.unionByName(made, allowMissingColumns=True)
 
 
@@ -231,12 +233,12 @@ def resolve_against(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     The earliest entity with the key as its name or an alias wins; else the most similar canonical name of 95 % or more; else new, with no id.
     """
     owners = _owners(entities)
-    asked = mentions.withColumn("key", name_key(F.col("name"))).join(owners, ["type", "key"], "left")
+    asked = mentions.withColumn("key", name_key(F.col("name"))).join(owners.hint("merge"), ["type", "key"], "left")
     rest = asked.where("o is null").select("type", "name").distinct().select(F.to_json(F.struct("type", "name")).alias("rid"), "type", "name", F.lit(2**62).alias("seq"))
     known = entities.select(F.concat(F.lit("e"), "id").alias("rid"), F.col("entity_type").alias("type"), F.col("canonical_name").alias("name"), F.col("ord").cast("long").alias("seq"))
     pairs = similar_pairs(written(known.unionByName(rest), "names"), F.col("seq") == 2**62)
     order = entities.select(F.concat(F.lit("e"), "id").alias("earlier"), "ord", "id")
-    best = pairs.join(order, "earlier").groupBy("later").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "id")).alias("b"))
+    best = pairs.join(order.hint("merge"), "earlier").groupBy("later").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "id")).alias("b"))
     best = rest.join(best.select(F.col("later").alias("rid"), F.col("b.id").alias("near")), "rid").select("type", "name", "near")
     out = asked.join(best, ["type", "name"], "left")
     via = F.when(F.col("o").isNotNull(), F.col("o.via")).when(F.col("near").isNotNull(), "similarity").otherwise("new")

@@ -158,3 +158,17 @@ def test_ids_out_of_range_are_not_grouped_by_checks_of_changes(spark, monkeypatc
     for what in ("relationship exists", "relationship is missing"):
         at = lambda *signs: next(i for i, line in enumerate(seen[what]) if all(s in line for s in signs))  # noqa: E731, B023
         assert at("Aggregate [id") < at("Filter", "scalar-subquery")
+
+
+def test_names_and_their_keys_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """Spark takes a table of keys for as small as that of the names, and a written one for as small as its file."""
+    from lodestone.operators import resolution
+
+    plans, plain = {}, resolution.written
+    monkeypatch.setattr(resolution, "written", lambda df, name="step", packed=False: plans.update({(name, len(plans)): df._jdf.queryExecution().executedPlan().toString()}) or plain(df, name, packed))
+    names = spark.sql("SELECT id AS seq, 'Person' AS type, concat('A rather long name of ', id DIV 2, IF(id % 2 = 0, 'x', 'y')) AS name FROM range(8)")
+    found, entities = resolution.resolve_stream(names)
+    rows = found.join(entities.select(F.col("id").alias("entity_id"), "ord"), "entity_id")
+    assert {(r["seq"], r["ord"], r["matched_via"]) for r in rows.collect()} == {(0, 0, "new"), (3, 3, "new")} | {(i, 3 if i in (5, 7) else 0, "similarity") for i in (1, 2, 4, 5, 6, 7)}
+    assert {"similar", "founders", "owners", "resolved"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans.items() if "BroadcastExchange" in plan]
