@@ -23,7 +23,10 @@ UNDERLINE_2 = r"^-{3,}$"
 HEADING = r"(?Us)^(#{1,6})\s+(.+)$"
 LIST_ITEM = r"(?U)^\s*(?:[-*+]|\d+[.)])\s+"
 QUOTE = r"(?U)^\s*>"
-CAPITALIZED = r"(?U)\b[A-Z][\p{L}\p{Nl}\p{No}]*(?:\s+[A-Z][\p{L}\p{Nl}\p{No}]*)*\b"
+# Possessive: each turn of a group that may give back takes frames of the stack, and a text may be one run of names.
+NAME = r"[A-Z][\p{L}\p{Nl}\p{No}]*+"
+CAPITALIZED = rf"(?U)(?:^|[^\p{{L}}\p{{N}}_])({NAME}(?![\p{{Nd}}_])(?:\s++{NAME}(?![\p{{Nd}}_]))*+)"
+CAPITALIZED_OPEN = rf"(?:^|[^\p{{L}}\p{{N}}_])({NAME}(?:[\t\n\f\r ]++{NAME})*+)"
 
 
 @F.pandas_udf(T.StringType())
@@ -98,9 +101,10 @@ def structure(text: Column) -> Column:
     return F.flatten(F.zip_with(F.split(text, FENCE), code, lambda r, c: F.concat(segments(r), F.when(c.isNotNull(), F.array(_block("code_block", c))).otherwise(F.array().cast("array<struct<block_type:string,text:string,level:int>>")))))
 
 
-def candidate_entities(text: Column) -> Column:
-    """Different runs of capitalized words, in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITALIZED), F.lit(0)))
+def candidate_entities(text: Column, closed: bool = True) -> Column:
+    """Different runs of capitalized words, in order of appearance. closed: a word that a digit or underscore follows is none;
+    else its letters are, as engines without a look ahead have it, and only ASCII white space stands between words."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(CAPITALIZED if closed else CAPITALIZED_OPEN), F.lit(1)))
 
 
 def light_key(name: Column) -> Column:

@@ -54,6 +54,31 @@ def test_names(spark):
     assert column(spark, ["Sebastián", "C++", "C#", "c", "東京", "GPT-5 Turbo"], tx.name_key) == ["sebastin", "c", "c", "c", "", "gpt5turbo"]
 
 
+def test_runs_of_names_of_any_length(spark):
+    """Five times as many names as a stack of 1 MB holds; before, the task's JVM ended."""
+    text = "Xaver " * 20000
+    df = spark.createDataFrame([(1, text)], "id int, t string")
+    for closed in (True, False):
+        assert df.select(tx.candidate_entities(F.col("t"), closed)).first()[0] == [text.strip()]
+
+
+def test_names_before_digits_and_marks(spark):
+    texts = ["The AKIAAGG4PCT and A_b", "Jose\u0301 Cruz", "One\u000bTwo\u00a0Three", "Area\u00b2 \u2164I Xy\u216b", "\u0301Ab 4Cd _Ef \U0001d400Gh", "A1 B2 C", "", "Ab,Cd"]
+    pattern = re.compile(r"\b[A-Z][^\W\d_]*(?:\s+[A-Z][^\W\d_]*)*\b")
+    assert column(spark, texts, tx.candidate_entities) == [list(dict.fromkeys(pattern.findall(t))) for t in texts]
+    loose = re.compile(r"(?<!\w)[A-Z][^\W\d_]*(?:[\t\n\f\r ]+[A-Z][^\W\d_]*)*")
+    assert column(spark, texts, lambda c: tx.candidate_entities(c, closed=False)) == [list(dict.fromkeys(loose.findall(t))) for t in texts]
+    import duckdb
+
+    from lodestone.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id INTEGER, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = column(spark, texts, lambda c: tx.candidate_entities(c, closed=False))
+    assert sorted(con.execute(ORACLE_SQL["candidate_entities"]).fetchall()) == sorted((i, name) for i, names in enumerate(got) for name in names)
+
+
 def test_similarity(spark):
     rows = spark.createDataFrame([("Pydantic", "Pydnatic"), ("GPT-5", "GPT5"), ("GPT-5", "OpenAI GPT-5"), ("", ""), ("a", ""), ("é", "e")], "a string, b string")
     got = [tuple(round(x, 4) for x in r) for r in rows.select(tx.levenshtein_similarity(F.col("a"), F.col("b")), tx.jaccard_tokens(F.col("a"), F.col("b"))).collect()]
