@@ -76,19 +76,19 @@ def chunk_by_similarity(df: DataFrame, embed: Callable[[Column], Column], most:
     return _chunks(df, F.transform("_p", similar), most, id_col, text)
 
 
-def chunk_by_entities(df: DataFrame, embed: Callable[[Column], Column], most: int | None = None, threshold: float = THRESHOLD, id_col: str = "id", text: str = "content", per_text: bool = True) -> DataFrame:
+def chunk_by_entities(df: DataFrame, embed: Callable[[Column], Column], most: int | None = None, threshold: float = THRESHOLD, id_col: str = "id", text: str = "content", per_text: bool = True, closed: bool = True) -> DataFrame:
     """Joins a paragraph to the one before where the embeddings agree or both hold a candidate entity."""
     df, similar = _similar(_with_paragraphs(df, id_col, text), embed, per_text, threshold)
-    df = df.withColumn("_c", F.transform("_p", lambda p: candidate_entities(p["text"])))
+    df = df.withColumn("_c", F.transform("_p", lambda p: candidate_entities(p["text"], closed)))
     shared = lambda i: (i > 0) & F.arrays_overlap(F.coalesce(F.get("_c", i - 1), F.get("_c", i)), F.get("_c", i))
     return _chunks(df, F.transform("_p", lambda p, i: similar(p, i) | shared(i)), most, id_col, text)
 
 
-def chunk_by_relations(df: DataFrame, embed: Callable[[Column], Column], most: int | None = None, threshold: float = THRESHOLD, id_col: str = "id", text: str = "content", per_text: bool = True) -> DataFrame:
+def chunk_by_relations(df: DataFrame, embed: Callable[[Column], Column], most: int | None = None, threshold: float = THRESHOLD, id_col: str = "id", text: str = "content", per_text: bool = True, closed: bool = True) -> DataFrame:
     """Joins a paragraph to the one before also where it goes on with a name that the one before has anywhere, or with a word
     that points back: chains of statements about one thing stay together."""
     df, similar = _similar(_with_paragraphs(df, id_col, text), embed, per_text, threshold)
-    df = df.withColumn("_c", F.transform("_p", lambda p: candidate_entities(p["text"])))
+    df = df.withColumn("_c", F.transform("_p", lambda p: candidate_entities(p["text"], closed)))
 
     def linked(p: Column, i: Column) -> Column:
         names = F.coalesce(F.get("_c", F.greatest(i - 1, F.lit(0))), F.array().cast("array<string>"))

@@ -62,3 +62,18 @@ def test_ties_with_the_threshold(spark):
     text = "left\n\nright"
     rows = [chunk(doc(spark, text), embed_with(lambda t: [1.0, 2.0, 5.0, 1.0, 3.0] if t == "left" else [0.0, 1.0, 1.0, 2.0, 2.0]), 1000, per_text=False) for chunk in (chunking.chunk_by_similarity, chunking.chunk_by_entities, chunking.chunk_by_relations)]
     assert [spans(r) for r in rows] == [[(0, 11)]] * 3
+
+
+def test_a_paragraph_of_names_of_any_length(spark):
+    text = "Xaver " * 20000 + "\n\nsome other matter."
+    for chunk in (chunking.chunk_by_entities, chunking.chunk_by_relations):
+        for closed in (True, False):
+            assert spans(chunk(doc(spark, text), bag_of_words(WORDS), 1000, closed=closed)) == [(0, 120000), (120002, 120020)]
+
+
+def test_names_before_digits(spark):
+    """Open names are those of the queries' SQL: the letters of a word with a digit in it are a name."""
+    turn = embed_with(lambda t: [1.0, 0.0] if t.startswith("GPT4") else [0.0, 1.0])
+    for chunk in (chunking.chunk_by_entities, chunking.chunk_by_relations):
+        for closed, n in ((True, 2), (False, 1)):
+            assert len(spans(chunk(doc(spark, "GPT4 is one.\n\nand GPT5 another."), turn, 1000, per_text=False, closed=closed))) == n
