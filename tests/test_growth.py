@@ -172,3 +172,27 @@ def test_names_and_their_keys_are_not_sent_to_all_tasks(spark, monkeypatch):
     assert {(r["seq"], r["ord"], r["matched_via"]) for r in rows.collect()} == {(0, 0, "new"), (3, 3, "new")} | {(i, 3 if i in (5, 7) else 0, "similarity") for i in (1, 2, 4, 5, 6, 7)}
     assert {"similar", "founders", "owners", "resolved"} <= {name for name, _ in plans}
     assert not [name for name, plan in plans.items() if "BroadcastExchange" in plan]
+
+
+def test_ids_are_not_sent_to_all_tasks(spark, tmp_path):
+    """Checks of a loaded graph, and evidence without its relationships: Spark takes the ids for as small as their packed file."""
+    import re
+
+    from lodestone.operators.graph import remove_entity
+    from lodestone.schemas import problems
+
+    path = str(tmp_path / "g")
+    snapshots.save_graph(graph(spark), path)
+    x = snapshots.load_graph(spark, path)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (problems(x), remove_entity(x, "API").evidence)]
+    assert not [p for p in plans if re.search(r"BroadcastHashJoin \[(source_entity_id|target_entity_id|relationship_id)", p)]
+
+
+def test_rows_that_lack_something(spark):
+    from lodestone.schemas import problems
+
+    x = graph(spark)
+    ends = F.when(F.col("id") == "r1", F.lit("nobody")).when(F.col("id") == "r2", F.lit(None))
+    broken = type(x)(x.entities, x.relationships.where("id <> 'r3'").withColumn("source_entity_id", F.coalesce(ends, F.when(F.col("id") != "r2", F.col("source_entity_id")))), x.evidence)
+    lost = {r["id"] for r in x.evidence.where("relationship_id = 'r3'").collect()}
+    assert {tuple(r) for r in problems(broken).collect()} == {("missing source", "r1"), ("missing source", "r2")} | {("missing relationship", i) for i in lost}
