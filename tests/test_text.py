@@ -79,6 +79,18 @@ def test_names_before_digits_and_marks(spark):
     assert sorted(con.execute(ORACLE_SQL["candidate_entities"]).fetchall()) == sorted((i, name) for i, names in enumerate(got) for name in names)
 
 
+def test_the_query_takes_the_names_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestone.queries import ORACLE_SQL, QUERIES
+
+    spark.createDataFrame([(1, "The AKIAAGG4PCT and Some_thing"), (2, "GPT5 Turbo"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["candidate_entities"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(ORACLE_SQL["candidate_entities"]).fetchall()) and (2, "GPT") in got
+
+
 def test_similarity(spark):
     rows = spark.createDataFrame([("Pydantic", "Pydnatic"), ("GPT-5", "GPT5"), ("GPT-5", "OpenAI GPT-5"), ("", ""), ("a", ""), ("é", "e")], "a string, b string")
     got = [tuple(round(x, 4) for x in r) for r in rows.select(tx.levenshtein_similarity(F.col("a"), F.col("b")), tx.jaccard_tokens(F.col("a"), F.col("b"))).collect()]
